@@ -1,10 +1,13 @@
 """The queries of the dealt operators, and SQL for those that SQL can express."""
 
-from . import exact_dedup, sharding
+from . import exact_dedup, language_id, packing, sharding, simhash_dedup
 
 QUERIES = {
+    "op1_language_id": language_id.op1,
+    "op2_simhash_dedup": simhash_dedup.op2,
     "op4_sharding": sharding.op4,
     "op8_exact_dedup": exact_dedup.op8,
+    "op10_packing": packing.op10,
 }
 
 ORACLES = {
