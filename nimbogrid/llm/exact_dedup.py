@@ -98,6 +98,16 @@ def exact_dedup(docs: DataFrame, block_bytes: int = 16384, id_col: str = "doc_id
     Rows are in one group when their texts are equal without white space. The row with the most code points in
     its original text stays, then the one with the smallest doc_id.
     """
+    return _decided(docs, block_bytes, id_col, text_col).drop("uid")
+
+
+def keep_distinct(docs: DataFrame, block_bytes: int = 16384, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs, with all their columns, that stay. docs must give the same rows in the same order when read again, as a table does."""
+    gone = _decided(docs, block_bytes, id_col, text_col).filter(~F.col("kept")).select(F.col("uid").alias("__uid"))
+    return docs.withColumn("__uid", F.monotonically_increasing_id()).join(gone, "__uid", "left_anti").drop("__uid")
+
+
+def _decided(docs: DataFrame, block_bytes: int, id_col: str, text_col: str) -> DataFrame:
     heads, names = identities(docs, Scratch(docs.sparkSession), block_bytes, id_col, text_col)
     rows = heads.join(names, "uid")
     # bitwise_not turns the order of integers round without overflow.
@@ -105,7 +115,7 @@ def exact_dedup(docs: DataFrame, block_bytes: int = 16384, id_col: str = "doc_id
     groups = rows.groupBy("level", "name").agg(F.count(F.lit(1)).alias("group_size"), best.alias("best"))
     groups = groups.select("level", "name", "group_size", F.col("best.doc_id").alias("keep_id"), F.col("best.uid").alias("keep_uid"))
     return rows.join(groups, ["level", "name"]).select(
-        "doc_id", "keep_id", "group_size", (F.col("uid") == F.col("keep_uid")).alias("kept"), "text_sha256", "n_chars"
+        "uid", "doc_id", "keep_id", "group_size", (F.col("uid") == F.col("keep_uid")).alias("kept"), "text_sha256", "n_chars"
     )
 
 

@@ -125,6 +125,29 @@ def identify(docs: DataFrame, labelled: DataFrame, rows_per_language: int = 300,
     return docs.select(*names, F.col("text").cast("string").alias("text")).mapInArrow(_predict(net, languages), f"{schema}, lang_pred string, score double")
 
 
+def _keep(net: ByteGRU, languages: list[str], text: str, least_score: float):
+    def run(batches):
+        for batch in batches:
+            texts = batch.column(text).to_pylist()
+            p = pooled(net, texts)
+            good = [bool(t and _LETTER.search(t)) and not np.isnan(x[0]) and x.max() >= least_score for t, x in zip(texts, p, strict=True)]
+            yield batch.filter(pa.array(good, pa.bool_()))
+
+    return run
+
+
+def keep_identified(docs: DataFrame, labelled: DataFrame, least_score: float = 0.35, text_col: str = "text", rows_per_language: int = 300, hidden: int = 8, rounds: int = 300) -> DataFrame:
+    """The rows of docs, with all their columns, whose text is in a language with a score of at least least_score.
+
+    What has no letter is rejected. Without any labelled row nothing can be identified and nothing is kept.
+    """
+    sample = labelled_sample(labelled, "lang", rows_per_language)
+    if not any(_LETTER.search(t) for t, _ in sample):
+        return docs.filter(F.lit(False))
+    net, languages = train(sample, hidden, rounds)
+    return docs.mapInArrow(_keep(net, languages, text_col, least_score), docs.schema)
+
+
 def held_out(doc_id=None):
     """Whether crc32(doc_id as text) mod 5 is 0; a null doc_id is never learned from."""
     doc_id = F.col("doc_id") if doc_id is None else doc_id

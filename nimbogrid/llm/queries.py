@@ -1,6 +1,6 @@
 """The queries of the dealt operators, and SQL for those that SQL can express."""
 
-from . import decontamination, exact_dedup, language_id, packing, quality, sharding, simhash_dedup, substring_dedup
+from . import decontamination, exact_dedup, html_extraction, language_id, packing, quality, sharding, simhash_dedup, substring_dedup
 
 QUERIES = {
     "op1_language_id": language_id.op1,
@@ -8,6 +8,7 @@ QUERIES = {
     "op4_sharding": sharding.op4,
     "op5_quality": quality.op5,
     "op6_decontamination": decontamination.op6,
+    "op7_html_extraction": html_extraction.op7,
     "op8_exact_dedup": exact_dedup.op8,
     "op9_substring_dedup": substring_dedup.op9,
     "op10_packing": packing.op10,
