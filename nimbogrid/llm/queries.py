@@ -1,10 +1,11 @@
 """The queries of the dealt operators, and SQL for those that SQL can express."""
 
-from . import decontamination, exact_dedup, html_extraction, language_id, packing, quality, sharding, simhash_dedup, substring_dedup
+from . import decontamination, exact_dedup, html_extraction, language_id, packing, quality, sharding, simhash_dedup, substring_dedup, suffix_dedup
 
 QUERIES = {
     "op1_language_id": language_id.op1,
     "op2_simhash_dedup": simhash_dedup.op2,
+    "op3_suffix_dedup": suffix_dedup.op3,
     "op4_sharding": sharding.op4,
     "op5_quality": quality.op5,
     "op6_decontamination": decontamination.op6,
