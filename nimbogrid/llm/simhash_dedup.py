@@ -14,7 +14,7 @@ fingerprints, and the cost tends to one packed value per variant, which is what
 
 In a task the variants are sorted, and each run of equal ones gives links from its first to its other members (a run
 of size n gives n - 1 links, not all pairs; they connect the same documents). Each link is verified by counting
-differing bits. Links are made distinct, and components found over fingerprints, not over documents, so that copies
+differing bits. What is connected within a task is sent on as stars round the least fingerprint. Links are made distinct, and components found over fingerprints, not over documents, so that copies
 of one text cost nothing here.
 
 Defined results: null and empty texts have fingerprint zero and are linked like any other. Rows are kept one for
@@ -147,7 +147,11 @@ def _linked(x: np.ndarray, index: np.ndarray, variant: np.ndarray, limit: int) -
 
 
 def meet(x: np.ndarray, rho: int, bits: int, radius: int, limit: int, chunk: int = 4_000_000) -> np.ndarray:
-    """Links among distinct fingerprints x through variants of syndrome rho, as an (n, 2) array of fingerprints."""
+    """Links that connect all distinct fingerprints x with common variants of syndrome rho, as an (n, 2) array of fingerprints.
+
+    They are stars round the least fingerprint of each part that is connected here, so that other syndromes mostly
+    find the same ones and a dense group of n gives about n links in all.
+    """
     if len(x) >> INDEX_BITS:
         raise ValueError("too many fingerprints for one syndrome; lower max_per_task")
     masks, syndrome = flips(radius), Syndromes(bits)
@@ -176,7 +180,25 @@ def meet(x: np.ndarray, rho: int, bits: int, radius: int, limit: int, chunk: int
             links.append(_linked(x, np.concatenate(indexes), np.concatenate(variants), limit))
     found = np.unique(np.concatenate(links)) if links else np.empty(0, np.uint64)
     low = np.uint64((1 << INDEX_BITS) - 1)
-    return np.stack([x[(found >> np.uint64(INDEX_BITS)).astype(np.intp)], x[(found & low).astype(np.intp)]], axis=1)
+    return _stars(x, (found >> np.uint64(INDEX_BITS)).astype(np.intp), (found & low).astype(np.intp))
+
+
+def _stars(x: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The links x[a] - x[b] as stars: each linked value with the least one that it is connected to."""
+    nodes = np.unique(np.r_[a, b])
+    nodes = nodes[np.argsort(x[nodes], kind="stable")] if len(nodes) else nodes
+    place = np.empty(int(nodes.max(initial=-1)) + 1, np.intp)
+    place[nodes] = np.arange(len(nodes))
+    a, b = place[a], place[b]
+    label, before = np.arange(len(nodes)), None
+    while before is None or not np.array_equal(label, before):
+        before = label.copy()
+        least = np.minimum(label[a], label[b])
+        np.minimum.at(label, a, least)
+        np.minimum.at(label, b, least)
+        label = label[label]
+    leaf = np.flatnonzero(label != np.arange(len(nodes)))
+    return np.stack([x[nodes[label[leaf]]], x[nodes[leaf]]], axis=1)
 
 
 def _meet(bits: int, radius: int, limit: int):
