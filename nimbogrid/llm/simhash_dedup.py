@@ -236,5 +236,16 @@ def simhash_groups(docs: DataFrame, words: int = 4, limit: int = 4, id_col: str
     return prints.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def keep_one_of_each(docs: DataFrame, words: int = 4, limit: int = 4, text_col: str = "text") -> DataFrame:
+    """The rows of docs, with all their columns, that come first in their near-duplicate group.
+
+    docs must give the same rows in the same order when read again, as a table does.
+    """
+    numbered = docs.withColumn("__uid", F.monotonically_increasing_id())
+    groups = simhash_groups(numbered, words, limit, "__uid", text_col)
+    gone = groups.filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("__uid"))
+    return numbered.join(gone, "__uid", "left_anti").drop("__uid")
+
+
 def op2(spark, sf_dir):
     return simhash_groups(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
