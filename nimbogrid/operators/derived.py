@@ -183,9 +183,9 @@ def lift_parcel(z: np.ndarray, p: np.ndarray, t: np.ndarray, qv: np.ndarray) ->
     lfc = lnb = np.nan
     for n in range(len(z) - 1):
         part = (buoyancy[n] + buoyancy[n + 1]) / 2 * (z[n + 1] - z[n])
-        if part > 0 and not np.isnan(lcl):
+        if part > 0 and z[n + 1] > lcl:  # never so while nothing has condensed
             if np.isnan(lfc):
-                lfc = z[n]
+                lfc = max(z[n], lcl)
             lnb = z[n + 1]
             cape += part
         elif part < 0 and np.isnan(lfc):
