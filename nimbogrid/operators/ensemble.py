@@ -86,8 +86,29 @@ def letkf(y: np.ndarray, d: np.ndarray, r: np.ndarray, rho: float = 1.0, relax:
     return w, t
 
 
-def analyse(pairs: DataFrame, background: DataFrame, cell: str = "cell", rho: float = 1.0, relax: float = 0.0, relax_spread: float = 0.0) -> DataFrame:
-    """Analysis members of each cell.
+def serial_filter(x: np.ndarray, y: np.ndarray, d: np.ndarray, r: np.ndarray) -> np.ndarray:
+    """Analysis members by a serial square-root filter: observations one after another.
+
+    x: members of a variable; y: perturbations in observation space (obs, members); d: departures; r: error variances. With
+    linear operators its mean is that of the transform filter.
+    """
+    m = len(x)
+    mean, p, y, d = x.mean(), x - x.mean(), y.copy(), d.copy()
+    for n in range(len(d)):
+        v = y[n] @ y[n] / (m - 1)
+        if v == 0:
+            continue
+        a = 1 / (1 + np.sqrt(r[n] / (v + r[n])))
+        gain_x, gain_y = p @ y[n] / (m - 1) / (v + r[n]), y @ y[n] / (m - 1) / (v + r[n])
+        mean, own, step = mean + gain_x * d[n], y[n].copy(), d[n]
+        d = d - gain_y * step
+        p = p - a * gain_x * own
+        y = y - a * np.outer(gain_y, own)
+    return mean + p
+
+
+def analyse(pairs: DataFrame, background: DataFrame, cell: str = "cell", rho: float = 1.0, relax: float = 0.0, relax_spread: float = 0.0, serial: bool = False) -> DataFrame:
+    """Analysis members of each cell, by the transform or, with serial, by the serial square-root filter (which takes no inflation or relaxation).
 
     pairs: (cell, y array, d, r), the selected observations of each cell, bounded by the top-k of the local search.
     background: (cell, x array). A cell without observations keeps its members, inflated. One row per cell goes to Python: its arrays.
@@ -104,6 +125,9 @@ def analyse(pairs: DataFrame, background: DataFrame, cell: str = "cell", rho: fl
                 obs = [] if obs is None else sorted(obs, key=lambda o: (o["d"], o["r"], tuple(o["y"])))
                 y = np.array([o["y"] for o in obs], float).reshape(len(obs), len(x))
                 p = x - x.mean()
+                if serial:
+                    out.append(serial_filter(x, y, np.array([o["d"] for o in obs], float), np.array([o["r"] for o in obs], float)).tolist())
+                    continue
                 w, t = letkf(y, np.array([o["d"] for o in obs], float), np.array([o["r"] for o in obs], float), rho, relax, relax_spread, p)
                 out.append((x.mean() + p @ (t + w[:, None])).tolist())
             yield pd.DataFrame({cell: pdf[cell], "x": out})

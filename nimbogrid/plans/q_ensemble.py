@@ -127,6 +127,18 @@ def letkf_relax_spread(spark, sf_dir):
     return out.select("cell", r(m, 6).alias("mean"), r(sd, 6).alias("spread"))
 
 
+@query("serial_filter_analysis", SINGLE + "SELECT vec_id, round(m + yy * d / (0.5::DOUBLE * 9 + yy), 6) AS mean, round(sqrt(yy / 9 * 0.5 / (yy / 9 + 0.5)), 6) AS spread FROM q WHERE member = 1", "v_ens")
+def serial_filter_analysis(spark, sf_dir):
+    """One observation of the ensemble itself: mean and spread of the scalar filter."""
+    e = v_ens_array(spark, sf_dir)
+    d, y = ens.observation_departure(F.col("elm") / 10, F.col("ens"))
+    pairs = e.select(F.col("vec_id").alias("cell"), y.alias("y"), d.alias("d"), F.lit(0.5).alias("r"))
+    out = ens.analyse(pairs, e.select(F.col("vec_id").alias("cell"), F.col("ens").alias("x")), serial=True)
+    m = ens.array_mean(F.col("x"))
+    sd = F.sqrt(F.aggregate("x", F.lit(0.0), lambda a, v: a + (v - m) * (v - m)) / (F.size("x") - 1))
+    return out.select(F.col("cell").alias("vec_id"), r(m, 6).alias("mean"), r(sd, 6).alias("spread"))
+
+
 @query("parameter_estimation")
 def parameter_estimation(spark, sf_dir):
     """Global transform of two parameters by all observations; only the members' cross products leave the executors."""

@@ -205,3 +205,28 @@ def test_compare_and_catalogue(spark):
 def test_level_mean_without_area_is_missing(spark):
     d = spark.createDataFrame([(1, None, 1.0), (2, 3.0, 2.0)], "k int, v double, a double")
     assert {r["k"]: r["mean"] for r in stats.level_means(d, "v", "a").collect()} == {1: None, 2: 3.0}
+
+
+def test_serial_filter_has_the_transforms_mean():
+    rng = np.random.default_rng(8)
+    x, y, d, r_ = rng.normal(size=9), rng.normal(size=(7, 9)), rng.normal(size=7), rng.uniform(0.5, 2, 7)
+    y -= y.mean(axis=1, keepdims=True)
+    w, t = ensemble.letkf(y, d, r_)
+    a, b = ensemble.serial_filter(x, y, d, r_), x.mean() + (x - x.mean()) @ (t + w[:, None])
+    assert a.mean() == pytest.approx(b.mean()) and a.std() == pytest.approx(b.std())
+
+
+def test_gamma(spark):
+    import math
+
+    from nimbogrid.functions.special import gamma
+
+    xs = [0.3, 1.0, 4.5, 10.0, -0.5, -2.0]
+    got = [r[0] for r in spark.createDataFrame([(x,) for x in xs], "x double").select(gamma(F.col("x"))).collect()]
+    assert got[:5] == pytest.approx([math.gamma(x) for x in xs[:5]], rel=1e-9) and got[5] is None
+
+
+def test_stretched_levels():
+    from nimbogrid.operators.forward import stretched_levels
+
+    assert stretched_levels(10.0, 2.0, 40.0, 5) == [10.0, 30.0, 70.0, 110.0, 150.0]
