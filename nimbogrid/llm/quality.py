@@ -11,7 +11,7 @@ share of positives above it is an upper bound of the prior for any threshold of
 thresholds that keep at least half of the positives is taken, on rows held back from the fit of that score.
 
 Statistics of a whole text: histograms of pairs of character classes, of punctuation marks and, hashed, of byte pairs
-(square roots of frequencies), the share of distinct words, of repeated pairs of words, mean and deviation of word lengths, and its length.
+(square roots of frequencies), the share of distinct words, of distinct pairs of words and of words that repeat the last one, mean and deviation of word lengths, and its length.
 
 Scale: one pass over the texts without a shuffle to score; the samples (``positives`` and ``unlabelled`` rows at most, by
 the smallest hashes of doc_id) are turned into statistics on the executors before they are collected.
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .hashing import Prefix, mix, slabs, words
 
-PAIRS, CLASSES, EXTRA = 256, 9, 7
+PAIRS, CLASSES, EXTRA = 256, 9, 9
 #: Marks that are counted one by one.
 MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 FEATURES = PAIRS + CLASSES * CLASSES + len(MARKS) + EXTRA
@@ -84,6 +84,9 @@ def statistics(texts: list[str | None]) -> np.ndarray:
         extra[:, 4] = np.log1p(count) / 10
         extra[:, 5] = np.sqrt(np.bincount(doc[raw[:-1] == 10][: len(doc)], minlength=n)[:n] / some)
         extra[:, 6] = (count == 0) & (size > 0)
+        again = (own[1:] == own[:-1]) & (h[1:] == h[:-1])
+        extra[:, 7] = np.sqrt(np.bincount(own[1:][again], minlength=n) / some)
+        extra[:, 8] = -np.log(np.maximum(extra[:, 0], 1e-3)) * (count > 0)
     return out
 
 

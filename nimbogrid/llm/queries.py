@@ -16,5 +16,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op6_decontamination": decontamination.OP6_SQL,
     "op8_exact_dedup": exact_dedup.OP8_SQL,
+    "op9_substring_dedup": substring_dedup.OP9_SQL,
 }
