@@ -251,11 +251,11 @@ ic AS (SELECT item_id, k, s, sh, count(*) AS c FROM ish GROUP BY ALL),
 t AS (SELECT doc_id, unnest(range(1, len(l) + 1)) AS pos, unnest(l) AS tok FROM (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[0-9a-z\x{80}-\x{10FFFF}]+|[^0-9a-z\x{80}-\x{10FFFF}]+') AS l FROM documents)),
 o AS (SELECT *, sum(strlen(tok)) OVER (PARTITION BY doc_id ORDER BY pos)::BIGINT AS upto, regexp_matches(tok, '^[0-9a-z\x{80}-\x{10FFFF}]') AS word FROM t),
 w AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS n, tok, upto - strlen(tok) AS a, upto AS b FROM o WHERE word),
-d AS (SELECT doc_id, list(tok ORDER BY n) AS ws, count(*) AS m FROM w GROUP BY doc_id),
-ds AS (SELECT doc_id, m, k, p, array_to_string(ws[p : p + k - 1], ' ') AS sh FROM (SELECT d.*, k, unnest(range(1, m - k + 2)) AS p FROM d, (SELECT DISTINCT k FROM i))),
+d AS (SELECT doc_id, n AS p, count(*) OVER (PARTITION BY doc_id) AS m, list(tok) OVER (PARTITION BY doc_id ORDER BY n ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING) AS five FROM w),
+ds AS (SELECT doc_id, m, k, p, array_to_string(five[1:k], ' ') AS sh FROM d, (SELECT DISTINCT k FROM i) WHERE p <= m - k + 1),
 seed AS (SELECT DISTINCT doc_id, m, item_id, ic.k, s, p FROM ds JOIN ic ON ds.k = ic.k AND ds.sh = ic.sh),
 win AS (SELECT DISTINCT doc_id, item_id, k, s, x FROM (SELECT *, unnest(range(greatest(1, p - s + 1), least(p, m - k + 1 - s + 1) + 1)) AS x FROM seed)),
-hit AS (SELECT win.doc_id, win.item_id, win.k, win.s, x, ds.sh, count(*) AS c FROM win JOIN ds ON ds.doc_id = win.doc_id AND ds.k = win.k AND ds.p BETWEEN x AND x + win.s - 1 GROUP BY ALL),
+hit AS (SELECT v.doc_id, v.item_id, v.k, v.s, x, ds.sh, count(*) AS c FROM (SELECT *, unnest(range(x, x + s)) AS p FROM win) v JOIN ds ON ds.doc_id = v.doc_id AND ds.k = v.k AND ds.p = v.p GROUP BY ALL),
 sim AS (SELECT doc_id, hit.item_id, hit.k, hit.s, x, sum(least(hit.c, ic.c)) AS common FROM hit JOIN ic ON ic.item_id = hit.item_id AND ic.sh = hit.sh GROUP BY ALL),
 best AS (SELECT doc_id, item_id, k, s, common::DOUBLE / (2 * s - common)::DOUBLE AS similarity, x, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY common DESC, x) AS nth FROM sim)
 SELECT best.doc_id, item_id, similarity, f.a::BIGINT AS start, l.b::BIGINT AS "end" FROM best JOIN w f ON f.doc_id = best.doc_id AND f.n = x JOIN w l ON l.doc_id = best.doc_id AND l.n = x + s + k - 2
