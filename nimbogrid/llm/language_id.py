@@ -136,7 +136,7 @@ def _keep(net: ByteGRU, languages: list[str], text: str, least_score: float):
     return run
 
 
-def keep_identified(docs: DataFrame, labelled: DataFrame, least_score: float = 0.35, text_col: str = "text", rows_per_language: int = 300, hidden: int = 8, rounds: int = 300) -> DataFrame:
+def keep_identified(docs: DataFrame, labelled: DataFrame, least_score: float = 0.28, text_col: str = "text", rows_per_language: int = 300, hidden: int = 8, rounds: int = 300) -> DataFrame:
     """The rows of docs, with all their columns, whose text is in a language with a score of at least least_score.
 
     What has no letter is rejected. Without any labelled row nothing can be identified and nothing is kept.
