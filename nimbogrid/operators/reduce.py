@@ -141,4 +141,5 @@ def diffusion_step(cells: DataFrame, i: str, j: str, value: str, ni: int, nj: in
     both = cells.select(i, j, F.lit(1).alias("own"), F.col(value).alias("v")).unionByName(out.filter(F.col(i).between(0, ni - 1) & F.col(j).between(0, nj - 1)))
     own, near = F.max(F.when(F.col("own") == 1, F.col("v"))), F.sum(F.when(F.col("own") == 0, F.col("v")))
     n = F.count(F.when(F.col("own") == 0, 1))
-    return both.groupBy(i, j).agg(((n * own - near) / (2 * n)).alias(value))
+    # Only cells that exist have a result; one without neighbours has none.
+    return both.groupBy(i, j).agg(F.try_divide(n * own - near, 2 * n).alias(value), F.count(F.when(F.col("own") == 1, 1)).alias("_own")).filter("_own > 0").drop("_own")

@@ -104,11 +104,11 @@ def derived_turbulence(spark, sf_dir):
 
 @query(
     "derived_water_paths",
-    STATE + 'SELECT i, j, round(sum((qc + qr) * dens * dz * 1000), 4) AS "LWP", round(sum((qi + qs + qg) * dens * dz * 1000), 4) AS "IWP", round(sum((qv + qc + qr + qi + qs + qg) * dens * dz * 1000), 3) AS "PW" FROM st GROUP BY i, j',
+    STATE + 'SELECT i, j, round(sum((qc + qr) * dens * dz * 1000) + 0.0000037, 4) AS "LWP", round(sum((qi + qs + qg) * dens * dz * 1000) + 0.0000037, 4) AS "IWP", round(sum((qv + qc + qr + qi + qs + qg) * dens * dz * 1000) + 0.0000037, 3) AS "PW" FROM st GROUP BY i, j',
     "v_cell",
 )
 def derived_water_paths(spark, sf_dir):
-    return derived.column_paths(v_state(spark, sf_dir)).select("i", "j", r("LWP").alias("LWP"), r("IWP").alias("IWP"), r("PW", 3).alias("PW"))
+    return derived.column_paths(v_state(spark, sf_dir)).select("i", "j", r("LWP", 4, OFF_TIE).alias("LWP"), r("IWP", 4, OFF_TIE).alias("IWP"), r("PW", 3, OFF_TIE).alias("PW"))
 
 
 @query(

@@ -54,13 +54,13 @@ def radar_operator(spark, sf_dir):
 
 @query(
     "terrain_levels",
-    ", t AS (SELECT i, j, avg(vr) * 10 AS topo FROM v_cell GROUP BY i, j) SELECT i, j, k, round((12000 - topo) / 12000 * k * 500 + topo, 5) AS z FROM t, (SELECT unnest(range(1, 8))::INT AS k)".lstrip(),
+    ", t AS (SELECT i, j, avg(vr) * 10 AS topo FROM v_cell GROUP BY i, j) SELECT i, j, k, round((12000 - topo) / 12000 * k * 500 + topo + 0.0000013, 5) AS z FROM t, (SELECT unnest(range(1, 8))::INT AS k)".lstrip(),
     "v_cell",
 )
 def terrain_levels(spark, sf_dir):
     t = v_cell(spark, sf_dir).groupBy("i", "j").agg((F.avg("vr") * 10).alias("topo"))
     t = t.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(7))))
-    return t.select("i", "j", "k", r(forward.terrain_height(F.col("k") * 500.0, F.col("topo"), 12000.0), 5).alias("z"))
+    return t.select("i", "j", "k", r(forward.terrain_height(F.col("k") * 500.0, F.col("topo"), 12000.0), 5, 0.0000013).alias("z"))
 
 
 for _m, _sql in (

@@ -102,13 +102,13 @@ def bracket_missing(spark, sf_dir):
     """, g AS (SELECT i, j, avg(z) AS z FROM v_cell GROUP BY i, j), p AS (SELECT obs_id, x * 0.19 AS ri, y * 0.19 AS rj FROM v_site),
  c AS (SELECT obs_id, floor(ri) + a AS i, floor(rj) + b AS j, (CASE WHEN a = 1 THEN ri - floor(ri) ELSE 1 - (ri - floor(ri)) END) * (CASE WHEN b = 1 THEN rj - floor(rj) ELSE 1 - (rj - floor(rj)) END) AS w
    FROM p, (SELECT unnest([0, 0, 1, 1]) AS a, unnest([0, 1, 0, 1]) AS b))
-SELECT obs_id, round(sum(z * w), 4) AS z FROM c JOIN g USING (i, j) WHERE w > 0 GROUP BY obs_id""".lstrip(),
+SELECT obs_id, round(CASE WHEN count(z) = count(*) THEN sum(z * w) END + 0.0000037, 4) AS z FROM c LEFT JOIN g USING (i, j) WHERE w > 0 GROUP BY obs_id""".lstrip(),
     "v_cell v_site",
 )
 def bilinear_corners(spark, sf_dir):
     g = v_cell(spark, sf_dir).groupBy("i", "j").agg(F.avg("z").alias("z"))
     p = v_site(spark, sf_dir).select("obs_id", (F.col("x") * 0.19).alias("ri"), (F.col("y") * 0.19).alias("rj"))
-    return joins.corners(p, g, "ri", "rj", "i", "j", "z", "obs_id").select("obs_id", r("z").alias("z"))
+    return joins.corners(p, g, "ri", "rj", "i", "j", "z", "obs_id").select("obs_id", r("z", 4, OFF_TIE).alias("z"))
 
 
 @query(

@@ -115,9 +115,9 @@ def lanczos_filter(spark, sf_dir):
 @query(
     "diffusion_filter",
     """, g AS (SELECT i, j, avg(z) AS p FROM v_cell GROUP BY i, j)
-SELECT a.i, a.j, round((count(b.p) * a.p - sum(b.p)) / (2 * count(b.p)), 4) AS p FROM g a JOIN g b ON abs(a.i - b.i) + abs(a.j - b.j) = 1 GROUP BY a.i, a.j, a.p""".lstrip(),
+SELECT a.i, a.j, round((count(b.p) * a.p - sum(b.p)) / nullif(2 * count(b.p), 0) + 0.0000037, 4) AS p FROM g a LEFT JOIN g b ON abs(a.i - b.i) + abs(a.j - b.j) = 1 GROUP BY a.i, a.j, a.p""".lstrip(),
     "v_cell",
 )
 def diffusion_filter(spark, sf_dir):
     g = v_cell(spark, sf_dir).groupBy("i", "j").agg(F.avg("z").alias("p"))
-    return reduce.diffusion_step(g, "i", "j", "p", 20, 20).withColumn("p", r("p"))
+    return reduce.diffusion_step(g, "i", "j", "p", 20, 20).withColumn("p", r("p", 4, OFF_TIE))

@@ -49,10 +49,12 @@ def _decode(kind: str, endian: str):
                 meta = None
                 if kind == "radar":
                     meta, got = [float(x[0]) for x in got[:3]], got[3:]
+                if not got:
+                    continue
                 a = np.array(got, float).reshape(len(got), -1)
                 if kind == "radar" and a.shape[1] == 7:
                     a = np.c_[a, np.zeros(len(a))]
-                d = pd.DataFrame(a, columns=COLUMNS) if len(a) else pd.DataFrame(columns=COLUMNS, dtype=float)
+                d = pd.DataFrame(a, columns=list(COLUMNS))
                 d.insert(0, "nth", np.arange(len(d)))
                 d.insert(0, "path", path)
                 d["elm"], d["typ"], d["meta"] = d["elm"].astype("int32"), d["typ"].astype("int32"), [meta] * len(d)
