@@ -63,7 +63,7 @@ def single_obs_weights(members: DataFrame, cell: Sequence[str], y: str, d: str,
     return members.withColumn("w", F.col(y) * F.col(d) / (F.col(r) * (n - 1) / rho + yy))
 
 
-def letkf(y: np.ndarray, d: np.ndarray, r: np.ndarray, rho: float = 1.0, relax: float = 0.0, relax_spread: float = 0.0, x: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+def local_transform(y: np.ndarray, d: np.ndarray, r: np.ndarray, rho: float = 1.0, relax: float = 0.0, relax_spread: float = 0.0, x: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(mean weights, transform matrix) from perturbations y (obs, members), departures d and error variances r.
 
     r is already divided by the localisation weight. relax blends in the prior perturbations; relax_spread brings
@@ -128,7 +128,7 @@ def analyse(pairs: DataFrame, background: DataFrame, cell: str = "cell", rho: fl
                 if serial:
                     out.append(serial_filter(x, y, np.array([o["d"] for o in obs], float), np.array([o["r"] for o in obs], float)).tolist())
                     continue
-                w, t = letkf(y, np.array([o["d"] for o in obs], float), np.array([o["r"] for o in obs], float), rho, relax, relax_spread, p)
+                w, t = local_transform(y, np.array([o["d"] for o in obs], float), np.array([o["r"] for o in obs], float), rho, relax, relax_spread, p)
                 out.append((x.mean() + p @ (t + w[:, None])).tolist())
             yield pd.DataFrame({cell: pdf[cell], "x": out})
 

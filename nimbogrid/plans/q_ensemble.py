@@ -76,8 +76,8 @@ SINGLE = """, p AS (SELECT vec_id, member, x, avg(x) OVER (PARTITION BY vec_id)
  q AS (SELECT *, x - m AS y, sum((x - m) * (x - m)) OVER (PARTITION BY vec_id) AS yy FROM p) """.lstrip()
 
 
-@query("letkf_single_weights", SINGLE + "SELECT vec_id, member, round(y * d / (0.5::DOUBLE * 9 / 1.2 + yy), 7) AS w FROM q", "v_ens")
-def letkf_single_weights(spark, sf_dir):
+@query("transform_single_weights", SINGLE + "SELECT vec_id, member, round(y * d / (0.5::DOUBLE * 9 / 1.2 + yy), 7) AS w FROM q", "v_ens")
+def transform_single_weights(spark, sf_dir):
     e = v_ens_array(spark, sf_dir)
     d, y = ens.observation_departure(F.col("elm") / 10, F.col("ens"))
     rows = e.select("vec_id", d.alias("d"), F.posexplode(y).alias("m", "y")).withColumn("r", F.lit(0.5))
@@ -85,13 +85,13 @@ def letkf_single_weights(spark, sf_dir):
 
 
 @query(
-    "letkf_single_analysis",
+    "transform_single_analysis",
     SINGLE
     + """, c AS (SELECT *, 9 / 1.2::DOUBLE AS c FROM q)
 SELECT vec_id, member, round(m + yy * d / (0.5 * c + yy) + sqrt(9.0::DOUBLE) * y / sqrt(c + yy / 0.5), 6) AS x FROM c""",
     "v_ens",
 )
-def letkf_single_analysis(spark, sf_dir):
+def transform_single_analysis(spark, sf_dir):
     """The general transform on one observation of the ensemble itself; the closed form is its oracle."""
     e = v_ens_array(spark, sf_dir)
     d, y = ens.observation_departure(F.col("elm") / 10, F.col("ens"))
@@ -108,8 +108,8 @@ def _local_pairs(spark, sf_dir):
     return p.join(e, "key").withColumn("d", (F.col("dat") - 1000) / 1000).withColumn("r", F.col("err") * F.col("err") / F.col("weight"))
 
 
-@query("letkf_local_analysis")
-def letkf_local_analysis(spark, sf_dir):
+@query("transform_local_analysis")
+def transform_local_analysis(spark, sf_dir):
     """Local search, top k and transform together; the eigenproblem has no SQL, tests compare with a direct solve."""
     pairs = _local_pairs(spark, sf_dir)
     back = v_ens_array(spark, sf_dir).select((F.col("vec_id") + 1).alias("cell"), F.col("ens").alias("x")).join(v_grid(spark, sf_dir).select("cell"), "cell")
@@ -117,8 +117,8 @@ def letkf_local_analysis(spark, sf_dir):
     return out.select("cell", r(ens.array_mean(F.col("x")), 6).alias("mean"), F.size("x").alias("members"))
 
 
-@query("letkf_relax_spread")
-def letkf_relax_spread(spark, sf_dir):
+@query("transform_relax_spread")
+def transform_relax_spread(spark, sf_dir):
     pairs = _local_pairs(spark, sf_dir)
     back = v_ens_array(spark, sf_dir).select((F.col("vec_id") + 1).alias("cell"), F.col("ens").alias("x")).join(v_grid(spark, sf_dir).select("cell"), "cell")
     out = ens.analyse(pairs, back, rho=1.1, relax_spread=0.9)

@@ -77,19 +77,19 @@ def test_constant_survives_regridding(spark):
     assert all(abs(r["dat"] - 7) < 1e-12 for r in regrid.apply_weights(w, src, ["cell"], "obs_id", "dat", 0.999).collect())
 
 
-def test_letkf_closed_form_and_identity():
+def test_transform_closed_form_and_identity():
     rng = np.random.default_rng(4)
     m, rho = 6, 1.3
     y = rng.normal(size=m)
     y -= y.mean()
-    w, t = ensemble.letkf(y[None, :], np.array([1.7]), np.array([2.0]), rho)
+    w, t = ensemble.local_transform(y[None, :], np.array([1.7]), np.array([2.0]), rho)
     c, u = (m - 1) / rho, y / np.linalg.norm(y)
     assert np.allclose(w, y * 1.7 / (2.0 * c + y @ y))
     assert np.allclose(t, np.sqrt(m - 1) * ((np.eye(m) - np.outer(u, u)) / np.sqrt(c) + np.outer(u, u) / np.sqrt(c + y @ y / 2.0)))
-    assert np.allclose(ensemble.letkf(np.zeros((0, m)), np.zeros(0), np.zeros(0), rho)[1], np.sqrt(rho) * np.eye(m))
+    assert np.allclose(ensemble.local_transform(np.zeros((0, m)), np.zeros(0), np.zeros(0), rho)[1], np.sqrt(rho) * np.eye(m))
     x = rng.normal(size=m)
     x -= x.mean()
-    _, full = ensemble.letkf(y[None, :], np.array([1.7]), np.array([2.0]), rho, relax_spread=1.0, x=x)
+    _, full = ensemble.local_transform(y[None, :], np.array([1.7]), np.array([2.0]), rho, relax_spread=1.0, x=x)
     assert np.std(x @ full, ddof=1) == pytest.approx(np.std(x, ddof=1) * np.sqrt(rho), rel=1e-6)
 
 
@@ -100,7 +100,7 @@ def test_global_transform_equals_local_solve(spark):
     d, r, x = rng.normal(size=30), rng.uniform(0.5, 2, 30), rng.normal(size=5)
     obs = spark.createDataFrame([(y[n].tolist(), float(d[n]), float(r[n])) for n in range(30)], "y array<double>, d double, r double")
     got = ensemble.global_transform(obs, spark.createDataFrame([("a", x.tolist())], "name string, x array<double>")).first()["x"]
-    w, t = ensemble.letkf(y, d, r)
+    w, t = ensemble.local_transform(y, d, r)
     assert np.allclose(got, x.mean() + (x - x.mean()) @ (t + w[:, None]))
 
 
@@ -211,7 +211,7 @@ def test_serial_filter_has_the_transforms_mean():
     rng = np.random.default_rng(8)
     x, y, d, r_ = rng.normal(size=9), rng.normal(size=(7, 9)), rng.normal(size=7), rng.uniform(0.5, 2, 7)
     y -= y.mean(axis=1, keepdims=True)
-    w, t = ensemble.letkf(y, d, r_)
+    w, t = ensemble.local_transform(y, d, r_)
     a, b = ensemble.serial_filter(x, y, d, r_), x.mean() + (x - x.mean()) @ (t + w[:, None])
     assert a.mean() == pytest.approx(b.mean()) and a.std() == pytest.approx(b.std())
 
