@@ -22,28 +22,55 @@ def runs(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return start[first], reach[np.r_[np.flatnonzero(first)[1:] - 1, len(start) - 1]]
 
 
+#: Consecutive rows of a scan task that make a batch.
+BATCH_ROWS = 1024
+RANGE = np.dtype([("uid", "<i8"), ("start", "<i8"), ("end", "<i8")])
+PACKED = pa.schema([("batch", pa.int64()), ("ranges", pa.binary())])
+
+
+def packed(lost: np.ndarray) -> pa.RecordBatch:
+    """Ranges (RANGE records) merged into runs, one packed row for each batch of documents."""
+    lost = lost[np.lexsort((lost["start"], lost["uid"]))]
+    uid, start, reach = lost["uid"], lost["start"], lost["end"].copy()
+    if len(lost):
+        # Runs inside each document: ends are made to rise over documents by steps larger than any text.
+        step = int(reach.max()) + 2
+        nth = np.cumsum(np.r_[0, uid[1:] != uid[:-1]]) * step
+        start, reach = start + nth, np.maximum.accumulate(reach + nth)
+        first = np.flatnonzero(np.r_[True, start[1:] > reach[:-1]])
+        last = np.r_[first[1:] - 1, len(lost) - 1]
+        out = np.empty(len(first), RANGE)
+        out["uid"], out["start"], out["end"] = uid[first], start[first] - nth[first], reach[last] - nth[first]
+        lost = out
+    batch = lost["uid"] // BATCH_ROWS
+    cut = np.flatnonzero(np.r_[True, batch[1:] != batch[:-1]]) if len(lost) else np.empty(0, int)
+    blobs = [lost[a:b].tobytes() for a, b in zip(cut, np.r_[cut[1:], len(lost)][: len(cut)], strict=True)]
+    return pa.RecordBatch.from_arrays([pa.array(batch[cut], pa.int64()), pa.array(blobs, pa.binary())], schema=PACKED)
+
+
 def _cut(keep_text: bool):
-    def run(batches):
-        for batch in batches:
-            rows = []
-            for doc, text, ranges in zip(*(batch.column(c) for c in ("doc_id", "text", "ranges")), strict=True):
-                raw = (text.as_py() or "").encode("utf-8", "surrogatepass")
-                flat = np.frombuffer(b"".join(ranges.as_py() or []), np.int64).reshape(-1, 2)
-                a, b = runs(flat[:, 0], flat[:, 1])
-                if len(a):
-                    at = [0, *np.stack([a, b], axis=1).ravel().tolist(), len(raw)]
-                    kept = b"".join(raw[i:j] for i, j in zip(at[::2], at[1::2], strict=True))
-                else:
-                    kept = raw
-                rows.append((doc.as_py(), len(raw), len(raw) - len(kept), len(a), hashlib.sha256(kept).hexdigest(), *([kept.decode("utf-8", "replace")] if keep_text else [])))
-            cols = list(zip(*rows, strict=True)) if rows else [[]] * (5 + keep_text)
-            kinds = [pa.int64()] * 4 + [pa.string()] * (1 + keep_text)
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["text"] if keep_text else [])])
+    def run(key, docs, ranges):
+        lost = np.frombuffer(b"".join(ranges.column("ranges").to_pylist()), RANGE)
+        lost = lost[np.argsort(lost["uid"], kind="stable")]
+        rows = []
+        for uid, doc, text in zip(*(docs.column(c) for c in ("uid", "doc_id", "text")), strict=True):
+            raw = (text.as_py() or "").encode("utf-8", "surrogatepass")
+            own = lost[np.searchsorted(lost["uid"], uid.as_py(), "left") : np.searchsorted(lost["uid"], uid.as_py(), "right")]
+            a, b = runs(own["start"], own["end"])
+            if len(a):
+                at = [0, *np.stack([a, b], axis=1).ravel().tolist(), len(raw)]
+                kept = b"".join(raw[i:j] for i, j in zip(at[::2], at[1::2], strict=True))
+            else:
+                kept = raw
+            rows.append((doc.as_py(), len(raw), len(raw) - len(kept), len(a), hashlib.sha256(kept).hexdigest(), *([kept.decode("utf-8", "replace")] if keep_text else [])))
+        cols = list(zip(*rows, strict=True)) if rows else [[]] * (5 + keep_text)
+        kinds = [pa.int64()] * 4 + [pa.string()] * (1 + keep_text)
+        return pa.table([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["text"] if keep_text else [])])
 
     return run
 
 
 def cut_ranges(docs: DataFrame, ranges: DataFrame, keep_text: bool) -> DataFrame:
-    """docs (uid, doc_id, text) without the byte ranges that ranges (uid, packed pairs of 64-bit offsets) has for them."""
-    own = ranges.groupBy("uid").agg(F.collect_list("ranges").alias("ranges"))  # in proportion to the text they cut
-    return docs.join(own, "uid", "left").select("doc_id", "text", "ranges").mapInArrow(_cut(keep_text), CUT + (", text string" if keep_text else ""))
+    """docs (uid, doc_id, text) without the byte ranges that ranges (batch, packed RANGE records) has for them."""
+    batched = docs.withColumn("batch", F.expr(f"uid div {BATCH_ROWS}"))
+    return batched.groupBy("batch").cogroup(ranges.groupBy("batch")).applyInArrow(_cut(keep_text), CUT + (", text string" if keep_text else ""))

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, partitions
-from .covered import cut_ranges, runs
+from .covered import PACKED, RANGE, cut_ranges, packed
 from .hashing import BASES, Prefix, mix, slabs, words
 
 #: What ends a sentence here; clauses count as sentences, so that a passage put into the middle of one is found.
@@ -73,14 +73,11 @@ def _first_of_each(t: np.ndarray) -> np.ndarray:
     return out
 
 
-def _ranges(t: np.ndarray) -> pa.RecordBatch:
-    """Removed ranges of records, one packed row for each document."""
-    t = t[np.argsort(t["uid"], kind="stable")]
-    cut = np.flatnonzero(np.r_[True, t["uid"][1:] != t["uid"][:-1]]) if len(t) else np.empty(0, int)
-    blobs = []
-    for a, b in zip(cut, np.r_[cut[1:], len(t)][: len(cut)], strict=True):
-        blobs.append(np.stack(runs(t["start"][a:b], t["end"][a:b]), axis=1).astype("<i8").tobytes())
-    return pa.RecordBatch.from_arrays([pa.array(t["uid"][cut]), pa.array(blobs, pa.binary())], ["uid", "ranges"])
+def _lost(t: np.ndarray) -> pa.RecordBatch:
+    out = np.empty(len(t), RANGE)
+    for c in RANGE.names:
+        out[c] = t[c]
+    return packed(out)
 
 
 def _emit(parts: int, least_sentences: int, least_words: int):
@@ -97,8 +94,8 @@ def _emit(parts: int, least_sentences: int, least_words: int):
                     found.append(t)
                 t = np.concatenate(found)
                 first = _first_of_each(t)
-                gone = _ranges(t[~first])
-                rows = [(int(u) % parts, int(u), None, r) for u, r in zip(gone.column("uid").to_pylist(), gone.column("ranges").to_pylist(), strict=True)]
+                gone = _lost(t[~first])
+                rows = [(int(u) % parts, int(u), None, r) for u, r in zip(gone.column("batch").to_pylist(), gone.column("ranges").to_pylist(), strict=True)]
                 t = t[first]
                 part = (mix(t["h1"]) % np.uint64(parts)).astype(np.int64)
                 order = np.argsort(part, kind="stable")
@@ -106,7 +103,7 @@ def _emit(parts: int, least_sentences: int, least_words: int):
                 cut = np.flatnonzero(np.r_[True, part[1:] != part[:-1]]) if len(t) else np.empty(0, int)
                 rows += [(int(part[x]), None, t[x:y].tobytes(), None) for x, y in zip(cut, np.r_[cut[1:], len(t)][: len(cut)], strict=True)]
                 cols = list(zip(*rows, strict=True)) if rows else [[]] * 4
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)], ["part", "uid", "records", "ranges"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)], ["part", "batch", "records", "ranges"])
 
     return run
 
@@ -114,10 +111,9 @@ def _emit(parts: int, least_sentences: int, least_words: int):
 def _decide(table: pa.Table) -> pa.Table:
     blobs = [x.as_py() for x in table.column("records") if x.is_valid]
     t = np.frombuffer(b"".join(blobs), RECORD)
-    lost = _ranges(t[~_first_of_each(t)])
-    local = table.filter(pa.compute.is_valid(table.column("ranges"))).select(["uid", "ranges"])
-    schema = pa.schema([("uid", pa.int64()), ("ranges", pa.binary())])
-    return pa.concat_tables([local.cast(schema), pa.Table.from_batches([lost]).cast(schema)])
+    lost = _lost(t[~_first_of_each(t)])
+    local = table.filter(pa.compute.is_valid(table.column("ranges"))).select(["batch", "ranges"])
+    return pa.concat_tables([local.cast(PACKED), pa.Table.from_batches([lost])])
 
 
 def substring_dedup(docs: DataFrame, least_sentences: int = 3, least_words: int = 16, keep_text: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -129,10 +125,27 @@ def substring_dedup(docs: DataFrame, least_sentences: int = 3, least_words: int
     plain = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     parts = partitions(spark)
     keyed = plain.withColumn("doc_id", F.coalesce("doc_id", F.lit(FIRST_ID)))
-    dealt = keyed.mapInArrow(_emit(parts, least_sentences, least_words), "part int, uid long, records binary, ranges binary")
-    ranges = scratch.save(dealt.groupBy("part").applyInArrow(_decide, "uid long, ranges binary"))
+    dealt = keyed.mapInArrow(_emit(parts, least_sentences, least_words), "part int, batch long, records binary, ranges binary")
+    ranges = scratch.save(dealt.groupBy("part").applyInArrow(_decide, "batch long, ranges binary"))
     return cut_ranges(plain, ranges, keep_text)
 
 
 def op9(spark, sf_dir):
     return substring_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+
+
+OP9_SQL = r"""
+WITH l AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^.!?,;:|\n]*[.!?,;:|\n]+|[^.!?,;:|\n]+') AS units FROM documents),
+u AS (SELECT doc_id, unnest(range(1, len(units) + 1)) AS pos, unnest(units) AS unit FROM l),
+w AS (SELECT doc_id, pos, regexp_extract_all(translate(unit, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+') AS ws FROM u),
+h AS (SELECT doc_id, pos, ws, row_number() OVER o AS n, sum(len(ws)) OVER o AS upto FROM w WHERE len(ws) > 0 WINDOW o AS (PARTITION BY doc_id ORDER BY pos)),
+e AS (SELECT a.doc_id, a.pos, a.n, greatest(a.n + 2, b.n) AS m FROM h a ASOF JOIN h b ON a.doc_id = b.doc_id AND a.upto - len(a.ws) + 16 <= b.upto),
+s AS (SELECT e.doc_id, e.pos, max(c.pos) AS last, count(*) AS k, any_value(e.m - e.n + 1) AS wanted, string_agg(array_to_string(c.ws, ' '), ' ' ORDER BY c.n) AS span
+  FROM e JOIN h c ON c.doc_id = e.doc_id AND c.n BETWEEN e.n AND e.m GROUP BY e.doc_id, e.pos),
+r AS (SELECT *, row_number() OVER (PARTITION BY span ORDER BY doc_id, pos) AS nth FROM s WHERE k = wanted),
+gone AS (SELECT DISTINCT u.doc_id, u.pos FROM r JOIN u ON u.doc_id = r.doc_id AND u.pos BETWEEN r.pos AND r.last WHERE nth > 1),
+f AS (SELECT u.doc_id, u.pos, unit, gone.pos IS NOT NULL AS lost FROM u LEFT JOIN gone ON gone.doc_id = u.doc_id AND gone.pos = u.pos),
+g AS (SELECT *, lost AND NOT coalesce(lag(lost) OVER (PARTITION BY doc_id ORDER BY pos), false) AS opens FROM f)
+SELECT d.doc_id, coalesce(sum(strlen(unit)), 0)::BIGINT AS n_bytes, coalesce(sum(CASE WHEN lost THEN strlen(unit) END), 0)::BIGINT AS n_removed, count(*) FILTER (opens) AS n_spans,
+  sha256(coalesce(string_agg(unit, '' ORDER BY pos) FILTER (NOT lost), '')) AS kept_sha256 FROM documents d LEFT JOIN g ON g.doc_id = d.doc_id GROUP BY d.doc_id
+"""

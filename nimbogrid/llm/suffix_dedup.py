@@ -11,8 +11,9 @@ equals one of another class. Neighbouring strings share their anchor: what an an
 
 1. The hashes of anchors are counted over all documents; a class that occurs once holds no repeated string.
 2. The contexts of the other classes are gathered by class. Equal contexts are one text with a first place.
-3. Where a class has several texts, their suffix array is built by linear grouping (suffix_sort.py); runs of suffixes
-   that share ``length`` bytes are the repeated strings, each with its first place. All other occurrences are removed.
+3. Where a class has several texts, what none of the others shares is cut off (by hashes, which loses nothing); then
+   the suffix array of the rest is built by linear grouping (suffix_sort.py). Runs of suffixes that share ``length``
+   bytes are the repeated strings, each with its first place; all other occurrences are removed.
 
 Scale: grams are counted by hash, one entry for each batch of documents that has it, packed; contexts that are not the
 first in their batch are decided on the spot, only the first travel. So a passage that a third of all documents share
@@ -30,16 +31,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, partitions
-from .covered import cut_ranges
+from .covered import BATCH_ROWS, PACKED, RANGE, cut_ranges, packed
 from .hashing import BASES, Prefix, mix, slabs
-from .substring_dedup import FIRST_ID, _ranges
+from .substring_dedup import FIRST_ID
 from .suffix_sort import suffix_array
 
 GRAM = 32
-#: Rows of a scan task that make a batch.
-BATCH_ROWS = 2048
-RANGE = np.dtype([("uid", "<i8"), ("start", "<i8"), ("end", "<i8")])
-PLACE = np.dtype([("doc", "<i8"), ("uid", "<i8"), ("at", "<i8")])
 
 
 def anchors(texts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -88,7 +85,7 @@ def _count(parts: int, length: int):
             texts = batch.column("text").to_pylist()
             for n in np.unique(number).tolist():
                 own = [texts[i] for i in np.flatnonzero(number == n)]
-                found = [np.empty(0, np.uint64), *(anchors(_raws(own, a, b), length)[1] for a, b in slabs(own))]
+                found = [np.empty(0, np.uint64), *(anchors(_raws(own, a, b), length)[1] for a, b in slabs(own, 1 << 20))]
                 h, times = np.unique(np.concatenate(found), return_counts=True)
                 part = (mix(h) % np.uint64(parts)).astype(np.int64)
                 rows = []
@@ -128,7 +125,7 @@ def _contexts(parts: int, length: int):
         first: dict[tuple, tuple] = {}
         lost: list[tuple[int, int, int]] = []
         if len(known):
-            for a, b in slabs(texts):
+            for a, b in slabs(texts, 1 << 20):
                 raws = _raws(texts, a, b)
                 d, h, p, lo, hi = anchors(raws, length)
                 at = np.minimum(np.searchsorted(known, h), len(known) - 1)
@@ -139,8 +136,8 @@ def _contexts(parts: int, length: int):
                     if first.setdefault(context, (a + i, z)) != (a + i, z):
                         lost.append((int(uids[a + i]), z, w + length))
         rows = [(int(mix(np.array([x], np.uint64))[0] % np.uint64(parts)), x - (1 << 64) if x >> 63 else x, s, c, int(ids[i]), int(uids[i]), z, None) for (x, s, c), (i, z) in first.items()]
-        gone = _ranges(np.array(lost, RANGE) if lost else np.empty(0, RANGE))
-        rows += [(int(u) % parts, None, None, None, None, int(u), None, r) for u, r in zip(gone.column("uid").to_pylist(), gone.column("ranges").to_pylist(), strict=True)]
+        gone = packed(np.array(lost, RANGE) if lost else np.empty(0, RANGE))
+        rows += [(int(u) % parts, None, None, None, None, int(u), None, r) for u, r in zip(gone.column("batch").to_pylist(), gone.column("ranges").to_pylist(), strict=True)]
         cols = list(zip(*rows, strict=True)) if rows else [[]] * len(_CONTEXT_TYPES)
         return pa.table([pa.array(c, k) for c, (_, k) in zip(cols, _CONTEXT_TYPES, strict=True)], names=[n for n, _ in _CONTEXT_TYPES])
 
@@ -168,15 +165,66 @@ def repeated_strings(texts: list[bytes], length: int) -> list[np.ndarray]:
     return [np.stack([text[a:b], order[a:b] - base[text[a:b]]], axis=1) for a, b in zip(edge[:-1], edge[1:], strict=True) if b - a > 1]
 
 
+def shared_parts(classes: list[int], shifts: list[int], contexts: list[bytes], length: int) -> list[tuple[int, int] | None]:
+    """For each context the strings (first, last) outside of which it has none in common with another context of its class.
+
+    Found by hashes of (class, place relative to the anchor, string): a clash keeps a string that could go, which loses
+    nothing. None where a context shares no string.
+    """
+    size = np.array([len(c) for c in contexts])
+    base = np.cumsum(size) - size
+    count = size - length + 1
+    own = np.repeat(np.arange(len(contexts)), count)
+    at = np.arange(len(own)) - np.repeat(np.cumsum(count) - count, count)
+    start = base[own] + at
+    h = Prefix(np.frombuffer(b"".join(contexts), np.uint8)).slices(start, start + length)
+    group = np.array(classes, np.uint64)[own] << np.uint64(9) | (np.array(shifts)[own] - at).astype(np.uint64)
+    bits = np.uint64(max(1, len(own) - 1).bit_length())
+    low = (np.uint64(1) << bits) - np.uint64(1)
+    key = mix(h + mix(group)) & ~low | np.arange(len(own), dtype=np.uint64)
+    key.sort()
+    same = np.flatnonzero((key[1:] >> bits) == (key[:-1] >> bits))
+    hit = np.unique((key[np.r_[same, same + 1]] & low).astype(np.int64))
+    out: list[tuple[int, int] | None] = [None] * len(contexts)
+    edge = np.flatnonzero(np.r_[True, own[hit][1:] != own[hit][:-1]]) if len(hit) else np.empty(0, int)
+    for a, b in zip(edge, np.r_[edge[1:], len(hit)][: len(edge)], strict=True):
+        out[own[hit[a]]] = (int(at[hit[a]]), int(at[hit[b - 1]]))
+    return out
+
+
+#: Bytes of contexts that are compared at a time.
+SLAB = 4 << 20
+
+
 def _decide(length: int):
     def run(table):
-        gone = table.filter(pa.compute.is_valid(table.column("ranges"))).select(["uid", "ranges"])
+        gone = table.filter(pa.compute.is_valid(table.column("ranges")))
+        gone = pa.table([gone.column("uid"), gone.column("ranges")], schema=PACKED)
         t = table.filter(pa.compute.is_valid(table.column("context")))
         h, doc, uid, start, shift = (t.column(c).to_numpy() for c in ("hash", "doc", "uid", "start", "shift"))
         order = np.lexsort((start, uid, doc, h))
         contexts = t.column("context").to_pylist()
         cut = np.flatnonzero(np.r_[True, h[order][1:] != h[order][:-1]]) if len(order) else np.empty(0, int)
         lost: list[tuple[int, int, int]] = []
+        several: list[list[int]] = []
+        waiting = 0
+
+        def sort_out() -> None:
+            """The repeated strings of classes with several texts."""
+            members = [i for own in several for i in own]
+            if members:
+                parts = shared_parts([n for n, own in enumerate(several) for _ in own], [int(shift[i]) for i in members], [contexts[i] for i in members], length)
+                at = 0
+                for own in several:
+                    kept = [(i, *p) for i, p in zip(own, parts[at : at + len(own)], strict=True) if p]
+                    at += len(own)
+                    if len(kept) < 2:
+                        continue
+                    for group in repeated_strings([contexts[i][a : b + length] for i, a, b in kept], length):
+                        places = sorted((doc[kept[k][0]], uid[kept[k][0]], start[kept[k][0]] + kept[k][1] + o) for k, o in group.tolist())
+                        lost.extend((u, o, o + length) for _, u, o in places[1:])
+            several.clear()
+
         for a, b in zip(cut, np.r_[cut[1:], len(order)][: len(cut)], strict=True):
             if b - a == 1:
                 continue
@@ -185,13 +233,14 @@ def _decide(length: int):
                 if first.setdefault((shift[i], contexts[i]), i) != i:
                     lost.append((uid[i], start[i], start[i] + len(contexts[i])))
             if len(first) > 1:
-                own = list(first.values())
-                for group in repeated_strings([contexts[i] for i in own], length):
-                    places = sorted((doc[own[k]], uid[own[k]], start[own[k]] + o) for k, o in group.tolist())
-                    lost += [(u, o, o + length) for _, u, o in places[1:]]
-        ranges = _ranges(np.array(lost, RANGE) if lost else np.empty(0, RANGE))
-        schema = pa.schema([("uid", pa.int64()), ("ranges", pa.binary())])
-        return pa.concat_tables([gone.cast(schema), pa.Table.from_batches([ranges]).cast(schema)])
+                several.append(list(first.values()))
+                waiting += sum(len(contexts[i]) for i in first.values())
+                if waiting > SLAB:
+                    sort_out()
+                    waiting = 0
+        sort_out()
+        ranges = packed(np.array(lost, RANGE) if lost else np.empty(0, RANGE))
+        return pa.concat_tables([gone, pa.Table.from_batches([ranges])])
 
     return run
 
@@ -210,7 +259,7 @@ def suffix_dedup(docs: DataFrame, length: int = 100, keep_text: bool = False, id
     lists = scratch.save(counted.groupBy("part").applyInArrow(_repeated, "batch long, hashes binary"))
     batched = plain.select("uid", F.coalesce("doc_id", F.lit(FIRST_ID)).alias("doc_id"), "text", F.expr(f"uid div {BATCH_ROWS}").alias("batch"))
     contexts = batched.groupBy("batch").cogroup(lists.groupBy("batch")).applyInArrow(_contexts(parts, length), CONTEXTS)
-    ranges = scratch.save(contexts.groupBy("part").applyInArrow(_decide(length), "uid long, ranges binary"))
+    ranges = scratch.save(contexts.groupBy("part").applyInArrow(_decide(length), "batch long, ranges binary"))
     return cut_ranges(plain, ranges, keep_text)
 
 
