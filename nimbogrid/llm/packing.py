@@ -38,7 +38,7 @@ from .common import Scratch
 
 CAPACITY, CLOSING = 2048, 0
 #: Words that a worker remembers, before it starts anew.
-REMEMBER = 1_000_000
+REMEMBER = 500_000
 #: Fixed value: how byte-level BPE splits a text before merging.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
