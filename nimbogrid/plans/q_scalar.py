@@ -12,7 +12,7 @@ from .views import r, table, v_grid, v_site
 
 def state(spark, sf_dir):
     """Line items as air: t 240-290 K, p 500-1000 hPa, wind, moisture of six kinds."""
-    d = table(spark, sf_dir, "lineitem").dropDuplicates(["l_orderkey", "l_linenumber", "l_extendedprice"]).filter("l_orderkey % 10 = 0")
+    d = table(spark, sf_dir, "lineitem").dropDuplicates(["l_orderkey", "l_linenumber", "l_extendedprice"])
     f = F.col
     return d.select(
         f("l_orderkey").alias("okey"), f("l_linenumber").alias("line"), f("l_extendedprice").alias("price"), (240 + f("l_quantity")).alias("t"), (50000 + f("l_extendedprice") % 50000).alias("p"),
