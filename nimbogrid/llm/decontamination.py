@@ -7,6 +7,9 @@ tables miss none of them. What is within the radius is verified: the exact weigh
 multisets of shingles (sum of the lesser counts over sum of the greater counts), on the words themselves, must
 be at least ``similarity``.
 
+A document with fewer shingles than an item is one window as a whole for that item. Pairs of such that share a shingle and whose
+sizes allow the similarity are verified without fingerprints.
+
 Windows that share no shingle with any item of their size have similarity 0 and are left out before any SimHash is
 made; that loses nothing. The radius is wide: at similarity 0.8 fingerprints differ in about 10 bits of 64 (standard
 deviation 3), so that one window in some 5,000 at the very threshold, and fewer above it, lies beyond 20.
@@ -78,7 +81,7 @@ class Index:
     """What executors need of a block of benchmark items (id, text)."""
 
     def __init__(self, items: list[tuple]):
-        self.ids, self.counts, by_size, shingles = [], [], {}, {}
+        self.ids, self.counts, by_size, shingles, owners = [], [], {}, {}, {}
         for item, text in items:
             raw = _lower(text)
             ws, we = words(raw)
@@ -91,13 +94,17 @@ class Index:
             self.counts.append(Counter(_shingles(raw, ws, we, 0, len(h), width)))
             by_size.setdefault((width, len(h)), []).append((n, simhashes(h, np.zeros(1, np.int64), len(h))[0]))
             shingles.setdefault(width, []).append((h, len(h)))
+            owners.setdefault(width, []).append(np.full(len(h), n))
         self.sizes = [Size(w, s, [n for n, _ in x], np.array([p for _, p in x], np.uint64)) for (w, s), x in sorted(by_size.items())]
         # For each width: the distinct shingle hashes, and which sizes have them.
-        self.seeds = {}
+        self.seeds, self.owners, self.most = {}, {}, {}
+        self.shingles = np.array([c.total() for c in self.counts])
         for width, rows in shingles.items():
             h, s = np.concatenate([r[0] for r in rows]), np.concatenate([np.full(len(r[0]), r[1]) for r in rows])
             pairs = np.unique(np.rec.fromarrays([h, s], names="h,s"))
             self.seeds[width] = (np.unique(h), pairs)
+            order = np.argsort(h, kind="stable")
+            self.owners[width], self.most[width] = (h[order], np.concatenate(owners[width])[order]), int(s.max())
         self.sieve = {w: self._sieve(keys) for w, (keys, _) in self.seeds.items()}
 
     @staticmethod
@@ -106,6 +113,15 @@ class Index:
         out[(keys & np.uint64((1 << 20) - 1)).astype(np.intp)] = True
         return out
 
+    def longer(self, h: np.ndarray, width: int, similarity: float) -> list[int]:
+        """Items of more shingles than the document h that share one with it, and not of too many for the similarity."""
+        maybe = h[self.sieve[width][(h & np.uint64((1 << 20) - 1)).astype(np.intp)]]
+        keys, own = self.owners[width]
+        lo, hi = np.searchsorted(keys, maybe, "left"), np.searchsorted(keys, maybe, "right")
+        items = np.unique(np.concatenate([own[:0], *(own[a:b] for a, b in zip(lo, hi, strict=True))]))
+        s = self.shingles[items]
+        return items[(s > len(h)) & (len(h) / s >= similarity)].tolist()
+
     def windows(self, h: np.ndarray, first: np.ndarray, last: np.ndarray, width: int) -> dict[int, np.ndarray]:
         """By number of shingles: starts of the windows, inside one document, that share a shingle with an item of that size.
 
@@ -179,6 +195,13 @@ def matches(texts: list[str | None], index: Index, similarity: float) -> list[tu
                         key = (a + int(doc[x]), n)
                         if s >= similarity and (key not in best or best[key][0] < s):
                             best[key] = (s, int(ws[x] - base[doc[x]]), int(we[x + shingles + width - 2] - base[doc[x]]))
+            size = ends - starts - width + 1
+            for x in np.flatnonzero((size > 0) & (size < index.most[width])).tolist():
+                at, m = int(starts[x]), int(size[x])
+                for n in index.longer(h[at : at + m], width, similarity):
+                    s = weighted_similarity(index.counts[n], Counter(_shingles(raw, ws, we, at, m, width)))
+                    if s >= similarity:
+                        best[a + x, n] = (s, int(ws[at] - base[x]), int(we[ends[x] - 1] - base[x]))
     return [(d, n, *v) for (d, n), v in sorted(best.items())]
 
 
