@@ -2,7 +2,9 @@
 
 A text is cut after every run of ``ENDS`` characters into sentences. From each sentence that has a word, the span
 is the shortest run of consecutive sentences with at least ``least_sentences`` sentences that have words and at
-least ``least_words`` words. Spans are equal when their words are (lower case, everything but letters and digits
+least ``least_words`` words. With ``short_words``, the shortest run of at least that many words is a span too where it has fewer
+sentences, and so is the whole of a text of fewer than ``least_sentences`` sentences and at least that many words; then
+``MARKS`` beyond ASCII end sentences as well. Spans are equal when their words are (lower case, everything but letters and digits
 ignored). All spans of all documents are hashed (128 bits) and joined; the first occurrence, by doc_id and position,
 stays, and every sentence covered by any other occurrence is removed. Spans are judged on the input.
 
@@ -28,15 +30,23 @@ from .hashing import BASES, Prefix, mix, slabs, words
 
 #: What ends a sentence here; clauses count as sentences, so that a passage put into the middle of one is found.
 ENDS = ".!?,;:|\n"
+#: Sentence and clause marks beyond ASCII that count with short_words, as a mark of the same length.
+MARKS = {c.encode(): b"." * len(c.encode()) for c in "。！？；，、：｡､．…।॥۔؟،؛։።፣჻‼⁇⁈⁉"}
 _END = np.isin(np.arange(256), np.frombuffer(ENDS.encode(), np.uint8))
+#: Words of a span of fewer sentences, in the query.
+SHORT_WORDS = 16
 RECORD = np.dtype([("h1", "<u8"), ("h2", "<u8"), ("doc", "<i8"), ("uid", "<i8"), ("start", "<i8"), ("end", "<i8")])
 FIRST_ID = -(2**63)
 
 
-def spans(text: str | None, least_sentences: int, least_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def spans(text: str | None, least_sentences: int, least_words: int, short_words: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(h1, h2, start, end) of each span of one text; offsets are in its UTF-8 bytes."""
     none = np.empty(0, np.int64)
-    raw = np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)
+    plain = (text or "").encode("utf-8", "surrogatepass")
+    if short_words and not plain.isascii():
+        for mark, dots in MARKS.items():
+            plain = plain.replace(mark, dots)
+    raw = np.frombuffer(plain, np.uint8)
     if not len(raw):
         return none.astype(np.uint64), none.astype(np.uint64), none, none
     lower = raw | (np.uint8(32) * ((raw >= 65) & (raw <= 90)).astype(np.uint8))
@@ -49,13 +59,19 @@ def spans(text: str | None, least_sentences: int, least_words: int) -> tuple[np.
     upto = np.searchsorted(ws, ends, side="left")
     before = np.searchsorted(ws, starts, side="left")
     has = np.flatnonzero(upto > before)
-    if len(has) < least_sentences:
+    if not len(has) or not short_words and len(has) < least_sentences:
         return none.astype(np.uint64), none.astype(np.uint64), none, none
     w0, w1 = before[has], upto[has]
     first = np.arange(len(has))
     last = np.maximum(first + least_sentences - 1, np.searchsorted(w1, w0 + least_words, side="left"))
-    first = first[last < len(has)]
-    last = last[last < len(has)]
+    if short_words:
+        short = np.searchsorted(w1, w0 + short_words, side="left")
+        if len(has) < least_sentences and w1[-1] - w0[0] >= short_words and short[0] < len(has) - 1:
+            first, last, short = np.r_[first, 0], np.r_[last, len(has) - 1], np.r_[short, len(has)]
+        # Runs of fewer sentences; the others are spans already.
+        own = short < first + least_sentences - 1
+        first, last = np.r_[first, first[own]], np.r_[last, short[own]]
+    first, last = first[last < len(has)], last[last < len(has)]
     h = []
     for base in BASES:
         word = Prefix(lower, base).slices(ws, we)
@@ -80,15 +96,15 @@ def _lost(t: np.ndarray) -> pa.RecordBatch:
     return packed(out)
 
 
-def _emit(parts: int, least_sentences: int, least_words: int):
+def _emit(parts: int, least_sentences: int, least_words: int, short_words: int | None):
     def run(batches):
         for batch in batches:
             uid, doc = batch.column("uid").to_numpy(), batch.column("doc_id").to_numpy(zero_copy_only=False)
             texts = batch.column("text").to_pylist()
-            for a, b in slabs(texts, 16 << 20):
+            for a, b in slabs(texts, 4 << 20):
                 found = []
                 for i in range(a, b):
-                    h1, h2, s, e = spans(texts[i], least_sentences, least_words)
+                    h1, h2, s, e = spans(texts[i], least_sentences, least_words, short_words)
                     t = np.empty(len(s), RECORD)
                     t["h1"], t["h2"], t["doc"], t["uid"], t["start"], t["end"] = h1, h2, doc[i], uid[i], s, e
                     found.append(t)
@@ -116,7 +132,7 @@ def _decide(table: pa.Table) -> pa.Table:
     return pa.concat_tables([local.cast(PACKED), pa.Table.from_batches([lost])])
 
 
-def substring_dedup(docs: DataFrame, least_sentences: int = 3, least_words: int = 16, keep_text: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def substring_dedup(docs: DataFrame, least_sentences: int = 3, least_words: int = 16, keep_text: bool = False, id_col: str = "doc_id", text_col: str = "text", short_words: int | None = None) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of each row of docs, and with keep_text the text that is left.
 
     docs must give the same rows in the same order when read again, as a table does.
@@ -125,13 +141,13 @@ def substring_dedup(docs: DataFrame, least_sentences: int = 3, least_words: int
     plain = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     parts = partitions(spark)
     keyed = plain.withColumn("doc_id", F.coalesce("doc_id", F.lit(FIRST_ID)))
-    dealt = keyed.mapInArrow(_emit(parts, least_sentences, least_words), "part int, batch long, records binary, ranges binary")
+    dealt = keyed.mapInArrow(_emit(parts, least_sentences, least_words, short_words), "part int, batch long, records binary, ranges binary")
     ranges = scratch.save(dealt.groupBy("part").applyInArrow(_decide, "batch long, ranges binary"))
     return cut_ranges(plain, ranges, keep_text)
 
 
 def op9(spark, sf_dir):
-    return substring_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    return substring_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), short_words=SHORT_WORDS)
 
 
 OP9_SQL = r"""
