@@ -6,9 +6,12 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import Scratch
+
 CUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
@@ -22,12 +25,41 @@ def runs(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return start[first], reach[np.r_[np.flatnonzero(first)[1:] - 1, len(start) - 1]]
 
 
-#: Consecutive rows of a scan task that make a batch.
-BATCH_ROWS = 1024
+#: Rows of a batch, at most; batches are cut by bytes too (see number_batches).
+BATCH_ROWS, BATCH_BYTES = 1024, 4 << 20
 RANGE = np.dtype([("uid", "<i8"), ("start", "<i8"), ("end", "<i8")])
 PACKED = pa.schema([("batch", pa.int64()), ("ranges", pa.binary())])
 
 
+def _number(batches):
+    from pyspark import TaskContext
+
+    number, rows, size = TaskContext.get().partitionId() << 23, 0, 0
+    for batch in batches:
+        lengths = np.asarray(pc.fill_null(pc.binary_length(batch.column("text")), 0)).tolist()
+        uid = []
+        for n in lengths:
+            if rows == BATCH_ROWS or rows and size + n > BATCH_BYTES:
+                number, rows, size = number + 1, 0, 0
+            uid.append(number * BATCH_ROWS + rows)
+            rows, size = rows + 1, size + n
+        yield pa.RecordBatch.from_arrays([pa.array(uid, pa.int64()), *batch.columns, pa.array(lengths, pa.int64())], ["uid", "doc_id", "text", "n_bytes"])
+
+
+def number_batches(docs: DataFrame, scratch: Scratch, id_col: str, text_col: str) -> DataFrame:
+    """uid, doc_id, text, n_bytes of each row, saved. uid is the row's own; rows with the same uid div BATCH_ROWS are a batch.
+
+    A batch is of consecutive rows of one task, at most BATCH_ROWS and, but for a longer single text, BATCH_BYTES. The
+    numbers are stored with the rows, so that they stay the same however often and by however many cores the table is read.
+    """
+    plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return scratch.save(plain.mapInArrow(_number, "uid long, doc_id long, text string, n_bytes long"), "zstd")
+
+
+def total_bytes(numbered: DataFrame) -> int:
+    return numbered.agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0]
+
+
 def packed(lost: np.ndarray) -> pa.RecordBatch:
     """Ranges (RANGE records) merged into runs, one packed row for each batch of documents."""
     lost = lost[np.lexsort((lost["start"], lost["uid"]))]
@@ -72,5 +104,5 @@ def _cut(keep_text: bool):
 
 def cut_ranges(docs: DataFrame, ranges: DataFrame, keep_text: bool) -> DataFrame:
     """docs (uid, doc_id, text) without the byte ranges that ranges (batch, packed RANGE records) has for them."""
-    batched = docs.withColumn("batch", F.expr(f"uid div {BATCH_ROWS}"))
+    batched = docs.select("uid", "doc_id", "text", F.expr(f"uid div {BATCH_ROWS}").alias("batch"))
     return batched.groupBy("batch").cogroup(ranges.groupBy("batch")).applyInArrow(_cut(keep_text), CUT + (", text string" if keep_text else ""))

@@ -22,9 +22,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, unused
 
 SPACES = r"[\x20\x09-\x0D]+"
+#: Nine texts of ten are longer, so that most are named by pairs.
+BLOCK_BYTES = 512
 
 
 def normalised(text: Column) -> Column:
@@ -47,18 +49,18 @@ def _sorted_names(distinct: DataFrame, keys: list[str]) -> DataFrame:
     return distinct.sortWithinPartitions(*keys).withColumn("name", F.monotonically_increasing_id())
 
 
-def identities(docs: DataFrame, scratch: Scratch, block_bytes: int = 16384, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(heads, names): heads has uid, doc_id, n_chars and text_sha256 of each row; names has uid, level, name."""
+def identities(rows: DataFrame, scratch: Scratch, block_bytes: int) -> tuple[DataFrame, DataFrame]:
+    """(heads, names) of rows (uid, doc_id, text): heads has uid, doc_id, n_chars and text_sha256 of each; names has uid, level, name."""
     if block_bytes < 1:
         raise ValueError("block_bytes must be positive")
-    plain = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    plain = rows.withColumn("text", F.coalesce("text", F.lit("")))
     seed = 0
     while True:
-        cut = plain.select("doc_id", F.length("text").alias("n_chars"), normalised(F.col("text")).alias("norm"))
+        cut = plain.select("uid", "doc_id", F.length("text").alias("n_chars"), normalised(F.col("text")).alias("norm"))
         cut = cut.withColumn("blocks", _blocks(F.col("norm").cast("binary"), block_bytes))
         heads = scratch.save(
             cut.select(
-                F.monotonically_increasing_id().alias("uid"), "doc_id", "n_chars", F.sha2(F.col("norm").cast("binary"), 256).alias("text_sha256"),
+                "uid", "doc_id", "n_chars", F.sha2(F.col("norm").cast("binary"), 256).alias("text_sha256"),
                 F.transform("blocks", lambda b: _route(b, seed)).alias("keys"),
             )
         )
@@ -70,45 +72,47 @@ def identities(docs: DataFrame, scratch: Scratch, block_bytes: int = 16384, id_c
             break
         scratch.drop(heads, names)
         seed += 1
-    level = 0
     spread = heads.select("uid", F.size("keys").alias("width"), F.posexplode("keys").alias("pos", "k")).select("uid", "width", "pos", "k.*")
     named = spread.join(names.select("h1", "h2", "name"), ["h1", "h2"]).select("uid", "width", "pos", "name")
-    done = None
+    widest = heads.agg(F.coalesce(F.max(F.size("keys")), F.lit(1))).first()[0]
+    done, level = None, 0
     while True:
         here = scratch.save(named)
         found = here.filter("width = 1").select("uid", F.lit(level).alias("level"), "name")
         done = found if done is None else done.unionByName(found)
-        rest = here.filter("width > 1")
-        if rest.isEmpty():
+        if widest == 1:
             return heads.drop("keys"), done
-        level += 1
-        half = F.expr("pos div 2").cast("int")
-        pairs = rest.groupBy("uid", "width", half.alias("pos")).agg(
+        pairs = here.filter("width > 1").groupBy("uid", "width", F.expr("pos div 2").cast("int").alias("pos")).agg(
             F.max(F.when(F.col("pos") % 2 == 0, F.col("name"))).alias("a"),
             F.coalesce(F.max(F.when(F.col("pos") % 2 == 1, F.col("name"))), F.lit(-1)).alias("b"),
         )
-        pairs = scratch.save(pairs)
         pair_names = scratch.save(_sorted_names(pairs.groupBy("a", "b").agg(F.lit(0).alias("one")).drop("one"), ["a", "b"]))
         named = pairs.join(pair_names, ["a", "b"]).select("uid", F.expr("(width + 1) div 2").cast("int").alias("width"), "pos", "name")
+        widest, level = (widest + 1) // 2, level + 1
 
 
-def exact_dedup(docs: DataFrame, block_bytes: int = 16384, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def exact_dedup(docs: DataFrame, block_bytes: int = BLOCK_BYTES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256, n_chars.
 
     Rows are in one group when their texts are equal without white space. The row with the most code points in
     its original text stays, then the one with the smallest doc_id.
     """
-    return _decided(docs, block_bytes, id_col, text_col).drop("uid")
+    # Numbered as they are read, once: only the saved heads are joined by number.
+    plain = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    return _decided(plain, Scratch(docs.sparkSession), block_bytes).drop("uid")
 
 
-def keep_distinct(docs: DataFrame, block_bytes: int = 16384, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs, with all their columns, that stay. docs must give the same rows in the same order when read again, as a table does."""
-    gone = _decided(docs, block_bytes, id_col, text_col).filter(~F.col("kept")).select(F.col("uid").alias("__uid"))
-    return docs.withColumn("__uid", F.monotonically_increasing_id()).join(gone, "__uid", "left_anti").drop("__uid")
+def keep_distinct(docs: DataFrame, block_bytes: int = BLOCK_BYTES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs, with all their columns, that stay. The rows are numbered once, in a saved copy."""
+    scratch, uid = Scratch(docs.sparkSession), unused(docs, "row")
+    rows = scratch.numbered(docs, uid)
+    plain = rows.select(F.col(uid).alias("uid"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    gone = _decided(plain, scratch, block_bytes).filter(~F.col("kept")).select(F.col("uid").alias(uid))
+    return rows.join(gone, uid, "left_anti").select(*(f"`{c}`" for c in docs.columns))
 
 
-def _decided(docs: DataFrame, block_bytes: int, id_col: str, text_col: str) -> DataFrame:
-    heads, names = identities(docs, Scratch(docs.sparkSession), block_bytes, id_col, text_col)
+def _decided(plain: DataFrame, scratch: Scratch, block_bytes: int) -> DataFrame:
+    heads, names = identities(plain, scratch, block_bytes)
     rows = heads.join(names, "uid")
     # bitwise_not turns the order of integers round without overflow.
     best = F.max(F.struct("n_chars", F.bitwise_not(F.col("doc_id").cast("long")).alias("d"), F.bitwise_not("uid").alias("u"), "doc_id", "uid"))

@@ -31,6 +31,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -134,7 +135,7 @@ def _pieces(path: str | None, capacity: int, closing: int, keep_ids: bool, slab:
         encode, task, n = WordTokenizer(path), TaskContext.get().partitionId(), 0
         for batch in batches:
             texts = batch.column("text")
-            lengths = np.asarray(pa.compute.fill_null(pa.compute.binary_length(texts), 0))
+            lengths = np.asarray(pc.fill_null(pc.binary_length(texts), 0))
             group = np.cumsum(lengths) // slab  # tokenised a few MB at a time
             edges = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(texts)] if len(texts) else [0]
             for a, b in zip(edges, edges[1:], strict=False):

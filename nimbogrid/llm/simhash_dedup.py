@@ -8,8 +8,8 @@ The shuffle is on variants, but a variant need not travel by itself. Variants ar
 function of their bits, their syndrome (the first six bits are the Hamming code's), and the syndrome of a
 variant is that of the fingerprint XOR that of the flipped bits. A fingerprint is sent once to each syndrome that
 any of its variants has, packed with others of its task, and the receiver makes just the variants of that syndrome.
-Up to ``max_per_task`` distinct fingerprints there are 64 syndromes of 33 variants each, so a fingerprint crosses the
-network 64 times instead of 2,081; beyond it the syndromes get longer until each has at most that many
+Up to ``max_per_task`` distinct fingerprints there are 64 syndromes of 33 variants each (more where the session has more
+shuffle partitions and there is work for them), so a fingerprint crosses the network 64 times instead of 2,081; beyond it the syndromes get longer until each has at most that many
 fingerprints, and the cost tends to one packed value per variant, which is what the method costs.
 
 In a task the variants are sorted, and each run of equal ones gives links from its first to its other members (a run
@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, partitions
+from .common import Scratch, partitions, unused
 from .components import components
 
 INDEX_BITS = 24
@@ -215,6 +215,8 @@ def near_links(distinct: DataFrame, scratch: Scratch, limit: int = 4, max_per_ta
     if limit % 2:
         raise ValueError("the limit must be even: half of it is flipped on each side")
     n, variants, bits = distinct.count(), len(flips(limit // 2)), 6
+    while 1 << bits < partitions(distinct.sparkSession) and n * variants >> bits > 1 << 22:
+        bits += 1  # as many tasks as the cluster is set to, as long as each has some work
     if n > max_per_task:
         while n * variants >> bits > max_per_task:
             bits += 1
@@ -237,14 +239,12 @@ def simhash_groups(docs: DataFrame, words: int = 4, limit: int = 4, id_col: str
 
 
 def keep_one_of_each(docs: DataFrame, words: int = 4, limit: int = 4, text_col: str = "text") -> DataFrame:
-    """The rows of docs, with all their columns, that come first in their near-duplicate group.
-
-    docs must give the same rows in the same order when read again, as a table does.
-    """
-    numbered = docs.withColumn("__uid", F.monotonically_increasing_id())
-    groups = simhash_groups(numbered, words, limit, "__uid", text_col)
-    gone = groups.filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("__uid"))
-    return numbered.join(gone, "__uid", "left_anti").drop("__uid")
+    """The rows of docs, with all their columns, that come first in their near-duplicate group. The rows are numbered once, in a saved copy."""
+    uid = unused(docs, "row")
+    rows = Scratch(docs.sparkSession).numbered(docs, uid)
+    groups = simhash_groups(rows, words, limit, uid, text_col)
+    gone = groups.filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias(uid))
+    return rows.join(gone, uid, "left_anti").select(*(f"`{c}`" for c in docs.columns))
 
 
 def op2(spark, sf_dir):

@@ -1,19 +1,23 @@
 """Substring deduplication by sliding spans of sentences.
 
-A text is cut after every run of ``ENDS`` characters into sentences. From each sentence that has a word, the span
+A text is cut after every run of ``ENDS`` characters into sentences; clauses count, so that a passage put into the middle
+of a sentence is found from its next clause on. From each sentence that has a word, the span
 is the shortest run of consecutive sentences with at least ``least_sentences`` sentences that have words and at
-least ``least_words`` words. With ``short_words``, the shortest run of at least that many words is a span too where it has fewer
-sentences, and so is the whole of a text of fewer than ``least_sentences`` sentences and at least that many words; then
-``MARKS`` beyond ASCII end sentences as well. Spans are equal when their words are (lower case, everything but letters and digits
+least ``least_words`` words. With ``short_words`` three things are added: the shortest run of at least that many words is a span too where it
+has fewer sentences, and so is the whole of a text of fewer than ``least_sentences`` sentences and at least that many words;
+``MARKS`` beyond ASCII end sentences as well; and a sentence of more than ``LONG`` words, as in text without any marks, is
+also cut after every word whose length in bytes leaves 3 when divided by 4, so that its pieces depend on the words and not on where
+it begins. Spans are equal when their words are (lower case, everything but letters and digits
 ignored). All spans of all documents are hashed (128 bits) and joined; the first occurrence, by doc_id and position,
 stays, and every sentence covered by any other occurrence is removed. Spans are judged on the input.
 
-Scale: an occurrence that is not the first in its own batch cannot be the first of all, so it is decided on
-the spot; only the first of each batch is shuffled, packed, by a hash of the span. A span that a third of all documents
-share thus reaches its task once per batch. The texts are shuffled once, to meet their ranges.
+Scale: an occurrence that is not the first in its own slab of texts cannot be the first of all, so it is decided on
+the spot; only the first of each slab is shuffled, packed, by a hash of the span, into as many groups as hold about
+``GROUP_BYTES``. A span that a third of all documents share reaches its group once per slab; beyond ``SLABS`` slabs the groups are
+salted by slab, and only the first of each salted group goes on to the group itself. The texts are shuffled once, to meet their ranges.
 
 Defined results: null and empty texts come out empty. Text before the first and after the last sentence mark is a
-sentence too. A null doc_id is ordered first. Repeated rows are documents of their own; the one read first keeps its
+sentence too. A null doc_id is ordered first. Repeated rows are documents of their own; the one numbered first keeps its
 text. An empty table gives an empty result. Further columns are ignored.
 """
 
@@ -21,11 +25,12 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, partitions
-from .covered import PACKED, RANGE, cut_ranges, packed
+from .common import Scratch, groups_for
+from .covered import PACKED, RANGE, cut_ranges, number_batches, packed, total_bytes
 from .hashing import BASES, Prefix, mix, slabs, words
 
 #: What ends a sentence here; clauses count as sentences, so that a passage put into the middle of one is found.
@@ -33,8 +38,10 @@ ENDS = ".!?,;:|\n"
 #: Sentence and clause marks beyond ASCII that count with short_words, as a mark of the same length.
 MARKS = {c.encode(): b"." * len(c.encode()) for c in "。！？；，、：｡､．…।॥۔؟،؛։።፣჻‼⁇⁈⁉"}
 _END = np.isin(np.arange(256), np.frombuffer(ENDS.encode(), np.uint8))
-#: Words of a span of fewer sentences, in the query.
-SHORT_WORDS = 16
+#: Words of a span of fewer sentences, in the query; words of a sentence that is cut at words.
+SHORT_WORDS, LONG = 16, 40
+#: Characters of a slab; bytes of the records of a group; slabs without salt.
+SLAB, GROUP_BYTES, SLABS = 4 << 20, 16 << 20, 4096
 RECORD = np.dtype([("h1", "<u8"), ("h2", "<u8"), ("doc", "<i8"), ("uid", "<i8"), ("start", "<i8"), ("end", "<i8")])
 FIRST_ID = -(2**63)
 
@@ -54,7 +61,11 @@ def spans(text: str | None, least_sentences: int, least_words: int, short_words:
     mark = _END[raw]
     after = np.flatnonzero(mark[:-1] & ~mark[1:]) + 1
     starts = np.r_[0, after]
-    ends = np.r_[after, len(raw)]
+    if short_words and len(ws):
+        own = np.searchsorted(starts, ws, "right") - 1
+        cut = (np.bincount(own)[own] > LONG)[:-1] & (own[1:] == own[:-1]) & ((we - ws)[:-1] % 4 == 3)
+        starts = np.sort(np.r_[starts, ws[1:][cut]])
+    ends = np.r_[starts[1:], len(raw)]
     # Words of each sentence; those without words join no span of their own.
     upto = np.searchsorted(ws, ends, side="left")
     before = np.searchsorted(ws, starts, side="left")
@@ -96,12 +107,12 @@ def _lost(t: np.ndarray) -> pa.RecordBatch:
     return packed(out)
 
 
-def _emit(parts: int, least_sentences: int, least_words: int, short_words: int | None):
+def _emit(parts: int, salts: int, least_sentences: int, least_words: int, short_words: int | None):
     def run(batches):
         for batch in batches:
             uid, doc = batch.column("uid").to_numpy(), batch.column("doc_id").to_numpy(zero_copy_only=False)
             texts = batch.column("text").to_pylist()
-            for a, b in slabs(texts, 4 << 20):
+            for a, b in slabs(texts, SLAB):
                 found = []
                 for i in range(a, b):
                     h1, h2, s, e = spans(texts[i], least_sentences, least_words, short_words)
@@ -110,38 +121,63 @@ def _emit(parts: int, least_sentences: int, least_words: int, short_words: int |
                     found.append(t)
                 t = np.concatenate(found)
                 first = _first_of_each(t)
-                gone = _lost(t[~first])
-                rows = [(int(u) % parts, int(u), None, r) for u, r in zip(gone.column("batch").to_pylist(), gone.column("ranges").to_pylist(), strict=True)]
-                t = t[first]
-                part = (mix(t["h1"]) % np.uint64(parts)).astype(np.int64)
-                order = np.argsort(part, kind="stable")
-                t, part = t[order], part[order]
-                cut = np.flatnonzero(np.r_[True, part[1:] != part[:-1]]) if len(t) else np.empty(0, int)
-                rows += [(int(part[x]), None, t[x:y].tobytes(), None) for x, y in zip(cut, np.r_[cut[1:], len(t)][: len(cut)], strict=True)]
-                cols = list(zip(*rows, strict=True)) if rows else [[]] * 4
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)], ["part", "batch", "records", "ranges"])
+                salt = int(mix(uid[a : a + 1].astype(np.uint64))[0] % np.uint64(salts))
+                yield _dealt(t[first], t[~first], parts, salt)
 
     return run
 
 
-def _decide(table: pa.Table) -> pa.Table:
+DEALT = [("part", pa.int32()), ("salt", pa.int32()), ("batch", pa.int64()), ("records", pa.binary()), ("ranges", pa.binary())]
+DEALT_DDL = "part int, salt int, batch long, records binary, ranges binary"
+
+
+def _dealt(firsts: np.ndarray, others: np.ndarray, parts: int, salt: int) -> pa.RecordBatch:
+    """Records that may be the first of all, packed by part, and the ranges that the others lose."""
+    gone = _lost(others)
+    rows = [(int(u) % parts, salt, int(u), None, r) for u, r in zip(gone.column("batch").to_pylist(), gone.column("ranges").to_pylist(), strict=True)]
+    part = (mix(firsts["h1"]) % np.uint64(parts)).astype(np.int64)
+    order = np.argsort(part, kind="stable")
+    t, part = firsts[order], part[order]
+    cut = np.flatnonzero(np.r_[True, part[1:] != part[:-1]]) if len(t) else np.empty(0, int)
+    rows += [(int(part[x]), salt, None, t[x:y].tobytes(), None) for x, y in zip(cut, np.r_[cut[1:], len(t)][: len(cut)], strict=True)]
+    cols = list(zip(*rows, strict=True)) if rows else [[]] * len(DEALT)
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, (_, k) in zip(cols, DEALT, strict=True)], [n for n, _ in DEALT])
+
+
+def _records(table: pa.Table) -> tuple[np.ndarray, pa.Table]:
+    """The records of a group, and its ranges as they came."""
     blobs = [x.as_py() for x in table.column("records") if x.is_valid]
-    t = np.frombuffer(b"".join(blobs), RECORD)
+    return np.frombuffer(b"".join(blobs), RECORD), table.filter(pc.is_valid(table.column("ranges")))
+
+
+def _combine(parts: int):
+    """The first records of a salted group, for the group itself."""
+
+    def run(table: pa.Table) -> pa.Table:
+        t, passed = _records(table)
+        first = _first_of_each(t)
+        return pa.concat_tables([passed, pa.Table.from_batches([_dealt(t[first], t[~first], parts, 0)])])
+
+    return run
+
+
+def _decide(table: pa.Table) -> pa.Table:
+    t, passed = _records(table)
     lost = _lost(t[~_first_of_each(t)])
-    local = table.filter(pa.compute.is_valid(table.column("ranges"))).select(["batch", "ranges"])
-    return pa.concat_tables([local.cast(PACKED), pa.Table.from_batches([lost])])
+    return pa.concat_tables([passed.select(["batch", "ranges"]).cast(PACKED), pa.Table.from_batches([lost])])
 
 
 def substring_dedup(docs: DataFrame, least_sentences: int = 3, least_words: int = 16, keep_text: bool = False, id_col: str = "doc_id", text_col: str = "text", short_words: int | None = None) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of each row of docs, and with keep_text the text that is left.
-
-    docs must give the same rows in the same order when read again, as a table does.
-    """
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of each row of docs, and with keep_text the text that is left."""
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession)
-    plain = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    parts = partitions(spark)
-    keyed = plain.withColumn("doc_id", F.coalesce("doc_id", F.lit(FIRST_ID)))
-    dealt = keyed.mapInArrow(_emit(parts, least_sentences, least_words, short_words), "part int, batch long, records binary, ranges binary")
+    plain = number_batches(docs, scratch, id_col, text_col)
+    size = total_bytes(plain)
+    # A record is about as long as the text that it stands for.
+    parts, salts = groups_for(spark, size, GROUP_BYTES), -(-size // (SLAB * SLABS)) or 1
+    keyed = plain.select("uid", F.coalesce("doc_id", F.lit(FIRST_ID)).alias("doc_id"), "text")
+    dealt = keyed.mapInArrow(_emit(parts, salts, least_sentences, least_words, short_words), DEALT_DDL)
+    if salts > 1:
+        dealt = dealt.groupBy("part", "salt").applyInArrow(_combine(parts), DEALT_DDL)
     ranges = scratch.save(dealt.groupBy("part").applyInArrow(_decide, "batch long, ranges binary"))
     return cut_ranges(plain, ranges, keep_text)
 
@@ -150,18 +186,30 @@ def op9(spark, sf_dir):
     return substring_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), short_words=SHORT_WORDS)
 
 
-OP9_SQL = r"""
-WITH l AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^.!?,;:|\n]*[.!?,;:|\n]+|[^.!?,;:|\n]+') AS units FROM documents),
-u AS (SELECT doc_id, unnest(range(1, len(units) + 1)) AS pos, unnest(units) AS unit FROM l),
-w AS (SELECT doc_id, pos, regexp_extract_all(translate(unit, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+') AS ws FROM u),
-h AS (SELECT doc_id, pos, ws, row_number() OVER o AS n, sum(len(ws)) OVER o AS upto FROM w WHERE len(ws) > 0 WINDOW o AS (PARTITION BY doc_id ORDER BY pos)),
-e AS (SELECT a.doc_id, a.pos, a.n, greatest(a.n + 2, b.n) AS m FROM h a ASOF JOIN h b ON a.doc_id = b.doc_id AND a.upto - len(a.ws) + 16 <= b.upto),
-s AS (SELECT e.doc_id, e.pos, max(c.pos) AS last, count(*) AS k, any_value(e.m - e.n + 1) AS wanted, string_agg(array_to_string(c.ws, ' '), ' ' ORDER BY c.n) AS span
-  FROM e JOIN h c ON c.doc_id = e.doc_id AND c.n BETWEEN e.n AND e.m GROUP BY e.doc_id, e.pos),
-r AS (SELECT *, row_number() OVER (PARTITION BY span ORDER BY doc_id, pos) AS nth FROM s WHERE k = wanted),
+_MARKS = "".join(m.decode() for m in MARKS)
+OP9_SQL = (
+    r"""
+WITH l AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^ENDS]*[ENDS]+|[^ENDS]+') AS units FROM documents),
+u0 AS (SELECT doc_id, unnest(range(1, len(units) + 1)) AS pos, unnest(units) AS unit FROM l),
+n0 AS (SELECT *, len(regexp_extract_all(translate(unit, 'MARKS', 'DOTS'), '[WORD]+')) AS words FROM u0),
+tk AS (SELECT doc_id, pos, unnest(range(1, len(toks) + 1)) AS k, unnest(toks) AS tok FROM (SELECT *, regexp_extract_all(unit, '^[^WORD]+|[WORD]+[^WORD]*') AS toks FROM n0 WHERE words > 40)),
+tc AS (SELECT *, coalesce(sum((strlen(regexp_extract(tok, '^[WORD]+')) % 4 = 3)::INT) OVER (PARTITION BY doc_id, pos ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS sub FROM tk),
+u AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY pos, sub) AS pos, unit FROM (
+  SELECT doc_id, pos, 0 AS sub, unit FROM n0 WHERE words <= 40 UNION ALL SELECT doc_id, pos, sub, string_agg(tok, '' ORDER BY k) FROM tc GROUP BY doc_id, pos, sub)),
+w AS (SELECT doc_id, pos, regexp_extract_all(translate(unit, 'ABCDEFGHIJKLMNOPQRSTUVWXYZMARKS', 'abcdefghijklmnopqrstuvwxyzDOTS'), '[WORD]+') AS ws FROM u),
+h AS (SELECT doc_id, pos, ws, row_number() OVER o AS n, sum(len(ws)) OVER o AS upto, count(*) OVER (PARTITION BY doc_id) AS m, sum(len(ws)) OVER (PARTITION BY doc_id) AS words
+  FROM w WHERE len(ws) > 0 WINDOW o AS (PARTITION BY doc_id ORDER BY pos)),
+b AS (SELECT a.doc_id, a.n, a.m, b.n AS enough FROM h a ASOF JOIN h b ON a.doc_id = b.doc_id AND a.upto - len(a.ws) + 16 <= b.upto),
+e AS (SELECT doc_id, n, greatest(n + 2, enough) AS upto FROM b WHERE greatest(n + 2, enough) <= m UNION SELECT doc_id, n, enough FROM b
+  UNION SELECT DISTINCT doc_id, 1, m FROM h WHERE m < 3 AND words >= 16),
+s AS (SELECT e.doc_id, min(c.pos) AS pos, max(c.pos) AS last, string_agg(array_to_string(c.ws, ' '), ' ' ORDER BY c.n) AS span
+  FROM e JOIN h c ON c.doc_id = e.doc_id AND c.n BETWEEN e.n AND e.upto GROUP BY e.doc_id, e.n, e.upto),
+r AS (SELECT *, row_number() OVER (PARTITION BY span ORDER BY doc_id, pos) AS nth FROM s),
 gone AS (SELECT DISTINCT u.doc_id, u.pos FROM r JOIN u ON u.doc_id = r.doc_id AND u.pos BETWEEN r.pos AND r.last WHERE nth > 1),
 f AS (SELECT u.doc_id, u.pos, unit, gone.pos IS NOT NULL AS lost FROM u LEFT JOIN gone ON gone.doc_id = u.doc_id AND gone.pos = u.pos),
 g AS (SELECT *, lost AND NOT coalesce(lag(lost) OVER (PARTITION BY doc_id ORDER BY pos), false) AS opens FROM f)
 SELECT d.doc_id, coalesce(sum(strlen(unit)), 0)::BIGINT AS n_bytes, coalesce(sum(CASE WHEN lost THEN strlen(unit) END), 0)::BIGINT AS n_removed, count(*) FILTER (opens) AS n_spans,
   sha256(coalesce(string_agg(unit, '' ORDER BY pos) FILTER (NOT lost), '')) AS kept_sha256 FROM documents d LEFT JOIN g ON g.doc_id = d.doc_id GROUP BY d.doc_id
 """
+    .replace("ENDS", ENDS.replace("\n", r"\n") + _MARKS).replace("MARKS", _MARKS).replace("DOTS", "." * len(_MARKS)).replace("WORD", r"0-9A-Za-z\x{80}-\x{10FFFF}")
+)

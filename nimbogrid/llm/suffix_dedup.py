@@ -10,33 +10,44 @@ equals one of another class. Neighbouring strings share their anchor: what an an
 ``length`` to 2 * length - GRAM bytes.
 
 1. The hashes of anchors are counted over all documents; a class that occurs once holds no repeated string.
-2. The contexts of the other classes are gathered by class. Equal contexts are one text with a first place.
-3. Where a class has several texts, what none of the others shares is cut off (by hashes, which loses nothing); then
-   the suffix array of the rest is built by linear grouping (suffix_sort.py). Runs of suffixes that share ``length``
+2. A hot class, whose anchor many batches of documents have, has a different context in every document where the passage
+   begins and ends. The hashes of its strings are counted in turn, and its contexts cut down to the strings that occur again (which loses
+   nothing): what is left of the edges is the same everywhere.
+3. The contexts of the classes are gathered by class. Equal contexts are one text with a first place.
+4. Where a class has several texts, what none of the others shares is cut off (by hashes, which loses nothing), and texts
+   that are now equal become one; then
+   the suffix array of the rest is built by grouping Lyndon prefixes (suffix_sort.py). Runs of suffixes that share ``length``
    bytes are the repeated strings, each with its first place; all other occurrences are removed.
 
+So equal contexts meet by value, which is the combining before and after the shuffle, and the suffix array decides where contexts differ.
+
 Scale: grams are counted by hash, one entry for each batch of documents that has it, packed; contexts that are not the
 first in their batch are decided on the spot, only the first travel. So a passage that a third of all documents share
-reaches its task once a batch. The texts are shuffled twice: to meet the counts, and to meet their ranges.
+reaches its group once a batch, and beyond ``SALTED`` batches in two steps, through groups salted by batch. Groups are as many as hold about
+``GROUP_BYTES``. The hashes of hot anchors are sent to all executors where they are at most ``HOT_SENT``, and joined by batch otherwise.
+The texts are shuffled twice: to meet the counts, and to meet their ranges.
 
 Defined results: null and empty texts come out empty. A null doc_id is ordered first. Documents with the same
-doc_id are ordered as they are read. An empty table gives an empty result; further columns are ignored.
+doc_id are ordered as they are numbered. An empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, partitions
-from .covered import BATCH_ROWS, PACKED, RANGE, cut_ranges, packed
+from .common import Scratch, groups_for
+from .covered import BATCH_ROWS, PACKED, RANGE, cut_ranges, number_batches, packed, total_bytes
 from .hashing import BASES, Prefix, mix, slabs
 from .substring_dedup import FIRST_ID
 from .suffix_sort import suffix_array
 
 GRAM = 32
+#: Bytes of a group; batches that make a class hot (or one of 1,024, where that is more); hashes that are sent to all; batches without salt.
+GROUP_BYTES, HOT, HOT_SENT, SALTED = 16 << 20, 128, 1 << 20, 4096
 
 
 def anchors(texts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -76,8 +87,27 @@ def _raws(column, a: int, b: int) -> list[bytes]:
     return [(t or "").encode("utf-8", "surrogatepass") for t in column[a:b]]
 
 
-def _count(parts: int, length: int):
-    """For each batch and part: the distinct hashes of anchors, those that repeat in the batch, and those that do not."""
+def _listed(hashes: np.ndarray, number: int, parts: int) -> list[tuple]:
+    """(part, batch, those that repeat, those that do not) of the hashes of one batch."""
+    h, times = np.unique(hashes, return_counts=True)
+    part = (mix(h) % np.uint64(parts)).astype(np.int64)
+    rows = []
+    for q in np.unique(part).tolist():
+        mine = part == q
+        rows.append((q, number, h[mine & (times > 1)].tobytes(), h[mine & (times == 1)].tobytes()))
+    return rows
+
+
+COUNTED = "part int, batch long, often binary, once binary"
+
+
+def _count(parts: int, length: int, hot: np.ndarray | None = None):
+    """For each batch and part: the distinct hashes, those that repeat in the batch and those that do not, of anchors or, where hot ones are given, of their strings."""
+
+    def hashes(texts: list[bytes]) -> np.ndarray:
+        if hot is None:
+            return anchors(texts, length)[1]
+        return np.concatenate([np.empty(0, np.uint64), *(h for *_, h in _hot_strings(texts, length, hot))])
 
     def run(batches):
         for batch in batches:
@@ -85,61 +115,126 @@ def _count(parts: int, length: int):
             texts = batch.column("text").to_pylist()
             for n in np.unique(number).tolist():
                 own = [texts[i] for i in np.flatnonzero(number == n)]
-                found = [np.empty(0, np.uint64), *(anchors(_raws(own, a, b), length)[1] for a, b in slabs(own, 1 << 20))]
-                h, times = np.unique(np.concatenate(found), return_counts=True)
-                part = (mix(h) % np.uint64(parts)).astype(np.int64)
-                rows = []
-                for q in np.unique(part).tolist():
-                    mine = part == q
-                    rows.append((q, n, h[mine & (times > 1)].tobytes(), h[mine & (times == 1)].tobytes()))
+                found = [hashes(_raws(own, a, b)) for a, b in slabs(own, 1 << 20)]
+                rows = _listed(np.concatenate([np.empty(0, np.uint64), *found]), n, parts)
                 cols = list(zip(*rows, strict=True)) if rows else [[]] * 4
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)], ["part", "batch", "often", "once"])
 
     return run
 
 
-def _repeated(table: pa.Table) -> pa.Table:
-    """For each batch, its hashes that occur again, there or in another batch."""
-    batch = table.column("batch").to_pylist()
-    blobs = [np.frombuffer((a.as_py() or b"") + (b.as_py() or b""), np.uint64) for a, b in zip(table.column("often"), table.column("once"), strict=True)]
-    local = [np.frombuffer(a.as_py() or b"", np.uint64) for a in table.column("often")]
-    h = np.sort(np.concatenate([*blobs, *local]))  # those that repeat in a batch are there twice
-    again = np.unique(h[1:][h[1:] == h[:-1]]) if len(h) else h
-    out = [(n, b[np.isin(b, again)].tobytes()) for n, b in zip(batch, blobs, strict=True)]
-    out = [(n, x) for n, x in out if x]
-    return pa.table({"batch": pa.array([n for n, _ in out], pa.int64()), "hashes": pa.array([x for _, x in out], pa.binary())})
+def _count_by_batch(parts: int, length: int):
+    """As _count, with the hot anchors of each batch joined to it."""
+
+    def run(key, docs, lists):
+        hot = np.unique(np.frombuffer(b"".join(lists.column("hashes").to_pylist()), np.uint64))
+        out = list(_count(parts, length, hot)(docs.select(["uid", "text"]).to_batches())) if len(hot) else []
+        return pa.Table.from_batches(out, pa.schema([("part", pa.int32()), ("batch", pa.int64()), ("often", pa.binary()), ("once", pa.binary())]))
+
+    return run
+
+
+def _hot_strings(texts: list[bytes], length: int, hot: np.ndarray):
+    """(text, hash of the anchor, anchor, first string, hashes of the strings from there) of each context of a hot anchor."""
+    d, h, p, lo, hi = anchors(texts, length)
+    if not len(d):
+        return
+    mine = np.flatnonzero(hot[np.minimum(np.searchsorted(hot, h), len(hot) - 1)] == h)
+    held: tuple = (-1, None)
+    for i, x, y, z, w in zip(d[mine].tolist(), h[mine].tolist(), p[mine].tolist(), lo[mine].tolist(), hi[mine].tolist(), strict=True):
+        if held[0] != i:
+            held = (i, Prefix(np.frombuffer(texts[i], np.uint8), BASES[1]))
+        at = np.arange(z, w + 1)
+        # With the anchor's hash and place: only strings of the same class can be equal.
+        yield i, x, y, z, mix(held[1].slices(at, at + length) ^ np.uint64(x)) + (y - at).astype(np.uint64)
+
+
+#: What a list of hashes is of: anchors that occur again, hot ones among them, strings of hot ones that occur again; all hot anchors of a group, for no batch.
+AGAIN, HOT_ANCHORS, STRINGS, ALL_HOT = 0, 1, 2, 3
+
+
+def _repeated(kind: int, most_batches: int):
+    def run(table: pa.Table) -> pa.Table:
+        """For each batch, its hashes that occur again, there or in another batch, and those that more than most_batches have."""
+        batch = table.column("batch").to_pylist()
+        blobs = [np.frombuffer((a.as_py() or b"") + (b.as_py() or b""), np.uint64) for a, b in zip(table.column("often"), table.column("once"), strict=True)]
+        h, batches = np.unique(np.concatenate(blobs), return_counts=True)
+        local = np.unique(np.concatenate([np.frombuffer(a.as_py() or b"", np.uint64) for a in table.column("often")]))
+        wanted = [(kind, h[(batches > 1) | np.isin(h, local)])]
+        if kind == AGAIN:
+            wanted.append((HOT_ANCHORS, h[batches > most_batches]))
+        out = [(n, k, b[np.isin(b, again)].tobytes()) for k, again in wanted if len(again) for n, b in zip(batch, blobs, strict=True)]
+        out = [r for r in out if r[2]] + [(None, ALL_HOT, again.tobytes()) for k, again in wanted if k == HOT_ANCHORS and len(again)]
+        return pa.table({"batch": pa.array([r[0] for r in out], pa.int64()), "kind": pa.array([r[1] for r in out], pa.int32()), "hashes": pa.array([r[2] for r in out], pa.binary())})
+
+    return run
 
 
-CONTEXTS = "part int, hash long, shift int, context binary, doc long, uid long, start long, ranges binary"
-_CONTEXT_TYPES = [("part", pa.int32()), ("hash", pa.int64()), ("shift", pa.int32()), ("context", pa.binary()), ("doc", pa.int64()), ("uid", pa.int64()), ("start", pa.int64()), ("ranges", pa.binary())]
+LISTS = "batch long, kind int, hashes binary"
 
 
-def _contexts(parts: int, length: int):
+_CONTEXT_TYPES = [("part", pa.int32()), ("salt", pa.int32()), ("hash", pa.int64()), ("shift", pa.int32()), ("context", pa.binary()), ("doc", pa.int64()), ("uid", pa.int64()), ("start", pa.int64()), ("ranges", pa.binary())]
+CONTEXTS = "part int, salt int, hash long, shift int, context binary, doc long, uid long, start long, ranges binary"
+
+
+def _context_table(rows: list[tuple], lost: list[tuple[int, int, int]], parts: int, salt: int) -> pa.Table:
+    gone = packed(np.array(lost, RANGE) if lost else np.empty(0, RANGE))
+    rows = rows + [(int(u) % parts, salt, None, None, None, None, int(u), None, r) for u, r in zip(gone.column("batch").to_pylist(), gone.column("ranges").to_pylist(), strict=True)]
+    cols = list(zip(*rows, strict=True)) if rows else [[]] * len(_CONTEXT_TYPES)
+    return pa.table([pa.array(c, k) for c, (_, k) in zip(cols, _CONTEXT_TYPES, strict=True)], names=[n for n, _ in _CONTEXT_TYPES])
+
+
+def _contexts(parts: int, salts: int, length: int):
     """The first place of each distinct context of a batch's repeated classes, and what the others lose."""
 
     def run(key, docs, lists):
         order = np.lexsort((docs.column("uid").to_numpy(), docs.column("doc_id").to_numpy()))
         docs = docs.take(pa.array(order))
         texts, ids, uids = docs.column("text").to_pylist(), docs.column("doc_id").to_numpy(), docs.column("uid").to_numpy()
-        known = np.unique(np.frombuffer(b"".join(lists.column("hashes").to_pylist()), np.uint64))
+        kinds = lists.column("kind").to_numpy()
+        known, hot, strings = (np.unique(np.frombuffer(b"".join(lists.filter(pa.array(kinds == k)).column("hashes").to_pylist()), np.uint64)) for k in (AGAIN, HOT_ANCHORS, STRINGS))
         first: dict[tuple, tuple] = {}
         lost: list[tuple[int, int, int]] = []
+
+        def meet(i: int, x: int, y: int, z: int, context: bytes) -> None:
+            # Documents come in order, and places in a document too: what is there already is earlier.
+            if first.setdefault((x, y - z, context), (i, z)) != (i, z):
+                lost.append((int(uids[i]), z, z + len(context)))
+
         if len(known):
+            cold = known[~np.isin(known, hot)]
             for a, b in slabs(texts, 1 << 20):
                 raws = _raws(texts, a, b)
                 d, h, p, lo, hi = anchors(raws, length)
-                at = np.minimum(np.searchsorted(known, h), len(known) - 1)
-                keep = np.flatnonzero(known[at] == h)
+                keep = np.flatnonzero(cold[np.minimum(np.searchsorted(cold, h), len(cold) - 1)] == h) if len(cold) else []
                 for i, x, y, z, w in zip(d[keep].tolist(), h[keep].tolist(), p[keep].tolist(), lo[keep].tolist(), hi[keep].tolist(), strict=True):
-                    context = (x, y - z, raws[i][z : w + length])
-                    # Documents come in order, and places in a document too: what is there already is earlier.
-                    if first.setdefault(context, (a + i, z)) != (a + i, z):
-                        lost.append((int(uids[a + i]), z, w + length))
-        rows = [(int(mix(np.array([x], np.uint64))[0] % np.uint64(parts)), x - (1 << 64) if x >> 63 else x, s, c, int(ids[i]), int(uids[i]), z, None) for (x, s, c), (i, z) in first.items()]
-        gone = packed(np.array(lost, RANGE) if lost else np.empty(0, RANGE))
-        rows += [(int(u) % parts, None, None, None, None, int(u), None, r) for u, r in zip(gone.column("batch").to_pylist(), gone.column("ranges").to_pylist(), strict=True)]
-        cols = list(zip(*rows, strict=True)) if rows else [[]] * len(_CONTEXT_TYPES)
-        return pa.table([pa.array(c, k) for c, (_, k) in zip(cols, _CONTEXT_TYPES, strict=True)], names=[n for n, _ in _CONTEXT_TYPES])
+                    meet(a + i, x, y, z, raws[i][z : w + length])
+                if len(hot) and len(strings):
+                    for i, x, y, z, own in _hot_strings(raws, length, hot):
+                        again = strings[np.minimum(np.searchsorted(strings, own), len(strings) - 1)] == own
+                        edge = np.flatnonzero(np.diff(np.r_[False, again, False]))
+                        for u, v in zip((z + edge[::2]).tolist(), (z + edge[1::2]).tolist(), strict=True):
+                            meet(a + i, x, y, u, raws[i][u : v - 1 + length])
+        salt = int(mix(np.array([key[0].as_py()], np.int64).view(np.uint64))[0] % np.uint64(salts))
+        rows = [(int(mix(np.array([x], np.uint64))[0] % np.uint64(parts)), salt, x - (1 << 64) if x >> 63 else x, s, c, int(ids[i]), int(uids[i]), z, None) for (x, s, c), (i, z) in first.items()]
+        return _context_table(rows, lost, parts, salt)
+
+    return run
+
+
+def _combine(parts: int):
+    """The first of equal contexts of a salted group, for the group itself."""
+
+    def run(table: pa.Table) -> pa.Table:
+        passed = table.filter(pc.is_valid(table.column("ranges")))
+        t = table.filter(pc.is_valid(table.column("context")))
+        h, doc, uid, start, shift, part = (t.column(c).to_numpy() for c in ("hash", "doc", "uid", "start", "shift", "part"))
+        contexts, first, lost = t.column("context").to_pylist(), {}, []
+        for i in np.lexsort((start, uid, doc)).tolist():
+            if first.setdefault((h[i], shift[i], contexts[i]), i) != i:
+                lost.append((int(uid[i]), int(start[i]), int(start[i]) + len(contexts[i])))
+        rows = [(int(part[i]), 0, int(h[i]), int(shift[i]), contexts[i], int(doc[i]), int(uid[i]), int(start[i]), None) for i in first.values()]
+        return pa.concat_tables([passed, _context_table(rows, lost, parts, 0)])
 
     return run
 
@@ -198,9 +293,9 @@ SLAB = 4 << 20
 
 def _decide(length: int):
     def run(table):
-        gone = table.filter(pa.compute.is_valid(table.column("ranges")))
+        gone = table.filter(pc.is_valid(table.column("ranges")))
         gone = pa.table([gone.column("uid"), gone.column("ranges")], schema=PACKED)
-        t = table.filter(pa.compute.is_valid(table.column("context")))
+        t = table.filter(pc.is_valid(table.column("context")))
         h, doc, uid, start, shift = (t.column(c).to_numpy() for c in ("hash", "doc", "uid", "start", "shift"))
         order = np.lexsort((start, uid, doc, h))
         contexts = t.column("context").to_pylist()
@@ -216,11 +311,15 @@ def _decide(length: int):
                 parts = shared_parts([n for n, own in enumerate(several) for _ in own], [int(shift[i]) for i in members], [contexts[i] for i in members], length)
                 at = 0
                 for own in several:
-                    kept = [(i, *p) for i, p in zip(own, parts[at : at + len(own)], strict=True) if p]
+                    shared: dict[tuple, tuple] = {}
+                    for i, p in zip(own, parts[at : at + len(own)], strict=True):
+                        if p and shared.setdefault((shift[i] - p[0], contexts[i][p[0] : p[1] + length]), (i, p[0]))[0] != i:
+                            lost.append((uid[i], start[i] + p[0], start[i] + p[1] + length))
                     at += len(own)
-                    if len(kept) < 2:
+                    if len(shared) < 2:
                         continue
-                    for group in repeated_strings([contexts[i][a : b + length] for i, a, b in kept], length):
+                    kept = list(shared.values())
+                    for group in repeated_strings([c for _, c in shared], length):
                         places = sorted((doc[kept[k][0]], uid[kept[k][0]], start[kept[k][0]] + kept[k][1] + o) for k, o in group.tolist())
                         lost.extend((u, o, o + length) for _, u, o in places[1:])
             several.clear()
@@ -246,19 +345,30 @@ def _decide(length: int):
 
 
 def suffix_dedup(docs: DataFrame, length: int = 100, keep_text: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of each row of docs, and with keep_text the text that is left.
-
-    docs must give the same rows in the same order when read again, as a table does.
-    """
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of each row of docs, and with keep_text the text that is left."""
     if length < GRAM:
         raise ValueError(f"length must be at least {GRAM}")
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession)
-    parts = partitions(spark)
-    plain = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    counted = plain.select("uid", "text").mapInArrow(_count(parts, length), "part int, batch long, often binary, once binary")
-    lists = scratch.save(counted.groupBy("part").applyInArrow(_repeated, "batch long, hashes binary"))
-    batched = plain.select("uid", F.coalesce("doc_id", F.lit(FIRST_ID)).alias("doc_id"), "text", F.expr(f"uid div {BATCH_ROWS}").alias("batch"))
-    contexts = batched.groupBy("batch").cogroup(lists.groupBy("batch")).applyInArrow(_contexts(parts, length), CONTEXTS)
+    plain = number_batches(docs, scratch, id_col, text_col)
+    size, batches = total_bytes(plain), plain.select(F.expr(f"uid div {BATCH_ROWS}")).distinct().count()
+    # Contexts are about twice as long as what they are of, hashes of anchors a quarter.
+    parts, salts = groups_for(spark, 2 * size, GROUP_BYTES), -(-batches // SALTED) or 1
+    few = groups_for(spark, size // 4, GROUP_BYTES)
+    counted = plain.select("uid", "text").mapInArrow(_count(few, length), COUNTED)
+    lists = scratch.save(counted.groupBy("part").applyInArrow(_repeated(AGAIN, max(HOT, batches // 1024)), LISTS))
+    by_batch = plain.select("uid", F.coalesce("doc_id", F.lit(FIRST_ID)).alias("doc_id"), "text", F.expr(f"uid div {BATCH_ROWS}").alias("batch")).groupBy("batch")
+    found = lists.filter(F.col("kind") == ALL_HOT).select("hashes")
+    n_hot = found.agg(F.coalesce(F.sum(F.octet_length("hashes")), F.lit(0)) / 8).first()[0]
+    if n_hot:
+        if n_hot <= HOT_SENT:
+            hot = np.sort(np.frombuffer(b"".join(r[0] for r in found.collect()), np.uint64))
+            strings = plain.select("uid", "text").mapInArrow(_count(few, length, hot), COUNTED)
+        else:
+            strings = by_batch.cogroup(lists.filter(F.col("kind") == HOT_ANCHORS).groupBy("batch")).applyInArrow(_count_by_batch(few, length), COUNTED)
+        lists = lists.unionByName(scratch.save(strings.groupBy("part").applyInArrow(_repeated(STRINGS, 0), LISTS)))
+    contexts = by_batch.cogroup(lists.filter("batch IS NOT NULL").groupBy("batch")).applyInArrow(_contexts(parts, salts, length), CONTEXTS)
+    if salts > 1:
+        contexts = contexts.groupBy("part", "salt").applyInArrow(_combine(parts), CONTEXTS)
     ranges = scratch.save(contexts.groupBy("part").applyInArrow(_decide(length), "batch long, ranges binary"))
     return cut_ranges(plain, ranges, keep_text)
 
