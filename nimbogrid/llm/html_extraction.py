@@ -10,10 +10,13 @@ generated here with known labels: articles in many kinds of mark-up among menus,
 adverts, forms and comments. Text is random there, so that the labels are learned from the mark-up, its order and
 the shape of the texts. A page reaches the network whole, whatever its length.
 
-Scripts, styles, templates, titles, comments and other raw content are no text. Character references are decoded once,
+Scripts, styles, templates, the page's title, fields of forms, frames and comments are no text; everything else is, text inside math, svg,
+object or noscript elements too. Character references are decoded once,
 white space inside a block becomes one space, ends are trimmed, empty blocks dropped.
 
-Scale: one pass over the pages without a shuffle; the network, some 100 kB, is all that is sent.
+Scale: one pass over the pages without a shuffle; the network, some 100 kB, is all that is sent. Time and memory are in proportion to a
+page's length however deep it is: an element holds the features of its path as bits, made from its parent's. Pages are parsed
+some MB at a time.
 
 Defined results: null or empty html, and pages without main text, give an empty text. Unclosed and stray tags are
 taken as browsers mostly do: a block-level start tag ends an open paragraph, an end tag closes up to its match or is
@@ -25,6 +28,7 @@ from __future__ import annotations
 import html as entities
 import re
 import zlib
+from collections import Counter
 from functools import lru_cache
 
 import numpy as np
@@ -32,11 +36,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .hashing import slabs
+
 #: Fixed values of HTML: elements that end a line of text, elements whose content is no text, and elements without content.
 BLOCKS = set(
     "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html label legend li main menu nav ol option optgroup p pre search section select summary table tbody td tfoot th thead tr ul".split()
 )
-RAW = set("script style template noscript title textarea iframe noembed noframes object svg math xmp canvas audio video".split())
+RAW = set("script style template title textarea iframe noembed noframes".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 
 _TAG = re.compile(
@@ -62,11 +68,35 @@ def _tokens(tag: str, attributes: str) -> tuple[str, ...]:
     return tuple(out)
 
 
-def blocks(page: str | None) -> list[tuple[str, tuple[tuple[str, ...], ...], float]]:
-    """(text, path, share of its characters in links) of each leaf block of a page, in order."""
+PATH, LAST, WORDS, FIGURES = 96, 48, 24, 8
+INPUT = PATH + LAST + WORDS + FIGURES
+
+
+@lru_cache(maxsize=200_000)
+def _slot(word: str) -> int:
+    return zlib.crc32(word.encode("utf-8", "surrogatepass"))
+
+
+class Element:
+    """An open element: its tag, its tokens, and the features of the path down to it."""
+
+    __slots__ = ("tag", "tokens", "parent", "depth", "path", "last")
+
+    def __init__(self, tag: str, tokens: tuple[str, ...], parent: Element | None):
+        self.tag, self.tokens, self.parent = tag, tokens, parent
+        self.depth, self.path, self.last = (parent.depth + 1, parent.path, 0) if parent else (1, 0, 0)
+        for t in tokens:
+            h = _slot(t)
+            self.path |= 1 << h % PATH
+            self.last |= 1 << (h >> 8) % LAST
+
+
+def blocks(page: str | None) -> list[tuple[str, Element | None, float]]:
+    """(text, innermost open element, share of its characters in links) of each leaf block of a page, in order."""
     page = page or ""
     out: list = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    stack: list[Element] = []
+    open_tags: Counter = Counter()
     text: list[str] = []
     linked = [0, 0]  # characters, of these in links
     links = 0
@@ -75,7 +105,7 @@ def blocks(page: str | None) -> list[tuple[str, tuple[tuple[str, ...], ...], flo
         if text:
             whole = " ".join(entities.unescape("".join(text)).split())
             if whole:
-                out.append((whole, tuple(t for _, t in stack), linked[1] / max(1, linked[0])))
+                out.append((whole, stack[-1] if stack else None, linked[1] / max(1, linked[0])))
             text.clear()
             linked[:] = [0, 0]
 
@@ -86,10 +116,12 @@ def blocks(page: str | None) -> list[tuple[str, tuple[tuple[str, ...], ...], flo
             linked[0] += n
             linked[1] += n if links else 0
 
-    def close(names: set[str]) -> None:
-        for i in range(len(stack) - 1, -1, -1):
-            if stack[i][0] in names:
-                del stack[i:]
+    def close(tag: str) -> None:
+        """Close up to the innermost element of that tag, if there is one; each element is closed once."""
+        while open_tags[tag]:
+            last = stack.pop()
+            open_tags[last.tag] -= 1
+            if last.tag == tag:
                 return
 
     at = 0
@@ -115,43 +147,36 @@ def blocks(page: str | None) -> list[tuple[str, tuple[tuple[str, ...], ...], flo
         elif tag in BLOCKS:
             flush()
             if end:
-                if any(t == tag for t, _ in stack):
-                    close({tag})
+                close(tag)
             else:
                 links = 0
-                close({"p"})
-                if tag in _SIBLINGS and stack and stack[-1][0] in _SIBLINGS[tag]:
-                    stack.pop()
+                close("p")
+                if tag in _SIBLINGS and stack and stack[-1].tag in _SIBLINGS[tag]:
+                    close(stack[-1].tag)
                 if tag not in VOID:
-                    stack.append((tag, _tokens(tag, m[3])))
+                    stack.append(Element(tag, _tokens(tag, m[3]), stack[-1] if stack else None))
+                    open_tags[tag] += 1
     flush()
     return out
 
 
-PATH, LAST, WORDS, FIGURES = 96, 48, 24, 8
-INPUT = PATH + LAST + WORDS + FIGURES
-
-
-@lru_cache(maxsize=200_000)
-def _slot(word: str) -> int:
-    return zlib.crc32(word.encode("utf-8", "surrogatepass"))
+def _bits(rows: list[int], width: int) -> np.ndarray:
+    line = np.frombuffer(b"".join(x.to_bytes(width // 8, "little") for x in rows), np.uint8).reshape(-1, width // 8)
+    return np.unpackbits(line, axis=1, bitorder="little")
 
 
 def vectors(page_blocks: list) -> np.ndarray:
     """(blocks, INPUT) for the blocks of a page."""
     out = np.zeros((len(page_blocks), INPUT), np.float32)
-    for row, (text, path, linked) in zip(out, page_blocks, strict=True):
-        for depth, tokens in enumerate(reversed(path)):
-            for t in tokens:
-                h = _slot(t)
-                row[h % PATH] = 1.0
-                if depth == 0:
-                    row[PATH + (h >> 8) % LAST] = 1.0
+    if page_blocks:
+        out[:, :PATH] = _bits([e.path if e else 0 for _, e, _ in page_blocks], PATH)
+        out[:, PATH : PATH + LAST] = _bits([e.last if e else 0 for _, e, _ in page_blocks], LAST)
+    for row, (text, element, linked) in zip(out, page_blocks, strict=True):
         w = text.split(" ")
         slots = np.bincount(np.fromiter((_slot(x) % WORDS for x in w), np.int64, len(w)), minlength=WORDS)
         row[PATH + LAST : PATH + LAST + WORDS] = slots / len(w)
         n = len(text)
-        row[-FIGURES:] = (1.0, np.log1p(len(w)) / 5, linked, min(1.0, n / len(w) / 20), text[-1] in ".!?", sum(text.count(c) for c in ".,;") / len(w), len(path) / 10, n > 200)
+        row[-FIGURES:] = (1.0, np.log1p(len(w)) / 5, linked, min(1.0, n / len(w) / 20), text[-1] in ".!?", sum(text.count(c) for c in ".,;") / len(w), min(element.depth, 100) / 10 if element else 0, n > 200)
     return out
 
 
@@ -224,11 +249,14 @@ class BlockLSTM:
         return loss, grad
 
     def train(self, pages: list[tuple[np.ndarray, np.ndarray]], rounds: int, batch: int = 24, rate: float = 0.02, seed: int = 0) -> list[float]:
-        """Adam on random batches of (vectors, labels) of pages; losses by round."""
+        """Adam on random batches of (vectors, labels) of pages, each batch of pages of like lengths; losses by round."""
         rng, losses = np.random.default_rng(seed), []
+        pages = sorted(pages, key=lambda p: len(p[1]))
+        near = min(len(pages), 4 * batch)
         m, v = ({k: np.zeros_like(a) for k, a in self.params.items()} for _ in range(2))
         for i in range(rounds):
-            pick = [pages[j] for j in rng.integers(0, len(pages), batch)]
+            low = int(rng.integers(0, len(pages) - near + 1))
+            pick = [pages[low + j] for j in rng.integers(0, near, batch)]
             x, mask = padded([p[0] for p in pick])
             label = np.zeros(mask.shape, np.float32)
             for j, (_, y) in enumerate(pick):
@@ -276,7 +304,9 @@ class PageMaker:
 
     def words(self, low: int, high: int) -> str:
         n, r = int(self.rng.integers(low, high + 1)), self.rng
-        w = ["".join(chr(97 + c) for c in r.integers(0, 26, int(r.integers(1, 9)))) for _ in range(n)]
+        ends = np.cumsum(r.integers(1, 9, n)).tolist()
+        letters = r.integers(97, 123, ends[-1]).astype(np.uint8).tobytes().decode()
+        w = [letters[a:b] for a, b in zip([0, *ends], ends, strict=False)]
         style = r.random()
         if style < 0.06:
             w = [x.upper() + "!!" for x in w]
@@ -374,6 +404,7 @@ class PageMaker:
         return f"<html><head><title>{self.words(1, 5)}</title></head><body>{body}</body></html>", labels
 
 
+@lru_cache(maxsize=4)
 def trained(pages: int = 1500, rounds: int = 350, hidden: int = 12, seed: int = 0) -> BlockLSTM:
     maker, made = PageMaker(seed), []
     for _ in range(pages):
@@ -386,6 +417,10 @@ def trained(pages: int = 1500, rounds: int = 350, hidden: int = 12, seed: int =
     return net
 
 
+#: Characters of pages that are parsed at a time.
+SLAB = 2 << 20
+
+
 def extract(net: BlockLSTM, pages: list[str | None], most_steps: int = 40_000) -> list[str]:
     """The main text of each page; pages of like lengths are read together, at most about most_steps blocks at a time."""
     found = [blocks(p) for p in pages]
@@ -408,9 +443,10 @@ def extract(net: BlockLSTM, pages: list[str | None], most_steps: int = 40_000) -
 def _extract(net: BlockLSTM):
     def run(batches):
         for batch in batches:
-            for a in range(0, batch.num_rows, 1000):
-                part = batch.slice(a, 1000)
-                texts = extract(net, part.column("html").to_pylist())
+            html = batch.column("html").to_pylist()
+            for a, b in slabs(html, SLAB):
+                part = batch.slice(a, b - a)
+                texts = extract(net, html[a:b])
                 keep = [c for c in part.schema.names if c != "html"]
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], [*keep, "text", "n_chars"])
 

@@ -1,7 +1,7 @@
 """Language identification by a bidirectional gated recurrent network over bytes (see recurrent.py).
 
-The network is trained in numpy on the driver, by backpropagation through time, on windows of a bounded sample of
-labelled rows (``rows_per_language`` of each language, the ones with the smallest hashes of doc_id). Then every
+The network is trained in numpy on the driver, by backpropagation through time, on windows of the whole texts of a bounded sample of
+labelled rows (``rows_per_language`` of each language, whatever their number, the ones with the smallest hashes of doc_id). Then every
 text is read whole: cut into segments of ``SEGMENT`` bytes that the network reads from both sides, many at a time; every
 position is labelled with probabilities, and a document's are the means over its letters.
 
@@ -13,10 +13,9 @@ Without any labelled row all texts are ``und``. Repeated rows are labelled each;
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,16 +24,16 @@ from .recurrent import ByteGRU
 SEGMENT, WINDOW = 128, 64
 #: Segments that the network reads at a time.
 WIDE = 2048
-_LETTER = re.compile(r"[^\W\d_]")
+#: Letters of any script (Unicode category L).
+_LETTER = regex.compile(r"\p{L}")
 #: Bytes that are letters or parts of characters beyond ASCII.
 LETTERS = np.array([chr(b).isalpha() if b < 128 else True for b in range(256)])
 
 
-def windows(text: str, most: int = 16, size: int = WINDOW) -> list[bytes]:
-    """Up to ``most`` evenly spaced windows of a text's bytes."""
+def windows(text: str, size: int = WINDOW) -> list[bytes]:
+    """Windows that cover all of a text's bytes."""
     raw = text.encode("utf-8", "surrogatepass").replace(b"\0", b" ")
-    starts = np.unique(np.linspace(0, max(0, len(raw) - size), min(most, max(1, len(raw) // size))).astype(int))
-    return [raw[s : s + size] for s in starts.tolist()]
+    return [raw[s : s + size] for s in range(0, max(1, len(raw)), size)]
 
 
 def padded(parts: list[bytes], size: int) -> np.ndarray:
@@ -53,12 +52,16 @@ def train(sample: list[tuple[str, str]], hidden: int = 8, rounds: int = 300, see
     # Each language has the same weight.
     pick = np.concatenate([np.random.default_rng(seed).choice(np.flatnonzero(y == c), 4000) for c in range(len(languages))])
     net = ByteGRU(len(languages), hidden, seed)
+    net.known = np.bincount(x.ravel(), minlength=256) > 0
     net.train(x[pick], y[pick], LETTERS[x[pick]].astype(np.float32) * (x[pick] > 0), rounds, seed=seed)
     return net, languages
 
 
 def pooled(net: ByteGRU, texts: list[str | None]) -> np.ndarray:
-    """(texts, classes): mean probabilities over the letters of each whole text; nan where there is none."""
+    """(texts, classes): mean probabilities over the letters of each whole text; nan where there is none.
+
+    A letter of bytes that no text learned from has speaks for no language, and lowers all means.
+    """
     out, counts = np.zeros((len(texts), net.classes)), np.zeros(len(texts))
     parts: list[bytes] = []
     owner: list[int] = []
@@ -69,7 +72,7 @@ def pooled(net: ByteGRU, texts: list[str | None]) -> np.ndarray:
         x = np.ascontiguousarray(padded(parts, SEGMENT).T)
         letters = LETTERS[x] & (x > 0)
         p = net.probabilities(x)
-        p *= letters[:, None, :]
+        p *= (letters & net.known[x])[:, None, :]
         own = np.array(owner)
         for c, row in enumerate(p.sum(axis=0)):
             out[:, c] += np.bincount(own, row, len(texts))
@@ -104,14 +107,15 @@ def _predict(net: ByteGRU, languages: list[str]):
     return run
 
 
-def labelled_sample(docs: DataFrame, label: str, rows_per_label: int, most_labels: int = 64) -> list[tuple[str, str]]:
-    """(text, label) of at most rows_per_label rows of each of at most most_labels labels, by the smallest hashes of doc_id."""
-    narrow = docs.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", label)
-    order = Window.partitionBy(label).orderBy(F.xxhash64("doc_id"), "doc_id")
-    picked = narrow.withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= rows_per_label).limit(rows_per_label * most_labels)
-    ids = [r["doc_id"] for r in picked.select("doc_id").collect()]
-    rows = docs.filter(F.col("doc_id").isin(ids) & F.col(label).isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", label).limit(2 * len(ids) + 1).collect()
-    return [(r["text"], r[label]) for r in sorted(rows, key=lambda r: (r["doc_id"], r[label], r["text"]))]
+def labelled_sample(docs: DataFrame, label: str, rows_per_label: int) -> list[tuple[str, str]]:
+    """(text, label) of at most rows_per_label rows of each label, by the smallest hashes of doc_id. Of rows that are repeated in it one is returned."""
+    rows = docs.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select(F.col(label).alias("label"), "doc_id", "text")
+    key = F.xxhash64("label", "doc_id", "text")
+    order = Window.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id", "key")
+    narrow = rows.select("label", "doc_id", key.alias("key")).withColumn("nth", F.row_number().over(order))
+    keys = [r["key"] for r in narrow.filter(F.col("nth") <= rows_per_label).select("key").distinct().collect()]
+    got = rows.withColumn("key", key).filter(F.col("key").isin(keys)).groupBy("key").agg(*(F.first(c).alias(c) for c in rows.columns)).collect()
+    return [(r["text"], r["label"]) for r in sorted(got, key=lambda r: (r["doc_id"], r["label"], r["text"]))]
 
 
 def identify(docs: DataFrame, labelled: DataFrame, rows_per_language: int = 300, hidden: int = 8, rounds: int = 300, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -125,6 +129,11 @@ def identify(docs: DataFrame, labelled: DataFrame, rows_per_language: int = 300,
     return docs.select(*names, F.col("text").cast("string").alias("text")).mapInArrow(_predict(net, languages), f"{schema}, lang_pred string, score double")
 
 
+def least_of(languages: int) -> float:
+    """The score below which a text is in none of so many languages: above what is said by chance, 1 / languages."""
+    return 0.25 + 0.6 / languages
+
+
 def _keep(net: ByteGRU, languages: list[str], text: str, least_score: float):
     def run(batches):
         for batch in batches:
@@ -136,16 +145,16 @@ def _keep(net: ByteGRU, languages: list[str], text: str, least_score: float):
     return run
 
 
-def keep_identified(docs: DataFrame, labelled: DataFrame, least_score: float = 0.28, text_col: str = "text", rows_per_language: int = 300, hidden: int = 8, rounds: int = 300) -> DataFrame:
-    """The rows of docs, with all their columns, whose text is in a language with a score of at least least_score.
+def keep_identified(docs: DataFrame, labelled: DataFrame, least_score: float | None = None, text_col: str = "text", rows_per_language: int = 300, hidden: int = 8, rounds: int = 300) -> DataFrame:
+    """The rows of docs, with all their columns, whose text is in a language with a score of at least least_score (see least_of).
 
-    What has no letter is rejected. Without any labelled row nothing can be identified and nothing is kept.
+    What has no letter is rejected, and what is mostly in a script that no labelled row has. Without any labelled row nothing can be identified and nothing is kept.
     """
     sample = labelled_sample(labelled, "lang", rows_per_language)
     if not any(_LETTER.search(t) for t, _ in sample):
         return docs.filter(F.lit(False))
     net, languages = train(sample, hidden, rounds)
-    return docs.mapInArrow(_keep(net, languages, text_col, least_score), docs.schema)
+    return docs.mapInArrow(_keep(net, languages, text_col, least_of(len(languages)) if least_score is None else least_score), docs.schema)
 
 
 def held_out(doc_id=None):

@@ -12,9 +12,14 @@ length, at most ``capacity`` numbers for any amount of data, and a gap table is
 The rounds run over these runs. All that is per piece stays distributed: a piece's rank in its length is its rank
 in its batch plus the counts of earlier batches, and its place is found from (length, rank) by binary search.
 
+This is best fit, longest first, to the sequence. Its rounds are not run as Spark jobs over the pieces: pieces of one
+length are alike, so the sweep over ranges, the ranks that settle conflicts and the gaps' updates need no more than the counts, and the
+driver holds at most ``capacity`` of them.
+
 Texts are tokenised once. A text is split at single spaces between other characters, where the pre-tokeniser always
 splits too, and each distinct word is encoded by the tokeniser itself once and remembered; whole texts are covered
-whatever they hold, and the ids are those of the whole text (tests compare them).
+whatever they hold, and the ids are those of the whole text (tests compare them). A text that holds the string of an added token,
+such as a special one, is given to the tokeniser whole.
 
 Defined results: null and empty texts are one closing id, one piece of length 1. Repeated rows are packed each. An
 empty table gives an empty result. Further columns of the input are ignored.
@@ -63,7 +68,8 @@ class Memory(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # a special token's string in a text is text
+        #: Strings that are tokens of their own wherever they stand; a text with one is encoded whole.
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.quick = self._same_merges(path)
 
     def _same_merges(self, path: str):
@@ -115,6 +121,8 @@ class WordTokenizer:
     def __call__(self, text: str) -> bytes:
         if len(self.memory) > REMEMBER:
             self.memory.clear()
+        if any(t in text for t in self.memory.added):
+            return array("I", self.memory.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
         odd = "  " in text or " \n" in text or "\n " in text or (not text.isascii() or _RARE.search(text)) and _ODD.search(text)
         first, *rest = _APART.split(text) if odd else text.split(" ")
         return self.memory.encode(first) + b"".join(map(self.memory.__getitem__, rest))

@@ -5,10 +5,11 @@ bad rows are not used. A logistic model over text statistics minimises the non-n
 
     prior * E_p[l(g)] + max(0, E_u[l(-g)] - prior * E_p[l(-g)])
 
-with the logistic loss l, by full-batch Adam; where the second term turns negative, its gradient is taken the other way
+with the logistic loss l, by full-batch Adam until it no longer falls; where the second term turns negative, its gradient is taken the other way
 round. The class prior is estimated from the same two samples: the share of unlabelled rows above a threshold over the
-share of positives above it is an upper bound of the prior for any threshold of any score; the smallest bound over
-thresholds that keep at least half of the positives is taken, on rows held back from the fit of that score.
+share of positives above it is an upper bound of the prior for any threshold of any score. Every row is scored by a model that was
+fitted on the other half (equal rows are in one half); each bound gets its standard error added, so that the least of many is not
+the luckiest, and the smallest over thresholds that keep at least half of the positives is taken.
 
 Statistics of a whole text: histograms of pairs of character classes, of punctuation marks and, hashed, of byte pairs
 (square roots of frequencies), the share of distinct words, of distinct pairs of words and of words that repeat the last one, mean and deviation of word lengths, and its length.
@@ -22,6 +23,8 @@ positive or no unlabelled row every score is 0.5. Repeated rows are scored each;
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -95,15 +98,20 @@ def _distinct(own: np.ndarray, h: np.ndarray, n: int) -> np.ndarray:
     return np.bincount((np.unique((h & ~np.uint64(0xFFFFF)) | own.astype(np.uint64)) & np.uint64(0xFFFFF)).astype(np.intp), minlength=n)[:n]
 
 
-def fit(p: np.ndarray, u: np.ndarray, prior: float, rounds: int = 800, rate: float = 0.1, decay: float = 1e-3) -> tuple[np.ndarray, float]:
+def fit(p: np.ndarray, u: np.ndarray, prior: float, rounds: int = 800, rate: float = 0.1, decay: float = 1e-3, tolerance: float = 1e-4) -> tuple[np.ndarray, float]:
     """Weights and bias that minimise the non-negative unbiased risk of positives p and unlabelled u."""
-    w, b = np.zeros(p.shape[1]), np.log(prior / (1 - prior))
-    m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
+    p, u = p.astype(np.float32), u.astype(np.float32)
+    w, b = np.zeros(p.shape[1], np.float32), np.float32(np.log(prior / (1 - prior)))
+    m, v = np.zeros(len(w) + 1, np.float32), np.zeros(len(w) + 1, np.float32)
     sigmoid = lambda g: 1 / (1 + np.exp(-np.clip(g, -40, 40)))
+    risks: list[float] = []
     for i in range(1, rounds + 1):
         gp, gu = p @ w + b, u @ w + b
         sp, su = sigmoid(gp), sigmoid(gu)
-        rest = np.logaddexp(0, gu).mean() - prior * np.logaddexp(0, gp).mean()
+        rest = float(np.logaddexp(0, gu).mean() - prior * np.logaddexp(0, gp).mean())
+        risks.append(prior * float(np.logaddexp(0, -gp).mean()) + max(0.0, rest) + 0.5 * decay * float(w @ w))
+        if i % 50 == 0 and i > 150 and np.mean(risks[-100:-50]) - np.mean(risks[-50:]) < tolerance:
+            break
         # d l(g) = s - 1, d l(-g) = s
         up, neg_p, neg_u = prior * (sp - 1) / len(p), -prior * sp / len(p), su / len(u)
         if rest >= 0:
@@ -113,19 +121,29 @@ def fit(p: np.ndarray, u: np.ndarray, prior: float, rounds: int = 800, rate: flo
         g = np.r_[p.T @ cp + u.T @ cu + decay * w, cp.sum() + cu.sum()]
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         step = rate * (1 - i / (rounds + 1)) * (m / (1 - 0.9**i)) / (np.sqrt(v / (1 - 0.99**i)) + 1e-8)
-        w, b = w - step[:-1], b - step[-1]
-    return w, float(b)
+        w, b = (w - step[:-1]).astype(np.float32), b - step[-1]
+    return w.astype(float), float(b)
+
+
+def _halves(x: np.ndarray) -> np.ndarray:
+    """A half for each row; equal rows have the same."""
+    return np.array([zlib.crc32(np.ascontiguousarray(r).tobytes()) & 1 for r in x])
 
 
 def estimate_prior(p: np.ndarray, u: np.ndarray) -> float:
-    """An estimate of the share of positives in u, from scores of rows held back from the fit."""
-    w, b = fit(p[::2], u[::2], 0.5)
-    sp, su = np.sort(p[1::2] @ w + b), p.dtype.type(0) + (u[1::2] @ w + b)
+    """An estimate of the share of positives in u."""
+    hp, hu = _halves(p), _halves(u)
+    sp, su = np.zeros(len(p)), np.zeros(len(u))
+    for k in (0, 1):
+        if not (0 < (hp == k).sum() < len(p) and 0 < (hu == k).sum() < len(u)):
+            return 0.5
+        w, b = fit(p[hp != k], u[hu != k], 0.5)
+        sp[hp == k], su[hu == k] = p[hp == k] @ w + b, u[hu == k] @ w + b
     best = 1.0
-    for t in np.quantile(sp, np.linspace(0, 0.5, 51)[1:]):
-        above = (sp >= t).mean()
-        bound = ((su >= t).mean() + 1 / np.sqrt(len(su)) * 0.5) / above
-        best = min(best, bound)
+    for t in np.quantile(sp, np.linspace(0, 0.5, 51)):
+        a, c = (su >= t).mean(), (sp >= t).mean()
+        error = np.sqrt(a * (1 - a) / len(su) + (a / c) ** 2 * c * (1 - c) / len(sp)) / c
+        best = min(best, a / c + error)
     return float(np.clip(best, 0.05, 0.98))
 
 
@@ -149,10 +167,10 @@ def _statistics(batches):
 
 
 def _sample(docs: DataFrame, ids: DataFrame, most: int) -> np.ndarray:
-    """Statistics of the rows of docs with the ``most`` smallest hashes of ids, at most twice as many rows."""
+    """Statistics of the rows of docs with the ``most`` smallest hashes of ids, one row for each of these ids."""
     picked = [r[0] for r in ids.filter(F.col("doc_id").isNotNull()).select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).collect()]
     rows = docs.filter(F.col("doc_id").isin(picked)).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    got = sorted(tuple(r) for r in rows.mapInArrow(_statistics, "doc_id long, stats binary").limit(2 * most).collect())
+    got = sorted(tuple(r) for r in rows.mapInArrow(_statistics, "doc_id long, stats binary").groupBy("doc_id").agg(F.min("stats").alias("stats")).collect())
     return np.array([np.frombuffer(s, np.float32) for _, s in got]).reshape(-1, FEATURES)
 
 

@@ -32,6 +32,8 @@ class ByteGRU:
             self.params["U" + side] = u.astype(np.float32)
         self.params["V"] = rng.normal(0, 0.3, (classes, 2 * hidden)).astype(np.float32)
         self.params["c"] = np.zeros((classes, 1), np.float32)
+        #: Bytes that what was learned from has.
+        self.known = np.ones(256, bool)
         self._shut()
 
     def _shut(self) -> None:

@@ -6,8 +6,8 @@ is the shortest run of consecutive sentences with at least ``least_sentences`` s
 least ``least_words`` words. With ``short_words`` three things are added: the shortest run of at least that many words is a span too where it
 has fewer sentences, and so is the whole of a text of fewer than ``least_sentences`` sentences and at least that many words;
 ``MARKS`` beyond ASCII end sentences as well; and a sentence of more than ``LONG`` words, as in text without any marks, is
-also cut after every word whose length in bytes leaves 3 when divided by 4, so that its pieces depend on the words and not on where
-it begins. Spans are equal when their words are (lower case, everything but letters and digits
+also cut after every word whose length in bytes and last byte (in lower case) add up to 3 modulo 4, so that its pieces depend on the words
+and not on where it begins. Spans are equal when their words are (lower case, everything but letters and digits
 ignored). All spans of all documents are hashed (128 bits) and joined; the first occurrence, by doc_id and position,
 stays, and every sentence covered by any other occurrence is removed. Spans are judged on the input.
 
@@ -63,7 +63,7 @@ def spans(text: str | None, least_sentences: int, least_words: int, short_words:
     starts = np.r_[0, after]
     if short_words and len(ws):
         own = np.searchsorted(starts, ws, "right") - 1
-        cut = (np.bincount(own)[own] > LONG)[:-1] & (own[1:] == own[:-1]) & ((we - ws)[:-1] % 4 == 3)
+        cut = (np.bincount(own)[own] > LONG)[:-1] & (own[1:] == own[:-1]) & ((we - ws + lower[we - 1])[:-1] % 4 == 3)
         starts = np.sort(np.r_[starts, ws[1:][cut]])
     ends = np.r_[starts[1:], len(raw)]
     # Words of each sentence; those without words join no span of their own.
@@ -193,7 +193,8 @@ WITH l AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^ENDS]*[ENDS]
 u0 AS (SELECT doc_id, unnest(range(1, len(units) + 1)) AS pos, unnest(units) AS unit FROM l),
 n0 AS (SELECT *, len(regexp_extract_all(translate(unit, 'MARKS', 'DOTS'), '[WORD]+')) AS words FROM u0),
 tk AS (SELECT doc_id, pos, unnest(range(1, len(toks) + 1)) AS k, unnest(toks) AS tok FROM (SELECT *, regexp_extract_all(unit, '^[^WORD]+|[WORD]+[^WORD]*') AS toks FROM n0 WHERE words > 40)),
-tc AS (SELECT *, coalesce(sum((strlen(regexp_extract(tok, '^[WORD]+')) % 4 = 3)::INT) OVER (PARTITION BY doc_id, pos ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS sub FROM tk),
+tl AS (SELECT *, regexp_extract(translate(tok, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '^[WORD]+') AS word FROM tk),
+tc AS (SELECT *, coalesce(sum((word <> '' AND (strlen(word) + ('0x' || right('0' || hex(word), 2))::INT) % 4 = 3)::INT) OVER (PARTITION BY doc_id, pos ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS sub FROM tl),
 u AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY pos, sub) AS pos, unit FROM (
   SELECT doc_id, pos, 0 AS sub, unit FROM n0 WHERE words <= 40 UNION ALL SELECT doc_id, pos, sub, string_agg(tok, '' ORDER BY k) FROM tc GROUP BY doc_id, pos, sub)),
 w AS (SELECT doc_id, pos, regexp_extract_all(translate(unit, 'ABCDEFGHIJKLMNOPQRSTUVWXYZMARKS', 'abcdefghijklmnopqrstuvwxyzDOTS'), '[WORD]+') AS ws FROM u),
