@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce as fold
 
 import numpy as np
 import pandas as pd
@@ -167,3 +168,85 @@ def observation_impact(pairs: DataFrame, forecast: DataFrame, cell: str = "cell"
     dot = F.aggregate(F.zip_with("y", "f", lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
     part = F.col("d") / F.col("r") * dot * F.col("e") / (F.size("y") - 1)
     return met.groupBy("obs_id").agg(F.sum(part).alias("impact"))
+
+
+def adaptive_inflation(pairs: DataFrame, prior: DataFrame, sigma_b: float, cell: str = "cell") -> DataFrame:
+    """The inflation of each cell, updated by how large its departures are against what ensemble and errors explain.
+
+    pairs: (cell, y array, d, r, weight), r already divided by the localisation weight; prior: (cell, inflation). The observed
+    inflation (sum d^2 / r - sum of weights) / (sum |y|^2 / r / (m - 1)) has the error variance 2 / W ((i P + W) / P)^2, W the sum of weights
+    and P the denominator, the prior one sigma_b^2; the result is their weighted mean. A cell without observations or spread keeps its own.
+    """
+    yy = F.aggregate("y", F.lit(0.0), lambda s, v: s + v * v) / (F.size("y") - 1)
+    sums = pairs.groupBy(cell).agg(F.sum(F.col("d") * F.col("d") / F.col("r")).alias("_dd"), F.sum(yy / F.col("r")).alias("_p"), F.sum("weight").alias("_w"))
+    own, p, w = F.col("inflation"), F.col("_p"), F.col("_w")
+    ratio = F.try_divide(own * p + w, p)
+    error = F.try_divide(F.lit(2.0), w) * ratio * ratio
+    gain = sigma_b**2 / (error + sigma_b**2)
+    new = own + gain * (F.try_divide(F.col("_dd") - w, p) - own)
+    return prior.join(sums, cell, "left").select(cell, F.coalesce(new, own).alias("inflation"))
+
+
+def analyse_variables(pairs: DataFrame, background: DataFrame, factors: DataFrame, rho: float = 1.0, relax: float = 0.0, relax_spread: float = 0.0, cell: Sequence[str] = ("cell",), inflation: DataFrame | None = None) -> DataFrame:
+    """Analysis members of every variable at every point of the grid, with localisation by variable.
+
+    pairs: (cell..., elm, y array, d, r), the selected observations of each point, bounded by the top-k of the local search;
+    background: (cell..., var, x array); factors: (var, elm, factor), by which an observation's weight is multiplied for a variable: zero or no
+    row leaves it out. cell names the columns of a point, as column and level. inflation: (cell..., inflation) of each point in place of rho.
+
+    Variables with the same factors share one transform, so that a point's matrix is made once for each kind of variable. One row per
+    point and kind goes to Python: its arrays.
+    """
+    kinds = factors.filter(F.col("factor") > 0).groupBy("var").agg(F.sort_array(F.collect_list(F.struct("elm", "factor"))).alias("own"))  # one row per variable
+    kinds = kinds.withColumn("kind", F.to_json("own"))
+    by = [*cell, "kind"]
+    wanted = kinds.select("kind", "own").distinct().select("kind", F.explode("own").alias("o")).select("kind", F.col("o.elm").alias("elm"), F.col("o.factor").alias("factor"))
+    obs = pairs.join(wanted, "elm").withColumn("r", F.col("r") / F.col("factor")).groupBy(*by).agg(F.collect_list(F.struct("y", "d", "r")).alias("obs"))
+    fields = background.join(kinds.select("var", "kind"), "var", "left").withColumn("kind", F.coalesce("kind", F.lit(""))).groupBy(*by).agg(F.collect_list(F.struct("var", "x")).alias("fields"))
+    rows = fields.join(obs, by, "left")
+    rows = rows.join(inflation, list(cell), "left").withColumn("inflation", F.coalesce("inflation", F.lit(float(rho)))) if inflation is not None else rows.withColumn("inflation", F.lit(float(rho)))
+    types = dict(background.dtypes)
+    out = ", ".join(f"{c} {types[c]}" for c in [*cell, "var"]) + ", x array<double>"
+
+    def run(batches):
+        for pdf in batches:
+            done = []
+            for n, (own, obs, rho) in enumerate(zip(pdf["fields"], pdf["obs"], pdf["inflation"], strict=True)):
+                obs = [] if obs is None else sorted(obs, key=lambda o: (o["d"], o["r"], tuple(o["y"])))
+                m = len(own[0]["x"])
+                y = np.array([o["y"] for o in obs], float).reshape(len(obs), m)
+                d, r = np.array([o["d"] for o in obs], float), np.array([o["r"] for o in obs], float)
+                shared = None
+                for f in own:
+                    x = np.asarray(f["x"], float)
+                    p = x - x.mean()
+                    if relax_spread or shared is None:  # the spread to return to is the variable's own
+                        shared = local_transform(y, d, r, rho, relax, relax_spread, p)
+                    w, t = shared
+                    done.append((n, f["var"], (x.mean() + p @ (t + w[:, None])).tolist()))
+            at = [r[0] for r in done]
+            yield pd.DataFrame({**{c: pdf[c].iloc[at].to_numpy() for c in cell}, "var": [r[1] for r in done], "x": [r[2] for r in done]})
+
+    return rows.mapInPandas(run, out)
+
+
+def impact_table(impact: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Number, sum and mean of observation impacts and the share that improves the forecast, by keys and over all, as element, type or region."""
+    t = impact.groupBy(*keys).agg(F.count("impact").alias("n"), F.sum("impact").alias("total"), F.avg("impact").alias("mean"), F.avg(F.when(F.col("impact") < 0, 1.0).otherwise(0.0)).alias("good"))
+    return t
+
+
+def normal(seed: int, *keys: Column | str) -> Column:
+    """A standard normal number made of hashes of the keys: the same however the rows are partitioned."""
+    u = lambda n: (F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.lit(n), *keys), 11) + 0.5) / float(1 << 53)
+    return F.sqrt(-2 * F.log(u(1))) * F.cos(2 * np.pi * u(2))
+
+
+def perturb(state: DataFrame, members: int, scale: dict[str, float], keys: Sequence[str], seed: int = 0) -> DataFrame:
+    """An initial ensemble: each row once per member (from 1), the named variables with normal errors of the given deviations, which add up to zero over members."""
+    each = state.withColumn("member", F.explode(F.sequence(F.lit(1), F.lit(members))))
+    for name, sd in scale.items():
+        draws = [normal(seed, F.lit(name), F.lit(m), *keys) for m in range(1, members + 1)]
+        mean = fold(lambda a, b: a + b, draws) / members
+        each = each.withColumn(name, F.col(name) + sd * (normal(seed, F.lit(name), F.col("member"), *keys) - mean))
+    return each

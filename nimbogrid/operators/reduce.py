@@ -49,9 +49,11 @@ def slot_reduction(obs: DataFrame, same: Sequence[str], slot: str, base: int, se
     return rows.groupBy(*same).agg(best.alias("b")).select(*same, *[F.col(f"b.{c}").alias(c) for c in rest])
 
 
-def islands(rows: DataFrame, order: Sequence[str], same: Sequence[str], within: Sequence[str] = (), name: str = "island") -> DataFrame:
+def islands(rows: DataFrame, order: Sequence[str], same: Sequence[str], within: Sequence[str], name: str = "island") -> DataFrame:
     """Numbers runs of consecutive rows that agree in ``same``, inside each ``within`` group."""
-    w = Window.partitionBy(*[F.col(c) for c in within] or [F.lit(0)]).orderBy(*order)
+    if not within:
+        raise ValueError("within must name the groups: a window over all rows would be one task")
+    w = Window.partitionBy(*[F.col(c) for c in within]).orderBy(*order)
     changed = F.lit(False)
     for c in same:
         changed = changed | ~F.col(c).eqNullSafe(F.lag(c).over(w))
@@ -113,14 +115,17 @@ def category_share(samples: DataFrame, cell: Sequence[str], category: str, weigh
     return out
 
 
-def lanczos_weights(cutoff: float, half: int) -> list[float]:
-    """Low-pass weights for offsets -half .. half, scaled to add up to 1."""
+def lanczos_weights(cutoff: float, resolution: int = 10) -> list[float]:
+    """Low-pass weights for offsets -resolution .. resolution; cutoff is an angular frequency in [0, pi].
+
+    The ideal filter's weight sin(c l) / (pi l), c / pi at 0, times the window sin(pi l / n) / (pi l / n). They are not scaled.
+    """
     import math
 
-    sinc = lambda x: 1.0 if x == 0 else math.sin(math.pi * x) / (math.pi * x)
-    w = [2 * cutoff * sinc(2 * cutoff * k) * sinc(k / (half + 1)) for k in range(-half, half + 1)]
-    total = sum(w)
-    return [x / total for x in w]
+    def weight(k: int) -> float:
+        return cutoff / math.pi if k == 0 else math.sin(cutoff * k) / (math.pi * k) * math.sin(math.pi * k / resolution) / (math.pi * k / resolution)
+
+    return [weight(k) for k in range(-resolution, resolution + 1)]
 
 
 def lanczos(series: DataFrame, index: str, value: str, n: int, weights: Sequence[float], keys: Sequence[str] = ()) -> DataFrame:
@@ -143,3 +148,24 @@ def diffusion_step(cells: DataFrame, i: str, j: str, value: str, ni: int, nj: in
     n = F.count(F.when(F.col("own") == 0, 1))
     # Only cells that exist have a result; one without neighbours has none.
     return both.groupBy(i, j).agg(F.try_divide(n * own - near, 2 * n).alias(value), F.count(F.when(F.col("own") == 1, 1)).alias("_own")).filter("_own > 0").drop("_own")
+
+
+def hyperdiffusion(cells: DataFrame, i: str, j: str, value: str, ni: int, nj: int, order: int = 2, iterations: int = 1, limiter: str | None = None) -> DataFrame:
+    """Takes from each cell its ``order`` times repeated second difference (see diffusion_step), ``iterations`` times over.
+
+    limiter: a column whose sign the value may not leave; it becomes zero instead. order must be even. Returns (i, j, value). A shuffle
+    by cell for each pass.
+    """
+    if order % 2:
+        raise ValueError("order must be even")
+    limit = cells.select(i, j, F.col(limiter).alias("_limit")) if limiter else None
+    data = cells.select(i, j, value)
+    for _ in range(iterations):
+        rough = data
+        for _ in range(order):
+            rough = diffusion_step(rough, i, j, value, ni, nj)
+        data = data.join(rough.withColumnRenamed(value, "_rough"), [i, j]).select(i, j, (F.col(value) - F.col("_rough")).alias(value))
+        if limit is not None:
+            sign = F.when(F.col("_limit") < 0, -1.0).otherwise(1.0)
+            data = data.join(limit, [i, j]).select(i, j, (sign * F.greatest(sign * F.col(value), F.lit(0.0))).alias(value))
+    return data

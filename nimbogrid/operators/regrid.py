@@ -140,12 +140,72 @@ def akima(df: DataFrame, column: Sequence[str], level: str, value: str, fraction
 
 
 def dft_lowpass(cells: DataFrame, i: str, j: str, value: str, n: int, most: int) -> DataFrame:
-    """Truncated Fourier series along i (0 .. n - 1) of each row j: wavenumbers 0 .. most, as joins with the wave table."""
-    spark = cells.sparkSession
-    waves = F.broadcast(spark.range(most + 1).select(F.col("id").alias("q")))  # most + 1 rows
-    angle = lambda c: 2 * np.pi * F.col("q") * F.col(c) / n
-    spectrum = cells.crossJoin(waves).groupBy(j, "q").agg(F.sum(F.col(value) * F.cos(angle(i))).alias("a"), F.sum(F.col(value) * F.sin(angle(i))).alias("b"))
-    places = F.broadcast(spark.range(n).select(F.col("id").cast("int").alias(i)))  # n rows
-    scale = F.when((F.col("q") == 0) | (2 * F.col("q") == n), 1.0 / n).otherwise(2.0 / n)
-    back = spectrum.crossJoin(places)
-    return back.groupBy(i, j).agg(F.sum(scale * (F.col("a") * F.cos(angle(i)) + F.col("b") * F.sin(angle(i)))).alias(value))
+    """Truncated Fourier series along i (0 .. n - 1) of each row j: wavenumbers 0 .. most.
+
+    A row of the grid, n numbers, is one array; spectrum and series are array expressions, so that nothing is joined.
+    """
+    angle = lambda q, c: 2 * np.pi / n * q * c
+    rows = cells.groupBy(j).agg(F.collect_list(F.struct(F.col(i).alias("i"), F.col(value).alias("v"))).alias("row"))
+
+    def wave(q: Column) -> Column:
+        part = lambda f: F.aggregate("row", F.lit(0.0), lambda s, c: s + c["v"] * f(angle(q, c["i"])))
+        scale = F.when((q == 0) | (2 * q == n), 1.0 / n).otherwise(2.0 / n)
+        return F.struct(q.alias("q"), (scale * part(F.cos)).alias("a"), (scale * part(F.sin)).alias("b"))
+
+    spectrum = rows.select(j, F.transform(F.sequence(F.lit(0), F.lit(most)), wave).alias("waves"))
+    back = F.transform(
+        F.sequence(F.lit(0), F.lit(n - 1)),
+        lambda c: F.struct(c.alias(i), F.aggregate("waves", F.lit(0.0), lambda s, w: s + w["a"] * F.cos(angle(w["q"], c)) + w["b"] * F.sin(angle(w["q"], c))).alias(value)),
+    )
+    return spectrum.select(j, F.explode(back).alias("c")).select(F.col(f"c.{i}").alias(i), j, F.col(f"c.{value}").alias(value))
+
+
+def dft_lowpass_2d(cells: DataFrame, i: str, j: str, value: str, ni: int, nj: int, most_i: int, most_j: int) -> DataFrame:
+    """Truncated Fourier series along both axes of a full, doubly periodic grid."""
+    return dft_lowpass(dft_lowpass(cells, i, j, value, ni, most_i), j, i, value, nj, most_j).select(i, j, value)
+
+
+def trilinear(points: DataFrame, grid: DataFrame, ri: str, rj: str, rk: str, i: str, j: str, k: str, value: str, row: str) -> DataFrame:
+    """Value at fractional indexes of a grid of three dimensions: eight corners by equi-join. Missing where a corner with weight is."""
+    at = {a: (F.floor(F.col(c)), F.col(c) - F.floor(F.col(c))) for a, c in (("i", ri), ("j", rj), ("k", rk))}
+    corners = []
+    for bits in range(8):
+        step = {a: bits >> n & 1 for n, a in enumerate("ijk")}
+        weight = F.lit(1.0)
+        for a, on in step.items():
+            weight = weight * (at[a][1] if on else 1 - at[a][1])
+        corners.append(F.struct(*[(at[a][0] + on).alias(a) for a, on in step.items()], weight.alias("w")))
+    spread = points.select(row, F.explode(F.array(*corners)).alias("c")).select(row, F.col("c.i").alias(i), F.col("c.j").alias(j), F.col("c.k").alias(k), F.col("c.w").alias("w")).filter("w > 0")
+    met = spread.join(grid.select(*[F.col(c).cast("long").alias(c) for c in (i, j, k)], value), [i, j, k], "left")
+    return met.groupBy(row).agg(F.when(F.count(value) == F.count(F.lit(1)), F.sum(F.col(value) * F.col("w"))).alias(value))
+
+
+def curvilinear_index(points: DataFrame, grid: DataFrame, row: str, x: str, y: str, i: str, j: str, size: float) -> DataFrame:
+    """Fractional index (ri, rj) of each point (row, x, y) in a curvilinear grid (i, j, gx, gy); none outside of it.
+
+    Four neighbouring grid points make a cell. Cells and points meet in square buckets of ``size``, then the cell's bilinear map is
+    inverted by a fixed number of Newton steps. A point on an edge takes the cell with the smallest index.
+    """
+    corner = lambda di, dj, n: grid.select((F.col(i) - di).alias(i), (F.col(j) - dj).alias(j), F.col("gx").alias(f"x{n}"), F.col("gy").alias(f"y{n}"))
+    cells = corner(0, 0, 0).join(corner(1, 0, 1), [i, j]).join(corner(0, 1, 2), [i, j]).join(corner(1, 1, 3), [i, j])
+    ends = {c: (F.least(*[F.col(f"{c}{n}") for n in range(4)]), F.greatest(*[F.col(f"{c}{n}") for n in range(4)])) for c in "xy"}
+    bucket = lambda c: F.floor(c / size)
+    spread = cells.withColumn("_bx", F.explode(F.sequence(bucket(ends["x"][0]), bucket(ends["x"][1])))).withColumn("_by", F.explode(F.sequence(bucket(ends["y"][0]), bucket(ends["y"][1]))))
+    p = points.select(row, F.col(x).alias("_x"), F.col(y).alias("_y")).withColumn("_bx", bucket(F.col("_x"))).withColumn("_by", bucket(F.col("_y")))
+    met = p.join(spread, ["_bx", "_by"]).filter((F.col("_x") >= ends["x"][0]) & (F.col("_x") <= ends["x"][1]) & (F.col("_y") >= ends["y"][0]) & (F.col("_y") <= ends["y"][1]))
+
+    def newton(s: Column, _: Column) -> Column:
+        a, b = s["a"], s["b"]
+        f, da, db = {}, {}, {}
+        for c in "xy":
+            v = [F.col(f"{c}{n}") for n in range(4)]
+            f[c] = (1 - a) * (1 - b) * v[0] + a * (1 - b) * v[1] + (1 - a) * b * v[2] + a * b * v[3] - F.col(f"_{c}")
+            da[c] = (1 - b) * (v[1] - v[0]) + b * (v[3] - v[2])
+            db[c] = (1 - a) * (v[2] - v[0]) + a * (v[3] - v[1])
+        det = da["x"] * db["y"] - da["y"] * db["x"]
+        return F.struct((a - F.try_divide(f["x"] * db["y"] - f["y"] * db["x"], det)).alias("a"), (b - F.try_divide(f["y"] * da["x"] - f["x"] * da["y"], det)).alias("b"))
+
+    found = met.withColumn("_s", F.aggregate(F.sequence(F.lit(1), F.lit(8)), F.struct(F.lit(0.5).alias("a"), F.lit(0.5).alias("b")), newton))
+    inside = found.filter((F.col("_s.a") >= -1e-9) & (F.col("_s.a") <= 1 + 1e-9) & (F.col("_s.b") >= -1e-9) & (F.col("_s.b") <= 1 + 1e-9))
+    best = F.min(F.struct(F.col(i).alias("i"), F.col(j).alias("j"), F.col("_s").alias("s")))
+    return inside.groupBy(row).agg(best.alias("m")).select(row, (F.col("m.i") + F.col("m.s.a")).alias("ri"), (F.col("m.j") + F.col("m.s.b")).alias("rj"))

@@ -55,8 +55,11 @@ def catalogue(df: DataFrame, var: str = "var", step: str = "step") -> DataFrame:
 
 
 def retile(df: DataFrame, keys: Sequence[str], i: str, j: str, ni: int, nj: int) -> DataFrame:
-    """One row per cell of tiles that overlap in their halo (all copies are equal), with the tile of a new layout."""
-    one = df.groupBy(*keys, i, j).agg(*[F.first(c).alias(c) for c in df.columns if c not in (*keys, i, j)])
+    """One row per cell of tiles that overlap in their halo, with the tile of a new layout. Copies of a cell must be equal: it is an error if they are not."""
+    rest = [c for c in df.columns if c not in (*keys, i, j)]
+    copies = df.groupBy(*keys, i, j).agg(F.min(F.struct(*rest)).alias("_lo"), F.max(F.struct(*rest)).alias("_hi"))
+    same = F.assert_true(F.col("_lo").eqNullSafe(F.col("_hi")), F.lit("copies of a cell differ"))
+    one = copies.filter(same.isNull()).select(*keys, i, j, *[F.col(f"_lo.{c}").alias(c) for c in rest])
     return one.withColumn("tile", F.floor(F.col(j) / nj) * 1000 + F.floor(F.col(i) / ni))
 
 
@@ -68,3 +71,13 @@ def blend(child: Column, parent: Column, weight: Column) -> Column:
 def unpivot(df: DataFrame, keys: Sequence[str], values: Sequence[str], var: str = "var", value: str = "value") -> DataFrame:
     """One row per key and variable; missing values give none."""
     return df.unpivot(list(keys), list(values), var, value).filter(F.col(value).isNotNull())
+
+
+def common_rows(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Distinct rows that both files have; missing values are equal."""
+    return a.intersect(b.select(*a.columns))
+
+
+def only_rows(a: DataFrame, b: DataFrame, every: bool = False) -> DataFrame:
+    """Distinct rows of a that b has not; with every, as many copies as a has more than b."""
+    return a.exceptAll(b.select(*a.columns)) if every else a.subtract(b.select(*a.columns))

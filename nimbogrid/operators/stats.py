@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .timeops import row_numbers
+
 
 def departure_monitor(obs: DataFrame, elements: DataFrame | None = None, fold: dict[str, str] | None = None) -> DataFrame:
     """n, bias and rmse of dep for each element over the rows with qc = 0.
@@ -70,18 +72,36 @@ def partial_correlation(r12: Column, r13: Column, r23: Column) -> Column:
     return F.when(fine, (r12 - r13 * r23) / F.sqrt((1 - r13 * r13) * (1 - r23 * r23)))
 
 
-def with_lag(df: DataFrame, order: str, value: str, lag: int, keys: Sequence[str] = (), name: str = "lagged") -> DataFrame:
-    """Adds the value ``lag`` rows later (earlier if negative); missing at the edge. Without keys the series must be small."""
-    w = Window.partitionBy(*[F.col(k) for k in keys] or [F.lit(0)]).orderBy(order)
-    return df.withColumn(name, F.lead(value, lag).over(w) if lag >= 0 else F.lag(value, -lag).over(w))
+def with_lag(df: DataFrame, order: str, value: str, lag: int, keys: Sequence[str] = (), name: str = "lagged", bucket: Column | None = None) -> DataFrame:
+    """Adds the value ``lag`` rows later (earlier if negative); missing at the edge.
+
+    With keys by a window over each key's rows. A series without keys takes a bucket, which does not fall as the order rises: rows are
+    numbered bucket by bucket and joined on their numbers.
+    """
+    if bucket is None:
+        w = Window.partitionBy(*[F.col(k) for k in keys] or [F.lit(0)]).orderBy(order)
+        return df.withColumn(name, F.lead(value, lag).over(w) if lag >= 0 else F.lag(value, -lag).over(w))
+    numbered = row_numbers(df, [order], bucket, "_nth")
+    later = numbered.select((F.col("_nth") - lag).alias("_nth"), F.col(value).alias(name))
+    return numbered.join(later, "_nth", "left").drop("_nth")
 
 
-def monitor_modes(series: DataFrame, order: str, value: str, dt: Column, keys: Sequence[str] = ()) -> DataFrame:
-    """value, deviation from the first, and the time integral of value as a tendency, to which the first row adds 0."""
-    w = Window.partitionBy(*[F.col(k) for k in keys] or [F.lit(0)]).orderBy(order)
-    through = w.rowsBetween(Window.unboundedPreceding, 0)
-    add = F.when(F.row_number().over(w) > 1, F.col(value) * dt).otherwise(0.0)
-    return series.withColumn("deviation", F.col(value) - F.first(value).over(through)).withColumn("_add", add).withColumn("integral", F.sum("_add").over(through)).drop("_add")
+def monitor_modes(series: DataFrame, order: str, value: str, dt: Column, keys: Sequence[str] = (), bucket: Column | None = None) -> DataFrame:
+    """value, deviation from the first, and the time integral of value as a tendency, to which the first row adds 0.
+
+    With a bucket, which does not fall as the order rises, a window holds one bucket of a key; the buckets' sums are carried on.
+    """
+    b = F.lit(0) if bucket is None else bucket
+    s = series.withColumn("_b", b).withColumn("_d", dt)
+    add = F.sum(F.col(value) * F.col("_d"))
+    sums = s.groupBy(*keys, "_b").agg(add.alias("_sum"), F.min(F.struct(F.col(order).alias("o"), F.col(value).alias("v"), F.col("_d").alias("d"))).alias("_lo"))
+    over = Window.partitionBy(*[F.col(k) for k in keys] or [F.lit(0)]).orderBy("_b")  # one row per bucket
+    first = F.first("_lo").over(over.rowsBetween(Window.unboundedPreceding, 0))
+    carried = sums.select(*keys, "_b", first.alias("_first"), F.coalesce(F.sum("_sum").over(over.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)).alias("_before"))
+    own = Window.partitionBy(*keys, "_b").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    out = s.join(carried, [*keys, "_b"])
+    through = F.col("_before") + F.sum(F.col(value) * F.col("_d")).over(own) - F.col("_first.v") * F.col("_first.d")
+    return out.withColumn("deviation", F.col(value) - F.col("_first.v")).withColumn("integral", through).select(*series.columns, "deviation", "integral")
 
 
 def cross_counts(obs: DataFrame, rows: str = "typ", cols: str = "elm") -> DataFrame:

@@ -4,10 +4,23 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def row_numbers(df: DataFrame, order: Sequence[str], bucket: Column, name: str = "nth") -> DataFrame:
+    """Numbers all rows from 1 in an order, with one task per bucket. bucket must not fall as the order rises.
+
+    Rows are counted by bucket first; only the table of counts, a row for each bucket, is summed up in one window.
+    """
+    d = df.withColumn("_b", bucket)
+    counts = d.groupBy("_b").agg(F.count(F.lit(1)).alias("_c"))
+    before = Window.partitionBy(F.lit(0)).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("_b", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_s"))
+    inside = d.withColumn("_n", F.row_number().over(Window.partitionBy("_b").orderBy(*order)))
+    return inside.join(starts, "_b").withColumn(name, F.col("_s") + F.col("_n")).drop("_b", "_s", "_n")
+
+
 def asof_linear(targets: DataFrame, source: DataFrame, time: str, value: str, keys: Sequence[str] = (), width: float | None = None) -> DataFrame:
     """Adds prev, next and the value interpolated in time to each target; null where a side is missing.
 

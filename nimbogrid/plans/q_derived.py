@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import constants as c
 from ..operators import derived
 from .registry import query
-from .views import OFF_TIE, r, v_cell
+from .views import r, v_cell
 
 
 def v_state(spark, sf_dir):
@@ -42,8 +42,8 @@ CELLS = {
 }
 
 for _name, _vars in CELLS.items():
-    query(f"derived_{_name}", STATE + "SELECT i, j, k, " + ", ".join(f'round({sql} + {OFF_TIE if d < 5 else 0}, {d}) AS "{v}"' for v, (sql, d) in _vars.items()) + " FROM st", "v_cell")(
-        lambda spark, sf_dir, names=_vars: derived.resolve(v_state(spark, sf_dir), list(names)).select("i", "j", "k", *[r(v, d, OFF_TIE if d < 5 else 0.0).alias(v) for v, (_, d) in names.items()])
+    query(f"derived_{_name}", STATE + "SELECT i, j, k, " + ", ".join((f'round(({sql})::DECIMAL(28, 7), {d})::DOUBLE AS "{v}"' if d < 5 else f'round({sql}, {d}) AS "{v}"') for v, (sql, d) in _vars.items()) + " FROM st", "v_cell")(
+        lambda spark, sf_dir, names=_vars: derived.resolve(v_state(spark, sf_dir), list(names)).select("i", "j", "k", *[r(v, d, 7 if d < 5 else None).alias(v) for v, (_, d) in names.items()])
     )
 
 
@@ -104,11 +104,11 @@ def derived_turbulence(spark, sf_dir):
 
 @query(
     "derived_water_paths",
-    STATE + 'SELECT i, j, round(sum((qc + qr) * dens * dz * 1000) + 0.0000037, 4) AS "LWP", round(sum((qi + qs + qg) * dens * dz * 1000) + 0.0000037, 4) AS "IWP", round(sum((qv + qc + qr + qi + qs + qg) * dens * dz * 1000) + 0.0000037, 3) AS "PW" FROM st GROUP BY i, j',
+    STATE + 'SELECT i, j, round((sum((qc + qr) * dens * dz * 1000))::DECIMAL(28, 7), 4)::DOUBLE AS "LWP", round((sum((qi + qs + qg) * dens * dz * 1000))::DECIMAL(28, 7), 4)::DOUBLE AS "IWP", round((sum((qv + qc + qr + qi + qs + qg) * dens * dz * 1000))::DECIMAL(28, 7), 3)::DOUBLE AS "PW" FROM st GROUP BY i, j',
     "v_cell",
 )
 def derived_water_paths(spark, sf_dir):
-    return derived.column_paths(v_state(spark, sf_dir)).select("i", "j", r("LWP", 4, OFF_TIE).alias("LWP"), r("IWP", 4, OFF_TIE).alias("IWP"), r("PW", 3, OFF_TIE).alias("PW"))
+    return derived.column_paths(v_state(spark, sf_dir)).select("i", "j", r("LWP", 4, 7).alias("LWP"), r("IWP", 4, 7).alias("IWP"), r("PW", 3, 7).alias("PW"))
 
 
 @query(

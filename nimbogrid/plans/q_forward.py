@@ -54,13 +54,13 @@ def radar_operator(spark, sf_dir):
 
 @query(
     "terrain_levels",
-    ", t AS (SELECT i, j, avg(vr) * 10 AS topo FROM v_cell GROUP BY i, j) SELECT i, j, k, round((12000 - topo) / 12000 * k * 500 + topo + 0.0000013, 5) AS z FROM t, (SELECT unnest(range(1, 8))::INT AS k)".lstrip(),
+    ", t AS (SELECT i, j, avg(vr) * 10 AS topo FROM v_cell GROUP BY i, j) SELECT i, j, k, round(((12000 - topo) / 12000 * k * 500 + topo)::DECIMAL(28, 8), 5)::DOUBLE AS z FROM t, (SELECT unnest(range(1, 8))::INT AS k)".lstrip(),
     "v_cell",
 )
 def terrain_levels(spark, sf_dir):
     t = v_cell(spark, sf_dir).groupBy("i", "j").agg((F.avg("vr") * 10).alias("topo"))
     t = t.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(7))))
-    return t.select("i", "j", "k", r(forward.terrain_height(F.col("k") * 500.0, F.col("topo"), 12000.0), 5, 0.0000013).alias("z"))
+    return t.select("i", "j", "k", r(forward.terrain_height(F.col("k") * 500.0, F.col("topo"), 12000.0), 5, 8).alias("z"))
 
 
 for _m, _sql in (
@@ -86,18 +86,19 @@ def nudging(spark, sf_dir):
     "history_requests",
     """WITH s AS (SELECT event_type, (epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01')) / 1e6 AS t, value, (user_id % 10)::DOUBLE AS load, (1 + user_id % 3)::DOUBLE AS dt FROM events),
  q AS (SELECT event_type, 'value_6h' AS name, ceil(t / 21600)::BIGINT AS interval, sum(value * dt) / sum(dt) AS v FROM s GROUP BY 1, 3 UNION ALL SELECT event_type, 'value_1d', ceil(t / 86400)::BIGINT, sum(value * dt) / sum(dt) FROM s GROUP BY 1, 3
-  UNION ALL SELECT event_type, 'load', ceil(t / 86400)::BIGINT, max(load) FROM s GROUP BY 1, 3) SELECT event_type, name, interval, round(v + 0.0000037, 4) AS value FROM q""",
+  UNION ALL SELECT event_type, 'load', ceil(t / 86400)::BIGINT, max(load) FROM s GROUP BY 1, 3) SELECT event_type, name, interval, round((v)::DECIMAL(28, 7), 4)::DOUBLE AS value FROM q""",
 )
 def history_requests(spark, sf_dir):
     s = table(spark, sf_dir, "events").select("event_type", seconds_since("ts", "2024-01-01").alias("t"), "value", (F.col("user_id") % 10).cast("double").alias("load"), (1 + F.col("user_id") % 3).cast("double").alias("dt"))
     q = [forward.Request("value", 21600, "mean", "value_6h"), forward.Request("value", 86400, "mean", "value_1d"), forward.Request("load", 86400, "max")]
-    return forward.history_requests(s, q, ["event_type"], "t", "dt").select("event_type", "name", "interval", r("value", 4, 0.0000037).alias("value"))
+    return forward.history_requests(s, q, ["event_type"], "t", "dt").select("event_type", "name", "interval", r("value", 4, 7).alias("value"))
 
 
-@query("gamma_function", "SELECT p_size, round(gamma(p_size / 7.0::DOUBLE), 4) AS g, count(*) AS n FROM part WHERE p_size <= 42 GROUP BY p_size")
+@query("gamma_function", "SELECT p_size, round(lgamma(p_size / 7.0::DOUBLE), 9) AS log_g, round(gamma(p_size / 7.0::DOUBLE), 4) AS g, count(*) AS n FROM part GROUP BY p_size")
 def gamma_function(spark, sf_dir):
-    p = table(spark, sf_dir, "part").filter("p_size <= 42")
-    return p.groupBy("p_size").agg(F.count(F.lit(1)).alias("n")).select("p_size", r(gamma(F.col("p_size") / 7)).alias("g"), "n")
+    p = table(spark, sf_dir, "part").groupBy("p_size").agg(F.count(F.lit(1)).alias("n"))
+    g = gamma(F.col("p_size") / 7)
+    return p.select("p_size", r(F.log(g), 9).alias("log_g"), r(g).alias("g"), "n")
 
 
 @query(
@@ -113,7 +114,7 @@ def taper_weights(spark, sf_dir):
 
 @query(
     "monthly_constant",
-    """, m AS (SELECT month(day) AS mon, avg(total) AS clim FROM v_series GROUP BY 1) SELECT s.day, round(s.total - m.clim + 0.0123, 1) AS anomaly FROM v_series s JOIN m ON month(s.day) = m.mon""".lstrip(),
+    """, m AS (SELECT month(day) AS mon, avg(total) AS clim FROM v_series GROUP BY 1) SELECT s.day, round((s.total - m.clim)::DECIMAL(28, 4), 1)::DOUBLE AS anomaly FROM v_series s JOIN m ON month(s.day) = m.mon""".lstrip(),
     "v_series",
 )
 def monthly_constant(spark, sf_dir):
@@ -122,7 +123,7 @@ def monthly_constant(spark, sf_dir):
 
     s = v_series(spark, sf_dir).withColumn("mon", F.month("day"))
     m = s.groupBy("mon").agg(F.avg("total").alias("clim"))
-    return s.join(F.broadcast(m), "mon").select("day", r(F.col("total") - F.col("clim"), 1, 0.0123).alias("anomaly"))
+    return s.join(F.broadcast(m), "mon").select("day", r(F.col("total") - F.col("clim"), 1, 4).alias("anomaly"))
 
 
 @query("stretched_levels")

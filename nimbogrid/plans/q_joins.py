@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import joins
 from .registry import query
-from .views import OFF_TIE, r, table, v_cell, v_grid, v_obs, v_site
+from .views import r, table, v_cell, v_grid, v_obs, v_site
 
 
 @query(
@@ -84,15 +84,15 @@ BRACKET = """, l AS (SELECT i, j, k * 10.0::DOUBLE AS lev, avg(z) AS z FROM v_ce
 def _bracket(spark, sf_dir, clamp):
     levels = v_cell(spark, sf_dir).groupBy("i", "j", (F.col("k") * 10.0).alias("lev")).agg(F.avg("z").alias("z"))
     targets = levels.select("i", "j").distinct().withColumn("target", F.explode(F.array(*[F.lit(x) for x in (5.0, 10.0, 33.0, 70.0, 90.0)])))
-    return joins.bracket(targets, levels, ["i", "j"], "target", "lev", "z", clamp).select("i", "j", "target", r("z", 4, OFF_TIE).alias("z"))
+    return joins.bracket(targets, levels, ["i", "j"], "target", "lev", "z", clamp).select("i", "j", "target", r("z", 4, 7).alias("z"))
 
 
-@query("bracket_clamped", BRACKET + "SELECT i, j, target, round(CASE WHEN target < lev OR l2 IS NULL THEN z ELSE z + (target - lev) / (l2 - lev) * (z2 - z) END + 0.0000037, 4) AS z FROM h", "v_cell")
+@query("bracket_clamped", BRACKET + "SELECT i, j, target, round((CASE WHEN target < lev OR l2 IS NULL THEN z ELSE z + (target - lev) / (l2 - lev) * (z2 - z) END)::DECIMAL(28, 7), 4)::DOUBLE AS z FROM h", "v_cell")
 def bracket_clamped(spark, sf_dir):
     return _bracket(spark, sf_dir, True)
 
 
-@query("bracket_missing", BRACKET + "SELECT i, j, target, round(CASE WHEN target < lev OR (l2 IS NULL AND target > lev) THEN NULL WHEN l2 IS NULL THEN z ELSE z + (target - lev) / (l2 - lev) * (z2 - z) END + 0.0000037, 4) AS z FROM h", "v_cell")
+@query("bracket_missing", BRACKET + "SELECT i, j, target, round((CASE WHEN target < lev OR (l2 IS NULL AND target > lev) THEN NULL WHEN l2 IS NULL THEN z ELSE z + (target - lev) / (l2 - lev) * (z2 - z) END)::DECIMAL(28, 7), 4)::DOUBLE AS z FROM h", "v_cell")
 def bracket_missing(spark, sf_dir):
     return _bracket(spark, sf_dir, False)
 
@@ -102,13 +102,13 @@ def bracket_missing(spark, sf_dir):
     """, g AS (SELECT i, j, avg(z) AS z FROM v_cell GROUP BY i, j), p AS (SELECT obs_id, x * 0.19 AS ri, y * 0.19 AS rj FROM v_site),
  c AS (SELECT obs_id, floor(ri) + a AS i, floor(rj) + b AS j, (CASE WHEN a = 1 THEN ri - floor(ri) ELSE 1 - (ri - floor(ri)) END) * (CASE WHEN b = 1 THEN rj - floor(rj) ELSE 1 - (rj - floor(rj)) END) AS w
    FROM p, (SELECT unnest([0, 0, 1, 1]) AS a, unnest([0, 1, 0, 1]) AS b))
-SELECT obs_id, round(CASE WHEN count(z) = count(*) THEN sum(z * w) END + 0.0000037, 4) AS z FROM c LEFT JOIN g USING (i, j) WHERE w > 0 GROUP BY obs_id""".lstrip(),
+SELECT obs_id, round((CASE WHEN count(z) = count(*) THEN sum(z * w) END)::DECIMAL(28, 7), 4)::DOUBLE AS z FROM c LEFT JOIN g USING (i, j) WHERE w > 0 GROUP BY obs_id""".lstrip(),
     "v_cell v_site",
 )
 def bilinear_corners(spark, sf_dir):
     g = v_cell(spark, sf_dir).groupBy("i", "j").agg(F.avg("z").alias("z"))
     p = v_site(spark, sf_dir).select("obs_id", (F.col("x") * 0.19).alias("ri"), (F.col("y") * 0.19).alias("rj"))
-    return joins.corners(p, g, "ri", "rj", "i", "j", "z", "obs_id").select("obs_id", r("z", 4, OFF_TIE).alias("z"))
+    return joins.corners(p, g, "ri", "rj", "i", "j", "z", "obs_id").select("obs_id", r("z", 4, 7).alias("z"))
 
 
 @query(

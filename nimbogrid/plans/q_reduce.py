@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import reduce
+from ..operators import reduce, timeops
 from .q_obs import QC_SQL, obs_with_qc
 from .registry import query
-from .views import OFF_TIE, r, table, v_cell, v_series
+from .views import r, table, v_cell, v_series
 
 
 @query(
@@ -34,14 +34,14 @@ def superob_nearest(spark, sf_dir):
     return reduce.superob(_near(spark, sf_dir), ["i", "j", "k"], 1, "z", "err", "dist", "rid")
 
 
-@query("superob_average", NEAR + "SELECT i, j, k, round(avg(z) + 0.0000037, 4) AS z, min(err) AS err, count(*) AS n FROM n GROUP BY i, j, k", "v_cell")
+@query("superob_average", NEAR + "SELECT i, j, k, round((avg(z))::DECIMAL(28, 7), 4)::DOUBLE AS z, min(err) AS err, count(*) AS n FROM n GROUP BY i, j, k", "v_cell")
 def superob_average(spark, sf_dir):
-    return reduce.superob(_near(spark, sf_dir), ["i", "j", "k"], 2, "z").withColumn("z", r("z", 4, OFF_TIE))
+    return reduce.superob(_near(spark, sf_dir), ["i", "j", "k"], 2, "z").withColumn("z", r("z", 4, 7))
 
 
-@query("superob_best_average", NEAR + "SELECT i, j, k, round(avg(z) + 0.0000037, 4) AS z, min(err) AS err, count(*) AS n FROM (SELECT *, min(err) OVER (PARTITION BY i, j, k) AS e FROM n) WHERE err = e GROUP BY i, j, k", "v_cell")
+@query("superob_best_average", NEAR + "SELECT i, j, k, round((avg(z))::DECIMAL(28, 7), 4)::DOUBLE AS z, min(err) AS err, count(*) AS n FROM (SELECT *, min(err) OVER (PARTITION BY i, j, k) AS e FROM n) WHERE err = e GROUP BY i, j, k", "v_cell")
 def superob_best_average(spark, sf_dir):
-    return reduce.superob(_near(spark, sf_dir), ["i", "j", "k"], 3, "z").withColumn("z", r("z", 4, OFF_TIE))
+    return reduce.superob(_near(spark, sf_dir), ["i", "j", "k"], 3, "z").withColumn("z", r("z", 4, 7))
 
 
 @query(
@@ -93,31 +93,49 @@ def density_grid(spark, sf_dir):
     return v_cell(spark, sf_dir).groupBy("i", "j", "k").agg(F.count(F.lit(1)).alias("n"))
 
 
-_W = reduce.lanczos_weights(0.1, 5)
-
-
 @query(
     "lanczos_filter",
-    f""", s AS (SELECT day, total, (row_number() OVER (ORDER BY day)) - 1 AS n, (count(*) OVER ()) AS c FROM v_series),
-w AS (SELECT unnest([{", ".join(map(repr, _W))}])::DOUBLE AS w, unnest(range(-5, 6)) AS o)
+    """, s AS (SELECT total, (row_number() OVER (ORDER BY day)) - 1 AS n, (count(*) OVER ()) AS c FROM v_series),
+w AS (SELECT o, CASE WHEN o = 0 THEN 0.6 / pi() ELSE sin(0.6 * o) * sin(pi() * o / 10) * 10 / (pi() * o * pi() * o) END AS w FROM (SELECT unnest(range(-10, 11)) AS o))
 SELECT (s.n + w.o + s.c) % s.c AS n, round(sum(total * w), 2) AS total FROM s, w GROUP BY 1""".lstrip(),
     "v_series",
 )
 def lanczos_filter(spark, sf_dir):
-    from pyspark.sql import Window
-
     s = v_series(spark, sf_dir)
     days = s.count()
-    numbered = s.withColumn("n", (F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("day")) - 1).cast("long"))  # one row per day
-    return reduce.lanczos(numbered.select("n", "total"), "n", "total", days, _W).withColumn("total", r("total", 2))
+    numbered = timeops.row_numbers(s, ["day"], F.year("day"), "nth").select((F.col("nth") - 1).alias("n"), "total")
+    return reduce.lanczos(numbered, "n", "total", days, reduce.lanczos_weights(0.6)).withColumn("total", r("total", 2))
 
 
 @query(
     "diffusion_filter",
     """, g AS (SELECT i, j, avg(z) AS p FROM v_cell GROUP BY i, j)
-SELECT a.i, a.j, round((count(b.p) * a.p - sum(b.p)) / nullif(2 * count(b.p), 0) + 0.0000037, 4) AS p FROM g a LEFT JOIN g b ON abs(a.i - b.i) + abs(a.j - b.j) = 1 GROUP BY a.i, a.j, a.p""".lstrip(),
+SELECT a.i, a.j, round(((count(b.p) * a.p - sum(b.p)) / nullif(2 * count(b.p), 0))::DECIMAL(28, 7), 4)::DOUBLE AS p FROM g a LEFT JOIN g b ON abs(a.i - b.i) + abs(a.j - b.j) = 1 GROUP BY a.i, a.j, a.p""".lstrip(),
     "v_cell",
 )
 def diffusion_filter(spark, sf_dir):
     g = v_cell(spark, sf_dir).groupBy("i", "j").agg(F.avg("z").alias("p"))
-    return reduce.diffusion_step(g, "i", "j", "p", 20, 20).withColumn("p", r("p", 4, OFF_TIE))
+    return reduce.diffusion_step(g, "i", "j", "p", 20, 20).withColumn("p", r("p", 4, 7))
+
+
+def _rough(table: str, name: str) -> str:
+    """SQL of one pass of second differences over a table (i, j, p)."""
+    return f"{name} AS (SELECT a.i, a.j, (count(b.p) * a.p - sum(b.p)) / (2 * count(b.p)) AS p FROM {table} a JOIN {table} b ON abs(a.i - b.i) + abs(a.j - b.j) = 1 GROUP BY a.i, a.j, a.p)"
+
+
+_ROUNDS = ", ".join(
+    f"{_rough(f'g{n}', f'a{n}')}, {_rough(f'a{n}', f'b{n}')}, g{n + 1} AS (SELECT i, j, s * greatest(s * (g{n}.p - b{n}.p), 0) AS p FROM g{n} JOIN b{n} USING (i, j) JOIN l USING (i, j))" for n in range(2)
+)
+
+
+@query(
+    "hyperdiffusion_filter",
+    f""", g0 AS (SELECT i, j, avg(z) - 30000 AS p FROM v_cell GROUP BY i, j), l AS (SELECT i, j, CASE WHEN (i + j) % 3 = 0 THEN 1.0 WHEN p < 0 THEN -1.0 ELSE 1.0 END AS s FROM g0), {_ROUNDS}
+SELECT i, j, round((p)::DECIMAL(28, 7), 3)::DOUBLE AS p FROM g2""".lstrip(),
+    "v_cell",
+)
+def hyperdiffusion_filter(spark, sf_dir):
+    """Second order, two iterations, with a limiter of the sign."""
+    g = v_cell(spark, sf_dir).groupBy("i", "j").agg((F.avg("z") - 30000).alias("p"))
+    g = g.withColumn("s", F.when((F.col("i") + F.col("j")) % 3 == 0, 1.0).when(F.col("p") < 0, -1.0).otherwise(1.0))
+    return reduce.hyperdiffusion(g, "i", "j", "p", 20, 20, 2, 2, "s").withColumn("p", r("p", 3, 7))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import joins, regrid
 from .q_joins import KNN
 from .registry import query
-from .views import OFF_TIE, r, v_cell, v_grid, v_site
+from .views import r, v_cell, v_grid, v_site
 
 for _least in (0.5, 1.0):
     _tag = str(_least).replace(".", "")
@@ -103,11 +103,54 @@ def dft_lowpass(spark, sf_dir):
     return regrid.dft_lowpass(g, "i", "j", "z", 20, 3).withColumn("z", r("z", 3))
 
 
+@query(
+    "dft_lowpass_2d",
+    """, g AS (SELECT i, j, avg(z) AS z FROM v_cell GROUP BY i, j), w AS (SELECT unnest(range(0, 4)) AS q),
+ s AS (SELECT j, q, sum(z * cos(2 * pi() * q * i / 20)) AS a, sum(z * sin(2 * pi() * q * i / 20)) AS b FROM g, w GROUP BY j, q),
+ h AS (SELECT p.i, j, sum((CASE WHEN q = 0 THEN 0.05 ELSE 0.1 END)::DOUBLE * (a * cos(2 * pi() * q * p.i / 20) + b * sin(2 * pi() * q * p.i / 20))) AS z FROM s, (SELECT unnest(range(0, 20))::INT AS i) p GROUP BY 1, 2),
+ t AS (SELECT i, q, sum(z * cos(2 * pi() * q * j / 20)) AS a, sum(z * sin(2 * pi() * q * j / 20)) AS b FROM h, w WHERE q <= 2 GROUP BY i, q)
+SELECT i, p.j, round(sum((CASE WHEN q = 0 THEN 0.05 ELSE 0.1 END)::DOUBLE * (a * cos(2 * pi() * q * p.j / 20) + b * sin(2 * pi() * q * p.j / 20))), 3) AS z FROM t, (SELECT unnest(range(0, 20))::INT AS j) p GROUP BY 1, 2""".lstrip(),
+    "v_cell",
+)
+def dft_lowpass_2d(spark, sf_dir):
+    g = v_cell(spark, sf_dir).groupBy("i", "j").agg(F.avg("z").alias("z"))
+    return regrid.dft_lowpass_2d(g, "i", "j", "z", 20, 20, 3, 2).withColumn("z", r("z", 3))
+
+
+@query(
+    "trilinear",
+    """, g AS (SELECT i, j, k, avg(z) AS z FROM v_cell GROUP BY i, j, k), p AS (SELECT obs_id, x * 0.19 AS ri, y * 0.19 AS rj, 1 + (lev % 6) * 1.1::DOUBLE AS rk FROM v_site),
+ c AS (SELECT obs_id, floor(ri)::INT + a AS i, floor(rj)::INT + b AS j, floor(rk)::INT + d AS k, (CASE WHEN a = 1 THEN ri - floor(ri) ELSE 1 - (ri - floor(ri)) END) * (CASE WHEN b = 1 THEN rj - floor(rj) ELSE 1 - (rj - floor(rj)) END) * (CASE WHEN d = 1 THEN rk - floor(rk) ELSE 1 - (rk - floor(rk)) END) AS w
+  FROM p, (SELECT unnest([0, 1]) AS a), (SELECT unnest([0, 1]) AS b), (SELECT unnest([0, 1]) AS d))
+SELECT obs_id, round((CASE WHEN count(z) = count(*) THEN sum(z * w) END)::DECIMAL(28, 7), 4)::DOUBLE AS z FROM c LEFT JOIN g USING (i, j, k) WHERE w > 0 GROUP BY obs_id""".lstrip(),
+    "v_cell v_site",
+)
+def trilinear(spark, sf_dir):
+    """Values of a grid of three dimensions at fractional indexes."""
+    g = v_cell(spark, sf_dir).groupBy("i", "j", "k").agg(F.avg("z").alias("z"))
+    p = v_site(spark, sf_dir).select("obs_id", (F.col("x") * 0.19).alias("ri"), (F.col("y") * 0.19).alias("rj"), (1 + (F.col("lev") % 6) * 1.1).alias("rk"))
+    return regrid.trilinear(p, g, "ri", "rj", "rk", "i", "j", "k", "z", "obs_id").withColumn("z", r("z", 4, 7))
+
+
+@query(
+    "curvilinear_index",
+    ", q AS (SELECT obs_id, (x * 1.6 + y * 0.4 - 2) / 10 AS u, (y * 1.2 - x * 0.3 - 1) / 10 AS v FROM v_site) SELECT obs_id, round(u, 6) AS ri, round(v, 6) AS rj FROM q WHERE u >= 0 AND u <= 20 AND v >= 0 AND v <= 20".lstrip(),
+    "v_site",
+)
+def curvilinear_index(spark, sf_dir):
+    """Places of a sheared grid, whose index is known in closed form: 1.6 x + 0.4 y = 10 i + 2, -0.3 x + 1.2 y = 10 j + 1."""
+    n = spark.range(21 * 21).select((F.col("id") % 21).alias("i"), F.floor(F.col("id") / 21).alias("j"))
+    a, b, det = F.col("i") * 10.0 + 2, F.col("j") * 10.0 + 1, 1.6 * 1.2 + 0.4 * 0.3
+    grid = n.select("i", "j", ((1.2 * a - 0.4 * b) / det).alias("gx"), ((0.3 * a + 1.6 * b) / det).alias("gy"))
+    found = regrid.curvilinear_index(v_site(spark, sf_dir), grid, "obs_id", "x", "y", "i", "j", 10.0)
+    return found.select("obs_id", r("ri", 6).alias("ri"), r("rj", 6).alias("rj"))
+
+
 @query(
     "pressure_levels",
     """, l AS (SELECT i, j, -ln(1000.0::DOUBLE - k * 100) AS lev, avg(z) AS z FROM v_cell GROUP BY i, j, k), t AS (SELECT DISTINCT i, j, unnest([850.0, 500.0, 250.0])::DOUBLE AS p FROM v_cell),
  s AS (SELECT *, lead(lev) OVER (PARTITION BY i, j ORDER BY lev) AS l2, lead(z) OVER (PARTITION BY i, j ORDER BY lev) AS z2, row_number() OVER (PARTITION BY i, j ORDER BY lev) AS o FROM l)
-SELECT t.i, t.j, p, round(CASE WHEN -ln(p) < lev OR (l2 IS NULL AND -ln(p) > lev) THEN NULL WHEN l2 IS NULL THEN z ELSE z + (-ln(p) - lev) / (l2 - lev) * (z2 - z) END + 0.0000037, 4) AS z FROM t JOIN s USING (i, j)
+SELECT t.i, t.j, p, round((CASE WHEN -ln(p) < lev OR (l2 IS NULL AND -ln(p) > lev) THEN NULL WHEN l2 IS NULL THEN z ELSE z + (-ln(p) - lev) / (l2 - lev) * (z2 - z) END)::DECIMAL(28, 7), 4)::DOUBLE AS z FROM t JOIN s USING (i, j)
 WHERE (-ln(p) >= lev AND (l2 IS NULL OR -ln(p) < l2)) OR (o = 1 AND -ln(p) < lev)""".lstrip(),
     "v_cell",
 )
@@ -115,4 +158,4 @@ def pressure_levels(spark, sf_dir):
     """To pressure levels on a -ln p axis, without extrapolation."""
     levels = v_cell(spark, sf_dir).groupBy("i", "j", (-F.log(1000.0 - F.col("k") * 100)).alias("lev")).agg(F.avg("z").alias("z"))
     targets = levels.select("i", "j").distinct().withColumn("p", F.explode(F.array(*[F.lit(x) for x in (850.0, 500.0, 250.0)]))).withColumn("t", -F.log("p"))
-    return joins.bracket(targets, levels, ["i", "j"], "t", "lev", "z", False).select("i", "j", "p", r("z", 4, OFF_TIE).alias("z"))
+    return joins.bracket(targets, levels, ["i", "j"], "t", "lev", "z", False).select("i", "j", "p", r("z", 4, 7).alias("z"))

@@ -12,7 +12,7 @@ from .views import r, table, v_grid, v_site
 
 def state(spark, sf_dir):
     """Line items as air: t 240-290 K, p 500-1000 hPa, wind, moisture of six kinds."""
-    d = table(spark, sf_dir, "lineitem").dropDuplicates(["l_orderkey", "l_linenumber", "l_extendedprice"])
+    d = table(spark, sf_dir, "lineitem")
     f = F.col
     return d.select(
         f("l_orderkey").alias("okey"), f("l_linenumber").alias("line"), f("l_extendedprice").alias("price"), (240 + f("l_quantity")).alias("t"), (50000 + f("l_extendedprice") % 50000).alias("p"),
@@ -21,8 +21,8 @@ def state(spark, sf_dir):
     )
 
 
-STATE = """WITH st AS (SELECT DISTINCT ON (l_orderkey, l_linenumber, l_extendedprice) l_orderkey AS okey, l_linenumber AS line, l_extendedprice AS price, 240 + l_quantity AS t, 50000 + l_extendedprice % 50000 AS p,
-  l_tax * 100 AS u, l_discount * 100 - 5 AS v, (l_linenumber - 3.5)::DOUBLE AS w, l_discount * 0.1::DOUBLE AS qv, l_tax * 0.01::DOUBLE AS qr, l_discount * 0.01::DOUBLE AS qs, ((l_partkey % 7) * 0.0005)::DOUBLE AS qg FROM lineitem WHERE l_orderkey % 10 = 0) """
+STATE = """WITH st AS (SELECT l_orderkey AS okey, l_linenumber AS line, l_extendedprice AS price, 240 + l_quantity AS t, 50000 + l_extendedprice % 50000 AS p,
+  l_tax * 100 AS u, l_discount * 100 - 5 AS v, (l_linenumber - 3.5)::DOUBLE AS w, l_discount * 0.1::DOUBLE AS qv, l_tax * 0.01::DOUBLE AS qr, l_discount * 0.01::DOUBLE AS qs, ((l_partkey % 7) * 0.0005)::DOUBLE AS qg FROM lineitem) """
 
 KEYS = ["okey", "line", "price"]
 K = "okey, line, price, "
@@ -68,10 +68,17 @@ def saturation(spark, sf_dir):
     )
 
 
-@query("dew_point", STATE + f"SELECT {K} round(t, 4) AS tdew FROM st")
+_HALVINGS = ", ".join(
+    f"h{n} AS (SELECT okey, line, price, e, t, CASE WHEN {PSAT_L.replace('t /', '((lo + hi) / 2) /').replace('/ t)', '/ ((lo + hi) / 2))')} < e THEN (lo + hi) / 2 ELSE lo END AS lo, CASE WHEN {PSAT_L.replace('t /', '((lo + hi) / 2) /').replace('/ t)', '/ ((lo + hi) / 2))')} < e THEN hi ELSE (lo + hi) / 2 END AS hi FROM h{n - 1})"
+    for n in range(1, 46)
+)
+
+
+@query("dew_point", STATE + f", h0 AS (SELECT okey, line, price, t, (qv + 0.001) * p * 0.01 / (0.622 + 0.378 * (qv + 0.001)) * 10 AS e, 150.0::DOUBLE AS lo, 350.0::DOUBLE AS hi FROM st), {_HALVINGS} SELECT {K} round((lo + hi) / 2, 4) AS tdew FROM h45")
 def dew_point(spark, sf_dir):
-    """The dew point of saturated air is its temperature."""
-    return state(spark, sf_dir).select(*KEYS, r(thermo.dew_point(thermo.saturation_liquid(F.col("t")))).alias("tdew"))
+    """Of moist air, by Newton's method; the SQL halves an interval 45 times."""
+    q = F.col("qv") + 0.001
+    return state(spark, sf_dir).select(*KEYS, r(thermo.dew_point(q * F.col("p") * 0.01 / (0.622 + 0.378 * q) * 10)).alias("tdew"))
 
 
 @query("potential_temperatures", STATE + f", x AS (SELECT *, t / pow(p / {c.P00}, {c.R_DRY / c.CP_DRY!r}) AS pt FROM st) SELECT {K} round(pt, 5) AS pt, round(pt * (1 + {c.EPST_VAP!r} * qv), 5) AS potv, round(pt * exp(({c.LHV00!r} + {c.CP_VAP - c.C_LIQUID!r} * t) * qv / ({c.CP_DRY} * t)), 4) AS pote FROM x")
@@ -137,7 +144,22 @@ def great_circle_distance(spark, sf_dir):
     return v_grid(spark, sf_dir).select("cell", r(geo.great_circle(lon, lat, F.lit(135.0), F.lit(35.0)), 2).alias("d"))
 
 
-for _kind in ("NONE", "LC", "PS", "MER", "EC"):
+_R = 6371220.0
+_HALF = "tan(pi() / 4 - radians({}) / 2)"
+_N = f"(ln(cos(radians(30)) / cos(radians(60))) / ln({_HALF.format(30)} / {_HALF.format(60)}))"
+_LC = f"(cos(radians(30)) / ({_N} * pow({_HALF.format(30)}, {_N})))"
+_RHO = {"LC": f"{_R} * {_LC} * pow({{}}, {_N})", "PS": f"{_R} * (1 + sin(radians(30))) * {{}}"}
+_MER = "ln(tan(pi() / 4 + radians({}) / 2))"
+#: The projections' definitions as SQL: x and y of (lon, lat), with (135, 35) at (1000, 2000).
+_FORWARD = {
+    "NONE": (f"1000 + {_R} * radians(lon - 135)", f"2000 + {_R} * radians(lat - 35)"),
+    "LC": (f"1000 + {_RHO['LC'].format(_HALF.format('lat'))} * sin({_N} * radians(lon - 135))", f"2000 + {_RHO['LC'].format(_HALF.format('35'))} - {_RHO['LC'].format(_HALF.format('lat'))} * cos({_N} * radians(lon - 135))"),
+    "PS": (f"1000 + {_RHO['PS'].format(_HALF.format('lat'))} * sin(radians(lon - 135))", f"2000 + {_RHO['PS'].format(_HALF.format('35'))} - {_RHO['PS'].format(_HALF.format('lat'))} * cos(radians(lon - 135))"),
+    "MER": (f"1000 + {_R} * cos(radians(30)) * radians(lon - 135)", f"2000 + {_R} * cos(radians(30)) * ({_MER.format('lat')} - {_MER.format('35')})"),
+    "EC": (f"1000 + {_R} * cos(radians(30)) * radians(lon - 135)", f"2000 + {_R} * radians(lat - 35)"),
+}
+
+for _kind, (_x, _y) in _FORWARD.items():
 
     def _project(spark, sf_dir, kind=_kind):
         p = geo.Projection(kind, 135.0, 35.0, 30.0, 60.0, 1000.0, 2000.0)
@@ -145,9 +167,9 @@ for _kind in ("NONE", "LC", "PS", "MER", "EC"):
         x, y = p.forward(F.col("lon"), F.col("lat"))
         s = s.select("cell", "lon", "lat", x.alias("px"), y.alias("py"))
         lon, lat = p.inverse(F.col("px"), F.col("py"))
-        return s.select("cell", r(lon, 7).alias("lon"), r(lat, 7).alias("lat"), F.col("px").isNotNull().alias("ok"))
+        return s.select("cell", r("px", 3).alias("px"), r("py", 3).alias("py"), r(lon, 7).alias("lon"), r(lat, 7).alias("lat"))
 
-    query(f"map_projection_{_kind.lower()}", "SELECT cell, round(120 + x * 0.3, 7) AS lon, round(20 + y * 0.3, 7) AS lat, true AS ok FROM v_grid", "v_grid")(_project)
+    query(f"map_projection_{_kind.lower()}", f", p AS (SELECT cell, 120 + x * 0.3 AS lon, 20 + y * 0.3 AS lat FROM v_grid) SELECT cell, round({_x}, 3) AS px, round({_y}, 3) AS py, round(lon, 7) AS lon, round(lat, 7) AS lat FROM p", "v_grid")(_project)
 
 
 @query(
@@ -168,11 +190,11 @@ def vector_geometry(spark, sf_dir):
     return v_grid(spark, sf_dir).select("cell", r(geo.dot(a, b)).alias("dot"), r(geo.triangle_area(F.array(*[F.lit(0.0)] * 3), a, b)).alias("area"))
 
 
-@query("parameter_transform", "SELECT cell, round(x, 6) AS x FROM v_grid", "v_grid")
+@query("parameter_transform", "SELECT cell, round(0.5 * ln((x + 5) / (105 - x)), 7) AS t, round(x, 6) AS x FROM v_grid", "v_grid")
 def parameter_transform(spark, sf_dir):
     """To the unbounded line and back."""
     y = thermo.to_unbounded(F.col("x"), -5.0, 105.0)
-    return v_grid(spark, sf_dir).select("cell", y.alias("t")).select("cell", r(thermo.to_bounded(F.col("t"), -5.0, 105.0), 6).alias("x"))
+    return v_grid(spark, sf_dir).select("cell", y.alias("t")).select("cell", r("t", 7).alias("t"), r(thermo.to_bounded(F.col("t"), -5.0, 105.0), 6).alias("x"))
 
 
 @query("missing_sentinels", "SELECT p_partkey, CASE WHEN p_size % 4 = 0 THEN NULL ELSE p_retailprice END AS v FROM part")

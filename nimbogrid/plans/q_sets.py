@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import setops
 from .registry import query
-from .views import OFF_TIE, r, table, v_cell
+from .views import r, table, v_cell
 
 
 def _files(spark, sf_dir):
@@ -78,13 +78,13 @@ def retile(spark, sf_dir):
 @query(
     "nesting_blend",
     """, g AS (SELECT i, j, avg(z) AS c, avg(vr) * 1000 AS p FROM v_cell GROUP BY i, j), w AS (SELECT *, greatest(0, least(1, (4 - least(i, 19 - i)) / 4.0::DOUBLE), least(1, (4 - least(j, 19 - j)) / 4.0::DOUBLE)) AS a FROM g)
-SELECT i, j, round((1 - a) * c + a * p + 0.0000037, 4) AS z FROM w""".lstrip(),
+SELECT i, j, round(((1 - a) * c + a * p)::DECIMAL(28, 7), 4)::DOUBLE AS z FROM w""".lstrip(),
     "v_cell",
 )
 def nesting_blend(spark, sf_dir):
     g = v_cell(spark, sf_dir).groupBy("i", "j").agg(F.avg("z").alias("c"), (F.avg("vr") * 1000).alias("p"))
     ramp = lambda c: F.least(F.lit(1.0), (4 - F.least(F.col(c), 19 - F.col(c))) / 4)
-    return g.select("i", "j", r(setops.blend(F.col("c"), F.col("p"), F.greatest(F.lit(0.0), ramp("i"), ramp("j"))), 4, OFF_TIE).alias("z"))
+    return g.select("i", "j", r(setops.blend(F.col("c"), F.col("p"), F.greatest(F.lit(0.0), ramp("i"), ramp("j"))), 4, 7).alias("z"))
 
 
 @query("unpivot_levels", "SELECT var, count(*) AS n, round(sum(value), 1) AS total FROM (SELECT unnest(['z', 'vr', 'err']) AS var, unnest([z, vr, CASE WHEN err > 0.02 THEN err END]) AS value FROM v_cell) WHERE value IS NOT NULL GROUP BY var", "v_cell")

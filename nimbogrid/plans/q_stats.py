@@ -94,19 +94,19 @@ SELECT count(y) AS n, round(covar_samp(total, y) / (stddev_samp(total) * stddev_
     "v_series",
 )
 def lag_correlation(spark, sf_dir):
-    s = stats.with_lag(v_series(spark, sf_dir), "day", "n", 3)
+    s = stats.with_lag(v_series(spark, sf_dir), "day", "n", 3, bucket=F.year("day"))
     return s.agg(F.count("lagged").alias("n"), r(stats.correlation(F.col("total"), F.col("lagged")), 6).alias("corr"))
 
 
 @query(
     "monitor_modes",
     """, s AS (SELECT day, total, row_number() OVER (ORDER BY day) AS nth, first_value(total) OVER (ORDER BY day) AS f FROM v_series)
-SELECT day, round(total - f, 2) AS deviation, round(sum(CASE WHEN nth > 1 THEN total * 0.5 ELSE 0 END) OVER (ORDER BY day ROWS UNBOUNDED PRECEDING) + 0.0123, 1) AS integral FROM s""".lstrip(),
+SELECT day, round(total - f, 2) AS deviation, round((sum(CASE WHEN nth > 1 THEN total * 0.5 ELSE 0 END) OVER (ORDER BY day ROWS UNBOUNDED PRECEDING))::DECIMAL(28, 4), 1)::DOUBLE AS integral FROM s""".lstrip(),
     "v_series",
 )
 def monitor_modes(spark, sf_dir):
-    m = stats.monitor_modes(v_series(spark, sf_dir), "day", "total", F.lit(0.5))
-    return m.select("day", r("deviation", 2).alias("deviation"), r("integral", 1, 0.0123).alias("integral"))
+    m = stats.monitor_modes(v_series(spark, sf_dir), "day", "total", F.lit(0.5), bucket=F.year("day"))
+    return m.select("day", r("deviation", 2).alias("deviation"), r("integral", 1, 4).alias("integral"))
 
 
 @query("vector_norms", "SELECT k, round(sqrt(sum(z * z)), 2) AS l2, round(sqrt(avg(vr * vr)), 5) AS rms, round(sum((z-30000)*(vr*1000-30000)) / sqrt(sum((z-30000)*(z-30000)) * sum((vr*1000-30000)*(vr*1000-30000))), 6) AS acc FROM v_cell GROUP BY k", "v_cell")

@@ -13,8 +13,8 @@ from .views import r
 @query(
     "streaming_history",
     """WITH s AS (SELECT event_type, time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '2000-01-01') AS start, ts, (1 + user_id % 3)::DOUBLE AS dt, CASE WHEN event_id % 17 <> 0 THEN value END AS value FROM events)
-SELECT event_type, epoch(start)::BIGINT AS start, round(sum(value * dt) / sum(CASE WHEN value IS NOT NULL THEN dt END) + 0.0000037, 4) AS mean, min(value) AS least, max(value) AS most, count(value) AS n FROM s
-GROUP BY event_type, start HAVING start + INTERVAL 6 HOUR <= (SELECT max(ts) FROM events)""",
+SELECT event_type, epoch(start)::BIGINT AS start, round((sum(value * dt) / sum(CASE WHEN value IS NOT NULL THEN dt END))::DECIMAL(28, 7), 4)::DOUBLE AS mean, min(value) AS least, max(value) AS most, count(value) AS n FROM s
+GROUP BY event_type, start""",
 )
 def streaming_history(spark, sf_dir):
     path = f"{sf_dir}/events.parquet"
@@ -22,5 +22,6 @@ def streaming_history(spark, sf_dir):
     s = spark.readStream.schema(schema).parquet(f"{path}*")  # a pattern: a stream takes a folder or a pattern
     s = s.select("event_type", F.to_timestamp_ltz(F.col("ts").cast("string")).alias("ts"), (1 + F.col("user_id") % 3).cast("double").alias("dt"), F.when(F.col("event_id") % 17 != 0, F.col("value")).alias("value"))
     folder = new_folder(spark)
+    s = s.unionByName(st.closing(spark, f"{folder}/end", s, "ts", "2262-01-01"))
     st.run_to_end(st.history_stream(s, "ts", "6 hours", "0 seconds", ["event_type"], "value", "dt"), f"{folder}/out", f"{folder}/state")
-    return spark.read.parquet(f"{folder}/out").select("event_type", F.unix_seconds("start").alias("start"), r("mean", 4, 0.0000037).alias("mean"), "least", "most", "n")
+    return spark.read.parquet(f"{folder}/out").filter("event_type IS NOT NULL").select("event_type", F.unix_seconds("start").alias("start"), r("mean", 4, 7).alias("mean"), "least", "most", "n")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import reduce, timeops
 from .registry import query
-from .views import OFF_TIE, r, seconds_since, table, v_series
+from .views import r, seconds_since, table, v_series
 
 
 def _samples(spark, sf_dir):
@@ -23,14 +23,14 @@ SAMPLES = """s AS (SELECT event_id, event_type, ts, (epoch_us(ts) - epoch_us(TIM
 
 def _history(spark, sf_dir, op, skip):
     h = reduce.history(_samples(spark, sf_dir), F.floor(F.col("_t") / 21600), ["event_type"], "value", "dt", op, skip)
-    return h.select("event_type", "interval", r("value", 4, OFF_TIE).alias("value"))
+    return h.select("event_type", "interval", r("value", 4, 7).alias("value"))
 
 
 for _op, _sql in (("mean", "sum(value * dt) / sum(CASE WHEN value IS NOT NULL THEN dt END)"), ("min", "min(value)"), ("max", "max(value)")):
     for _skip in (False, True):
         _name = f"history_{_op}_{'skip' if _skip else 'poison'}"
         _value = _sql if _skip else f"CASE WHEN count(value) = count(*) THEN {_sql} END"
-        query(_name, f"WITH {SAMPLES} SELECT event_type, floor(t / 21600)::BIGINT AS interval, round({_value} + 0.0000037, 4) AS value FROM s GROUP BY 1, 2")(
+        query(_name, f"WITH {SAMPLES} SELECT event_type, floor(t / 21600)::BIGINT AS interval, round(({_value})::DECIMAL(28, 7), 4)::DOUBLE AS value FROM s GROUP BY 1, 2")(
             lambda spark, sf_dir, op=_op, skip=_skip: _history(spark, sf_dir, op, skip)
         )
 
@@ -44,23 +44,22 @@ def history_last(spark, sf_dir):
 @query(
     "time_average_number",
     """, s AS (SELECT row_number() OVER (ORDER BY day) AS step, CASE WHEN n % 5 <> 0 THEN total END AS total FROM v_series)
-SELECT floor((step - 1) / 30.0)::BIGINT AS "group", round(coalesce(avg(total), 0) + 0.0000037, 3) AS total FROM s GROUP BY 1 HAVING max(step) = (floor((max(step) - 1) / 30.0) + 1) * 30""".lstrip(),
+SELECT floor((step - 1) / 30.0)::BIGINT AS "group", round((coalesce(avg(total), 0))::DECIMAL(28, 7), 3)::DOUBLE AS total FROM s GROUP BY 1 HAVING max(step) = (floor((max(step) - 1) / 30.0) + 1) * 30""".lstrip(),
     "v_series",
 )
 def time_average_number(spark, sf_dir):
-    w = Window.partitionBy(F.lit(0)).orderBy("day")  # one row per day
-    s = v_series(spark, sf_dir).withColumn("step", F.row_number().over(w)).withColumn("total", F.when(F.col("n") % 5 != 0, F.col("total")))
-    return reduce.time_average(s, [], "step", "total", 30).select("group", r("total", 3, OFF_TIE).alias("total"))
+    s = timeops.row_numbers(v_series(spark, sf_dir), ["day"], F.year("day"), "step").withColumn("total", F.when(F.col("n") % 5 != 0, F.col("total")))
+    return reduce.time_average(s, [], "step", "total", 30).select("group", r("total", 3, 7).alias("total"))
 
 
 for _period in ("month", "year"):
     query(
         f"calendar_average_{_period}",
         f""", s AS (SELECT day, CASE WHEN n % 5 <> 0 THEN total END AS total FROM v_series)
-SELECT date_trunc('{_period}', day)::DATE AS period, round(coalesce(avg(total), 0) + 0.0000037, 3) AS total FROM s GROUP BY 1""".lstrip(),
+SELECT date_trunc('{_period}', day)::DATE AS period, round((coalesce(avg(total), 0))::DECIMAL(28, 7), 3)::DOUBLE AS total FROM s GROUP BY 1""".lstrip(),
         "v_series",
     )(
-        lambda spark, sf_dir, p=_period: reduce.calendar_average(v_series(spark, sf_dir).withColumn("total", F.when(F.col("n") % 5 != 0, F.col("total"))), [], "day", "total", p).select("period", r("total", 3, OFF_TIE).alias("total"))
+        lambda spark, sf_dir, p=_period: reduce.calendar_average(v_series(spark, sf_dir).withColumn("total", F.when(F.col("n") % 5 != 0, F.col("total"))), [], "day", "total", p).select("period", r("total", 3, 7).alias("total"))
     )
 
 
@@ -85,12 +84,12 @@ def asof_linear(spark, sf_dir):
 @query(
     "periodic_series",
     """, p AS (SELECT (day + (y * 12) * INTERVAL 1 MONTH)::DATE AS day, total FROM v_series, (SELECT unnest([-1, 0, 1]) AS y))
-SELECT year(day)::INT AS year, count(*) AS n, round(sum(total) + 0.0123, 1) AS total FROM p GROUP BY 1""".lstrip(),
+SELECT year(day)::INT AS year, count(*) AS n, round((sum(total))::DECIMAL(28, 4), 1)::DOUBLE AS total FROM p GROUP BY 1""".lstrip(),
     "v_series",
 )
 def periodic_series(spark, sf_dir):
     p = timeops.periodic(v_series(spark, sf_dir), "day", [-1, 0, 1])
-    return p.groupBy(F.year("day").alias("year")).agg(F.count(F.lit(1)).alias("n"), r(F.sum("total"), 1, 0.0123).alias("total"))
+    return p.groupBy(F.year("day").alias("year")).agg(F.count(F.lit(1)).alias("n"), r(F.sum("total"), 1, 4).alias("total"))
 
 
 @query("scheduled_steps", "SELECT l_linenumber AS step, count(*) AS n FROM lineitem WHERE l_linenumber % 3 = 0 GROUP BY 1")

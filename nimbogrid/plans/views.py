@@ -64,11 +64,11 @@ def v_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.agg(F.sum("o_totalprice").alias("total"), F.count(F.lit(1)).alias("n"))
 
 
-#: Added before rounding where means of decimals fall on ties, which engines that sum in another order break differently.
-OFF_TIE = 0.0000037
+def r(col, digits: int = 4, fine: int | None = None):
+    """Rounded for comparison between engines.
 
-
-def r(col, digits: int = 4, add: float = 0.0):
-    """Rounded for comparison between engines."""
+    Means of decimals fall on ties, which engines break differently. With fine, the value is first rounded to that many
+    digits, as the SQL does by a decimal of that scale, so that a tie is one in both.
+    """
     col = F.col(col) if isinstance(col, str) else col
-    return F.round(col + add if add else col, digits)
+    return F.round(F.round(col, fine) if fine else col, digits)

@@ -20,14 +20,26 @@ RADAR_TYPE = 22
 
 
 def records(raw: bytes, endian: str = ">") -> list[np.ndarray]:
-    """The single-precision records of a sequential unformatted file, each between two byte counts."""
+    """The single-precision records of a sequential unformatted file, each between two byte counts, as arrays of rows of one length.
+
+    Runs of records of one size are read at once: marks and bodies as a table of words.
+    """
     out, at = [], 0
     while at + 8 <= len(raw):
         n = int(np.frombuffer(raw, f"{endian}i4", 1, at)[0])
-        if n < 0 or at + 8 + n > len(raw) or int(np.frombuffer(raw, f"{endian}i4", 1, at + 4 + n)[0]) != n:
+        if n < 0 or n % 4 or at + 8 + n > len(raw):
+            raise ValueError(f"broken record at byte {at}")
+        width = n // 4 + 2
+        most = (len(raw) - at) // (4 * width)
+        marks = np.frombuffer(raw, f"{endian}i4", most * width, at).reshape(most, width)[:, [0, -1]]
+        good = (marks == n).all(axis=1)
+        run = most if good.all() else int(np.argmin(good))
+        if not run:
             raise ValueError(f"broken record at byte {at}")
-        out.append(np.frombuffer(raw, f"{endian}f4", n // 4, at + 4))
-        at += 8 + n
+        out.append(np.frombuffer(raw, f"{endian}f4", run * width, at).reshape(run, width)[:, 1:-1])
+        at += run * width * 4
+    if at != len(raw):
+        raise ValueError(f"broken record at byte {at}")
     return out
 
 
@@ -48,10 +60,10 @@ def _decode(kind: str, endian: str):
                 got = records(raw, endian)
                 meta = None
                 if kind == "radar":
-                    meta, got = [float(x[0]) for x in got[:3]], got[3:]
+                    meta, got = got[0][:3, 0].astype(float).tolist(), got[1:]
                 if not got:
                     continue
-                a = np.array(got, float).reshape(len(got), -1)
+                a = np.concatenate(got).astype(float)
                 if kind == "radar" and a.shape[1] == 7:
                     a = np.c_[a, np.zeros(len(a))]
                 d = pd.DataFrame(a, columns=list(COLUMNS))

@@ -9,6 +9,11 @@ from pyspark.sql import SparkSession
 
 
 def new_folder(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir; a temporary one only where that is not set (a single local JVM)."""
+    """A new folder below spark.checkpoint.dir; a temporary one only where that is not set and all runs in a single local JVM."""
     root = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{root.rstrip('/')}/nimbogrid-{uuid.uuid4().hex}" if root else "file://" + tempfile.mkdtemp(prefix="nimbogrid-")
+    if root:
+        return f"{root.rstrip('/')}/nimbogrid-{uuid.uuid4().hex}"
+    master = spark.sparkContext.master
+    if not (master == "local" or master.startswith("local[")):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return "file://" + tempfile.mkdtemp(prefix="nimbogrid-")

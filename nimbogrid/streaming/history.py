@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import qc
@@ -25,6 +25,17 @@ def qc_stream(obs: DataFrame, factor: float = 3.0) -> DataFrame:
     return obs.withColumn("qc", qc.first_code(rules))
 
 
+def closing(spark: SparkSession, folder: str, stream: DataFrame, ts: str, end: str) -> DataFrame:
+    """A stream of one row that is later than all others, to be added to one that has ended: the watermark passes its last interval, which is then emitted too.
+
+    The row's other columns are null. Its own interval is never closed.
+    """
+    kinds = {f.name: f.dataType.simpleString() for f in stream.schema.fields}
+    row = spark.range(1).select(*[F.to_timestamp_ltz(F.lit(end)).alias(c) if c == ts else F.lit(None).cast(k).alias(c) for c, k in kinds.items()])
+    row.write.mode("overwrite").parquet(folder)
+    return spark.readStream.schema(stream.schema).parquet(folder)
+
+
 def run_to_end(stream: DataFrame, path: str, checkpoint: str) -> None:
     """Processes all that the source has and stops; restarts go on from the checkpoint."""
     stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start().awaitTermination()

@@ -143,11 +143,12 @@ def test_diffusion_keeps_a_constant_out(spark):
     assert all(abs(r["v"]) < 1e-12 for r in reduce.diffusion_step(d, "i", "j", "v", 4, 5).collect())
 
 
-def test_lanczos_weights_add_up_to_one(spark):
-    w = reduce.lanczos_weights(0.2, 4)
-    assert sum(w) == pytest.approx(1)
+def test_lanczos_weights(spark):
+    w = reduce.lanczos_weights(0.6)
+    assert len(w) == 21 and w == pytest.approx(w[::-1]) and w[10] == pytest.approx(0.6 / np.pi)
+    assert w[13] == pytest.approx(np.sin(0.6 * 3) * np.sin(np.pi * 3 / 10) * 10 / (np.pi * 3) ** 2) and w[0] == pytest.approx(0, abs=1e-15)
     d = spark.createDataFrame([(n, 3.0) for n in range(12)], "n long, v double")
-    assert all(r["v"] == pytest.approx(3.0) for r in reduce.lanczos(d, "n", "v", 12, w).collect())
+    assert all(r["v"] == pytest.approx(3.0 * sum(w)) for r in reduce.lanczos(d, "n", "v", 12, w).collect())
 
 
 def test_asof_buckets_change_nothing(spark):
