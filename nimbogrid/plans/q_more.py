@@ -122,3 +122,51 @@ def netcdf_fields(spark, sf_dir):
 def perturbed_members(spark, sf_dir):
     """An initial ensemble of ten members; tests check that errors add up to zero and have the given deviation."""
     return ens.perturb(v_grid(spark, sf_dir), 10, {"lev": 0.5}, ["cell"], 3).select("cell", "member", r("lev", 6).alias("lev"))
+
+
+@query(
+    "rollup_counts",
+    "SELECT elm, typ, count(*) AS n, grouping(elm, typ)::BIGINT AS level, round(quantile_cont(dat, 0.5), 6) AS median, round(quantile_cont(dat, 0.9), 6) AS high, count(DISTINCT obs_id % 100) AS kinds FROM v_obs GROUP BY ROLLUP (elm, typ)",
+    "v_obs",
+)
+def rollup_counts(spark, sf_dir):
+    """Counts, exact quantiles and distinct numbers by element and type, with subtotals."""
+    from .views import v_obs
+
+    o = v_obs(spark, sf_dir)
+    return o.rollup("elm", "typ").agg(
+        F.count(F.lit(1)).alias("n"), F.grouping_id().alias("level"), r(F.percentile("dat", F.lit(0.5)), 6).alias("median"), r(F.percentile("dat", F.lit(0.9)), 6).alias("high"), F.countDistinct(F.col("obs_id") % 100).alias("kinds")
+    )
+
+
+@query(
+    "grouping_sets_counts",
+    "SELECT elm, typ, count(*) AS n FROM v_obs GROUP BY GROUPING SETS ((elm), (typ), ())",
+    "v_obs",
+)
+def grouping_sets_counts(spark, sf_dir):
+    from .views import v_obs
+
+    return v_obs(spark, sf_dir).groupingSets([["elm"], ["typ"], []], "elm", "typ").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    "external_input",
+    """WITH e AS (SELECT event_id, event_type, (epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01')) / 1e6 AS time, month(ts) AS mon FROM events),
+ c AS (SELECT event_type, avg(value) AS base FROM events GROUP BY 1)
+SELECT event_id, round(base, 6) AS base, mon * 10.0::DOUBLE AS climate, round(CASE WHEN p < 43200 THEN p / 43200 ELSE 2 - p / 43200 END, 6) AS daily
+FROM (SELECT *, time - floor(time / 86400) * 86400 AS p FROM e) JOIN c USING (event_type)""",
+)
+def external_input(spark, sf_dir):
+    """A constant by element, a monthly climate and a periodic daily wave, looked up for every event."""
+    from ..operators.external import External, Source
+    from .views import seconds_since
+
+    e = table(spark, sf_dir, "events")
+    t = e.select("event_id", "event_type", seconds_since("ts", "2024-01-01").alias("time"), F.month("ts").alias("mon"), F.lit(0).alias("all"))
+    x = External()
+    x.register("base", Source(e.groupBy("event_type").agg(F.avg("value").alias("v")), "constant", ["event_type"], "v"))
+    x.register("climate", Source(spark.range(1, 13).select(F.lit(0).alias("all"), F.col("id").alias("month"), (F.col("id") * 10.0).alias("v")), "monthly", ["all"], "v"))
+    x.register("daily", Source(spark.createDataFrame([(0.0, 0.0), (43200.0, 1.0)], "time double, v double"), "periodic", [], "v", period=86400.0, width=3600.0))
+    t = x.lookup(x.lookup(x.lookup(t, "base"), "climate", month=F.col("mon")), "daily")
+    return t.select("event_id", r("base", 6).alias("base"), "climate", r("daily", 6).alias("daily"))

@@ -30,6 +30,44 @@ class FlatSpec:
         return sum(n for _, n in self.variables) * self.nx * self.ny
 
 
+def parse_ctl(lines: Sequence[str]) -> tuple[FlatSpec, dict]:
+    """(spec, rest) of a grid descriptor: dset, undef, xdef, ydef, zdef, tdef, options and a list of variables with their levels (0 is one).
+
+    rest has dset, and for each axis its number and, of a linear one, start and step.
+    """
+    rest: dict = {}
+    variables: list[tuple[str, int]] = []
+    missing, options, inside = None, [], False
+    for line in lines:
+        w = line.split()
+        if not w or line.startswith("*"):
+            continue
+        key = w[0].lower()
+        if key == "vars":
+            inside = True
+        elif key == "endvars":
+            inside = False
+        elif inside:
+            variables.append((w[0].split("=")[0], max(1, int(w[1].split(",")[0]))))
+        elif key == "dset":
+            rest["dset"] = w[1]
+        elif key == "undef":
+            missing = float(w[1])
+        elif key == "options":
+            options = [x.lower() for x in w[1:]]
+        elif key in ("xdef", "ydef", "zdef", "tdef"):
+            rest[key[0]] = (int(w[1]), *(float(x) for x in w[3:5])) if w[2].lower() == "linear" and key != "tdef" else (int(w[1]), *w[3:])
+    spec = FlatSpec(rest["x"][0], rest["y"][0], tuple(variables), endian=">" if "big_endian" in options else "<", y_reverse="yrev" in options, missing=missing)
+    return spec, rest
+
+
+def read_described(spark: SparkSession, ctl: str, names: Sequence[str] | None = None) -> DataFrame:
+    """The flat binary that a descriptor stands for (see parse_ctl); ``^`` at its start is the descriptor's folder."""
+    spec, rest = parse_ctl([r[0] for r in spark.read.text(ctl, wholetext=True).collect()][0].splitlines())  # one small file
+    path = rest["dset"]
+    return read_flat(spark, f"{ctl.rsplit('/', 1)[0]}/{path[1:]}" if path.startswith("^") else path, spec, names)
+
+
 def _decode(spec: FlatSpec, names: Sequence[str] | None):
     def run(batches):
         for pdf in batches:

@@ -192,6 +192,40 @@ def test_sinks(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "o")).count() == 1
 
 
+def test_external_series_and_names(spark):
+    from nimbogrid.operators.external import External, Source
+
+    x = External()
+    data = spark.createDataFrame([("a", 0.0, 1.0), ("a", 10.0, 3.0), ("b", 0.0, 5.0)], "k string, time double, v double")
+    x.register("s", Source(data, "series", ["k"], "v"))
+    with pytest.raises(ValueError):
+        x.register("s", Source(data, "series", ["k"], "v"))
+    with pytest.raises(ValueError):
+        x.register("t", Source(data, "often", ["k"], "v"))
+    targets = spark.createDataFrame([(1, "a", 5.0), (2, "a", 11.0), (3, "b", 0.0), (4, "c", 1.0)], "id int, k string, time double")
+    assert {r["id"]: r["s"] for r in x.lookup(targets, "s").collect()} == {1: 2.0, 2: None, 3: 5.0, 4: None}
+
+
+def test_parent_fields(spark, tmp_path):
+    from nimbogrid.operators.external import parent_fields
+
+    a = np.arange(6.0).reshape(2, 3)
+    (tmp_path / "p.nc").write_bytes(netcdf.encode([("y", 2), ("x", 3)], {"TEMP": (["y", "x"], a, {}), "PRES": (["y", "x"], a + 850, {}), "H": (["y"], np.array([1.0, 2.0]), {})}))
+    got = parent_fields(netcdf.read_netcdf(spark, str(tmp_path / "p.nc")), {"t": ("TEMP", 1.0, 273.15), "p": ("PRES", 100.0, 0.0)}, ["j", "i"]).collect()
+    assert len(got) == 6 and {(r["j"], r["i"]): (r["t"], r["p"]) for r in got}[1, 2] == pytest.approx((278.15, 85500.0))
+
+
+def test_described_binary(spark, tmp_path):
+    from nimbogrid.sources import grids
+
+    np.arange(24, dtype=">f4").tofile(tmp_path / "g.bin")
+    (tmp_path / "g.ctl").write_text("dset ^g.bin\n* a comment\noptions big_endian yrev\nundef 5\nxdef 3 linear 130 0.5\nydef 2 levels 30 31\nzdef 3 levels 1000 850 500\ntdef 1 linear 00Z01JAN2024 1hr\nvars 2\nt 3 99 temperature\nps 0 99 pressure\nendvars\n")
+    spec, rest = grids.parse_ctl((tmp_path / "g.ctl").read_text().splitlines())
+    assert spec.variables == (("t", 3), ("ps", 1)) and rest["x"] == (3, 130.0, 0.5) and spec.missing == 5
+    got = {(r["var"], r["k"], r["j"], r["i"]): r["value"] for r in grids.read_described(spark, str(tmp_path / "g.ctl")).collect()}
+    assert got["ps", 1, 2, 1] == 18.0 and got["t", 1, 1, 3] is None and len(got) == 24
+
+
 def test_records_of_several_sizes():
     raw = observations.encode([(1.0,)] * 2 + [(1.0, 2.0, 3.0)] * 4 + [(7.0,)])
     assert [x.shape for x in observations.records(raw)] == [(2, 1), (4, 3), (1, 1)]
