@@ -13,6 +13,8 @@ Without any labelled row all texts are ``und``. Repeated rows are labelled each;
 
 from __future__ import annotations
 
+from itertools import islice
+
 import numpy as np
 import pyarrow as pa
 import regex
@@ -129,17 +131,26 @@ def identify(docs: DataFrame, labelled: DataFrame, rows_per_language: int = 300,
     return docs.select(*names, F.col("text").cast("string").alias("text")).mapInArrow(_predict(net, languages), f"{schema}, lang_pred string, score double")
 
 
+#: Letters from which on a text must have the whole score.
+ENOUGH = 64
+
+
 def least_of(languages: int) -> float:
-    """The score below which a text is in none of so many languages: above what is said by chance, 1 / languages."""
+    """The score below which a long text is in none of so many languages."""
     return 0.25 + 0.6 / languages
 
 
 def _keep(net: ByteGRU, languages: list[str], text: str, least_score: float):
+    chance = min(least_score, 1 / len(languages))
+
     def run(batches):
         for batch in batches:
             texts = batch.column(text).to_pylist()
-            p = pooled(net, texts)
-            good = [bool(t and _LETTER.search(t)) and not np.isnan(x[0]) and x.max() >= least_score for t, x in zip(texts, p, strict=True)]
+            p, good = pooled(net, texts), []
+            for t, x in zip(texts, p, strict=True):
+                letters = sum(1 for _ in islice(_LETTER.finditer(t or ""), ENOUGH))
+                # A few letters say little: from them no more is asked than what chance gives.
+                good.append(bool(letters and not np.isnan(x[0]) and x.max() >= chance + (least_score - chance) * letters / ENOUGH))
             yield batch.filter(pa.array(good, pa.bool_()))
 
     return run
@@ -148,7 +159,8 @@ def _keep(net: ByteGRU, languages: list[str], text: str, least_score: float):
 def keep_identified(docs: DataFrame, labelled: DataFrame, least_score: float | None = None, text_col: str = "text", rows_per_language: int = 300, hidden: int = 8, rounds: int = 300) -> DataFrame:
     """The rows of docs, with all their columns, whose text is in a language with a score of at least least_score (see least_of).
 
-    What has no letter is rejected, and what is mostly in a script that no labelled row has. Without any labelled row nothing can be identified and nothing is kept.
+    What has no letter is rejected, what is mostly in a script that no labelled row has, and what the network is unsure about. Of texts with fewer
+    than ENOUGH letters a lower score is asked, down to what chance gives. Without any labelled row nothing can be identified and nothing is kept.
     """
     sample = labelled_sample(labelled, "lang", rows_per_language)
     if not any(_LETTER.search(t) for t, _ in sample):
