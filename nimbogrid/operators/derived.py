@@ -110,7 +110,7 @@ def level_means(state: DataFrame, names: Sequence[str], mass: Sequence[str] = ()
 def primes(state: DataFrame, names: Sequence[str], mass: Sequence[str] = ()) -> DataFrame:
     """Departures from the level means: one row of means per level is sent to the cells."""
     s = resolve(state, [*names, *mass], drop=False)
-    out = s.join(F.broadcast(level_means(state, names, mass)), "k")
+    out = s.join(level_means(state, names, mass), "k")
     for n in (*names, *mass):
         out = out.withColumn(f"{n}_PRIM", F.col(n) - F.col(f"{n}_MEAN"))
     return out

@@ -56,7 +56,7 @@ def local_observations(cells: DataFrame, obs: DataFrame, sigma_h: float, sigma_v
 
 def variable_weights(pairs: DataFrame, table: DataFrame, on: Sequence[str]) -> DataFrame:
     """Multiplies localisation weights by a small table of factors by variable and class; a factor of zero drops the pair."""
-    return pairs.join(F.broadcast(table), list(on)).filter(F.col("factor") > 0).withColumn("weight", F.col("weight") * F.col("factor"))
+    return pairs.join(table, list(on)).filter(F.col("factor") > 0).withColumn("weight", F.col("weight") * F.col("factor"))
 
 
 def nearest_weights(targets: DataFrame, source: DataFrame, k: int, power: float, limit: float, x: str = "x", y: str = "y", target: str = "cell", row: str = "obs_id") -> DataFrame:

@@ -58,7 +58,7 @@ def thin(i: Column, j: Column, k: Column, horizontal: int, vertical: int) -> Col
 
 def used_types(obs: DataFrame, config: DataFrame, on: str = "typ") -> DataFrame:
     """Adds ``used`` from a small configuration table (one row per report type); types that it lacks are not used."""
-    return obs.join(F.broadcast(config), on, "left").withColumn("used", F.coalesce("used", F.lit(False)))
+    return obs.join(config, on, "left").withColumn("used", F.coalesce("used", F.lit(False)))
 
 
 def update_mask(background: Column, analysis: Column, p: Column, top: float, moisture: bool, moisture_top: float) -> Column:

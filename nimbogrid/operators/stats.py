@@ -21,7 +21,7 @@ def departure_monitor(obs: DataFrame, elements: DataFrame | None = None, fold: d
     out = obs.filter("qc = 0").groupBy(elm.alias("elm")).agg(F.count("dep").alias("n"), F.avg("dep").alias("bias"), F.sqrt(F.avg(F.col("dep") ** 2)).alias("rmse"))
     if elements is None:
         return out
-    return F.broadcast(elements.select("elm").distinct()).join(out, "elm", "left").withColumn("n", F.coalesce("n", F.lit(0).cast("long")))
+    return elements.select("elm").distinct().join(out, "elm", "left").withColumn("n", F.coalesce("n", F.lit(0).cast("long")))
 
 
 def merge_departures(parts: DataFrame) -> DataFrame:

@@ -49,8 +49,9 @@ def asof_linear(targets: DataFrame, source: DataFrame, time: str, value: str, ke
     both = t.unionByName(s.withColumn("_row", F.lit(0)), allowMissingColumns=True)
     w = Window.partitionBy(*parts).orderBy("_t", "_row")
     known = F.when(F.col("_row") == 0, F.struct("_t", "_v"))
-    back = Window.partitionBy(*parts).orderBy("_t", F.col("_row").desc())
-    out = both.withColumn("_p", F.last(known, True).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_n", F.first(known, True).over(back.rowsBetween(0, Window.unboundedFollowing)))
+    out = both.withColumn("_p", F.last(known, True).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_n", F.first(known, True).over(w.rowsBetween(0, Window.unboundedFollowing)))
+    # One order serves both sides: a sample at the target's own time stands before it, and is its next one too.
+    out = out.withColumn("_n", F.when(F.col("_p._t") == F.col("_t"), F.col("_p")).otherwise(F.col("_n")))
     span = F.col("_n._t") - F.col("_p._t")
     a = F.when(span == 0, 0.0).otherwise(F.try_divide(F.col("_t") - F.col("_p._t"), span))
     out = out.filter("_row = 1").withColumn("prev", F.col("_p._v")).withColumn("next", F.col("_n._v")).withColumn(value, (1 - a) * F.col("_p._v") + a * F.col("_n._v"))

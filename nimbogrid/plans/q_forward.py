@@ -123,7 +123,7 @@ def monthly_constant(spark, sf_dir):
 
     s = v_series(spark, sf_dir).withColumn("mon", F.month("day"))
     m = s.groupBy("mon").agg(F.avg("total").alias("clim"))
-    return s.join(F.broadcast(m), "mon").select("day", r(F.col("total") - F.col("clim"), 1, 4).alias("anomaly"))
+    return s.join(m, "mon").select("day", r(F.col("total") - F.col("clim"), 1, 4).alias("anomaly"))
 
 
 @query("stretched_levels")

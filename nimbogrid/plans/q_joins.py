@@ -145,7 +145,7 @@ def slot_join(spark, sf_dir):
 
     slots = spark.range(-2, 3).select(F.col("id").alias("slot"))
     o = v_obs(spark, sf_dir).withColumn("slot", time_slot(F.col("dif"), 86400.0, 0).cast("long"))
-    return o.join(F.broadcast(slots), "slot").groupBy("slot").agg(F.count(F.lit(1)).alias("n"), r(F.sum("dat"), 3).alias("total"))
+    return o.join(slots, "slot").groupBy("slot").agg(F.count(F.lit(1)).alias("n"), r(F.sum("dat"), 3).alias("total"))
 
 
 @query(

@@ -92,7 +92,7 @@ def element_sequence(spark, sf_dir):
     from ..functions.lookup import sequence_ids
 
     o = v_obs(spark, sf_dir)
-    return o.join(F.broadcast(sequence_ids(o, "elm")), "elm").groupBy("elm", "seq").agg(F.count(F.lit(1)).alias("n"))
+    return o.join(sequence_ids(o, "elm"), "elm").groupBy("elm", "seq").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(

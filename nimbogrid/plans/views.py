@@ -19,7 +19,7 @@ def v_obs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """obs_id, elm, typ, dif (s), dat, err, dep: events as observations; the background is the mean of the element."""
     e = table(spark, sf_dir, "events")
     mean = e.groupBy("event_type").agg(F.avg("value").alias("bg"))  # one row per element
-    return e.join(F.broadcast(mean), "event_type").select(
+    return e.join(mean, "event_type").select(
         F.col("event_id").alias("obs_id"), F.col("event_type").alias("elm"), (F.col("user_id") % 4).alias("typ"), seconds_since("ts", "2024-01-16").alias("dif"),
         F.col("value").alias("dat"), (0.25 * F.col("bg")).alias("err"), (F.col("value") - F.col("bg")).alias("dep"),
     )

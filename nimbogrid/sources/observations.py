@@ -94,7 +94,7 @@ def read_sets(inputs: Sequence[DataFrame]) -> DataFrame:
     counts = every.groupBy("set", "path").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy("set").orderBy("path").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("set", "path", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_o"))
-    return every.join(F.broadcast(offsets), ["set", "path"]).withColumn("idx", F.col("_o") + F.col("nth") + 1).drop("_o")
+    return every.join(offsets, ["set", "path"]).withColumn("idx", F.col("_o") + F.col("nth") + 1).drop("_o")
 
 
 def write_observations(obs: DataFrame, path: str, mode: str = "overwrite", drop_missing: bool = True, partition: Sequence[str] = ()) -> None:
