@@ -47,7 +47,7 @@ from .suffix_sort import suffix_array
 
 GRAM = 32
 #: Bytes of a group; batches that make a class hot (or one of 1,024, where that is more); hashes that are sent to all; batches without salt.
-GROUP_BYTES, HOT, HOT_SENT, SALTED = 16 << 20, 128, 1 << 20, 4096
+GROUP_BYTES, HOT, HOT_SENT, SALTED = 4 << 20, 512, 1 << 20, 4096
 
 
 def anchors(texts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -61,22 +61,21 @@ def anchors(texts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np
     ends = np.cumsum(size)
     at = np.arange(len(raw) - GRAM + 1)
     h = Prefix(raw).slices(at, at + GRAM)
-    # Smallest hash in each window, and its leftmost place: windows of doubling width.
-    low, place, width = h, at.astype(np.int32), 1
+    # Smallest hash in each window, and its leftmost place, as one number with the place in its low bits: windows of doubling width.
+    # Hashes are compared by the bits that are left; among equal ones the leftmost counts, in all equal strings alike.
+    bits = np.uint64(max(1, (len(h) - 1).bit_length()))
+    low, width = h >> bits << bits | at.astype(np.uint64), 1
     while width < wide:
         step = min(width, wide - width)
-        right = low[step:]
-        left = low[: len(right)]
-        better = right < left
-        low = np.where(better, right, left)
-        place = np.where(better, place[step:], place[: len(right)])
+        low = np.minimum(low[:-step], low[step:])
         width += step
+    place = (low & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
     doc = np.repeat(np.arange(len(texts)), size)[: len(low)]
     inside = np.arange(len(low)) + length <= ends[doc]
     start = np.flatnonzero(inside)
     if not len(start):
         return none, none.astype(np.uint64), none, none, none
-    p, d = place[start].astype(np.int64), doc[start]
+    p, d = place[start], doc[start]
     edge = np.flatnonzero(np.r_[True, (p[1:] != p[:-1]) | (d[1:] != d[:-1])])
     first, last = start[edge], start[np.r_[edge[1:] - 1, len(start) - 1]]
     base = (ends - size)[d[edge]]
@@ -87,6 +86,11 @@ def _raws(column, a: int, b: int) -> list[bytes]:
     return [(t or "").encode("utf-8", "surrogatepass") for t in column[a:b]]
 
 
+def _held(known: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Whether each of x is in the sorted numbers known."""
+    return known[np.minimum(np.searchsorted(known, x), len(known) - 1)] == x if len(known) else np.zeros(len(x), bool)
+
+
 def _listed(hashes: np.ndarray, number: int, parts: int) -> list[tuple]:
     """(part, batch, those that repeat, those that do not) of the hashes of one batch."""
     h, times = np.unique(hashes, return_counts=True)
@@ -107,7 +111,7 @@ def _count(parts: int, length: int, hot: np.ndarray | None = None):
     def hashes(texts: list[bytes]) -> np.ndarray:
         if hot is None:
             return anchors(texts, length)[1]
-        return np.concatenate([np.empty(0, np.uint64), *(h for *_, h in _hot_strings(texts, length, hot))])
+        return _hot_strings(texts, length, hot)[-1]
 
     def run(batches):
         for batch in batches:
@@ -134,19 +138,19 @@ def _count_by_batch(parts: int, length: int):
     return run
 
 
-def _hot_strings(texts: list[bytes], length: int, hot: np.ndarray):
-    """(text, hash of the anchor, anchor, first string, hashes of the strings from there) of each context of a hot anchor."""
+def _hot_strings(texts: list[bytes], length: int, hot: np.ndarray) -> tuple[np.ndarray, ...]:
+    """For each string in a context of a hot anchor: (context, its text, anchor's hash, anchor, start, hash of string, class and place in it)."""
     d, h, p, lo, hi = anchors(texts, length)
-    if not len(d):
-        return
-    mine = np.flatnonzero(hot[np.minimum(np.searchsorted(hot, h), len(hot) - 1)] == h)
-    held: tuple = (-1, None)
-    for i, x, y, z, w in zip(d[mine].tolist(), h[mine].tolist(), p[mine].tolist(), lo[mine].tolist(), hi[mine].tolist(), strict=True):
-        if held[0] != i:
-            held = (i, Prefix(np.frombuffer(texts[i], np.uint8), BASES[1]))
-        at = np.arange(z, w + 1)
-        # With the anchor's hash and place: only strings of the same class can be equal.
-        yield i, x, y, z, mix(held[1].slices(at, at + length) ^ np.uint64(x)) + (y - at).astype(np.uint64)
+    mine = np.flatnonzero(_held(hot, h))
+    n = (hi - lo + 1)[mine]
+    context = np.repeat(np.arange(len(mine)), n)
+    own = mine[context]
+    at = lo[own] + np.arange(len(own)) - np.repeat(np.cumsum(n) - n, n)
+    size = np.array([len(t) for t in texts], np.int64)
+    start = (np.cumsum(size) - size)[d[own]] + at
+    strings = Prefix(np.frombuffer(b"".join(texts), np.uint8), BASES[1]).slices(start, start + length) if len(own) else np.empty(0, np.uint64)
+    # With the anchor's hash and place: only strings of the same class can be equal.
+    return context, d[own], h[own], p[own], at, mix(strings ^ h[own]) + (p[own] - at).astype(np.uint64)
 
 
 #: What a list of hashes is of: anchors that occur again, hot ones among them, strings of hot ones that occur again; all hot anchors of a group, for no batch.
@@ -160,10 +164,10 @@ def _repeated(kind: int, most_batches: int):
         blobs = [np.frombuffer((a.as_py() or b"") + (b.as_py() or b""), np.uint64) for a, b in zip(table.column("often"), table.column("once"), strict=True)]
         h, batches = np.unique(np.concatenate(blobs), return_counts=True)
         local = np.unique(np.concatenate([np.frombuffer(a.as_py() or b"", np.uint64) for a in table.column("often")]))
-        wanted = [(kind, h[(batches > 1) | np.isin(h, local)])]
+        wanted = [(kind, h[(batches > 1) | _held(local, h)])]
         if kind == AGAIN:
             wanted.append((HOT_ANCHORS, h[batches > most_batches]))
-        out = [(n, k, b[np.isin(b, again)].tobytes()) for k, again in wanted if len(again) for n, b in zip(batch, blobs, strict=True)]
+        out = [(n, k, b[_held(again, b)].tobytes()) for k, again in wanted if len(again) for n, b in zip(batch, blobs, strict=True)]
         out = [r for r in out if r[2]] + [(None, ALL_HOT, again.tobytes()) for k, again in wanted if k == HOT_ANCHORS and len(again)]
         return pa.table({"batch": pa.array([r[0] for r in out], pa.int64()), "kind": pa.array([r[1] for r in out], pa.int32()), "hashes": pa.array([r[2] for r in out], pa.binary())})
 
@@ -202,19 +206,21 @@ def _contexts(parts: int, salts: int, length: int):
                 lost.append((int(uids[i]), z, z + len(context)))
 
         if len(known):
-            cold = known[~np.isin(known, hot)]
+            cold = known[~_held(hot, known)]
             for a, b in slabs(texts, 1 << 20):
                 raws = _raws(texts, a, b)
                 d, h, p, lo, hi = anchors(raws, length)
-                keep = np.flatnonzero(cold[np.minimum(np.searchsorted(cold, h), len(cold) - 1)] == h) if len(cold) else []
+                keep = np.flatnonzero(_held(cold, h))
                 for i, x, y, z, w in zip(d[keep].tolist(), h[keep].tolist(), p[keep].tolist(), lo[keep].tolist(), hi[keep].tolist(), strict=True):
                     meet(a + i, x, y, z, raws[i][z : w + length])
                 if len(hot) and len(strings):
-                    for i, x, y, z, own in _hot_strings(raws, length, hot):
-                        again = strings[np.minimum(np.searchsorted(strings, own), len(strings) - 1)] == own
-                        edge = np.flatnonzero(np.diff(np.r_[False, again, False]))
-                        for u, v in zip((z + edge[::2]).tolist(), (z + edge[1::2]).tolist(), strict=True):
-                            meet(a + i, x, y, u, raws[i][u : v - 1 + length])
+                    c, d, h, p, at, own = _hot_strings(raws, length, hot)
+                    again = np.flatnonzero(_held(strings, own))
+                    # Runs of strings that occur again, inside one context.
+                    edge = np.flatnonzero(np.r_[True, (np.diff(again) != 1) | (np.diff(c[again]) != 0), True]) if len(again) else np.zeros(1, int)
+                    u, v = again[edge[:-1]], again[edge[1:] - 1]
+                    for i, x, y, z, w in zip(d[u].tolist(), h[u].tolist(), p[u].tolist(), at[u].tolist(), at[v].tolist(), strict=True):
+                        meet(a + i, x, y, z, raws[i][z : w + length])
         salt = int(mix(np.array([key[0].as_py()], np.int64).view(np.uint64))[0] % np.uint64(salts))
         rows = [(int(mix(np.array([x], np.uint64))[0] % np.uint64(parts)), salt, x - (1 << 64) if x >> 63 else x, s, c, int(ids[i]), int(uids[i]), z, None) for (x, s, c), (i, z) in first.items()]
         return _context_table(rows, lost, parts, salt)

@@ -1,4 +1,5 @@
-"""Suffix sorting by grouping Lyndon prefixes, in linear time and without renaming.
+"""Suffix sorting by grouping Lyndon prefixes, without renaming. All steps take linear time but for the first sort of the symbols and the
+sorting of each group's positions, which come in a few ascending runs.
 
 Suffixes are first grouped by their first symbol. Groups are processed in descending order; when a group is
 processed, all its suffixes start with the same Lyndon word u. A suffix's previous smaller pointer leads to the
