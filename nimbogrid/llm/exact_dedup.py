@@ -4,9 +4,8 @@ The normalised text of a row (white space ``[\\x20\\x09-\\x0D]`` deleted, as UTF
 fixed number of bytes. The distinct blocks are sorted and numbered; then adjacent names are paired, the
 distinct pairs are sorted and numbered in turn, and so on until every document has one name. Two documents
 get the same (level, name) if and only if their normalised texts are the same bytes: names are given to
-contents, not to hashes. A 128-bit hash only routes a block to its name; that each hash stands for one
-content is proven over the whole table (``min(block) = max(block)``), and should one ever stand for two,
-all of it is done again under another seed.
+contents, not to hashes. A 128-bit hash only routes a block to its name; that no two of the distinct blocks have one
+hash is checked over the whole table, and should two ever have, all of it is done again under another seed.
 
 Scale: the contents cross the network once, combined before the shuffle, so a block shared by a third of
 all rows arrives once per map task. Every other shuffle carries 64-bit names. The joins on names are plain
@@ -25,7 +24,7 @@ from pyspark.sql import functions as F
 from .common import Scratch, unused
 
 SPACES = r"[\x20\x09-\x0D]+"
-#: Nine texts of ten are longer, so that most are named by pairs.
+#: Nearly all texts are longer, so that they are named by pairs.
 BLOCK_BYTES = 512
 
 
@@ -33,11 +32,13 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), SPACES, "")
 
 
-def _blocks(binary: Column, block_bytes: int) -> Column:
-    """The blocks of a binary column; an empty one has one empty block."""
-    last = F.greatest(F.lit(0), (F.octet_length(binary) - 1).cast("int") / block_bytes).cast("int")
-    size = F.lit(block_bytes)
-    return F.transform(F.sequence(F.lit(0), last), lambda i: F.substring(binary, i * size + 1, size))
+def _last_block(raw: Column, block_bytes: int) -> Column:
+    """Number of the last block, from 0; an empty text has one empty block."""
+    return F.greatest(F.lit(0), F.floor((F.octet_length(raw) - 1) / F.lit(block_bytes))).cast("int")
+
+
+def _block(raw: Column, number: Column, block_bytes: int) -> Column:
+    return F.substring(raw, number * F.lit(block_bytes) + 1, F.lit(block_bytes))
 
 
 def _route(block: Column, seed: int) -> Column:
@@ -57,18 +58,19 @@ def identities(rows: DataFrame, scratch: Scratch, block_bytes: int) -> tuple[Dat
     seed = 0
     while True:
         cut = plain.select("uid", "doc_id", F.length("text").alias("n_chars"), normalised(F.col("text")).alias("norm"))
-        cut = cut.withColumn("blocks", _blocks(F.col("norm").cast("binary"), block_bytes))
+        cut = cut.withColumn("raw", F.col("norm").cast("binary"))
+        numbers = F.sequence(F.lit(0), _last_block(F.col("raw"), block_bytes))
         heads = scratch.save(
             cut.select(
-                "uid", "doc_id", "n_chars", F.sha2(F.col("norm").cast("binary"), 256).alias("text_sha256"),
-                F.transform("blocks", lambda b: _route(b, seed)).alias("keys"),
+                "uid", "doc_id", "n_chars", F.sha2("raw", 256).alias("text_sha256"),
+                F.transform(numbers, lambda i: _route(_block(F.col("raw"), i, block_bytes), seed)).alias("keys"),
             )
         )
-        contents = cut.select(F.explode("blocks").alias("block")).select(_route(F.col("block"), seed).alias("k"), "block").select("k.*", "block")
-        held = contents.groupBy("h1", "h2").agg(F.min("block").alias("block"), F.max("block").alias("other"))
-        # The blocks are sorted into integer names here; only the key, the name and the proof are kept.
-        names = scratch.save(_sorted_names(held, ["block", "h1", "h2"]).select("h1", "h2", "name", (F.col("block") != F.col("other")).alias("clash")))
-        if names.filter("clash").isEmpty():
+        # The distinct blocks are grouped by their bytes and sorted into integer names; only the name and the hash are kept.
+        # Numbers are exploded, not blocks: an array of blocks would be made a second time by the filter that an explode brings.
+        contents = cut.select("raw", F.explode(numbers).alias("i")).select(_block(F.col("raw"), F.col("i"), block_bytes).alias("block")).distinct()
+        names = scratch.save(_sorted_names(contents, ["block"]).select(_route(F.col("block"), seed).alias("k"), "name").select("k.*", "name"))
+        if names.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty():
             break
         scratch.drop(heads, names)
         seed += 1

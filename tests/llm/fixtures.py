@@ -17,7 +17,7 @@ def text(rng: random.Random, lang: str = "en", sentences: int = 8) -> str:
 
 
 def corpus(seed: int = 0, n: int = 60) -> list[tuple]:
-    """(doc_id, text): copies, near copies, shared passages, nulls, empty, blank and very long texts, repeated rows, a null id."""
+    """(doc_id, text): copies, near copies, shared passages, nulls, empty, blank and very long texts, repeated rows. Null ids are in test_contracts."""
     rng = random.Random(seed)
     rows: list[tuple] = [(i, text(rng, rng.choice(["en", "de", "fr"]), rng.randint(2, 14))) for i in range(n)]
     passage = text(rng, "en", 7)
