@@ -5,7 +5,7 @@ bad rows are not used. A logistic model over text statistics minimises the non-n
 
     prior * E_p[l(g)] + max(0, E_u[l(-g)] - prior * E_p[l(-g)])
 
-with the logistic loss l, by full-batch Adam until it no longer falls; where the second term turns negative, its gradient is taken the other way
+with the logistic loss l, by full-batch Adam until it no longer falls, ten times on random shares of the rows, whose mean is the model; where the second term turns negative, its gradient is taken the other way
 round. The class prior is estimated from the same two samples: the share of unlabelled rows above a threshold over the
 share of positives above it is an upper bound of the prior for any threshold of any score. Every row is scored by a model that was
 fitted on the other half (equal rows are in one half); each bound gets its standard error added, so that the least of many is not
@@ -147,13 +147,22 @@ def estimate_prior(p: np.ndarray, u: np.ndarray) -> float:
     return float(np.clip(best, 0.05, 0.98))
 
 
+def fit_many(p: np.ndarray, u: np.ndarray, prior: float, fits: int = 10, share: float = 0.8, seed: int = 0) -> tuple[np.ndarray, float]:
+    """The mean weights and bias of fits on random shares of the rows: a single fit on few positives depends on chance."""
+    rng, found = np.random.default_rng(seed), []
+    for _ in range(fits):
+        some = [x[rng.permutation(len(x))[: max(2, int(share * len(x)))]] for x in (p, u)]
+        found.append(fit(*some, prior))
+    return np.mean([w for w, _ in found], axis=0), float(np.mean([b for _, b in found]))
+
+
 class Model:
     def __init__(self, p: np.ndarray, u: np.ndarray):
         both = np.concatenate([p, u])
         self.mean, self.scale = both.mean(axis=0), both.std(axis=0) + 1e-2
         p, u = ((x - self.mean) / self.scale for x in (p, u))
         self.prior = estimate_prior(p, u)
-        self.w, self.b = fit(p, u, self.prior)
+        self.w, self.b = fit_many(p, u, self.prior)
 
     def __call__(self, texts: list[str | None]) -> np.ndarray:
         g = (statistics(texts) - self.mean) / self.scale @ self.w + self.b
