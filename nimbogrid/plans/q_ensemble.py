@@ -105,7 +105,7 @@ def _local_pairs(spark, sf_dir):
     p = joins.local_observations(v_grid(spark, sf_dir), v_site(spark, sf_dir).withColumn("err", 1 + (F.col("obs_id") % 5) * 0.25), 3.0, 20.0, 2)
     e = v_ens_array(spark, sf_dir).select(F.col("vec_id").alias("key"), ens.perturbations(F.col("ens")).alias("y"))
     n = e.count()
-    p = p.drop("x", "y").withColumn("key", F.col("obs_id") % F.lit(n))
+    p = p.select("cell", "obs_id", "dat", "err", "weight", (F.col("obs_id") % F.lit(n)).alias("key"))
     return p.join(e, "key").withColumn("d", (F.col("dat") - 1000) / 1000).withColumn("r", F.col("err") * F.col("err") / F.col("weight"))
 
 
