@@ -6,10 +6,12 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .ranges import CHUNK, SPLIT, read_exactly, scan
+
 #: Number types of flat binaries.
 TYPES = {"int1": "i1", "int2": "i2", "int4": "i4", "int8": "i8", "real4": "f4", "real8": "f8"}
 
@@ -68,34 +70,48 @@ def read_described(spark: SparkSession, ctl: str, names: Sequence[str] | None =
     return read_flat(spark, f"{ctl.rsplit('/', 1)[0]}/{path[1:]}" if path.startswith("^") else path, spec, names)
 
 
-def _decode(spec: FlatSpec, names: Sequence[str] | None):
-    def run(batches):
-        for pdf in batches:
-            for path, raw in zip(pdf["path"], pdf["content"], strict=True):
-                a = np.frombuffer(raw, spec.endian + TYPES[spec.kind])
-                for step in range(len(a) // spec.step_count()):
-                    at = step * spec.step_count()
-                    for name, levels in spec.variables:
-                        n = levels * spec.nx * spec.ny
-                        if names is None or name in names:
-                            v = a[at : at + n].reshape(levels, spec.ny, spec.nx).astype(float)
-                            if spec.y_reverse:
-                                v = v[:, ::-1]
-                            if spec.missing is not None:
-                                v = np.where(np.abs(v - spec.missing) <= abs(spec.missing) * 1e-6, np.nan, v)
-                            k, j, i = np.indices(v.shape)
-                            d = pd.DataFrame({"path": path, "var": name, "step": step + 1, "k": k.ravel() + 1, "j": j.ravel() + 1, "i": i.ravel() + 1, "value": v.ravel()})
-                            d["value"] = d["value"].astype(object).where(d["value"].notna(), None)
-                            yield d
-                        at += n
-
-    return run
-
-
-def read_flat(spark: SparkSession, path: str, spec: FlatSpec, names: Sequence[str] | None = None) -> DataFrame:
-    """(path, var, step, k, j, i, value) of flat binaries, of the named variables only if given; the missing value becomes null."""
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInPandas(_decode(spec, names), "path string, var string, step int, k int, j int, i int, value double")
+def _format(spec: FlatSpec, names: Sequence[str] | None, steps: tuple[int, int] | None, levels: tuple[int, int] | None, lines: int):
+    size = np.dtype(TYPES[spec.kind]).itemsize
+    blocks = -(-spec.ny // lines)
+    # The levels that are wanted of each step, with the number before them in the step: (variable, level from 1, values before).
+    held, before = [], 0
+    for name, n in spec.variables:
+        held += [(name, k + 1, before + k * spec.nx * spec.ny) for k in range(n) if (names is None or name in names) and (levels is None or levels[0] <= k + 1 <= levels[1])]
+        before += n * spec.nx * spec.ny
+
+    def plan(file, length, split):
+        last = length // (size * spec.step_count())
+        first, last = (max(1, steps[0]), min(last, steps[1])) if steps else (1, last)
+        units = max(0, last - first + 1) * len(held) * blocks
+        step = max(1, split // (lines * spec.nx * size))
+        for a in range(0, units, step):
+            yield {"first": first, "from": a, "to": min(a + step, units)}
+
+    def read(file, path, piece):
+        for u in range(piece["from"], piece["to"]):
+            step, (name, k, at) = piece["first"] + u // (len(held) * blocks), held[u // blocks % len(held)]
+            j = u % blocks * lines
+            n = min(lines, spec.ny - j)
+            v = np.frombuffer(read_exactly(file, size * ((step - 1) * spec.step_count() + at + j * spec.nx), size * n * spec.nx), spec.endian + TYPES[spec.kind]).astype(float)
+            row = np.repeat(np.arange(j, j + n), spec.nx)
+            missing = np.isnan(v) if spec.missing is None else np.isnan(v) | (np.abs(v - spec.missing) <= abs(spec.missing) * 1e-6)
+            fixed = lambda x, m=len(v): np.full(m, x, np.int32)
+            yield pa.RecordBatch.from_pydict({
+                "path": [path] * len(v), "var": [name] * len(v), "step": fixed(step), "k": fixed(k), "j": ((spec.ny - row if spec.y_reverse else row + 1)).astype(np.int32),
+                "i": np.tile(np.arange(1, spec.nx + 1, dtype=np.int32), n), "value": pa.array(v, mask=missing),
+            })
+
+    return plan, read
+
+
+def read_flat(spark: SparkSession, path: str, spec: FlatSpec, names: Sequence[str] | None = None, steps: tuple[int, int] | None = None, levels: tuple[int, int] | None = None, split: int = SPLIT) -> DataFrame:
+    """(path, var, step, k, j, i, value) of flat binaries; the missing value becomes null.
+
+    names, steps and levels (first and last, from 1) choose what is read: the bytes of other variables, steps and levels are skipped. A file is read by as many
+    tasks as it has ``split`` bytes, some rows of a level at a time.
+    """
+    lines = max(1, min(spec.ny, CHUNK // (spec.nx * 8)))
+    return scan(spark, path, *_format(spec, names, steps, levels, lines), "path string, var string, step int, k int, j int, i int, value double", split)
 
 
 def tiles_in(catalogue: DataFrame, lon0: float, lon1: float, lat0: float, lat1: float) -> DataFrame:

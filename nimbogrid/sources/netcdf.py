@@ -4,8 +4,8 @@ A variable becomes one row per value, with its indexes (from 0) in the order of
 coordinate variables, their values; what equals ``_FillValue`` or ``missing_value`` is null, ``scale_factor`` and ``add_offset`` are
 applied. Executors read the files; the driver sees none of them. Files of the HDF5-based format are not read: an error says so.
 
-A file is one task's work and must fit in its memory, as process files of a decomposed domain do. Variables that are not asked for
-are skipped by their offsets.
+Files at a path are read by byte ranges (:mod:`.ranges`): a large one by many tasks, and of each only the variables that are asked for. Files in a column of a
+table (:func:`decode`) and files that are written are one task's work each, as process files of a decomposed domain are.
 """
 
 from __future__ import annotations
@@ -15,20 +15,25 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .ranges import CHUNK, SPLIT, read_exactly, scan
+
 #: Fixed values of the format: number types by code.
 TYPES = {1: "i1", 2: "S1", 3: ">i2", 4: ">i4", 5: ">f4", 6: ">f8", 7: "u1", 8: ">u2", 9: ">u4", 10: ">i8", 11: ">u8"}
 _CODES = {"int16": 3, "int32": 4, "float32": 5, "float64": 6}
 #: Fixed values of the format: tags of its lists.
 DIMENSION, VARIABLE, ATTRIBUTE = 10, 11, 12
+#: Records of fewer bytes are read together with what lies between them.
+GAP = 64 << 10
 
 
 class Header:
     """Dimensions, attributes and variables of a file: dims [(name, size)], attributes {name: value}, variables {name: (dims, attributes, type, offset)}."""
 
-    def __init__(self, raw: bytes):
+    def __init__(self, raw: bytes, size: int | None = None):
         self.raw, self.at = raw, 4
         if raw[:3] != b"CDF" or raw[3:4] not in (b"\1", b"\2", b"\5"):
             raise ValueError("not a classic NetCDF file" + (" but an HDF5 one" if raw[:4] == b"\x89HDF" else ""))
@@ -46,6 +51,9 @@ class Header:
         records = [self.row_bytes(v) for v in self.variables if self.is_record(v)]
         # A single record variable is not padded.
         self.record_bytes = records[0] if len(records) == 1 else sum(-(-n // 4) * 4 for n in records)
+        if self.records < 0 and self.record_bytes:
+            # A file that is still written: as many records as it has bytes for.
+            self.records = ((len(raw) if size is None else size) - min(v[3] for n, v in self.variables.items() if self.is_record(n))) // self.record_bytes
 
     def _take(self, kind: str) -> int:
         v = int(np.frombuffer(self.raw, kind, 1, self.at)[0])
@@ -60,6 +68,8 @@ class Header:
 
     def _bytes(self, n: int) -> bytes:
         out = self.raw[self.at : self.at + n]
+        if len(out) != n:
+            raise ValueError("the header ends early")
         self.at += -(-n // 4) * 4
         return out
 
@@ -94,7 +104,7 @@ class Header:
 
     def values(self, name: str) -> np.ndarray:
         """The variable as numbers, missing ones nan."""
-        _, attributes, kind, offset = self.variables[name]
+        _, _, kind, offset = self.variables[name]
         if kind == "S1":
             raise ValueError(f"{name} holds text")
         shape, n = self.shape(name), self.row_bytes(name)
@@ -103,7 +113,11 @@ class Header:
             a = np.ndarray((shape[0], n // size), kind, self.raw, offset, (self.record_bytes, size)) if shape[0] else np.empty(0, kind)
         else:
             a = np.frombuffer(self.raw, kind, n // np.dtype(kind).itemsize, offset)
-        out = a.astype(float).reshape(shape)
+        return self.scaled(name, a).reshape(shape)
+
+    def scaled(self, name: str, stored: np.ndarray) -> np.ndarray:
+        """Numbers of a variable as stored, with missing ones nan, scale and offset applied."""
+        attributes, out = self.variables[name][1], stored.astype(float)
         for key in ("_FillValue", "missing_value"):
             if key in attributes and not isinstance(attributes[key], str):
                 out = np.where(out == float(attributes[key][0]), np.nan, out)
@@ -144,9 +158,92 @@ def _rows(names: Sequence[str] | None, most: int):
     return run
 
 
-def read_netcdf(spark: SparkSession, path: str, names: Sequence[str] | None = None, rows_at_once: int = 200_000) -> DataFrame:
-    """(path, var, index, place, value, unit) of the numbers of files: all variables, or the named ones. place has the coordinates, null where a dimension has none."""
-    return decode(spark.read.format("binaryFile").load(path).select("path", "content"), names, rows_at_once)
+def header_of(file: pa.NativeFile) -> Header:
+    """The header of a file that can be sought in, from as many bytes as it has."""
+    n, size = 1 << 16, file.size()
+    while True:
+        try:
+            return Header(read_exactly(file, 0, min(n, size)), size)
+        except (ValueError, IndexError):
+            if n >= size or file.size() < 4 or read_exactly(file, 0, 3) != b"CDF":
+                raise
+            n *= 8
+
+
+def values_between(file: pa.NativeFile, head: Header, name: str, a: int, b: int) -> np.ndarray:
+    """Values a .. b - 1 of a variable in the order of its dimensions, missing ones nan; only their bytes are read, or records with gaps where these are small."""
+    _, attributes, kind, offset = head.variables[name]
+    size = np.dtype(kind).itemsize
+    if not head.is_record(name):
+        return head.scaled(name, np.frombuffer(read_exactly(file, offset + a * size, (b - a) * size), kind))
+    own = head.row_bytes(name) // size
+    out = []
+    while a < b:
+        r, c = divmod(a, own)
+        whole = (b - a) // own if c == 0 else 0
+        if whole and own * size < GAP:
+            # Many small records: read at once with what lies between them.
+            n = min(whole, max(1, CHUNK // head.record_bytes))
+            raw = read_exactly(file, offset + r * head.record_bytes, (n - 1) * head.record_bytes + own * size)
+            out.append(np.ndarray((n, own), kind, raw, 0, (head.record_bytes, size)).ravel())
+            a += n * own
+        else:
+            n = min(own - c, b - a)
+            out.append(np.frombuffer(read_exactly(file, offset + r * head.record_bytes + c * size, n * size), kind))
+            a += n
+    return head.scaled(name, np.concatenate(out) if out else np.empty(0, kind))
+
+
+def _format(names: Sequence[str] | None, most: int):
+    def plan(file, length, split):
+        head, pieces, held = header_of(file), [], 0
+        for name in head.variables if names is None else [n for n in names if n in head.variables]:
+            kind = head.variables[name][2]
+            total, size = int(np.prod(head.shape(name), dtype=np.int64)), np.dtype(kind).itemsize
+            a = 0
+            while kind != "S1" and a < total:
+                b = min(total, a + max(1, (split - held) // size))
+                pieces.append([name, a, b])
+                held, a = held + (b - a) * size, b
+                if held >= split:
+                    yield {"pieces": pieces}
+                    pieces, held = [], 0
+        if pieces:
+            yield {"pieces": pieces}
+
+    def read(file, path, piece):
+        head, axes = header_of(file), {}
+        for name, first, last in piece["pieces"]:
+            dims, attributes = head.variables[name][:2]
+            for d in dims:
+                if d not in axes:
+                    own = head.dims[d][0]
+                    held = own in head.variables and head.variables[own][0] == [d] and head.variables[own][2] != "S1"
+                    axes[d] = values_between(file, head, own, 0, int(np.prod(head.shape(own)))) if held else None
+            shape = head.shape(name)
+            for a in range(first, last, most):
+                b = min(last, a + most)
+                v = values_between(file, head, name, a, b)
+                index = np.stack(np.unravel_index(np.arange(a, b), shape), axis=1).astype(np.int64) if shape else np.empty((1, 0), np.int64)
+                place = np.full(index.shape, np.nan)
+                for n, d in enumerate(dims):
+                    if axes[d] is not None:
+                        place[:, n] = axes[d][index[:, n]]
+                ends = pa.array(np.arange(len(v) + 1, dtype=np.int32) * index.shape[1])
+                yield pa.RecordBatch.from_pydict({
+                    "path": [path] * len(v), "var": [name] * len(v), "index": pa.ListArray.from_arrays(ends, pa.array(index.ravel(), pa.int64())),
+                    "place": pa.ListArray.from_arrays(ends, pa.array(place.ravel(), pa.float64(), mask=np.isnan(place.ravel()))), "value": pa.array(v, pa.float64(), mask=np.isnan(v)), "unit": [str(attributes.get("units", ""))] * len(v),
+                })
+
+    return plan, read
+
+
+def read_netcdf(spark: SparkSession, path: str, names: Sequence[str] | None = None, rows_at_once: int = 200_000, split: int = SPLIT) -> DataFrame:
+    """(path, var, index, place, value, unit) of the numbers of files: all variables, or the named ones. place has the coordinates, null where a dimension has none.
+
+    A file is read by as many tasks as it has ``split`` bytes; each reads the header, the coordinates and its own ranges, and nothing of other variables.
+    """
+    return scan(spark, path, *_format(names, rows_at_once), "path string, var string, index array<long>, place array<double>, value double, unit string", split)
 
 
 def decode(files: DataFrame, names: Sequence[str] | None = None, rows_at_once: int = 200_000) -> DataFrame:
@@ -155,19 +252,21 @@ def decode(files: DataFrame, names: Sequence[str] | None = None, rows_at_once: i
     return rows.withColumn("place", F.transform("place", lambda v: F.when(~F.isnan(v), v)))
 
 
+CATALOGUE = (("path", pa.string()), ("var", pa.string()), ("dims", pa.list_(pa.string())), ("sizes", pa.list_(pa.int64())), ("unit", pa.string()))
+
+
 def read_headers(spark: SparkSession, path: str) -> DataFrame:
     """A catalogue: (path, var, dims, sizes, unit) of each variable of files."""
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
 
-    def run(batches):
-        for pdf in batches:
-            out = []
-            for path, raw in zip(pdf["path"], pdf["content"], strict=True):
-                head = Header(bytes(raw))
-                out += [(path, n, [head.dims[d][0] for d in v[0]], list(head.shape(n)), str(v[1].get("units", ""))) for n, v in head.variables.items()]
-            yield pd.DataFrame(out, columns=["path", "var", "dims", "sizes", "unit"])
+    def plan(file, length, split):
+        yield {}
+
+    def read(file, path, piece):
+        head = header_of(file)
+        out = [(path, n, [head.dims[d][0] for d in v[0]], list(head.shape(n)), str(v[1].get("units", ""))) for n, v in head.variables.items()]
+        yield pa.RecordBatch.from_pydict({c: pa.array([x[k] for x in out], kind) for k, (c, kind) in enumerate(CATALOGUE)})
 
-    return files.mapInPandas(run, "path string, var string, dims array<string>, sizes array<long>, unit string")
+    return scan(spark, path, plan, read, "path string, var string, dims array<string>, sizes array<long>, unit string")
 
 
 def variable(table: DataFrame, name: str, axes: Sequence[str], coordinates: bool = False) -> DataFrame:

@@ -6,10 +6,12 @@ from collections.abc import Sequence
 from functools import reduce
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .ranges import CHUNK, SPLIT, read_exactly, scan
+
 #: Element numbers.
 ELEMENTS = {"U": 2819, "V": 2820, "T": 3073, "TV": 3074, "Q": 3330, "RH": 3331, "PS": 14593, "REF": 4001, "VR": 4002, "RE0": 4004}
 #: Elements whose level is a pressure, in hPa in files.
@@ -53,34 +55,54 @@ def encode(rows: Sequence[Sequence[float]], endian: str = ">") -> bytes:
     return b"".join(parts)
 
 
-def _decode(kind: str, endian: str):
-    def run(batches):
-        for pdf in batches:
-            for path, raw in zip(pdf["path"], pdf["content"], strict=True):
-                got = records(raw, endian)
-                meta = None
-                if kind == "radar":
-                    meta, got = got[0][:3, 0].astype(float).tolist(), got[1:]
-                if not got:
-                    continue
-                a = np.concatenate(got).astype(float)
-                if kind == "radar" and a.shape[1] == 7:
-                    a = np.c_[a, np.zeros(len(a))]
-                d = pd.DataFrame(a, columns=list(COLUMNS))
-                d.insert(0, "nth", np.arange(len(d)))
-                d.insert(0, "path", path)
-                d["elm"], d["typ"], d["meta"] = d["elm"].astype("int32"), d["typ"].astype("int32"), [meta] * len(d)
-                yield d
-
-    return run
-
-
-def read_records(spark: SparkSession, path: str, kind: str = "conventional", endian: str = ">") -> DataFrame:
-    """Observations of all files at path. kind: conventional (8 columns, pressure levels to Pa) or radar (3 header records, 7 or 8 columns)."""
+def _body(file: pa.NativeFile, length: int, kind: str, endian: str) -> tuple[list[float] | None, int, int]:
+    """(numbers of a radar file's three header records, byte where rows begin, bytes of a row with its marks)."""
+    meta, at = None, 0
+    if kind == "radar":
+        meta = []
+        for _ in range(3):
+            n = int(np.frombuffer(read_exactly(file, at, 4), f"{endian}i4")[0])
+            meta.append(float(np.frombuffer(read_exactly(file, at + 4, 4), f"{endian}f4")[0]))
+            at += n + 8
+    width = int(np.frombuffer(read_exactly(file, at, 4), f"{endian}i4")[0]) + 8 if at < length else 8
+    if width < 8 or width % 4 or (length - at) % width:
+        raise ValueError(f"broken record behind byte {at}")
+    return meta, at, width
+
+
+def _format(kind: str, endian: str):
+    def plan(file, length, split):
+        meta, body, width = _body(file, length, kind, endian)
+        step = max(1, split // width) * width
+        for a in range(body, length, step):
+            yield {"meta": meta, "first": (a - body) // width, "width": width, "from": a, "to": min(a + step, length)}
+
+    def read(file, path, piece):
+        width, nth = piece["width"], piece["first"]
+        chunk = max(1, CHUNK // width) * width
+        for a in range(piece["from"], piece["to"], chunk):
+            table = np.frombuffer(read_exactly(file, a, min(chunk, piece["to"] - a)), f"{endian}i4").reshape(-1, width // 4)
+            if (table[:, [0, -1]] != width - 8).any():
+                raise ValueError(f"broken record behind byte {a}")
+            v = table[:, 1:-1].view(f"{endian}f4").astype(float)
+            if kind == "radar" and v.shape[1] == len(COLUMNS) - 1:
+                v = np.c_[v, np.zeros(len(v))]
+            columns = {"path": [path] * len(v), "nth": np.arange(nth, nth + len(v))} | {c: np.ascontiguousarray(v[:, k]) for k, c in enumerate(COLUMNS)}
+            columns |= {c: columns[c].astype(np.int32) for c in ("elm", "typ")} | {"meta": pa.array([piece["meta"]] * len(v), pa.list_(pa.float64()))}
+            yield pa.RecordBatch.from_pydict(columns)
+            nth += len(v)
+
+    return plan, read
+
+
+def read_records(spark: SparkSession, path: str, kind: str = "conventional", endian: str = ">", split: int = SPLIT) -> DataFrame:
+    """Observations of all files at path. kind: conventional (8 columns, pressure levels to Pa) or radar (3 header records, 7 or 8 columns).
+
+    The rows of a file have one length; a file is read by as many tasks as it has ``split`` bytes.
+    """
     if kind not in ("conventional", "radar"):
         raise ValueError("kind must be conventional or radar")
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    d = files.mapInPandas(_decode(kind, endian), SCHEMA)
+    d = scan(spark, path, *_format(kind, endian), SCHEMA, split)
     if kind == "conventional":
         d = d.withColumn("lev", F.when(F.col("elm").isin([ELEMENTS[e] for e in PRESSURE_LEVEL]), F.col("lev") * 100).otherwise(F.col("lev")))
     return d
