@@ -3,12 +3,13 @@
 A text is cut after every run of ``ENDS`` characters into sentences; clauses count, so that a passage put into the middle
 of a sentence is found from its next clause on. From each sentence that has a word, the span
 is the shortest run of consecutive sentences with at least ``least_sentences`` sentences that have words and at
-least ``least_words`` words. With ``short_words`` three things are added: the shortest run of at least that many words is a span too where it
-has fewer sentences, and so is the whole of a text of fewer than ``least_sentences`` sentences and at least that many words;
+least ``least_words`` words. With ``short_words`` more is added: the shortest run of at least that many words is a span too where it
+has fewer sentences, and so is the whole of a text of fewer than ``least_sentences`` sentences (before cuts at words) and at least that many words;
+the shortest runs that end with the last sentence are spans, so that nothing of a copy is left over at its end, and what has no word before the first or after the last sentence goes with it;
 ``MARKS`` beyond ASCII end sentences as well; and a sentence of more than ``LONG`` words, as in text without any marks, is
 also cut after every word whose length in bytes and last byte (in lower case) add up to 3 modulo 4, so that its pieces depend on the words
 and not on where it begins. Spans are equal when their words are (lower case, everything but letters and digits
-ignored). All spans of all documents are hashed (128 bits) and joined; the first occurrence, by doc_id and position,
+ignored). All spans of all documents are hashed (128 bits of XXH3, no polynomial, so that no text can be made to collide by its form) and joined; the first occurrence, by doc_id and position,
 stays, and every sentence covered by any other occurrence is removed. Spans are judged on the input.
 
 Scale: an occurrence that is not the first in its own slab of texts cannot be the first of all, so it is decided on
@@ -26,12 +27,14 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import scan
 from .common import Scratch, groups_for
 from .covered import PACKED, RANGE, cut_ranges, number_batches, packed, total_bytes
-from .hashing import BASES, Prefix, mix, slabs, words
+from .hashing import mix, slabs, words
 
 #: What ends a sentence here; clauses count as sentences, so that a passage put into the middle of one is found.
 ENDS = ".!?,;:|\n"
@@ -65,6 +68,7 @@ def spans(text: str | None, least_sentences: int, least_words: int, short_words:
         own = np.searchsorted(starts, ws, "right") - 1
         cut = (np.bincount(own)[own] > LONG)[:-1] & (own[1:] == own[:-1]) & ((we - ws + lower[we - 1])[:-1] % 4 == 3)
         starts = np.sort(np.r_[starts, ws[1:][cut]])
+        uncut = len(np.unique(own))
     ends = np.r_[starts[1:], len(raw)]
     # Words of each sentence; those without words join no span of their own.
     upto = np.searchsorted(ws, ends, side="left")
@@ -77,17 +81,31 @@ def spans(text: str | None, least_sentences: int, least_words: int, short_words:
     last = np.maximum(first + least_sentences - 1, np.searchsorted(w1, w0 + least_words, side="left"))
     if short_words:
         short = np.searchsorted(w1, w0 + short_words, side="left")
-        if len(has) < least_sentences and w1[-1] - w0[0] >= short_words and short[0] < len(has) - 1:
-            first, last, short = np.r_[first, 0], np.r_[last, len(has) - 1], np.r_[short, len(has)]
         # Runs of fewer sentences; the others are spans already.
         own = short < first + least_sentences - 1
         first, last = np.r_[first, first[own]], np.r_[last, short[own]]
+        end, words_to_end = len(has) - 1, w1[-1] - w0
+        tails = [min(int(np.flatnonzero(words_to_end >= least_words)[-1]), end - least_sentences + 1)] if words_to_end[0] >= least_words and end >= least_sentences - 1 else []
+        if words_to_end[0] >= short_words:
+            shortest = int(np.flatnonzero(words_to_end >= short_words)[-1])
+            tails += [shortest] * (shortest > end - least_sentences + 1) + [0] * (uncut < least_sentences)
+        first, last = np.unique(np.stack([np.r_[first, np.array(tails, np.int64)], np.r_[last, np.full(len(tails), end)]]), axis=1)
     first, last = first[last < len(has)], last[last < len(has)]
-    h = []
-    for base in BASES:
-        word = Prefix(lower, base).slices(ws, we)
-        h.append(Prefix(word, base).slices(w0[first], w1[last]))
-    return h[0], h[1], starts[has[first]], ends[has[last]]
+    h1, h2 = _span_hashes(lower, ws, we, w0[first], w1[last])
+    start, end = starts[has[first]], ends[has[last]]
+    if short_words:
+        # What has no word before the first and after the last sentence that has goes with it.
+        start, end = np.where(first == 0, 0, start), np.where(last == len(has) - 1, len(raw), end)
+    return h1, h2, start, end
+
+
+def _span_hashes(lower: np.ndarray, ws: np.ndarray, we: np.ndarray, w0: np.ndarray, w1: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits of XXH3 of the words w0 .. w1 - 1 of each span, each word by 128 bits of its own."""
+    code, names = scan.codes(lower[scan.within(ws, we, len(lower))], we - ws)
+    word = np.frombuffer(b"".join(xxhash.xxh3_128_digest(x) for x in names.to_pylist()), "V16")[code]
+    line = memoryview(word.tobytes())
+    spans = b"".join([xxhash.xxh3_128_digest(line[a:b]) for a, b in zip((16 * w0).tolist(), (16 * w1).tolist(), strict=True)])
+    return tuple(np.frombuffer(spans, "<u8").reshape(-1, 2).T)
 
 
 def _first_of_each(t: np.ndarray) -> np.ndarray:
@@ -201,9 +219,12 @@ w AS (SELECT doc_id, pos, regexp_extract_all(translate(unit, 'ABCDEFGHIJKLMNOPQR
 h AS (SELECT doc_id, pos, ws, row_number() OVER o AS n, sum(len(ws)) OVER o AS upto, count(*) OVER (PARTITION BY doc_id) AS m, sum(len(ws)) OVER (PARTITION BY doc_id) AS words
   FROM w WHERE len(ws) > 0 WINDOW o AS (PARTITION BY doc_id ORDER BY pos)),
 b AS (SELECT a.doc_id, a.n, a.m, b.n AS enough FROM h a ASOF JOIN h b ON a.doc_id = b.doc_id AND a.upto - len(a.ws) + 16 <= b.upto),
+t AS (SELECT doc_id, m, max(n) AS n FROM h WHERE words - upto + len(ws) >= 16 GROUP BY doc_id, m),
+q AS (SELECT doc_id, count(*) FILTER (words > 0) AS sentences FROM n0 GROUP BY doc_id),
 e AS (SELECT doc_id, n, greatest(n + 2, enough) AS upto FROM b WHERE greatest(n + 2, enough) <= m UNION SELECT doc_id, n, enough FROM b
-  UNION SELECT DISTINCT doc_id, 1, m FROM h WHERE m < 3 AND words >= 16),
-s AS (SELECT e.doc_id, min(c.pos) AS pos, max(c.pos) AS last, string_agg(array_to_string(c.ws, ' '), ' ' ORDER BY c.n) AS span
+  UNION SELECT doc_id, n, m FROM t UNION SELECT doc_id, least(n, m - 2), m FROM t WHERE m > 2
+  UNION SELECT DISTINCT h.doc_id, 1, m FROM h JOIN q ON q.doc_id = h.doc_id WHERE sentences < 3 AND words >= 16),
+s AS (SELECT e.doc_id, CASE WHEN e.n = 1 THEN 0 ELSE min(c.pos) END AS pos, CASE WHEN e.upto = max(c.m) THEN 1000000000 ELSE max(c.pos) END AS last, string_agg(array_to_string(c.ws, ' '), ' ' ORDER BY c.n) AS span
   FROM e JOIN h c ON c.doc_id = e.doc_id AND c.n BETWEEN e.n AND e.upto GROUP BY e.doc_id, e.n, e.upto),
 r AS (SELECT *, row_number() OVER (PARTITION BY span ORDER BY doc_id, pos) AS nth FROM s),
 gone AS (SELECT DISTINCT u.doc_id, u.pos FROM r JOIN u ON u.doc_id = r.doc_id AND u.pos BETWEEN r.pos AND r.last WHERE nth > 1),
