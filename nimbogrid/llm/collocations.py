@@ -9,7 +9,7 @@ Cutting a phrase after its first k words gives score floor(1000000 * a * a / (l
 occurrences or more is dropped. Products are decimals of 38 digits: exact for counts up to 10**15.
 
 Scale: a text is read once and kept as the numbers of its words in its slab. Words meet their frequencies, and phrases their parts, in joins; no vocabulary is
-broadcast. Equal projections of a slab are sent once, with their number. A prefix with more than ``HOT`` occurrences is divided among the tasks of its longer prefixes of two words, and of any task's
+broadcast. Equal projections of a slab are sent once, with their number. A prefix with more occurrences than ``HOT`` times what a task has on average is divided among the tasks of its longer prefixes of two words, and of any task's
 projections those of equal words are added up in salted groups first when there are more than ``SLABS`` slabs, so that a task holds different continuations, not occurrences: what it holds of one pair of
 words is bounded by the vocabulary. Ranks come from a range sort over all candidates and the counts of its partitions, without a window over a language's rows.
 
@@ -31,8 +31,8 @@ from .hashing import mix
 #: What ends a piece, and what else separates words.
 MARKS = scan.byte_class(".,;:!?\n\v\f\r")
 BLANK = scan.byte_class(" \t")
-#: Occurrences of a first word beyond which its second words have tasks of their own; bytes of a task's projections; slabs without salt.
-HOT, GROUP_BYTES, SLABS = 1 << 20, 32 << 20, 4096
+#: Occurrences of a first word, in shares of a task's average, beyond which its second words have tasks of their own; bytes of a task's projections; slabs without salt.
+HOT, GROUP_BYTES, SLABS = 0.25, 32 << 20, 4096
 SCORED = 1_000_000
 SLAB_DDL = "slab long, codes binary, langs array<string>, words array<binary>, counts array<long>"
 
@@ -193,8 +193,9 @@ def phrase_counts(docs: DataFrame, scratch: Scratch, longest: int = 3, least: in
     n_slabs, size = slabs.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("codes")), F.lit(0))).first()
     kind = "<u4" if words.count() < (1 << 32) - 1 else "<i8"
     parts, salts = groups_for(spark, size * longest, GROUP_BYTES), -(-n_slabs // SLABS) or 1
+    hot = HOT * (totals.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]) / parts
     own = slabs.select(F.col("slab").alias("of"), F.posexplode(F.arrays_zip("langs", "words")).alias("code", "w")).select("of", "code", F.col("w.langs").alias("lang"), F.col("w.words").alias("word"))
-    found = own.join(words.select("lang", "word", "number", (F.col("f") > HOT).alias("hot")), ["lang", "word"]).select("of", "code", "number", "hot")
+    found = own.join(words.select("lang", "word", "number", (F.col("f") > hot).alias("hot")), ["lang", "word"]).select("of", "code", "number", "hot")
     ddl = "part int, salt int, " + ", ".join(f"w{k} binary" for k in range(longest)) + ", n binary"
     dealt = slabs.select("slab", "codes").groupBy("slab").cogroup(found.groupBy("of")).applyInArrow(_projected(parts, salts, longest, kind), ddl)
     if salts > 1:
