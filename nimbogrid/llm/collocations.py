@@ -27,12 +27,13 @@ from pyspark.sql import functions as F
 from . import scan
 from .common import Scratch, groups_for
 from .hashing import mix
+from .scan import SLAB
 
 #: What ends a piece, and what else separates words.
 MARKS = scan.byte_class(".,;:!?\n\v\f\r")
 BLANK = scan.byte_class(" \t")
 #: Occurrences of a first word, in shares of a task's average, beyond which its second words have tasks of their own; bytes of a task's projections; slabs without salt.
-HOT, GROUP_BYTES, SLABS = 0.25, 32 << 20, 4096
+HOT, GROUP_BYTES, SLABS = 0.25, 16 << 20, 4096
 SCORED = 1_000_000
 SLAB_DDL = "slab long, codes binary, langs array<string>, words array<binary>, counts array<long>"
 
@@ -43,29 +44,40 @@ def _slabs(batches):
 
     slab = TaskContext.get().partitionId() << 32
     for batch in batches:
-        for rows, raw, offsets in scan.slabs(batch, "text"):
-            lower = raw | (np.uint8(32) * scan.CAPITAL[raw])
-            start, end, text = scan.words(~(MARKS | BLANK)[lower], offsets)
-            if not len(start):
-                continue
-            langs = rows.column("lang").dictionary_encode()
-            word, names = scan.codes(lower[scan.within(start, end, len(lower))], end - start)
-            pair = langs.indices.to_numpy()[text].astype(np.int64) * len(names) + word
-            held, code, n = np.unique(pair, return_inverse=True, return_counts=True)
-            # A piece ends between two words where a mark or the end of a text stands.
-            marks = scan.upto(MARKS[lower])
-            apart = (text[1:] != text[:-1]) | (scan.between(marks, end[:-1], start[1:]) > 0)
-            line = np.full(len(code) + int(apart.sum()), -1, np.int32)
-            line[np.arange(len(code)) + np.r_[0, np.cumsum(apart)]] = code
-            column = lambda v, kind: pa.array([v], kind)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    column(slab, pa.int64()), column(line.tobytes(), pa.binary()), column(langs.dictionary.take(pa.array(held // len(names))).to_pylist(), pa.list_(pa.string())),
-                    column(names.take(pa.array(held % len(names))).to_pylist(), pa.list_(pa.binary())), column(n, pa.list_(pa.int64())),
-                ],
-                ["slab", "codes", "langs", "words", "counts"],
-            )
-            slab += 1
+        for rows, raw, offsets in scan.slabs(batch, "text", SLAB):
+            row = _slab(slab, rows.column("lang"), raw, offsets)
+            if row is not None:
+                yield row
+                slab += 1
+                del row
+            pa.default_memory_pool().release_unused()
+
+
+def _slab(slab: int, lang: pa.Array, raw: np.ndarray, offsets: np.ndarray) -> pa.RecordBatch | None:
+    lower = raw | (np.uint8(32) * scan.CAPITAL[raw])
+    start, end, text = scan.words(~(MARKS | BLANK)[lower], offsets)
+    if not len(start):
+        return None
+    # A piece ends between two words where a mark or the end of a text stands.
+    apart = (text[1:] != text[:-1]) | (scan.between(scan.upto(MARKS[lower]), end[:-1], start[1:]) > 0)
+    word, names = scan.codes(lower[scan.within(start, end, len(lower))], end - start)
+    del start, end, lower
+    langs = lang.dictionary_encode()
+    text = langs.indices.to_numpy()[text].astype(np.int64)
+    text *= len(names)
+    text += word
+    del word
+    held, code, n = np.unique(text, return_inverse=True, return_counts=True)
+    del text
+    line = np.full(len(code) + int(apart.sum()), -1, np.int32)
+    line[np.arange(len(code)) + np.r_[0, np.cumsum(apart)]] = code
+    del code, apart
+    column = lambda v: pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), v)
+    spelled = names.take(pa.array(held % len(names))).cast(pa.binary())
+    return pa.RecordBatch.from_arrays(
+        [pa.array([slab], pa.int64()), pa.array([line.tobytes()], pa.binary()), column(langs.dictionary.take(pa.array(held // len(names)))), column(spelled), column(pa.array(n, pa.int64()))],
+        ["slab", "codes", "langs", "words", "counts"],
+    )
 
 
 def _projected(parts: int, salts: int, longest: int, kind: str):
