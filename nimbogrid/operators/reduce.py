@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -150,22 +152,63 @@ def diffusion_step(cells: DataFrame, i: str, j: str, value: str, ni: int, nj: in
     return both.groupBy(i, j).agg(F.try_divide(n * own - near, 2 * n).alias(value), F.count(F.when(F.col("own") == 1, 1)).alias("_own")).filter("_own > 0").drop("_own")
 
 
-def hyperdiffusion(cells: DataFrame, i: str, j: str, value: str, ni: int, nj: int, order: int = 2, iterations: int = 1, limiter: str | None = None) -> DataFrame:
+def _second_difference(v: np.ndarray, held: np.ndarray) -> np.ndarray:
+    """diffusion_step on an array: v with nan for missing values, held where there is a cell."""
+    n, known, near = np.zeros(v.shape), np.zeros(v.shape), np.zeros(v.shape)
+    own, some = np.where(np.isnan(v), 0.0, v), ~np.isnan(v)
+    for to, of in (((slice(1, None), slice(None)), (slice(None, -1), slice(None))), ((slice(None), slice(1, None)), (slice(None), slice(None, -1)))):
+        for x, y in ((to, of), (of, to)):
+            n[x] += held[y]
+            known[x] += some[y]
+            near[x] += own[y]
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return np.where(held & (known > 0), (n * v - near) / (2 * n), np.nan)
+
+
+def _tiles(i: str, j: str, value: str, order: int, iterations: int, tile: int, halo: int):
+    size = tile + 2 * halo
+
+    def run(table: pa.Table) -> pa.Table:
+        column = lambda c: table.column(c).to_numpy()
+        ti, tj = table.column("_ti")[0].as_py(), table.column("_tj")[0].as_py()
+        a, b = (column(c) - t * tile + halo for c, t in ((i, ti), (j, tj)))
+        v, held, sign = np.full((size, size), np.nan), np.zeros((size, size), bool), np.full((size, size), np.nan)
+        v[a, b], held[a, b], sign[a, b] = column("_v"), True, column("_sign")
+        for _ in range(iterations):
+            rough = v
+            for _ in range(order):
+                rough = _second_difference(rough, held)
+            v = v - rough
+            v = np.where(np.isnan(sign), v, sign * np.maximum(sign * v, 0.0))
+        own = (a >= halo) & (a < halo + tile) & (b >= halo) & (b < halo + tile)
+        out = v[a[own], b[own]]
+        return pa.table({i: pa.array(column(i)[own], pa.int64()), j: pa.array(column(j)[own], pa.int64()), value: pa.array(out, pa.float64(), mask=np.isnan(out)), "_sign": pa.array(column("_sign")[own], pa.float64())})
+
+    return run
+
+
+def hyperdiffusion(cells: DataFrame, i: str, j: str, value: str, ni: int, nj: int, order: int = 2, iterations: int = 1, limiter: str | None = None, tile: int = 256) -> DataFrame:
     """Takes from each cell its ``order`` times repeated second difference (see diffusion_step), ``iterations`` times over.
 
-    limiter: a column whose sign the value may not leave; it becomes zero instead. order must be even. Returns (i, j, value). A shuffle
-    by cell for each pass.
+    limiter: a column whose sign the value may not leave; it becomes zero instead. order must be even. Returns (i, j, value).
+
+    The grid is cut into square tiles, each with a rim of the cells that reach it in some iterations: one shuffle for as many iterations as fit into a rim of a
+    quarter of a tile, and a plan that grows by one exchange for each such round. A task holds one tile at a time.
     """
     if order % 2:
         raise ValueError("order must be even")
-    limit = cells.select(i, j, F.col(limiter).alias("_limit")) if limiter else None
-    data = cells.select(i, j, value)
-    for _ in range(iterations):
-        rough = data
-        for _ in range(order):
-            rough = diffusion_step(rough, i, j, value, ni, nj)
-        data = data.join(rough.withColumnRenamed(value, "_rough"), [i, j]).select(i, j, (F.col(value) - F.col("_rough")).alias(value))
-        if limit is not None:
-            sign = F.when(F.col("_limit") < 0, -1.0).otherwise(1.0)
-            data = data.join(limit, [i, j]).select(i, j, (sign * F.greatest(sign * F.col(value), F.lit(0.0))).alias(value))
-    return data
+    kinds = dict(cells.dtypes)
+    sign = F.when(F.col(limiter) < 0, -1.0).otherwise(1.0) if limiter else F.lit(None).cast("double")
+    inside = F.col(i).between(0, ni - 1) & F.col(j).between(0, nj - 1)
+    data = cells.filter(inside).select(F.col(i).cast("long").alias(i), F.col(j).cast("long").alias(j), F.col(value).cast("double").alias(value), sign.alias("_sign"))
+    left = iterations
+    while left:
+        # An iteration reaches order cells far.
+        now = min(left, max(1, tile // 4 // order))
+        halo = now * order
+        reach = lambda c: F.sequence(F.floor((F.col(c) - halo) / tile), F.floor((F.col(c) + halo) / tile))  # noqa: E731, B023
+        near = data.select(i, j, F.col(value).alias("_v"), "_sign", F.explode(reach(i)).alias("_ti")).select("*", F.explode(reach(j)).alias("_tj"))
+        near = near.filter(F.col("_ti").between(0, (ni - 1) // tile) & F.col("_tj").between(0, (nj - 1) // tile))
+        data = near.groupBy("_ti", "_tj").applyInArrow(_tiles(i, j, value, order, now, tile, halo), f"{i} long, {j} long, {value} double, _sign double")
+        left -= now
+    return data.select(F.col(i).cast(kinds[i]).alias(i), F.col(j).cast(kinds[j]).alias(j), value)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import ensemble as ens
-from ..operators import joins, stats
+from ..operators import joins, kalman, stats
 from .registry import query
 from .views import r, v_ens, v_ens_array, v_grid, v_site
 
@@ -113,7 +113,7 @@ def _local_pairs(spark, sf_dir):
 def transform_local_analysis(spark, sf_dir):
     """Local search, top k and transform together; the eigenproblem has no SQL, tests compare with a direct solve."""
     pairs = _local_pairs(spark, sf_dir)
-    back = v_ens_array(spark, sf_dir).select((F.col("vec_id") + 1).alias("cell"), F.col("ens").alias("x")).join(v_grid(spark, sf_dir).select("cell"), "cell")
+    back = v_ens_array(spark, sf_dir).select(F.col("vec_id").alias("cell"), F.col("ens").alias("x")).join(v_grid(spark, sf_dir).select("cell"), "cell")
     out = ens.analyse(pairs, back, rho=1.1, relax=0.2)
     return out.select("cell", r(ens.array_mean(F.col("x")), 6).alias("mean"), F.size("x").alias("members"))
 
@@ -121,7 +121,7 @@ def transform_local_analysis(spark, sf_dir):
 @query("transform_relax_spread")
 def transform_relax_spread(spark, sf_dir):
     pairs = _local_pairs(spark, sf_dir)
-    back = v_ens_array(spark, sf_dir).select((F.col("vec_id") + 1).alias("cell"), F.col("ens").alias("x")).join(v_grid(spark, sf_dir).select("cell"), "cell")
+    back = v_ens_array(spark, sf_dir).select(F.col("vec_id").alias("cell"), F.col("ens").alias("x")).join(v_grid(spark, sf_dir).select("cell"), "cell")
     out = ens.analyse(pairs, back, rho=1.1, relax_spread=0.9)
     m = ens.array_mean(F.col("x"))
     sd = F.sqrt(F.aggregate("x", F.lit(0.0), lambda a, v: a + (v - m) * (v - m)) / (F.size("x") - 1))
@@ -156,11 +156,11 @@ def parameter_estimation(spark, sf_dir):
     """, p AS (SELECT g.cell, s.obs_id, s.dat, 1 + (s.obs_id % 5) * 0.25 AS err, ((g.x - s.x)**2 + (g.y - s.y)**2) / 9.0 + ((g.lev - s.lev) / 20.0)**2 AS nd, s.ctype FROM v_grid g JOIN v_site s ON sqrt((g.x - s.x)**2 + (g.y - s.y)**2) <= 3.0 * 2 * sqrt(10.0::DOUBLE / 3.0::DOUBLE)),
  k AS (SELECT *, (dat - 1000) / 1000 AS d, err * err / exp(-0.5 * nd) AS r FROM (SELECT *, row_number() OVER (PARTITION BY cell, ctype ORDER BY nd, obs_id) AS o FROM p WHERE nd <= 40.0 / 3.0 + 1e-9) WHERE o <= 2),
  y AS (SELECT vec_id, member, x - avg(x) OVER (PARTITION BY vec_id) AS y FROM v_ens)
-SELECT k.obs_id, round(sum(d / r * a.y * b.y * (k.cell % 7 - 3) / 9.0), 6) AS impact FROM k JOIN y a ON a.vec_id = k.obs_id % (SELECT count(*) FROM embeddings) JOIN y b ON b.vec_id = k.cell - 1 AND b.member = a.member GROUP BY 1""".lstrip(),
+SELECT k.obs_id, round(sum(d / r * a.y * b.y * (k.cell % 7 - 3) / 9.0), 6) AS impact FROM k JOIN y a ON a.vec_id = k.obs_id % (SELECT count(*) FROM embeddings) JOIN y b ON b.vec_id = k.cell AND b.member = a.member GROUP BY 1""".lstrip(),
     "v_grid v_site v_ens",
 )
 def observation_impact(spark, sf_dir):
-    f = v_ens_array(spark, sf_dir).select((F.col("vec_id") + 1).alias("cell"), ens.perturbations(F.col("ens")).alias("f")).withColumn("e", (F.col("cell") % 7 - 3).cast("double"))
+    f = v_ens_array(spark, sf_dir).select(F.col("vec_id").alias("cell"), ens.perturbations(F.col("ens")).alias("f")).withColumn("e", (F.col("cell") % 7 - 3).cast("double"))
     return ens.observation_impact(_local_pairs(spark, sf_dir).select("cell", "obs_id", "y", "d", "r"), f).select("obs_id", r("impact", 6).alias("impact"))
 
 
@@ -183,3 +183,60 @@ def member_shuffle(spark, sf_dir):
 
     members = spark.range(1, 11).select(F.col("id").alias("member"))
     return members.withColumn("place", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.xxhash64("member", F.lit(7)))))
+
+
+#: Of each cell the nearest observation, first by distance, then by number, within three times ten thirds' root.
+_NEAREST = """, q AS (SELECT g.cell, s.obs_id, sqrt((g.x - s.x)**2 + (g.y - s.y)**2) AS dist, (s.dat - 1000) / 1000 - m.m AS d, (1 + (s.obs_id % 5) * 0.25::DOUBLE)**2 AS r FROM v_grid g JOIN v_site s ON sqrt((g.x - s.x)**2 + (g.y - s.y)**2) <= 12
+   JOIN (SELECT vec_id, avg(x) AS m FROM v_ens GROUP BY vec_id) m ON m.vec_id = s.obs_id % (SELECT count(*) FROM embeddings)),
+ o AS (SELECT *, dist / 6.5::DOUBLE AS z FROM q QUALIFY row_number() OVER (PARTITION BY cell ORDER BY dist, obs_id) = 1),
+ t AS (SELECT *, CASE WHEN z <= 1 THEN ((((-0.25 * z + 0.5) * z + 0.625) * z - 5.0::DOUBLE / 3) * z * z) + 1 ELSE ((((z / 12 - 0.5) * z + 0.625) * z + 5.0::DOUBLE / 3) * z - 5) * z + 4 - 2 / (3 * z) END AS taper FROM o),
+ p AS (SELECT vec_id, member, x, x - avg(x) OVER (PARTITION BY vec_id) AS y FROM v_ens),
+ c AS (SELECT t.cell, any_value(d) AS d, any_value(r) AS r, any_value(taper) * sum(a.y * b.y) / 9 AS pxy, sum(b.y * b.y) / 9 AS pyy, avg(a.x) AS mean, sum(a.y * a.y) / 9 AS pxx
+   FROM t JOIN p a ON a.vec_id = t.cell JOIN p b ON b.vec_id = t.obs_id % (SELECT count(*) FROM embeddings) AND b.member = a.member GROUP BY t.cell)""".lstrip()
+
+
+def _nearest(spark, sf_dir, k: int):
+    """(cell, obs_id, ox, oy, dist, y, d, r) of the k nearest observations of each cell, and the cells' members."""
+    e = v_ens_array(spark, sf_dir)
+    sites = v_site(spark, sf_dir).select("obs_id", "x", "y", F.col("x").alias("ox"), F.col("y").alias("oy"), "dat")
+    near = joins.top_k(joins.bucket_join(v_grid(spark, sf_dir).select("cell", "x", "y"), sites, 12.0), ["cell"], [F.col("dist"), F.col("obs_id")], k)
+    own = e.select(F.col("vec_id").alias("key"), ens.perturbations(F.col("ens")).alias("y"), ens.array_mean(F.col("ens")).alias("m"))
+    met = near.select("cell", "obs_id", "ox", "oy", "dist", "dat", (F.col("obs_id") % e.count()).alias("key")).join(own, "key")
+    error = 1 + (F.col("obs_id") % 5) * 0.25
+    pairs = met.select("cell", "obs_id", "ox", "oy", "dist", "y", ((F.col("dat") - 1000) / 1000 - F.col("m")).alias("d"), (error * error).alias("r"))
+    back = e.select(F.col("vec_id").alias("cell"), F.col("ens").alias("x")).join(v_grid(spark, sf_dir).select("cell"), "cell")
+    return pairs, back
+
+
+def _moments(out):
+    m = ens.array_mean(F.col("x"))
+    sd = F.sqrt(F.aggregate("x", F.lit(0.0), lambda a, v: a + (v - m) * (v - m)) / (F.size("x") - 1))
+    return out.select("cell", r(m, 6).alias("mean"), r(sd, 6).alias("spread"))
+
+
+@query(
+    "covariance_localised_single",
+    _NEAREST
+    + """ SELECT cell, round(mean + pxy / (pyy + r) * d, 6) AS mean, round(sqrt(pxx - 2 * k * pxy0 + k * k * pyy), 6) AS spread
+FROM (SELECT c.*, pxy / (pyy + r) / (1 + sqrt(r / (pyy + r))) AS k, t0.pxy0 FROM c JOIN (SELECT t.cell, sum(a.y * b.y) / 9 AS pxy0 FROM t JOIN p a ON a.vec_id = t.cell JOIN p b ON b.vec_id = t.obs_id % (SELECT count(*) FROM embeddings) AND b.member = a.member GROUP BY t.cell) t0 ON t0.cell = c.cell)
+UNION ALL SELECT vec_id, round(avg(v.x), 6), round(stddev_samp(v.x), 6) FROM v_ens v JOIN v_grid g ON g.cell = vec_id WHERE vec_id NOT IN (SELECT cell FROM c) GROUP BY vec_id""",
+    "v_grid v_site v_ens",
+)
+def covariance_localised_single(spark, sf_dir):
+    """The nearest observation of each cell: the gain of the tapered covariance, in closed form in SQL."""
+    return _moments(kalman.localised_analysis(*_nearest(spark, sf_dir, 1), 6.5))
+
+
+@query("covariance_localised_analysis")
+def covariance_localised_analysis(spark, sf_dir):
+    """Up to eight observations a cell with perturbed observations; tests compare with a dense solve."""
+    return _moments(kalman.localised_analysis(*_nearest(spark, sf_dir, 8), 6.5, seed=11))
+
+
+@query("patch_analysis")
+def patch_analysis(spark, sf_dir):
+    """Two variables of each cell, analysed together in the basis of their covariance; tests compare with the transform filter."""
+    pairs, back = _nearest(spark, sf_dir, 8)
+    both = back.select("cell", F.lit("a").alias("var"), "x").unionByName(back.select("cell", F.lit("b").alias("var"), F.transform("x", lambda v: v * v).alias("x")))
+    out = kalman.patch_analysis(pairs, both, inflation=0.02)
+    return out.select("cell", "var", r(ens.array_mean(F.col("x")), 6).alias("mean"))

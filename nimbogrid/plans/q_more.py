@@ -58,14 +58,14 @@ def analysis_by_variable(spark, sf_dir):
 @query(
     "impact_by_type_and_region",
     PAIRS
-    + """, e AS (SELECT k.obs_id, any_value(k.ctype) AS ctype, round(sum(d / r * a.y * b.y * (k.cell % 7 - 3) / 9.0), 9) AS impact FROM k JOIN y a ON a.vec_id = k.obs_id % (SELECT count(*) FROM embeddings) JOIN y b ON b.vec_id = k.cell - 1 AND b.member = a.member GROUP BY 1)
+    + """, e AS (SELECT k.obs_id, any_value(k.ctype) AS ctype, round(sum(d / r * a.y * b.y * (k.cell % 7 - 3) / 9.0), 9) AS impact FROM k JOIN y a ON a.vec_id = k.obs_id % (SELECT count(*) FROM embeddings) JOIN y b ON b.vec_id = k.cell AND b.member = a.member GROUP BY 1)
 SELECT e.ctype, CASE WHEN s.x < 50 THEN 'west' ELSE 'east' END AS region, count(*) AS n, round(sum(impact), 6) AS total, round(avg(impact), 6) AS mean, round(avg((impact < 0)::INT), 6) AS good FROM e JOIN v_site s USING (obs_id) GROUP BY 1, 2""",
     "v_grid v_site v_ens",
 )
 def impact_by_type_and_region(spark, sf_dir):
     from .views import v_site
 
-    f = v_ens_array(spark, sf_dir).select((F.col("vec_id") + 1).alias("cell"), ens.perturbations(F.col("ens")).alias("f")).withColumn("e", (F.col("cell") % 7 - 3).cast("double"))
+    f = v_ens_array(spark, sf_dir).select(F.col("vec_id").alias("cell"), ens.perturbations(F.col("ens")).alias("f")).withColumn("e", (F.col("cell") % 7 - 3).cast("double"))
     impact = ens.observation_impact(_local_pairs(spark, sf_dir).select("cell", "obs_id", "y", "d", "r"), f).withColumn("impact", F.round("impact", 9))
     obs = v_site(spark, sf_dir).select("obs_id", "ctype", F.when(F.col("x") < 50, "west").otherwise("east").alias("region"))
     t = ens.impact_table(impact.join(obs, "obs_id"), ["ctype", "region"])

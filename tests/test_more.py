@@ -231,3 +231,29 @@ def test_records_of_several_sizes():
     assert [x.shape for x in observations.records(raw)] == [(2, 1), (4, 3), (1, 1)]
     with pytest.raises(ValueError):
         observations.records(raw + b"\0")
+
+
+def test_hyperdiffusion_over_many_tiles(spark):
+    """Several tiles and rounds, gaps and missing values, against the whole grid at once; fifty iterations have a short plan."""
+    import time
+
+    rng = np.random.default_rng(4)
+    ni, nj, v = 21, 13, rng.normal(size=(21, 13))
+    cells = [(i, j, None if rng.random() < 0.05 else float(v[i, j])) for i in range(ni) for j in range(nj) if rng.random() > 0.1]
+    d = spark.createDataFrame(cells, "i int, j int, v double")
+    whole = {(r["i"], r["j"]): r["v"] for r in reduce.hyperdiffusion(d, "i", "j", "v", ni, nj, 2, 7).collect()}
+    tiled = {(r["i"], r["j"]): r["v"] for r in reduce.hyperdiffusion(d, "i", "j", "v", ni, nj, 2, 7, tile=8).collect()}
+    assert set(whole) == set(tiled) == {(i, j) for i, j, _ in cells}
+    assert all(whole[c] == pytest.approx(tiled[c], abs=1e-12) if whole[c] is not None else tiled[c] is None for c in whole)
+    once, step = reduce.hyperdiffusion(d, "i", "j", "v", ni, nj, 2, 1, tile=8), d
+    for _ in range(2):
+        step = reduce.diffusion_step(step, "i", "j", "v", ni, nj)
+    rough = {(r["i"], r["j"]): r["v"] for r in step.collect()}
+    for i, j, x in cells:
+        got = {(r["i"], r["j"]): r["v"] for r in once.collect()} if (i, j) == cells[0][:2] else got
+        want = None if x is None or rough[i, j] is None else x - rough[i, j]
+        assert got[i, j] is None if want is None else got[i, j] == pytest.approx(want, abs=1e-12)
+    began = time.perf_counter()
+    many = reduce.hyperdiffusion(d, "i", "j", "v", ni, nj, 2, 50)
+    assert many._jdf.queryExecution().executedPlan().toString().count("Exchange") <= 3 and time.perf_counter() - began < 5
+    assert many.count() == len(cells)
