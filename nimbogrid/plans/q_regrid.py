@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import joins, regrid
+from ..operators import joins, mesh, regrid, spectral
 from .q_joins import KNN
 from .registry import query
 from .views import r, v_cell, v_grid, v_site
@@ -159,3 +161,69 @@ def pressure_levels(spark, sf_dir):
     levels = v_cell(spark, sf_dir).groupBy("i", "j", (-F.log(1000.0 - F.col("k") * 100)).alias("lev")).agg(F.avg("z").alias("z"))
     targets = levels.select("i", "j").distinct().withColumn("p", F.explode(F.array(*[F.lit(x) for x in (850.0, 500.0, 250.0)]))).withColumn("t", -F.log("p"))
     return joins.bracket(targets, levels, ["i", "j"], "t", "lev", "z", False).select("i", "j", "p", r("z", 4, 7).alias("z"))
+
+
+_WAVE = "(2 * pi() * (l * (i + {a}) / 20.0::DOUBLE + m * (j + {b}) / 20.0::DOUBLE))"
+_AT_U, _AT_V = _WAVE.format(a="0.5", b="0.0"), _WAVE.format(a="0.0", b="0.5")
+
+
+@query(
+    "divergence_free",
+    f""", g AS (SELECT i, j, avg(z) / 1000 AS u, avg(vr) AS v FROM v_cell GROUP BY i, j), w AS (SELECT * FROM (SELECT unnest(range(0, 5)) AS l), (SELECT unnest(range(-3, 4)) AS m)),
+ s AS (SELECT l, m, sum(u * cos({_AT_U})) AS ur, -sum(u * sin({_AT_U})) AS ui, sum(v * cos({_AT_V})) AS vr, -sum(v * sin({_AT_V})) AS vi FROM g, w GROUP BY l, m),
+ t AS (SELECT *, coalesce((l * ur + m * vr) / nullif(l * l + m * m, 0), 0) AS tr, coalesce((l * ui + m * vi) / nullif(l * l + m * m, 0), 0) AS ti FROM s),
+ p AS (SELECT * FROM (SELECT unnest(range(0, 20)) AS i), (SELECT unnest(range(0, 20)) AS j))
+SELECT i, j, round(sum(CASE WHEN l = 0 THEN 1 ELSE 2 END * ((ur - l * tr) * cos({_AT_U}) - (ui - l * ti) * sin({_AT_U}))) / 400, 6) AS u,
+ round(sum(CASE WHEN l = 0 THEN 1 ELSE 2 END * ((vr - m * tr) * cos({_AT_V}) - (vi - m * ti) * sin({_AT_V}))) / 400, 6) AS v FROM t, p GROUP BY i, j""".lstrip(),
+    "v_cell",
+)
+def divergence_free(spark, sf_dir):
+    g = v_cell(spark, sf_dir).groupBy("i", "j").agg((F.avg("z") / 1000).alias("u"), F.avg("vr").alias("v"))
+    return spectral.divergence_free(g, "i", "j", "u", "v", 20, 20, 4, 3).select("i", "j", r("u", 6).alias("u"), r("v", 6).alias("v"))
+
+
+_MESH = """, n AS (SELECT s_suppkey AS id, ceil(sqrt((SELECT count(*) FROM supplier)))::BIGINT AS side, s_acctbal AS v FROM supplier),
+ q AS (SELECT id, side, v, -70 + 140.0::DOUBLE * (id % side) / side + 3 * ((id // side) % 2) AS lon, -60 + 120.0::DOUBLE * (id // side) / side AS lat FROM n),
+ x AS (SELECT id, side, v, cos(radians(lat)) * cos(radians(lon)) AS x, cos(radians(lat)) * sin(radians(lon)) AS y, sin(radians(lat)) AS z FROM q),
+ t AS (SELECT 2 * id + k AS tri, id + k AS a, id + 1 + k * side AS b, id + side AS c FROM q, (SELECT unnest([0, 1]) AS k) WHERE id % side < side - 1),
+ c AS (SELECT tri, t.a, t.b, t.c, p.x AS ax, p.y AS ay, p.z AS az, q.x AS bx, q.y AS by_, q.z AS bz, r.x AS cx, r.y AS cy, r.z AS cz FROM t JOIN x p ON p.id = t.a JOIN x q ON q.id = t.b JOIN x r ON r.id = t.c),
+ o AS (SELECT obs_id, cos(radians(lat)) * cos(radians(lon)) AS px, cos(radians(lat)) * sin(radians(lon)) AS py, sin(radians(lat)) AS pz FROM (SELECT obs_id, -80 + 1.5::DOUBLE * v_site.x AS lon, -65 + 1.2::DOUBLE * v_site.y AS lat FROM v_site)),
+ w AS (SELECT obs_id, tri, a, b, c, (px * (by_ * cz - bz * cy) - py * (bx * cz - bz * cx) + pz * (bx * cy - by_ * cx)) / d AS wa, (ax * (py * cz - pz * cy) - ay * (px * cz - pz * cx) + az * (px * cy - py * cx)) / d AS wb,
+  (ax * (by_ * pz - bz * py) - ay * (bx * pz - bz * px) + az * (bx * py - by_ * px)) / d AS wc FROM o, (SELECT *, ax * (by_ * cz - bz * cy) - ay * (bx * cz - bz * cx) + az * (bx * cy - by_ * cx) AS d FROM c)),
+ m AS (SELECT *, wa + wb + wc AS s FROM w WHERE wa + wb + wc > 0 AND least(wa, wb, wc) >= -1e-12 * (wa + wb + wc) QUALIFY row_number() OVER (PARTITION BY obs_id ORDER BY tri) = 1)""".lstrip()
+
+
+def _mesh(spark, sf_dir):
+    """(points, triangles, nodes): suppliers as the nodes of a mesh, parts as points."""
+    from .views import table
+
+    s = table(spark, sf_dir, "supplier")
+    side = math.ceil(math.sqrt(s.count()))
+    row, at = F.expr(f"s_suppkey div {side}"), F.col("s_suppkey") % side
+    nodes = s.select(F.col("s_suppkey").alias("node"), (-70 + 140.0 * at / side + 3 * (row % 2)).alias("lon"), (-60 + 120.0 * row / side).alias("lat"), F.col("s_acctbal").alias("v"))
+    i = F.col("node")
+    triangles = nodes.filter(i % side < side - 1).select(i.alias("i"), F.explode(F.array(F.lit(0), F.lit(1))).alias("k")).select(
+        (2 * F.col("i") + F.col("k")).alias("tri"), (F.col("i") + F.col("k")).alias("a"), (F.col("i") + 1 + F.col("k") * side).alias("b"), (F.col("i") + side).alias("c")
+    )
+    points = v_site(spark, sf_dir).select("obs_id", (-80 + 1.5 * F.col("x")).alias("lon"), (-65 + 1.2 * F.col("y")).alias("lat"))
+    return points, triangles, nodes
+
+
+@query("mesh_weights", _MESH + " SELECT obs_id, tri, round(wa / s, 7) AS wa, round(wb / s, 7) AS wb, round(wc / s, 7) AS wc FROM m", "v_site")
+def mesh_weights(spark, sf_dir):
+    """Points in a mesh of spherical triangles of the suppliers, with their weights."""
+    points, triangles, nodes = _mesh(spark, sf_dir)
+    found = mesh.locate(points, triangles, nodes.drop("v"), "obs_id")
+    return found.select("obs_id", "tri", *[r(w, 7).alias(w) for w in ("wa", "wb", "wc")])
+
+
+@query(
+    "mesh_remap",
+    _MESH + " SELECT obs_id, round(((wa * p.v + wb * q.v + wc * r.v) / s)::DECIMAL(28, 7), 3)::DOUBLE AS v FROM m JOIN n p ON p.id = m.a JOIN n q ON q.id = m.b JOIN n r ON r.id = m.c",
+    "v_site",
+)
+def mesh_remap(spark, sf_dir):
+    """The mesh's values at the points, by a weight table."""
+    points, triangles, nodes = _mesh(spark, sf_dir)
+    weights = mesh.weight_table(mesh.locate(points, triangles, nodes.drop("v"), "obs_id"), "obs_id", "obs_id", "node")
+    return regrid.remap(weights, nodes.select("node", "v"), "node", "obs_id", "v").select("obs_id", r("v", 3, 7).alias("v"))
