@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -194,10 +194,16 @@ def lift_parcel(z: np.ndarray, p: np.ndarray, t: np.ndarray, qv: np.ndarray) ->
 
 
 def convective_energy(state: DataFrame) -> DataFrame:
-    """CAPE, CIN, LCL, LFC and LNB of each column; a column (its levels) is small, and columns are independent."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = lift_parcel(pdf["z"].to_numpy(), pdf["p"].to_numpy(), pdf["t"].to_numpy(), pdf["qv"].to_numpy())
-        return pd.DataFrame([(int(pdf["i"].iloc[0]), int(pdf["j"].iloc[0]), *x)], columns=["i", "j", "CAPE", "CIN", "LCL", "LFC", "LNB"])
-
-    return state.select(*COLUMN, "z", "p", "t", "qv").groupBy(*COLUMN).applyInPandas(run, "i int, j int, CAPE double, CIN double, LCL double, LFC double, LNB double")
+    """CAPE, CIN, LCL, LFC and LNB of each column. A column, its levels, is one row; a task takes many columns at a time."""
+
+    def run(batches):
+        for batch in batches:
+            rows = batch.column("rows")
+            ends, flat = rows.offsets.to_numpy() - rows.offsets[0].as_py(), rows.flatten()
+            parts = [flat.field(c).to_numpy(zero_copy_only=False) for c in ("z", "p", "t", "qv")]
+            out = [lift_parcel(*(x[a:b] for x in parts)) for a, b in zip(ends, ends[1:], strict=False)]
+            numbers = list(zip(*out, strict=True)) or [[]] * 5
+            yield pa.RecordBatch.from_arrays([batch.column("i").cast(pa.int32()), batch.column("j").cast(pa.int32()), *(pa.array(x, pa.float64(), from_pandas=True) for x in numbers)], ["i", "j", "CAPE", "CIN", "LCL", "LFC", "LNB"])
+
+    rows = state.groupBy(*COLUMN).agg(F.collect_list(F.struct("z", "p", "t", "qv")).alias("rows"))
+    return rows.mapInArrow(run, "i int, j int, CAPE double, CIN double, LCL double, LFC double, LNB double")

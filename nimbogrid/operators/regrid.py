@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -100,16 +100,22 @@ def spline_at(z: np.ndarray, v: np.ndarray, t: np.ndarray, near: float = 1e-6) -
 
 
 def vertical_spline(levels: DataFrame, column: Sequence[str], level: str, value: str, targets: Sequence[float]) -> DataFrame:
-    """Spline of each column at fixed target levels; a column is small (its levels), columns are independent."""
+    """Spline of each column at fixed target levels, missing where a column has fewer than two. A column, its levels, is one row; a task takes many columns at a time."""
     t = np.array(targets, float)
     schema = ", ".join(f"{c} {dict(levels.dtypes)[c]}" for c in column) + f", target double, {value} double"
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = spline_at(pdf[level].to_numpy(float), pdf[value].to_numpy(float), t)
-        head = {c: [pdf[c].iloc[0]] * len(t) for c in column}
-        return pd.DataFrame({**head, "target": t, value: out})
-
-    return levels.select(*column, level, value).groupBy(*column).applyInPandas(run, schema)
+    def run(batches):
+        for batch in batches:
+            rows, out = batch.column("rows"), []
+            ends, flat = rows.offsets.to_numpy(), rows.flatten()
+            z, v = (flat.field(c).to_numpy(zero_copy_only=False) for c in "zv")
+            for a, b in zip(ends, ends[1:], strict=False):
+                out.append(spline_at(z[a - ends[0] : b - ends[0]], v[a - ends[0] : b - ends[0]], t))
+            which = pa.array(np.repeat(np.arange(batch.num_rows), len(t)))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(which) for c in column), pa.array(np.tile(t, batch.num_rows)), pa.array(np.concatenate(out) if out else np.empty(0), from_pandas=True)], [*column, "target", value])
+
+    rows = levels.groupBy(*column).agg(F.collect_list(F.struct(F.col(level).cast("double").alias("z"), F.col(value).cast("double").alias("v"))).alias("rows"))
+    return rows.mapInArrow(run, schema)
 
 
 def akima(df: DataFrame, column: Sequence[str], level: str, value: str, fraction: float) -> DataFrame:

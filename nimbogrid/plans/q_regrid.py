@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import math
+import uuid
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import joins, mesh, regrid, spectral
+from ..operators import factors, joins, mesh, regrid, spectral, tridiagonal
+from ..sources.workdir import new_folder
 from .q_joins import KNN
 from .registry import query
 from .views import r, v_cell, v_grid, v_site
@@ -227,3 +229,47 @@ def mesh_remap(spark, sf_dir):
     points, triangles, nodes = _mesh(spark, sf_dir)
     weights = mesh.weight_table(mesh.locate(points, triangles, nodes.drop("v"), "obs_id"), "obs_id", "obs_id", "node")
     return regrid.remap(weights, nodes.select("node", "v"), "node", "obs_id", "v").select("obs_id", r("v", 3, 7).alias("v"))
+
+
+@query(
+    "factors_3d",
+    """, g AS (SELECT i * 20 + j AS src, k, avg(z) AS z, k * 10 + (any_value(i) + any_value(j)) % 3 AS h FROM v_cell GROUP BY i, j, k),
+ e AS (SELECT src, k, h, z, lead(k) OVER w AS k1, lead(h) OVER w AS h1, lead(z) OVER w AS z1 FROM g WINDOW w AS (PARTITION BY src ORDER BY h)),
+ p AS (SELECT obs_id, x * 0.19 AS ri, y * 0.19 AS rj, 12 + lev::DOUBLE AS hh FROM v_site),
+ c AS (SELECT obs_id, t, hh + 3.5 * t AS hh, (floor(ri)::INT + a) * 20 + floor(rj)::INT + b AS src, (CASE WHEN a = 1 THEN ri - floor(ri) ELSE 1 - (ri - floor(ri)) END) * (CASE WHEN b = 1 THEN rj - floor(rj) ELSE 1 - (rj - floor(rj)) END) AS w
+  FROM p, (SELECT unnest([0, 1]) AS a), (SELECT unnest([0, 1]) AS b), (SELECT unnest([0, 1]) AS t)),
+ m AS (SELECT obs_id, t, w, CASE WHEN hh = h THEN z ELSE z + (z1 - z) * (hh - h) / (h1 - h) END AS v FROM c JOIN e ON e.src = c.src AND w > 0 AND (hh >= h AND hh < h1 OR k1 IS NULL AND hh = h))
+SELECT obs_id, t, round((CASE WHEN sum(w) >= 1 - 1e-9 THEN sum(v * w) / sum(w) END)::DECIMAL(28, 7), 3)::DOUBLE AS z FROM m GROUP BY obs_id, t""".lstrip(),
+    "v_cell v_site",
+)
+def factors_3d(spark, sf_dir):
+    """Two heights over each site, by a stored table of bilinear weights and level brackets."""
+    g = v_cell(spark, sf_dir).groupBy("i", "j", "k").agg(F.avg("z").alias("z")).select((F.col("i") * 20 + F.col("j")).alias("src"), "k", "z", (F.col("k") * 10 + (F.col("i") + F.col("j")) % 3).cast("double").alias("h"))
+    p = v_site(spark, sf_dir).select("obs_id", (F.col("x") * 0.19).alias("ri"), (F.col("y") * 0.19).alias("rj"), (12 + F.col("lev").cast("double")).alias("at"))
+    fi, fj = F.floor("ri"), F.floor("rj")
+    a, b = F.col("ri") - fi, F.col("rj") - fj
+    four = F.array(*[F.struct(((fi + x) * 20 + fj + y).cast("int").alias("src"), ((a if x else 1 - a) * (b if y else 1 - b)).alias("w")) for x in (0, 1) for y in (0, 1)])
+    across = p.select("obs_id", F.explode(four).alias("c")).select("obs_id", "c.src", "c.w").filter("w > 0")
+    targets = p.select("obs_id", F.explode(F.array(F.lit(0), F.lit(1))).alias("t"), "at").withColumn("at", F.col("at") + 3.5 * F.col("t"))
+    name = "factors_" + uuid.uuid4().hex
+    factors.store(factors.factors(across, targets, g.select("src", "k", "h"), "obs_id", "src", "k", "h", "at", "t"), name, f"{new_folder(spark)}/table", "src", "k", 8)
+    return factors.apply(spark, name, g.select("src", "k", "z"), "obs_id", "t", "src", "k", ["z"]).select("obs_id", "t", r("z", 3, 7).alias("z"))
+
+
+@query(
+    "implicit_diffusion",
+    """, l AS (SELECT i, j, k FROM (SELECT DISTINCT i, j FROM v_cell), (SELECT unnest(range(0, 7)) AS k)), g AS (SELECT i, j, k - 1 AS k, avg(z) / 1000 AS t FROM v_cell GROUP BY i, j, k),
+ f AS (SELECT l.*, coalesce(t, 0) AS t FROM l LEFT JOIN g ON g.i = l.i AND g.j = l.j AND g.k = l.k), w AS (SELECT unnest(range(0, 7)) AS q),
+ s AS (SELECT i, j, q, sum(t * cos(pi() * q * (k + 0.5::DOUBLE) / 7)) * CASE WHEN q = 0 THEN 1 ELSE 2 END / 7 / (1 + 2 * 1.7::DOUBLE * (1 - cos(pi() * q / 7))) AS a FROM f, w GROUP BY i, j, q)
+SELECT s.i, s.j, k::BIGINT AS k, round(sum(a * cos(pi() * q * (k + 0.5::DOUBLE) / 7)), 6) AS t FROM s, (SELECT unnest(range(0, 7)) AS k) GROUP BY s.i, s.j, k""".lstrip(),
+    "v_cell",
+)
+def implicit_diffusion(spark, sf_dir):
+    """One implicit step of diffusion along each column, in blocks of four levels; the cosine series is its closed form."""
+    cells = v_cell(spark, sf_dir)
+    line = cells.select("i", "j").distinct().select("i", "j", F.explode(F.sequence(F.lit(0), F.lit(6))).alias("k"))
+    t = cells.groupBy("i", "j", (F.col("k") - 1).cast("int").alias("k")).agg((F.avg("z") / 1000).alias("t"))
+    k, kappa = F.col("k"), 1.7
+    ends = F.when(k.isin(0, 6), 1).otherwise(2)
+    rows = line.join(t, ["i", "j", "k"], "left").select("i", "j", k.cast("long").alias("k"), F.lit(-kappa).alias("low"), (1 + kappa * ends).alias("mid"), F.lit(-kappa).alias("high"), F.coalesce("t", F.lit(0.0)).alias("rhs"))
+    return tridiagonal.solve(rows, ["i", "j"], "k", 7, block=4).select("i", "j", "k", r("x", 6).alias("t"))

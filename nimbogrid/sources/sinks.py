@@ -14,8 +14,11 @@ from ..operators import stats
 
 
 def write_observation_space(values: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Observation-space values (set, idx, qc, val, ensval array), one folder per set, sorted by idx inside, so that a lookup by (set, idx) reads few row groups."""
-    values.repartition("set").sortWithinPartitions("set", "idx").write.mode(mode).partitionBy("set").parquet(path)
+    """Observation-space values (set, idx, qc, val, ensval array), one folder per set, sorted by idx inside, so that a lookup by (set, idx) reads few row groups.
+
+    Ranges of (set, idx) are dealt to all tasks: a large set is written by many of them, each a file of consecutive numbers.
+    """
+    values.repartitionByRange("set", "idx").sortWithinPartitions("set", "idx").write.mode(mode).partitionBy("set").parquet(path)
 
 
 def write_departures(obs: DataFrame, path: str, kind: str, mode: str = "overwrite") -> None:

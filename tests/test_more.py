@@ -257,3 +257,30 @@ def test_hyperdiffusion_over_many_tiles(spark):
     many = reduce.hyperdiffusion(d, "i", "j", "v", ni, nj, 2, 50)
     assert many._jdf.queryExecution().executedPlan().toString().count("Exchange") <= 3 and time.perf_counter() - began < 5
     assert many.count() == len(cells)
+
+
+def test_a_set_is_written_by_many_tasks(spark, tmp_path):
+    values = spark.range(4000).selectExpr("1 AS set", "id AS idx", "0 AS qc", "id * 0.5D AS val").repartition(7)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # which would put so few rows together
+    try:
+        sinks.write_observation_space(values, str(tmp_path / "v"))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    files = list((tmp_path / "v" / "set=1").glob("*.parquet"))
+    assert len(files) > 1
+    spans = sorted((r["a"], r["b"]) for r in spark.read.parquet(str(tmp_path / "v")).groupBy(F.input_file_name()).agg(F.min("idx").alias("a"), F.max("idx").alias("b")).collect())
+    assert all(x[1] < y[0] for x, y in zip(spans, spans[1:], strict=False)) and spans[-1][1] == 3999
+
+
+def test_splines_of_many_columns_are_those_of_each(spark):
+    from nimbogrid.operators import regrid
+
+    rng = np.random.default_rng(8)
+    cols = {c: (np.sort(rng.uniform(0, 10, n)), rng.normal(size=n)) for c, n in enumerate([0, 1, 2, 3, 4, 9, 30])}
+    d = spark.createDataFrame([(c, float(z), None if c == 6 and k == 3 else float(v)) for c, (zs, vs) in cols.items() for k, (z, v) in enumerate(zip(zs, vs, strict=True))], "c int, z double, v double").repartition(3)
+    got = {(r["c"], r["target"]): r["v"] for r in regrid.vertical_spline(d, ["c"], "z", "v", [0.5, 5.0, 11.0]).collect()}
+    for c, (z, v) in cols.items():
+        v = np.where((np.arange(len(v)) == 3) & (c == 6), np.nan, v)
+        want = regrid.spline_at(z, v, np.array([0.5, 5.0, 11.0]))
+        for t, x in zip((0.5, 5.0, 11.0), want, strict=True):
+            assert (c, t) not in got if not len(z) else got[c, t] is None if np.isnan(x) else got[c, t] == pytest.approx(x)
