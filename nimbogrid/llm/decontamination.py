@@ -335,7 +335,8 @@ ds AS (SELECT doc_id, m, k, p, concat_ws(' ', t0, CASE WHEN k > 1 THEN t1 END, C
 seed AS (SELECT doc_id, item_id, ic.k, s, ic.sh, c, p, m - ic.k + 1 AS ms, least(s, m - ic.k + 1) AS len FROM ds JOIN ic ON ds.k = ic.k AND ds.sh = ic.sh),
 near AS (SELECT *, count(*) OVER (PARTITION BY doc_id, item_id ORDER BY p RANGE BETWEEN len - 1 PRECEDING AND len - 1 FOLLOWING) AS together FROM seed),
 win AS (SELECT DISTINCT doc_id, item_id, k, s, len, unnest(range(greatest(1, p - len + 1), least(p, ms - len + 1) + 1)) AS x FROM near WHERE together * 1.8 >= 0.8 * (s + len) - 0.001),
-hit AS (SELECT v.doc_id, v.item_id, v.k, v.s, v.len, x, sh, least(count(*), any_value(c)) AS c FROM win v JOIN seed ON seed.doc_id = v.doc_id AND seed.item_id = v.item_id AND p >= x AND p < x + v.len GROUP BY ALL),
+spread AS (SELECT *, unnest(range(x, x + len)) AS q FROM win),
+hit AS (SELECT v.doc_id, v.item_id, v.k, v.s, v.len, x, sh, least(count(*), any_value(c)) AS c FROM spread v JOIN seed ON seed.doc_id = v.doc_id AND seed.item_id = v.item_id AND p = q GROUP BY ALL),
 sim AS (SELECT doc_id, item_id, k, s, len, x, sum(c) AS common FROM hit GROUP BY ALL),
 best AS (SELECT *, common::DOUBLE / (s + len - common)::DOUBLE AS similarity, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY common DESC, x) AS nth FROM sim)
 SELECT best.doc_id, item_id, similarity, f.a::BIGINT AS start, l.b::BIGINT AS "end" FROM best JOIN w f ON f.doc_id = best.doc_id AND f.n = x JOIN w l ON l.doc_id = best.doc_id AND l.n = x + len + k - 2
