@@ -77,3 +77,44 @@ def radar_sample(z: Column, vr: Column, flag: Column, floor: float, vr_floor: fl
     out_z = F.when(~bad, F.greatest(z, F.lit(floor)))
     out_v = F.when(~bad & (z >= vr_floor) & (distance >= near) & (F.abs(vr) <= vr_most), vr)
     return out_z, out_v
+
+
+def radar_departures(obs: DataFrame, threshold: float, least_rain: int, least_clear: int, gross: float = 5.0, additive: tuple[int, float] | None = None, pseudo: float | None = None, elements: Sequence[int] = (4001, 4004)) -> DataFrame:
+    """obs with dep, pert (array), qc and kind, the departure and perturbations that are assimilated of radar reflectivities, by the state of the observation.
+
+    obs: elm, dat, err, ens (members' reflectivities) and, as far as asked for, extra (members' additive perturbations, of mean zero), eqv (members' humidities), tm and
+    pm (mean temperature and pressure at the place). Where rain is observed but fewer than ``least_rain`` members have it, the vote fails; so it does where none is
+    observed and fewer than ``least_clear`` have rain, and such an observation has no departure.
+
+    additive (members, clear): where rain is observed and fewer members have it than this, members become ``clear``, the reflectivity of clear sky, plus their extra
+    perturbations, and the observation is good. pseudo: where the departure is greater than this, the humidity of saturation is assimilated in place of the reflectivity (kind
+    ``humidity``); the gross error check, ``gross`` times the error, is for others. Rows of other elements get their plain departure and check.
+    """
+    ours, d, ens = F.col("elm").isin(list(elements)), F.col("dat"), F.col("ens")
+    wet, rain = member_vote(ens, threshold + 1e-6), d > threshold + 1e-6
+    mean = lambda a: F.aggregate(a, F.lit(0.0), lambda s, v: s + v) / F.size(a)
+    off = lambda a, m: F.transform(a, lambda v: v - m)
+    poor = ours & F.when(rain, wet < least_rain).otherwise(wet < least_clear)
+    members, saved = ens, F.lit(False)
+    if additive:
+        saved = ours & rain & (wet < additive[0])
+        members = F.when(saved, F.transform("extra", lambda v: v + additive[1])).otherwise(ens)
+    out = obs.withColumn("_m", members).withColumn("_poor", F.coalesce(poor & ~saved, F.lit(False))).withColumn("_b", mean(F.col("_m")))
+    none = d.isNull() | (ours & ~rain & F.col("_poor"))
+    out = out.withColumn("dep", F.when(~none, d - F.col("_b"))).withColumn("pert", F.when(~none, off(F.col("_m"), F.col("_b")))).withColumn("kind", F.lit("value"))
+    if pseudo is not None:
+        t = F.col("tm") - 273.15
+        e = 611.2 * F.exp(17.67 * t / (t + 243.5))
+        humid = F.coalesce(ours & (F.col("dep") > pseudo), F.lit(False))
+        out = out.withColumn("_h", humid).withColumn("_q", mean(F.col("eqv")))
+        out = out.withColumn("dep", F.when(F.col("_h"), 0.622 * e / (F.col("pm") - e) - F.col("_q")).otherwise(F.col("dep"))).withColumn("pert", F.when(F.col("_h"), off(F.col("eqv"), F.col("_q"))).otherwise(F.col("pert")))
+        out = out.withColumn("kind", F.when(F.col("_h"), "humidity").otherwise("value")).drop("_h", "_q")
+    rules = [(d.isNull(), BAD_VALUE), ((F.col("kind") == "value") & gross_error(F.col("dep"), F.col("err"), gross), GROSS_ERROR), (F.col("_poor"), MEMBER_VOTE)]
+    return out.withColumn("qc", first_code(rules)).drop("_m", "_b", "_poor")
+
+
+def additive_perturbations(obs: DataFrame, slopes: DataFrame, ens: Column, on: Sequence[str], name: str = "extra") -> DataFrame:
+    """obs with an array of additive perturbations: the departures of ens from its mean times the slope of the observation's level (a small table: on, slope), zero without one."""
+    met = obs.join(slopes.select(*on, "slope"), list(on), "left")
+    centred = F.transform(ens, lambda v: v - F.aggregate(ens, F.lit(0.0), lambda s, x: s + x) / F.size(ens))
+    return met.withColumn(name, F.transform(centred, lambda v: v * F.coalesce("slope", F.lit(0.0)))).drop("slope")

@@ -156,3 +156,40 @@ def update_mask(spark, sf_dir):
     k = F.col("k")
     a, b = (qc.update_mask(F.col("z"), F.col("vr"), k, 2.0, m, 4.0) for m in (False, True))
     return v_cell(spark, sf_dir).groupBy("k").agg(r(F.sum(a), 2).alias("any_var"), r(F.sum(b), 2).alias("moisture"))
+
+
+_RADAR = """WITH s AS (SELECT p_partkey AS obs_id, p_size % 4 AS lev, CASE WHEN p_partkey % 23 = 0 THEN NULL ELSE (p_partkey * 37 % 600) / 10.0::DOUBLE END AS dat, 1 + (p_partkey % 3)::DOUBLE AS err,
+  CASE WHEN p_partkey % 5 = 0 THEN 4002 WHEN p_partkey % 7 = 0 THEN 4004 ELSE 4001 END AS elm, 260 + p_size::DOUBLE AS tm, 90000 - 1000 * p_size::DOUBLE AS pm, p_partkey % (SELECT count(*) FROM embeddings) AS key FROM part),
+ e AS (SELECT vec_id AS key, u.m AS member, 15 + 8 * embedding[u.m]::DOUBLE AS x, 0.004 + 0.001 * embedding[u.m + 10]::DOUBLE AS q FROM embeddings, (SELECT unnest(range(1, 11)) AS m) u),
+ j AS (SELECT s.*, member, x, q, x - avg(x) OVER w AS dx, q - avg(q) OVER w AS dq FROM s JOIN e ON e.key = s.key WINDOW w AS (PARTITION BY obs_id)),
+ b AS (SELECT lev, coalesce(sum(dx * dq) / nullif(sum(dq * dq), 0), 0) AS slope FROM j GROUP BY lev),
+ k AS (SELECT j.*, 5 + slope * dq AS cold, dat > 15.000001::DOUBLE AS rain, elm IN (4001, 4004) AS ours, count(*) FILTER (x > 15.000001::DOUBLE) OVER (PARTITION BY obs_id) AS wet FROM j JOIN b ON b.lev = j.lev),
+ m AS (SELECT *, CASE WHEN ours AND rain AND wet < 3 THEN cold ELSE x END AS y, coalesce(ours AND CASE WHEN rain THEN wet < 5 AND NOT wet < 3 ELSE wet < 2 END, false) AS poor FROM k),
+ n AS (SELECT obs_id, any_value(elm) AS elm, any_value(dat) AS dat, any_value(err) AS err, bool_or(poor) AS poor, bool_or(ours) AS ours, bool_or(rain) AS rain, avg(y) AS my, stddev_samp(y) AS sy, avg(q) AS mq, stddev_samp(q) AS sq,
+  any_value(611.2::DOUBLE * exp(17.67::DOUBLE * (tm - 273.15) / (tm - 273.15 + 243.5))) AS es, any_value(pm) AS pm FROM m GROUP BY obs_id),
+ d AS (SELECT *, CASE WHEN NOT (dat IS NULL OR (ours AND NOT rain AND poor)) THEN dat - my END AS d0 FROM n),
+ h AS (SELECT *, coalesce(ours AND d0 > 22, false) AS humid FROM d)
+SELECT obs_id, CASE WHEN humid THEN 'humidity' ELSE 'value' END AS kind, round(CASE WHEN humid THEN 0.622 * es / (pm - es) - mq ELSE d0 END, 8) AS dep, round(CASE WHEN humid THEN sq WHEN d0 IS NOT NULL THEN sy END, 8) AS spread,
+ CASE WHEN dat IS NULL THEN 50 WHEN NOT humid AND abs(d0) > 12 * err THEN 5 WHEN poor THEN 12 ELSE 0 END AS qc FROM h"""
+
+
+@query("radar_variants", _RADAR)
+def radar_variants(spark, sf_dir):
+    """Reflectivities with additive perturbations, by the pooled slope of their level, where members are dry, and humidity in their place where the departure is large."""
+    from ..operators import stats
+    from .views import table
+
+    e = table(spark, sf_dir, "embeddings").select(
+        F.col("vec_id").alias("key"), F.transform(F.slice("embedding", 1, 10), lambda v: 15 + 8 * v.cast("double")).alias("ens"), F.transform(F.slice("embedding", 11, 10), lambda v: 0.004 + 0.001 * v.cast("double")).alias("eqv")
+    )
+    k = F.col("p_partkey")
+    s = table(spark, sf_dir, "part").select(
+        k.alias("obs_id"), (F.col("p_size") % 4).alias("lev"), F.when(k % 23 != 0, (k * 37 % 600) / 10).alias("dat"), (1 + k % 3).cast("double").alias("err"), F.when(k % 5 == 0, 4002).when(k % 7 == 0, 4004).otherwise(4001).alias("elm"),
+        (260.0 + F.col("p_size")).alias("tm"), (90000.0 - 1000 * F.col("p_size")).alias("pm"), (k % e.count()).alias("key"),
+    )
+    obs = s.join(e, "key")
+    each = obs.select("obs_id", "lev", F.explode(F.arrays_zip("ens", "eqv")).alias("p")).select("obs_id", "lev", F.col("p.ens").alias("x"), F.col("p.eqv").alias("q"))
+    obs = qc.additive_perturbations(obs, stats.pooled_slope(each, ["obs_id"], ["lev"], "q", "x"), F.col("eqv"), ["lev"])
+    out = qc.radar_departures(obs, 15.0, 5, 2, 12.0, (3, 5.0), 22.0)
+    sd = F.sqrt(F.aggregate("pert", F.lit(0.0), lambda a, v: a + v * v) / (F.size("pert") - 1))
+    return out.select("obs_id", "kind", r("dep", 8).alias("dep"), r(F.when(F.col("pert").isNotNull(), sd), 8).alias("spread"), "qc")
