@@ -54,6 +54,16 @@ def derived_total_energy(spark, sf_dir):
     return s.select("i", "j", "k", r("ENGI", 2).alias("ENGI"), r("ENGT", 2).alias("ENGT"), r("TDEW").alias("TDEW"), r("RHA").alias("RHA"))
 
 
+ENGI = f"dens * ((1 - (qv + qc + qr + qi + qs + qg)) * {c.CV_DRY!r} * t + qv * ({c.CV_VAP!r} * t + {c.LHV00!r}) + (qc + qr) * {c.C_LIQUID!r} * t + (qi + qs + qg) * ({c.C_ICE!r} * t - ({c.LHS00!r} - {c.LHV00!r})))"
+
+
+@query("derived_energy_sums", STATE + f"SELECT i, j, k, round({ENGI}, 2) AS \"ENGI\", round({ENGI} + dens * {c.GRAVITY!r} * z + 0.5 * dens * (u * u + v * v + w * w), 2) AS \"ENGT\" FROM st", "v_cell")
+def derived_energy_sums(spark, sf_dir):
+    """Internal energy, and its sum with potential and kinetic energy."""
+    s = derived.resolve(v_state(spark, sf_dir), ["ENGI", "ENGT"])
+    return s.select("i", "j", "k", r("ENGI", 2).alias("ENGI"), r("ENGT", 2).alias("ENGT"))
+
+
 @query(
     "derived_stability",
     STATE

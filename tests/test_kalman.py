@@ -104,3 +104,28 @@ def test_subspace_filter_is_the_transform_filter(spark, variables):
 def test_members_without_spread():
     x = np.ones((3, 5))
     assert np.allclose(kalman.subspace_filter(x, np.zeros((1, 5)), np.ones(1), np.ones(1)), x)
+
+
+def test_local_analysis_query_is_a_direct_solve(spark, sf):
+    """The query's own pairs, solved cell by cell with dense matrices; every cell has a row, cell 0 too."""
+    from nimbogrid.plans import QUERIES, q_ensemble
+    from nimbogrid.plans.views import v_ens_array, v_grid
+
+    pairs = {}
+    for p in q_ensemble._local_pairs(spark, sf).select("cell", "obs_id", "y", "d", "r").collect():
+        pairs.setdefault(p["cell"], []).append(p)
+    ens = {r["vec_id"]: np.array(r["ens"], float) for r in v_ens_array(spark, sf).collect()}
+    cells = {r["cell"] for r in v_grid(spark, sf).select("cell").collect()}
+    got = {r["cell"]: r for r in QUERIES["transform_local_analysis"](spark, sf).collect()}
+    spread = {r["cell"]: r for r in QUERIES["transform_relax_spread"](spark, sf).collect()}
+    assert set(got) == set(spread) == cells & set(ens) and 0 in got
+    for c in got:
+        x, obs = ens[c], pairs.get(c, [])
+        p, m = x - x.mean(), len(x)
+        y, d, r = np.array([o["y"] for o in obs]).reshape(-1, m), np.array([o["d"] for o in obs]), np.array([o["r"] for o in obs])
+        a = np.linalg.inv(y.T @ np.diag(1 / r) @ y + (m - 1) / 1.1 * np.eye(m)) if obs else np.eye(m) * 1.1 / (m - 1)
+        mean = x.mean() + (p @ a @ y.T @ (d / r) if obs else 0.0)
+        assert got[c]["mean"] == pytest.approx(mean, abs=2e-6) and spread[c]["mean"] == pytest.approx(mean, abs=2e-6)
+        post = p @ a @ p  # variance of the analysis, whose square root goes back to the prior's by 0.9
+        want = np.sqrt(post) * (0.9 * np.sqrt(p @ p * 1.1 / (m - 1) / post) + 0.1) if obs else np.sqrt(p @ p / (m - 1) * 1.1)
+        assert spread[c]["spread"] == pytest.approx(want, abs=5e-6)
