@@ -9,7 +9,7 @@ multisets of shingles (sum of the lesser counts over sum of the greater counts),
 be at least ``similarity``.
 
 At similarity 0.8 fingerprints differ in about 9.7 bits of 64 (standard deviation 2.9): two windows in 100 at the very threshold
-lie beyond 15 bits in one fingerprint, one in 2,000 in both, and fewer above it (measured: tests/llm/test_leaks.py).
+lie beyond 15 bits in one fingerprint, one in 2,000 in both, and fewer above it (measured: tests/llm/test_contracts.py).
 
 A document with fewer shingles than an item is one window as a whole for that item. Pairs of such that share a shingle and whose
 sizes allow the similarity are verified without fingerprints.

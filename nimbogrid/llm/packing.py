@@ -173,7 +173,8 @@ def best_fit(counts: dict[int, int], capacity: int) -> tuple[np.ndarray, np.ndar
     """Places for counts[n] pieces of each length n: (length, first rank, first sequence, offset), sorted.
 
     The place of the piece of rank r in its length is that of the last entry with first rank <= r, r - first rank
-    sequences further on. One round for each length, longest first, over runs of equal gaps.
+    sequences further on. One round for each length, longest first, over runs of equal gaps: the sequences of a run are filled one after
+    the other, as best fit fills them.
     """
     from bisect import bisect_left, insort
 
@@ -186,25 +187,24 @@ def best_fit(counts: dict[int, int], capacity: int) -> tuple[np.ndarray, np.ndar
         while left:
             if at < len(gaps):  # the successor: the smallest gap that holds it
                 gap, first, m = gaps.pop(at)
-                take = min(left, m)
-                if take < m:
-                    changed.append((gap, first + take, m - take))
             else:
-                gap, first = capacity, opened
-                take = -(-left // (capacity // n))
-                opened += take
-            # Equal pieces go on into the same sequences while that is the best fit: what they leave is the smallest gap.
-            places.append((n, rank, first, capacity - gap))
-            left, rank, gap = left - take, rank + take, gap - n
-            while gap >= n and left:
-                more = min(left, take)
-                places.append((n, rank, first, capacity - gap))
-                if more < take:
-                    changed.append((gap, first + more, take - more))
-                    take = more
-                left, rank, gap = left - more, rank + more, gap - n
-            if gap:
-                changed.append((gap, first, take))
+                gap, first, m = capacity, opened, left
+            # Equal pieces go on into one sequence while they fit: what is left of its gap is the smallest one that holds them.
+            each = gap // n
+            used = min(m, -(-left // each))
+            full, rest = divmod(min(left, used * each), each)
+            for k in range(each):
+                own = full + (k < rest)
+                if own:
+                    places.append((n, rank, first, capacity - gap + k * n))
+                    rank += own
+            left -= full * each + rest
+            if gap == capacity and first == opened:
+                opened += used
+                m = used
+            for g in ((gap - each * n, first, full), (gap - rest * n, first + full, int(rest > 0)), (gap, first + used, m - used)):
+                if g[0] and g[2]:
+                    changed.append(g)
         for g in changed:
             insort(gaps, g)
     table = np.array(sorted(places), np.int64).reshape(-1, 4)
