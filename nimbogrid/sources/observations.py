@@ -126,9 +126,18 @@ def write_observations(obs: DataFrame, path: str, mode: str = "overwrite", drop_
     (writer.partitionBy(*partition) if partition else writer).parquet(path)
 
 
-def read_ensemble(spark: SparkSession, path: str) -> DataFrame:
-    """A table with one folder per member (member=1, member=2, ...), as one scan that prunes members and columns."""
-    return spark.read.parquet(path)
+def read_ensemble(spark: SparkSession, path: str, columns: Sequence[str] | None = None, members: Sequence[int] | None = None, member: str = "member") -> DataFrame:
+    """A table with one folder per member (member=1, member=2, ...), as one scan that prunes members and columns.
+
+    columns: those that every member must have, which alone are read; a missing one, or a table that has no member folders, is an error. members: those to read.
+    """
+    d = spark.read.parquet(path)
+    lost = [c for c in [member, *(columns or [])] if c not in d.columns]
+    if lost:
+        raise ValueError(f"no such columns at {path}: {', '.join(lost)}")
+    if members is not None:
+        d = d.filter(F.col(member).isin(list(members)))
+    return d.select(member, *[c for c in columns if c != member]) if columns is not None else d
 
 
 def decode_wide(reports: DataFrame, keys: Sequence[str], values: dict[str, str], errors: dict[str, float], hours: tuple[float, float], box: tuple[float, float, float, float]) -> DataFrame:

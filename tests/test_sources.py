@@ -55,3 +55,17 @@ def test_write_and_unpivot(spark, tmp_path):
     assert [(r["id"], r["elm"], r["dat"]) for r in long.collect()] == [(1, 3073, 280.0)]
     observations.write_observations(long, str(tmp_path / "o"), partition=["elm"])
     assert spark.read.parquet(str(tmp_path / "o")).count() == 1
+
+
+def test_ensemble_prunes_members_and_columns(spark, tmp_path):
+    spark.createDataFrame([(m, k, float(m * k), 1.0) for m in (-2, -1, 1, 2) for k in range(5)], "member int, cell int, t double, u double").write.partitionBy("member").parquet(str(tmp_path / "e"))
+    d = observations.read_ensemble(spark, str(tmp_path / "e"), ["cell", "t"], [1, 2])
+    assert d.columns == ["member", "cell", "t"] and d.count() == 10 and observations.read_ensemble(spark, str(tmp_path / "e")).count() == 20
+    plan = d._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema: struct<cell:int,t:double>" in plan and "PartitionFilters: [member" in plan
+    for bad in (["cell", "q"], ["none"]):
+        with pytest.raises(ValueError):
+            observations.read_ensemble(spark, str(tmp_path / "e"), bad)
+    spark.range(3).write.parquet(str(tmp_path / "f"))
+    with pytest.raises(ValueError):
+        observations.read_ensemble(spark, str(tmp_path / "f"))
