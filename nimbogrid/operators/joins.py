@@ -62,6 +62,11 @@ def variable_weights(pairs: DataFrame, table: DataFrame, on: Sequence[str]) -> D
 def nearest_weights(targets: DataFrame, source: DataFrame, k: int, power: float, limit: float, x: str = "x", y: str = "y", target: str = "cell", row: str = "obs_id") -> DataFrame:
     """(target, row, dist, w) for the k nearest source points within limit; weights 1/d**power add up to 1, an exact hit has all the weight."""
     near = top_k(bucket_join(targets.select(target, x, y), source.select(row, x, y), limit, x=x, y=y), [target], [F.col("dist"), F.col(row)], k)
+    return inverse_distance(near, target, power)
+
+
+def inverse_distance(near: DataFrame, target: str, power: float) -> DataFrame:
+    """Pairs (target, dist, rank) with weights w = 1/d**power that add up to 1 for each target; an exact hit has all the weight."""
     own = Window.partitionBy(target)
     raw = F.when(F.min("dist").over(own) == 0, F.when((F.col("dist") == 0) & (F.col("rank") == 1), 1.0).otherwise(0.0)).otherwise(F.try_divide(F.lit(1.0), F.col("dist") ** power))
     return near.withColumn("_w", raw).withColumn("w", F.col("_w") / F.sum("_w").over(own)).drop("_w")

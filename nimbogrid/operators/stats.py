@@ -151,3 +151,41 @@ def rank_spread(df: DataFrame, key: str, value: str, rank: str) -> DataFrame:
         F.avg(value).alias("mean"), F.max(value).alias("most"), F.max(F.struct(F.col(value), (-F.col(rank)).alias("r"))).alias("hi"),
         F.min(value).alias("least"), F.min(F.struct(F.col(value), F.col(rank).alias("r"))).alias("lo"),
     ).select(key, "mean", "most", (-F.col("hi.r")).alias("most_at"), "least", F.col("lo.r").alias("least_at"))
+
+
+def quantiles(df: DataFrame, keys: Sequence[str], value: str, fractions: dict[str, float], bins: int = 1024, passes: int = 3) -> DataFrame:
+    """(keys, n, a column for each fraction): exact quantiles of each key's values, the least value with at least that share of them at or below it.
+
+    No task holds a key's values. Each pass counts the values between two bounds in ``bins`` equal bins, combined before the shuffle, and goes on with the ends of the bin that the
+    rank falls in; what is left after the last is a bins**passes-th of the range, of which a task sees each value once, with its count. df is read passes + 2 times.
+    Missing values and NaN don't count; keys may be null; a key without values has n 0 and nulls. Infinite values are an error of the caller.
+    """
+    number = F.col(value).cast("double")
+    rows = df.select(*keys, F.when(~F.isnan(number), number).alias("_v"))
+    whole = rows.groupBy(*keys).agg(F.count("_v").alias("n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+    # Of n values the one with this number, from 1.
+    rank = lambda f: F.greatest(F.lit(1).cast("long"), F.col("n") - F.floor(F.col("n") - F.lit(float(f)) * F.col("n")))
+    each = F.explode(F.array(*[F.struct(F.lit(name).alias("name"), rank(f).alias("rank")) for name, f in fractions.items()]))
+    open_ = whole.filter("n > 0").select(*keys, "_lo", "_hi", each.alias("_f")).select(*keys, "_lo", "_hi", F.col("_f.name").alias("_name"), F.col("_f.rank").alias("_rank"))
+
+    def within(bounds: DataFrame) -> DataFrame:
+        """Values between the bounds of their key's fractions."""
+        b = bounds.withColumnsRenamed({k: f"_key{n}" for n, k in enumerate(keys)})
+        on = F.lit(True)
+        for n, k in enumerate(keys):
+            on = on & F.col(k).eqNullSafe(F.col(f"_key{n}"))
+        return rows.join(b, on & (F.col("_v") >= F.col("_lo")) & (F.col("_v") <= F.col("_hi"))).drop(*[f"_key{n}" for n in range(len(keys))])
+
+    def holding(counted: DataFrame, order: str) -> DataFrame:
+        """Of counted rows of each key and fraction the one that the rank falls in."""
+        through = F.sum("_c").over(Window.partitionBy(*keys, "_name").orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+        return counted.withColumn("_through", through).filter((F.col("_through") >= F.col("_rank")) & (F.col("_through") - F.col("_c") < F.col("_rank")))
+
+    for _ in range(passes):
+        # Monotonic in the value, rounding included, so that the values of a bin are those between its least and greatest.
+        at = F.floor(F.coalesce(F.try_divide(F.col("_v") - F.col("_lo"), F.col("_hi") - F.col("_lo")), F.lit(0.0)) * bins)
+        counted = within(open_).groupBy(*keys, "_name", "_rank", at.alias("_bin")).agg(F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+        open_ = holding(counted, "_bin").select(*keys, "_lo", "_hi", "_name", (F.col("_rank") - F.col("_through") + F.col("_c")).alias("_rank"))
+    found = holding(within(open_).groupBy(*keys, "_name", "_rank", "_v").agg(F.count(F.lit(1)).alias("_c")), "_v").select(*keys, "_name", "_v", F.lit(None).cast("long").alias("_n"))
+    counts = whole.select(*keys, F.lit(None).cast("string").alias("_name"), F.lit(None).cast("double").alias("_v"), F.col("n").alias("_n"))
+    return found.unionByName(counts).groupBy(*keys).agg(F.max("_n").alias("n"), *[F.max(F.when(F.col("_name") == name, F.col("_v"))).alias(name) for name in fractions])
