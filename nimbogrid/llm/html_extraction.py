@@ -16,7 +16,8 @@ white space inside a block becomes one space, ends are trimmed, empty blocks dro
 
 Scale: one pass over the pages without a shuffle; the network, some 100 kB, is all that is sent. Time and memory are in proportion to a
 page's length however deep it is: an element holds the features of its path as bits, made from its parent's. Pages are parsed
-some MB at a time.
+some MB at a time. Of a page's blocks only texts, numbers of paths and shares of links are held; a page of many blocks is read in slabs of
+steps, forwards and then backwards, each direction carrying its state over and leaving one number for each block.
 
 Defined results: null or empty html, and pages without main text, give an empty text. Unclosed and stray tags are
 taken as browsers mostly do: a block-level start tag ends an open paragraph, an end tag closes up to its match or is
@@ -28,6 +29,7 @@ from __future__ import annotations
 import html as entities
 import re
 import zlib
+from array import array
 from collections import Counter
 from functools import lru_cache
 
@@ -91,10 +93,41 @@ class Element:
             self.last |= 1 << (h >> 8) % LAST
 
 
-def blocks(page: str | None) -> list[tuple[str, Element | None, float]]:
+class Blocks:
+    """A sequence of (text, innermost open element, share of its characters in links). Elements of equal features are held once."""
+
+    def __init__(self) -> None:
+        self.texts: list[str] = []
+        self.elements: list[Element | None] = [None]
+        self.element, self.linked = array("I"), array("d")
+        self._known: dict[tuple[int, int, int], int] = {}
+
+    def append(self, text: str, element: Element | None, linked: float) -> None:
+        n = 0
+        if element:
+            n = self._known.setdefault((element.path, element.last, element.depth), len(self.elements))
+            if n == len(self.elements):
+                self.elements.append(element)
+        self.texts.append(text)
+        self.element.append(n)
+        self.linked.append(linked)
+
+    def __len__(self) -> int:
+        return len(self.texts)
+
+    def __getitem__(self, at):
+        if isinstance(at, slice):
+            return [self[n] for n in range(*at.indices(len(self)))]
+        return self.texts[at], self.elements[self.element[at]], self.linked[at]
+
+    def __eq__(self, other) -> bool:
+        return list(self) == list(other)
+
+
+def blocks(page: str | None) -> Blocks:
     """(text, innermost open element, share of its characters in links) of each leaf block of a page, in order."""
     page = page or ""
-    out: list = []
+    out = Blocks()
     stack: list[Element] = []
     open_tags: Counter = Counter()
     text: list[str] = []
@@ -105,7 +138,7 @@ def blocks(page: str | None) -> list[tuple[str, Element | None, float]]:
         if text:
             whole = " ".join(entities.unescape("".join(text)).split())
             if whole:
-                out.append((whole, stack[-1] if stack else None, linked[1] / max(1, linked[0])))
+                out.append(whole, stack[-1] if stack else None, linked[1] / max(1, linked[0]))
             text.clear()
             linked[:] = [0, 0]
 
@@ -200,29 +233,48 @@ class BlockLSTM:
     def _sigmoid(x):
         return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
+    def _read(self, side: str, x: np.ndarray, mask: np.ndarray, out: np.ndarray, state: tuple | None = None, rows: list | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Reads steps in one direction from a state, writes what each step says to out, adds what training needs to rows, and returns the state after them."""
+        steps, n, _ = x.shape
+        k, p = self.hidden, self.params
+        g_in = x @ p["W" + side] + p["b" + side]
+        h, c = state or (np.zeros((n, k), np.float32), np.zeros((n, k), np.float32))
+        for t in range(steps) if side == "f" else range(steps - 1, -1, -1):
+            g = g_in[t] + h @ p["U" + side]
+            ifo, new = self._sigmoid(g[:, : 3 * k]), np.tanh(g[:, 3 * k :])
+            c2 = ifo[:, k : 2 * k] * c + ifo[:, :k] * new
+            tc = np.tanh(c2)
+            h2 = ifo[:, 2 * k :] * tc
+            m = mask[t][:, None]
+            if rows is not None:
+                rows.append((t, h, c, ifo, new, tc, m))
+            h, c = h + m * (h2 - h), c + m * (c2 - c)
+            out[t] = h
+        return h, c
+
     def forward(self, x: np.ndarray, mask: np.ndarray, keep: bool = False):
         """Logits (steps, batch); mask (steps, batch) is 0 for padding, which leaves the states as they are."""
-        steps, n, _ = x.shape
         k, p = self.hidden, self.params
-        out, kept = np.zeros((steps, n, 2 * k), np.float32), {}
+        out, kept = np.zeros((*x.shape[:2], 2 * k), np.float32), {}
         for side, lo in (("f", 0), ("b", k)):
-            g_in = x @ p["W" + side] + p["b" + side]
-            h, c, rows = np.zeros((n, k), np.float32), np.zeros((n, k), np.float32), []
-            for t in range(steps) if side == "f" else range(steps - 1, -1, -1):
-                g = g_in[t] + h @ p["U" + side]
-                ifo, new = self._sigmoid(g[:, : 3 * k]), np.tanh(g[:, 3 * k :])
-                c2 = ifo[:, k : 2 * k] * c + ifo[:, :k] * new
-                tc = np.tanh(c2)
-                h2 = ifo[:, 2 * k :] * tc
-                m = mask[t][:, None]
-                if keep:
-                    rows.append((t, h, c, ifo, new, tc, m))
-                h, c = h + m * (h2 - h), c + m * (c2 - c)
-                out[t, :, lo : lo + k] = h
-            kept[side] = rows
+            kept[side] = []
+            self._read(side, x, mask, out[:, :, lo : lo + k], rows=kept[side] if keep else None)
         y = out @ p["V"] + p["c"]
         return (y, out, kept) if keep else y
 
+    def forward_long(self, page: Blocks, slab: int) -> np.ndarray:
+        """Logits of the blocks of one page, read in slabs of steps: forwards, then backwards from the end, with the state carried over."""
+        k, p, y = self.hidden, self.params, np.full(len(page), self.params["c"][0], np.float32)
+        starts = range(0, len(page), slab)
+        for side, lo, order in (("f", 0, starts), ("b", k, reversed(starts))):
+            state = None
+            for a in order:
+                x = vectors(page[a : a + slab])[:, None, :]
+                out = np.empty((len(x), 1, k), np.float32)
+                state = self._read(side, x, np.ones((len(x), 1), np.float32), out, state)
+                y[a : a + slab] += out[:, 0] @ p["V"][lo : lo + k]
+        return y
+
     def gradients(self, x, mask, label):
         k, p = self.hidden, self.params
         y, out, kept = self.forward(x, mask, True)
@@ -422,7 +474,7 @@ SLAB = 2 << 20
 
 
 def extract(net: BlockLSTM, pages: list[str | None], most_steps: int = 40_000) -> list[str]:
-    """The main text of each page; pages of like lengths are read together, at most about most_steps blocks at a time."""
+    """The main text of each page; pages of like lengths are read together, at most most_steps blocks at a time, longer ones in slabs of so many."""
     found = [blocks(p) for p in pages]
     out = [""] * len(pages)
     order = sorted((i for i in range(len(pages)) if found[i]), key=lambda i: len(found[i]))
@@ -432,6 +484,11 @@ def extract(net: BlockLSTM, pages: list[str | None], most_steps: int = 40_000) -
         while at + n < len(order) and n < 512 and (n + 1) * len(found[order[at + n]]) <= most_steps:
             n += 1
         some = order[at : at + n]
+        if len(found[some[0]]) > most_steps:
+            texts, y = found[some[0]].texts, net.forward_long(found[some[0]], most_steps)
+            out[some[0]] = "\n".join(texts[b] for b in np.flatnonzero(y > 0).tolist())
+            at += 1
+            continue
         x, mask = padded([vectors(found[i]) for i in some])
         y = net.forward(x, mask)
         for j, i in enumerate(some):
