@@ -266,31 +266,47 @@ def repeated_strings(texts: list[bytes], length: int) -> list[np.ndarray]:
     return [np.stack([text[a:b], order[a:b] - base[text[a:b]]], axis=1) for a, b in zip(edge[:-1], edge[1:], strict=True) if b - a > 1]
 
 
-def shared_parts(classes: list[int], shifts: list[int], contexts: list[bytes], length: int) -> list[tuple[int, int] | None]:
+#: Strings whose hashes are held at a time.
+STRINGS_HELD = 4_000_000
+
+
+def shared_parts(classes: list[int], shifts: list[int], contexts: list[bytes], length: int, most: int = STRINGS_HELD) -> list[tuple[int, int] | None]:
     """For each context the strings (first, last) outside of which it has none in common with another context of its class.
 
     Found by hashes of (class, place relative to the anchor, string): a clash keeps a string that could go, which loses
-    nothing. None where a context shares no string.
+    nothing. None where a context shares no string. Beyond ``most`` strings hashes are made again for each of several
+    ranges of hashes, contexts some at a time, so that memory does not grow with a class but for two numbers a context.
     """
-    size = np.array([len(c) for c in contexts])
-    base = np.cumsum(size) - size
+    size = np.array([len(c) for c in contexts], np.int64)
     count = size - length + 1
-    own = np.repeat(np.arange(len(contexts)), count)
-    at = np.arange(len(own)) - np.repeat(np.cumsum(count) - count, count)
-    start = base[own] + at
-    h = Prefix(np.frombuffer(b"".join(contexts), np.uint8)).slices(start, start + length)
-    group = np.array(classes, np.uint64)[own] << np.uint64(9) | (np.array(shifts)[own] - at).astype(np.uint64)
-    bits = np.uint64(max(1, len(own) - 1).bit_length())
+    ends = np.cumsum(count)
+    total = int(ends[-1]) if len(ends) else 0
+    rounds = -(-total // most)
+    bits = np.uint64(max(1, total - 1).bit_length())
     low = (np.uint64(1) << bits) - np.uint64(1)
-    key = mix(h + mix(group)) & ~low | np.arange(len(own), dtype=np.uint64)
-    key.sort()
-    same = np.flatnonzero((key[1:] >> bits) == (key[:-1] >> bits))
-    hit = np.unique((key[np.r_[same, same + 1]] & low).astype(np.int64))
-    out: list[tuple[int, int] | None] = [None] * len(contexts)
-    edge = np.flatnonzero(np.r_[True, own[hit][1:] != own[hit][:-1]]) if len(hit) else np.empty(0, int)
-    for a, b in zip(edge, np.r_[edge[1:], len(hit)][: len(edge)], strict=True):
-        out[own[hit[a]]] = (int(at[hit[a]]), int(at[hit[b - 1]]))
-    return out
+    cuts = np.unique(np.searchsorted(ends, np.arange(1, rounds) * most).tolist() + [0, len(contexts)]).astype(int)
+    lowest, highest = np.full(len(contexts), np.iinfo(np.int64).max), np.full(len(contexts), -1, np.int64)
+    for r in range(rounds):
+        keys = []
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            own = np.repeat(np.arange(a, b), count[a:b])
+            n = np.arange(ends[a] - count[a], ends[b - 1])
+            at = n - (ends - count)[own]
+            start = (np.cumsum(size[a:b]) - size[a:b])[own - a] + at
+            h = Prefix(np.frombuffer(b"".join(contexts[a:b]), np.uint8)).slices(start, start + length)
+            group = np.array(classes[a:b], np.uint64)[own - a] << np.uint64(9) | (np.array(shifts[a:b])[own - a] - at).astype(np.uint64)
+            key = mix(h + mix(group))
+            part = key & ~low | n.astype(np.uint64)
+            keys.append(part[key % np.uint64(rounds) == r] if rounds > 1 else part)
+        key = np.concatenate(keys)
+        key.sort()
+        same = np.flatnonzero((key[1:] >> bits) == (key[:-1] >> bits))
+        hit = np.unique((key[np.r_[same, same + 1]] & low).astype(np.int64))
+        own = np.searchsorted(ends, hit, "right")
+        at = hit - (ends - count)[own]
+        np.minimum.at(lowest, own, at)
+        np.maximum.at(highest, own, at)
+    return [(x, y) if y >= 0 else None for x, y in zip(lowest.tolist(), highest.tolist(), strict=True)]
 
 
 #: Bytes of contexts that are compared at a time.
