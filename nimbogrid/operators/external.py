@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import timeops
@@ -57,6 +57,50 @@ class External:
         return out.withColumn(name, F.col("_value")).select(*targets.columns, name)
 
 
+#: Names of the files of a sequence end in a number.
+NUMBER = r"_([0-9]+)(?:\.[^./]*)?$"
+
+
+def _files(values: DataFrame, var: str, axes: int, number: str) -> DataFrame:
+    """One row per file that has the variable: (path, file, steps, sizes, first, last)."""
+    own = values.filter((F.col("var") == var) & (F.size("index") == axes + 1))
+    sizes = F.array(*[(F.max(F.get("index", F.lit(n + 1))) + 1).cast("long") for n in range(axes)]) if axes else F.array().cast("array<bigint>")
+    at = F.get("place", F.lit(0))
+    file = F.regexp_extract("path", number, 1)
+    return own.groupBy("path").agg((F.max(F.get("index", F.lit(0))) + 1).cast("long").alias("steps"), sizes.alias("sizes"), F.min(at).alias("first"), F.max(at).alias("last")).withColumn("file", F.when(file != "", file.cast("long")))
+
+
+def sequence(values: DataFrame, var: str, axes: Sequence[str], number: str = NUMBER) -> DataFrame:
+    """(file, step, step_in_file, time, axes, value): a variable whose steps go on through numbered files, as a series for ``Source``.
+
+    values: the table of netcdf.read_netcdf; the first dimension is time, its coordinate a number. A file's steps are counted on from the last of the file before it. Files are put in order by
+    one row each. Files whose names have no number, and files without the variable, add nothing; ``sequence_problems`` tells of them.
+    """
+    files = _files(values, var, len(axes), number).filter("file is not null")
+    before = Window.orderBy("file", "path").rowsBetween(Window.unboundedPreceding, -1)  # one row per file
+    offsets = files.select("path", "file", F.coalesce(F.sum("steps").over(before), F.lit(0).cast("long")).alias("_offset"))
+    own = values.filter((F.col("var") == var) & (F.size("index") == len(axes) + 1)).join(offsets, "path")
+    step = F.get("index", F.lit(0)).cast("long")
+    return own.select("file", (F.col("_offset") + step).alias("step"), step.alias("step_in_file"), F.get("place", F.lit(0)).alias("time"), *[F.get("index", F.lit(n + 1)).alias(a) for n, a in enumerate(axes)], "value")
+
+
+def sequence_problems(values: DataFrame, var: str, axes: Sequence[str], number: str = NUMBER) -> DataFrame:
+    """(path, file, problem), no row for a sound sequence: ``unnumbered``; ``missing`` where numbers before it are, from 0 on; ``repeated`` number; ``size`` other than that of the first file;
+    ``earlier`` where a file begins before the end of the file before it."""
+    files = _files(values, var, len(axes), number)
+    w = Window.orderBy("file", "path")  # one row per file
+    prev, first = F.lag("file").over(w), F.first("sizes").over(w.rowsBetween(Window.unboundedPreceding, 0))
+    numbered = files.filter("file is not null").select(
+        "path", "file",
+        F.array_compact(F.array(
+            F.when(F.col("file") > F.coalesce(prev, F.lit(-1)) + 1, "missing"), F.when(F.col("file") == prev, "repeated"), F.when(F.col("sizes") != first, "size"),
+            F.when(F.col("first") < F.max("last").over(w.rowsBetween(Window.unboundedPreceding, -1)), "earlier"),
+        )).alias("all"),
+    )
+    lost = files.filter("file is null").select("path", "file", F.array(F.lit("unnumbered")).alias("all"))
+    return numbered.unionByName(lost).select("path", "file", F.explode("all").alias("problem"))
+
+
 def parent_fields(values: DataFrame, names: dict[str, tuple[str, float, float]], axes: Sequence[str]) -> DataFrame:
     """Fields of a parent model by our names: one row per place with a column per variable, values scaled and shifted into our units.
 

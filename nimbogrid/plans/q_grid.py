@@ -1,12 +1,13 @@
-"""Structured grids: nearest points by blocks, a parent model's fields on a child grid; quantiles with subtotals."""
+"""Structured grids: nearest points by blocks, a parent model's fields on a child grid; quantiles with subtotals; series in numbered files."""
 
 from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import parent, stats, structured
+from ..operators import external, parent, stats, structured
 from ..sources.workdir import new_folder
 from .registry import query
 from .views import r, table, v_cell, v_obs, v_site
@@ -67,3 +68,24 @@ def quantiles_with_subtotals(spark, sf_dir):
     sets = F.array(*[F.struct(*[(F.col(c) if c in kept else none[c]).alias(c) for c in ("elm", "typ")]) for kept in (("elm", "typ"), ("elm",), ())])
     spread = o.select(F.explode(sets).alias("g"), "dat").select("g.elm", "g.typ", "dat")
     return stats.quantiles(spread, ["elm", "typ"], "dat", {"low": 0.1, "median": 0.5, "high": 0.99})
+
+
+@query(
+    "external_sequence",
+    """WITH d AS (SELECT o_orderdate::DATE AS day, o_custkey % 3 AS region, avg(o_totalprice) AS v FROM orders GROUP BY 1, 2),
+ p AS (SELECT file, (file > coalesce(lag(file) OVER (ORDER BY file), -1) + 1)::BIGINT AS problems FROM (SELECT DISTINCT year(day) - 1992 AS file FROM d))
+SELECT year(day) - 1992 AS file, dense_rank() OVER (ORDER BY day) - 1 AS step, dense_rank() OVER (PARTITION BY year(day) ORDER BY day) - 1 AS step_in_file,
+ date_diff('day', DATE '1992-01-01', day)::DOUBLE AS time, region, round(v::DECIMAL(28, 7), 3)::DOUBLE AS value, problems FROM d JOIN p ON p.file = year(day) - 1992""",
+)
+def external_sequence(spark, sf_dir):
+    """Mean prices by day and region, a file a year, as one series with steps counted through all files, and the number of problems of each file."""
+    o = table(spark, sf_dir, "orders").select(F.to_date("o_orderdate").alias("day"), (F.col("o_custkey") % 3).cast("long").alias("region"), "o_totalprice")
+    year = F.year("day")
+    d = o.groupBy("day", "region").agg(F.avg("o_totalprice").alias("value"))
+    step = F.dense_rank().over(Window.partitionBy(year).orderBy("day")) - 1  # one row per day and region of a year
+    values = d.select(
+        F.format_string("mean_%05d.nc", year - 1992).alias("path"), F.lit("price").alias("var"), F.array(step.cast("long"), F.col("region")).alias("index"),
+        F.array(F.datediff("day", F.lit("1992-01-01").cast("date")).cast("double"), F.lit(None).cast("double")).alias("place"), "value",
+    )
+    bad = external.sequence_problems(values, "price", ["region"]).groupBy("file").agg(F.count(F.lit(1)).alias("problems"))
+    return external.sequence(values, "price", ["region"]).join(bad, "file", "left").withColumn("problems", F.coalesce("problems", F.lit(0).cast("long"))).withColumn("value", r("value", 3, 7))
