@@ -1,4 +1,8 @@
-"""Joins by place: bucketed neighbourhood search, top k, nearest neighbours, level brackets."""
+"""Joins by place: bucketed neighbourhood search, top k, nearest neighbours, level brackets.
+
+Searches work on places, not on rows: targets that lie at one place share one search, and of sources that no order but that of their numbers tells apart only the first k
+can be among a target's k best. What is joined grows with the places in use, not with the product of the rows at them; the result is that of all pairs.
+"""
 
 from __future__ import annotations
 
@@ -41,17 +45,38 @@ def localisation(dist_h: Column, sigma_h: Column | float, dist_v: Column | None
     return nd, F.when(nd <= CUTOFF**2 + 1e-9, F.exp(-0.5 * nd))
 
 
+def nearest(targets: DataFrame, source: DataFrame, k: int, limit: float, x: str = "x", y: str = "y", target: str = "cell", row: str = "obs_id") -> DataFrame:
+    """(target, columns of source but x and y, dist, rank): the k nearest source points of each target within limit, equal distances by row."""
+    t = targets.select(target, x, y)
+    some = top_k(source, [x, y], [F.col(row)], k, "_first").drop("_first")
+    order = [F.col("dist"), F.col(row)]
+    best = top_k(bucket_join(t.select(x, y).distinct(), some, limit, x=x, y=y), [x, y], order, k, "_best").drop("_best")
+    return top_k(t.join(best, [x, y]).drop(x, y), [target], order, k)
+
+
 def local_observations(cells: DataFrame, obs: DataFrame, sigma_h: float, sigma_v: float, k: int, group: str = "ctype", criterion: int = 1) -> DataFrame:
     """For each cell (cell, x, y, lev) and group the k best observations (obs_id, x, y, lev, err, group) within the cutoff.
 
     criterion 1: smallest distance; 2: greatest weight; 3: smallest error variance over weight.
     """
-    o = obs.withColumnRenamed("lev", "_olev")
-    near = bucket_join(cells, o, sigma_h * CUTOFF)
+    place, same = ["x", "y", "lev"], ["x", "y", "_olev", group, *(["err"] if criterion == 3 else [])]
+    o = top_k(obs.withColumnRenamed("lev", "_olev"), same, [F.col("obs_id")], k, "_first").drop("_first")
+    near = _weighted(bucket_join(cells.select(*place).distinct(), o, sigma_h * CUTOFF), sigma_h, sigma_v)
+    by = [{1: F.col("nd"), 2: -F.col("weight"), 3: F.col("err") * F.col("err") / F.col("weight")}[criterion], F.col("obs_id")]
+    best = top_k(near, [*place, group], by, k, "_best").drop("_best")
+    return top_k(cells.join(best, place).select(*cells.columns, *(c for c in best.columns if c not in place)), ["cell", group], by, k)
+
+
+def local_classes(cells: DataFrame, obs: DataFrame, sigma_h: float, sigma_v: float, classes: Sequence[str]) -> DataFrame:
+    """(x, y, lev, classes, n, dist, nd, weight): of all observations within the cutoff of each place of cells, how many of one class and place there are, and their weight."""
+    o = obs.groupBy("x", "y", F.col("lev").alias("_olev"), *classes).agg(F.count(F.lit(1)).alias("n"))
+    return _weighted(bucket_join(cells.select("x", "y", "lev").distinct(), o, sigma_h * CUTOFF), sigma_h, sigma_v)
+
+
+def _weighted(near: DataFrame, sigma_h: float, sigma_v: float) -> DataFrame:
+    """Pairs within the cutoff, with normalised distance squared and weight."""
     nd, w = localisation(F.col("dist"), sigma_h, F.col("lev") - F.col("_olev"), sigma_v)
-    near = near.withColumn("nd", nd).withColumn("weight", w).filter(F.col("weight").isNotNull()).drop("_olev")
-    by = {1: F.col("nd"), 2: -F.col("weight"), 3: F.col("err") * F.col("err") / F.col("weight")}[criterion]
-    return top_k(near, ["cell", group], [by, F.col("obs_id")], k)
+    return near.withColumn("nd", nd).withColumn("weight", w).filter(F.col("weight").isNotNull()).drop("_olev")
 
 
 def variable_weights(pairs: DataFrame, table: DataFrame, on: Sequence[str]) -> DataFrame:
@@ -61,8 +86,7 @@ def variable_weights(pairs: DataFrame, table: DataFrame, on: Sequence[str]) -> D
 
 def nearest_weights(targets: DataFrame, source: DataFrame, k: int, power: float, limit: float, x: str = "x", y: str = "y", target: str = "cell", row: str = "obs_id") -> DataFrame:
     """(target, row, dist, w) for the k nearest source points within limit; weights 1/d**power add up to 1, an exact hit has all the weight."""
-    near = top_k(bucket_join(targets.select(target, x, y), source.select(row, x, y), limit, x=x, y=y), [target], [F.col("dist"), F.col(row)], k)
-    return inverse_distance(near, target, power)
+    return inverse_distance(nearest(targets, source.select(row, x, y), k, limit, x, y, target, row), target, power)
 
 
 def inverse_distance(near: DataFrame, target: str, power: float) -> DataFrame:

@@ -199,7 +199,7 @@ def _nearest(spark, sf_dir, k: int):
     """(cell, obs_id, ox, oy, dist, y, d, r) of the k nearest observations of each cell, and the cells' members."""
     e = v_ens_array(spark, sf_dir)
     sites = v_site(spark, sf_dir).select("obs_id", "x", "y", F.col("x").alias("ox"), F.col("y").alias("oy"), "dat")
-    near = joins.top_k(joins.bucket_join(v_grid(spark, sf_dir).select("cell", "x", "y"), sites, 12.0), ["cell"], [F.col("dist"), F.col("obs_id")], k)
+    near = joins.nearest(v_grid(spark, sf_dir), sites, k, 12.0)
     own = e.select(F.col("vec_id").alias("key"), ens.perturbations(F.col("ens")).alias("y"), ens.array_mean(F.col("ens")).alias("m"))
     met = near.select("cell", "obs_id", "ox", "oy", "dist", "dat", (F.col("obs_id") % e.count()).alias("key")).join(own, "key")
     error = 1 + (F.col("obs_id") % 5) * 0.25
