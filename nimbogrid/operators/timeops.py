@@ -24,9 +24,9 @@ def row_numbers(df: DataFrame, order: Sequence[str], bucket: Column, name: str =
 def asof_linear(targets: DataFrame, source: DataFrame, time: str, value: str, keys: Sequence[str] = (), width: float | None = None) -> DataFrame:
     """Adds prev, next and the value interpolated in time to each target; null where a side is missing.
 
-    Source and targets are merged and sorted once; a window carries the last known sample forward and the next one back. time is
-    a number. With ``width`` long series are divided into buckets of that width, so that one key may be of any length: each bucket gets the
-    last sample before it and the first after it.
+    Source and targets are merged; a window carries the last known sample forward, and one in the opposite order the next one back, each in one pass. Of several
+    samples at a time the greatest value is the one before and the least the one after. time is a number. With ``width`` long series are divided into buckets of that
+    width, so that one key may be of any length: each bucket gets the last sample before it and the first after it.
     """
     spark_keys = [F.col(k) for k in keys]
     s = source.filter(F.col(value).isNotNull()).select(*keys, F.col(time).alias("_t"), F.col(value).alias("_v"))
@@ -39,18 +39,19 @@ def asof_linear(targets: DataFrame, source: DataFrame, time: str, value: str, ke
         s, t = s.withColumn("_b", b), t.withColumn("_b", b)
         ends = s.groupBy(*keys, "_b").agg(F.min(F.struct("_t", "_v")).alias("lo"), F.max(F.struct("_t", "_v")).alias("hi"))
         buckets = t.select(*keys, "_b").distinct().join(ends, [*keys, "_b"], "full")
-        w = Window.partitionBy(*spark_keys or [F.lit(0)]).orderBy("_b")
-        carried = buckets.select(
-            *keys, "_b", F.last("hi", True).over(w.rowsBetween(Window.unboundedPreceding, -1)).alias("p"), F.first("lo", True).over(w.rowsBetween(1, Window.unboundedFollowing)).alias("n")
-        )
+        w = Window.partitionBy(*spark_keys or [F.lit(0)])
+        # The frame that grows is the cheap one, in either order: Spark goes through one that shrinks anew for each row.
+        passed = lambda end, order: F.last(end, True).over(w.orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
+        carried = buckets.select(*keys, "_b", passed("hi", F.col("_b").asc()).alias("p"), passed("lo", F.col("_b").desc()).alias("n"))
         extra = carried.select(*keys, "_b", F.explode(F.array("p", "n")).alias("e")).filter("e is not null").select(*keys, F.col("e._t").alias("_t"), F.col("e._v").alias("_v"), "_b")
         s = s.unionByName(extra)
         parts = [*spark_keys, F.col("_b")]
     both = t.unionByName(s.withColumn("_row", F.lit(0)), allowMissingColumns=True)
-    w = Window.partitionBy(*parts).orderBy("_t", "_row")
+    w = Window.partitionBy(*parts)
     known = F.when(F.col("_row") == 0, F.struct("_t", "_v"))
-    out = both.withColumn("_p", F.last(known, True).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_n", F.first(known, True).over(w.rowsBetween(0, Window.unboundedFollowing)))
-    # One order serves both sides: a sample at the target's own time stands before it, and is its next one too.
+    passed = lambda *order: F.last(known, True).over(w.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    out = both.withColumn("_p", passed("_t", "_row", "_v")).withColumn("_n", passed(F.desc("_t"), F.desc("_row"), F.desc("_v")))
+    # A sample at the target's own time stands before it in the first order, and is its next one too.
     out = out.withColumn("_n", F.when(F.col("_p._t") == F.col("_t"), F.col("_p")).otherwise(F.col("_n")))
     span = F.col("_n._t") - F.col("_p._t")
     a = F.when(span == 0, 0.0).otherwise(F.try_divide(F.col("_t") - F.col("_p._t"), span))
