@@ -59,11 +59,12 @@ def locate(points: DataFrame, triangles: DataFrame, nodes: DataFrame, row: str =
     """(row, tri, a, b, c, wa, wb, wc): the triangle that each point (row, lon, lat) lies in, and the weights of its corners, which add up to 1.
 
     The weights are those at which the line from the sphere's centre through the point meets the plane of the corners. On an edge or a corner the triangle with the smallest number is taken. A
-    point outside of all triangles has no row. Triangles must be smaller than a half sphere; their corners may go round either way.
+    point outside of all triangles has no row. Triangles must be smaller than a half sphere; their corners may go round either way. Points at one place are located once.
     """
     cubes = indexed(corners_of(triangles, nodes))
     ends = cubes.agg(F.min("level"), F.max("level")).first()
-    p = points.select(row, *[v.alias(f"p{k}") for k, v in zip(AXES, unit_vector(F.col("lon"), F.col("lat")), strict=True)])
+    place = ["lon", "lat"]
+    p = points.select(*place).distinct().select(*place, *[v.alias(f"p{k}") for k, v in zip(AXES, unit_vector(F.col("lon"), F.col("lat")), strict=True)])
     if ends[0] is None:
         levels = F.array().cast("array<int>")
     else:
@@ -79,7 +80,8 @@ def locate(points: DataFrame, triangles: DataFrame, nodes: DataFrame, row: str =
     total = F.col("_a") + F.col("_b") + F.col("_c")
     inside = met.filter((total > 0) & (F.least("_a", "_b", "_c") >= -EDGE * total))
     best = F.min(F.struct("tri", "a", "b", "c", *[(F.col(f"_{n}") / total).alias(f"w{n}") for n in "abc"]))
-    return inside.groupBy(row).agg(best.alias("m")).select(row, "m.*")
+    found = inside.groupBy(*place).agg(best.alias("m"))
+    return points.select(row, *place).join(found, place).groupBy(row).agg(F.min("m").alias("m")).select(row, "m.*")
 
 
 def weight_table(located: DataFrame, row: str = "cell", target: str = "target", source: str = "source") -> DataFrame:

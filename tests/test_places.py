@@ -77,3 +77,25 @@ def test_copies_do_not_multiply(spark, sf, tmp_path, made, name):
     made.clear()
     same(QUERIES[name](spark, str(tmp_path)), con, ORACLES[name])
     assert sum(made) <= 3 * 8 * once
+
+
+def test_points_at_one_place_are_located_once(spark):
+    from nimbogrid.operators import mesh
+
+    nodes, triangles = mesh.icosahedral(spark, 2)
+    points = spark.createDataFrame([(n, 10.0 + n % 2, 20.0) for n in range(500)], "cell long, lon double, lat double")
+    out = mesh.locate(points, triangles, nodes)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    # Places are made distinct below the join with cubes.
+    assert "Aggregate [lon#" in plan[plan.index("cube_x") :]
+    rows = {r["cell"]: (r["tri"], r["wa"]) for r in out.collect()}
+    assert len(rows) == 500 and len(set(rows.values())) == 2 and rows[0] == rows[498] and rows[1] == rows[499]
+
+
+def test_equal_distances_are_ties(spark):
+    """Places whose distances are equal but for rounding: by weight, the smaller number comes first."""
+    here = [(1, 0.0, 0.0, 25.0)]
+    source = [(n, x, y, 25.0, "a", 1.0) for n, (x, y) in enumerate([(0.5, 0.0), (0.3, 0.4), (0.4, 0.3), (0.0, 0.5), (0.1 + 0.2, 0.4), (0.7 - 0.2 - 1e-16, 0.0)])]
+    t, s = spark.createDataFrame(here, "cell long, x double, y double, lev double"), spark.createDataFrame(source, "obs_id long, x double, y double, lev double, ctype string, err double")
+    got = [r["obs_id"] for r in joins.local_observations(t, s, 3.0, 20.0, 6, criterion=2).orderBy("rank").collect()]
+    assert got == list(range(6))
