@@ -57,12 +57,13 @@ def nearest(targets: DataFrame, source: DataFrame, k: int, limit: float, x: str
 def local_observations(cells: DataFrame, obs: DataFrame, sigma_h: float, sigma_v: float, k: int, group: str = "ctype", criterion: int = 1) -> DataFrame:
     """For each cell (cell, x, y, lev) and group the k best observations (obs_id, x, y, lev, err, group) within the cutoff.
 
-    criterion 1: smallest distance; 2: greatest weight; 3: smallest error variance over weight.
+    criterion 1: smallest distance; 2: greatest weight, which is the smallest distance at nine digits, so that equal distances are equal however they round;
+    3: smallest error variance over weight. Ties by obs_id.
     """
     place, same = ["x", "y", "lev"], ["x", "y", "_olev", group, *(["err"] if criterion == 3 else [])]
     o = top_k(obs.withColumnRenamed("lev", "_olev"), same, [F.col("obs_id")], k, "_first").drop("_first")
     near = _weighted(bucket_join(cells.select(*place).distinct(), o, sigma_h * CUTOFF), sigma_h, sigma_v)
-    by = [{1: F.col("nd"), 2: -F.col("weight"), 3: F.col("err") * F.col("err") / F.col("weight")}[criterion], F.col("obs_id")]
+    by = [{1: F.col("nd"), 2: F.round("nd", 9), 3: F.col("err") * F.col("err") / F.col("weight")}[criterion], F.col("obs_id")]
     best = top_k(near, [*place, group], by, k, "_best").drop("_best")
     return top_k(cells.join(best, place).select(*cells.columns, *(c for c in best.columns if c not in place)), ["cell", group], by, k)
 

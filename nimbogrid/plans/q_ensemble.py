@@ -102,7 +102,7 @@ def transform_single_analysis(spark, sf_dir):
 
 def _local_pairs(spark, sf_dir):
     """Observations near each target, with an ensemble made of the embeddings in turn, all of them, by observation id."""
-    p = joins.local_observations(v_grid(spark, sf_dir), v_site(spark, sf_dir).withColumn("err", 1 + (F.col("obs_id") % 5) * 0.25), 3.0, 20.0, 2)
+    p = joins.local_observations(v_grid(spark, sf_dir), v_site(spark, sf_dir).withColumn("err", 1 + (F.col("obs_id") % 5) * 0.25), 3.0, 20.0, 2, criterion=2)
     e = v_ens_array(spark, sf_dir).select(F.col("vec_id").alias("key"), ens.perturbations(F.col("ens")).alias("y"))
     n = e.count()
     p = p.select("cell", "obs_id", "dat", "err", "weight", (F.col("obs_id") % F.lit(n)).alias("key"))
@@ -154,7 +154,7 @@ def parameter_estimation(spark, sf_dir):
 @query(
     "observation_impact",
     """, p AS (SELECT g.cell, s.obs_id, s.dat, 1 + (s.obs_id % 5) * 0.25 AS err, ((g.x - s.x)**2 + (g.y - s.y)**2) / 9.0 + ((g.lev - s.lev) / 20.0)**2 AS nd, s.ctype FROM v_grid g JOIN v_site s ON sqrt((g.x - s.x)**2 + (g.y - s.y)**2) <= 3.0 * 2 * sqrt(10.0::DOUBLE / 3.0::DOUBLE)),
- k AS (SELECT *, (dat - 1000) / 1000 AS d, err * err / exp(-0.5 * nd) AS r FROM (SELECT *, row_number() OVER (PARTITION BY cell, ctype ORDER BY nd, obs_id) AS o FROM p WHERE nd <= 40.0 / 3.0 + 1e-9) WHERE o <= 2),
+ k AS (SELECT *, (dat - 1000) / 1000 AS d, err * err / exp(-0.5 * nd) AS r FROM (SELECT *, row_number() OVER (PARTITION BY cell, ctype ORDER BY round(nd, 9), obs_id) AS o FROM p WHERE nd <= 40.0 / 3.0 + 1e-9) WHERE o <= 2),
  y AS (SELECT vec_id, member, x - avg(x) OVER (PARTITION BY vec_id) AS y FROM v_ens)
 SELECT k.obs_id, round(sum(d / r * a.y * b.y * (k.cell % 7 - 3) / 9.0), 6) AS impact FROM k JOIN y a ON a.vec_id = k.obs_id % (SELECT count(*) FROM embeddings) JOIN y b ON b.vec_id = k.cell AND b.member = a.member GROUP BY 1""".lstrip(),
     "v_grid v_site v_ens",

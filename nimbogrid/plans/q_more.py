@@ -14,7 +14,7 @@ from .views import r, table, v_cell, v_ens_array, v_grid
 
 #: Pairs of targets and near observations (q_ensemble._local_pairs), with departure d, error variance r over weight, and weight.
 PAIRS = """, p AS (SELECT g.cell, s.obs_id, s.dat, s.ctype, 1 + (s.obs_id % 5) * 0.25 AS err, ((g.x - s.x)**2 + (g.y - s.y)**2) / 9.0 + ((g.lev - s.lev) / 20.0)**2 AS nd FROM v_grid g JOIN v_site s ON sqrt((g.x - s.x)**2 + (g.y - s.y)**2) <= 3.0 * 2 * sqrt(10.0::DOUBLE / 3.0::DOUBLE)),
- k AS (SELECT *, (dat - 1000) / 1000 AS d, exp(-0.5 * nd) AS weight, err * err / exp(-0.5 * nd) AS r FROM (SELECT *, row_number() OVER (PARTITION BY cell, ctype ORDER BY nd, obs_id) AS o FROM p WHERE nd <= 40.0 / 3.0 + 1e-9) WHERE o <= 2),
+ k AS (SELECT *, (dat - 1000) / 1000 AS d, exp(-0.5 * nd) AS weight, err * err / exp(-0.5 * nd) AS r FROM (SELECT *, row_number() OVER (PARTITION BY cell, ctype ORDER BY round(nd, 9), obs_id) AS o FROM p WHERE nd <= 40.0 / 3.0 + 1e-9) WHERE o <= 2),
  y AS (SELECT vec_id, member, x - avg(x) OVER (PARTITION BY vec_id) AS y FROM v_ens)""".lstrip()
 
 
