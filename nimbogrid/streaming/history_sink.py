@@ -5,7 +5,7 @@ Steps are numbered from 1, the initial time; a request has an interval of ``ever
 missing value makes its interval missing. What is written at steps up to ``wait`` is left out. Files change after every ``switch`` steps. An interval in which
 nothing was put is missing, or with ``fail_unput`` an error. At step 1 only the last value (``none``) is written; statistics have had no interval and are missing.
 
-:func:`history_rows` is the batch form: a window over the samples of a key for the time between them, one aggregation, and a left join with the steps that are to be
+:func:`history_rows` is the batch form: windows over slices of a key's samples for the time between them, one aggregation, and a left join with the steps that are to be
 written. :func:`history_rows_stream` gives the same rows of a stream: a key's accumulators are its state, and event-time timers close
 intervals that no further sample closes. Keys have one sample a step; a second one has no weight.
 """
@@ -15,6 +15,7 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -75,14 +76,30 @@ def _file(sink: Sink, step: Column) -> Column:
     return F.greatest(F.lit(0), F.floor((step - 2 + sink.switch) / F.lit(sink.switch)) - 1).cast("long")
 
 
+#: Slices that the run is divided into: a key's samples of one slice are one window.
+SLICES = 4096
+
+
+def _with_last(samples: DataFrame, sink: Sink, keys: Sequence[str]) -> DataFrame:
+    """samples with the step ``_last`` of the sample before each, of its key: the same for all items, so it is found before they are laid out.
+
+    Only the table of slices, SLICES rows a key, is one window by key; it gives each slice the last step before it.
+    """
+    d = samples.withColumn("_slice", F.floor(F.col("_s") / max(1, sink.last // SLICES)))
+    ends = d.groupBy(*keys, "_slice").agg(F.max("_s").alias("_end")).withColumn("_end", F.lag("_end").over(Window.partitionBy(*keys).orderBy("_slice")))
+    # Samples of a null key are kept.
+    ends = ends.select(F.struct(*keys, "_slice").alias("_key"), "_end")
+    inside = d.withColumn("_last", F.lag("_s").over(Window.partitionBy(*keys, "_slice").orderBy("_s"))).withColumn("_key", F.struct(*keys, "_slice"))
+    return inside.join(ends, inside["_key"].eqNullSafe(ends["_key"])).withColumn("_last", F.coalesce("_last", "_end")).drop("_key", "_slice", "_end")
+
+
 def history_rows(samples: DataFrame, items: Sequence[Item], sink: Sink, keys: Sequence[str], step: str = "step") -> DataFrame:
     """keys, name, step, start, end (seconds from the initial time), value, file of all that is written."""
     by = [*keys, "name", "op", "every"]
-    rows = _requested(samples.filter(F.col(step) <= sink.last).withColumn("_s", F.col(step).cast("long")), items, [*keys, "_s"])
+    rows = _requested(_with_last(samples.filter(F.col(step) <= sink.last).withColumn("_s", F.col(step).cast("long")), sink, keys), items, [*keys, "_s", "_last"])
     least = 0 if sink.step0 else 1
-    before = F.lag("_s").over(Window.partitionBy(*by).orderBy("_s"))
     # With no initial output the first step has no time before it: it has no weight, and is no last value.
-    rows = rows.withColumn("dt", F.col("_s") - F.coalesce(before, F.lit(1) - F.col("every") if sink.step0 else F.lit(1)))
+    rows = rows.withColumn("dt", F.col("_s") - F.coalesce("_last", F.lit(1) - F.col("every") if sink.step0 else F.lit(1)))
     if not sink.step0:
         rows = rows.filter((F.col("op") != "none") | (F.col("_s") > 1))
     k = F.greatest(F.lit(least), F.expr("(_s - 2 + every) div every"))
@@ -137,6 +154,22 @@ def _written(s: list, op: str, at: int, sink: Sink) -> float | None:
     return value
 
 
+#: Samples that are Python objects at a time.
+CHUNK = 100_000
+
+
+def _numbers(batches: Iterator[pd.DataFrame]) -> tuple[np.ndarray, np.ndarray]:
+    """Steps, in order, and values of a key's batches, 16 bytes a sample: keys, names and times are let go with each batch."""
+    steps, values = [np.empty(0, np.int64)], [np.empty(0)]
+    for pdf in batches:
+        known = pdf["_s"].notna().to_numpy()
+        steps.append(pdf["_s"].to_numpy()[known].astype(np.int64))
+        values.append(pdf["v"].to_numpy(float, na_value=np.nan)[known])
+    steps, values = np.concatenate(steps), np.concatenate(values)
+    order = np.argsort(steps, kind="stable")
+    return steps[order], values[order]
+
+
 def history_rows_stream(samples: DataFrame, items: Sequence[Item], sink: Sink, keys: Sequence[str], step: str, ts: str, start: str, delay: str = "0 seconds") -> DataFrame:
     """The rows of :func:`history_rows` of a stream. ts: the time of a sample, that of step 1 being ``start`` (UTC); later ones than ``delay`` are dropped.
 
@@ -167,12 +200,13 @@ def history_rows_stream(samples: DataFrame, items: Sequence[Item], sink: Sink, k
         if state.hasTimedOut:
             close((watermark - origin) // micros + 1)
         else:
-            new = pd.concat(list(batches)).dropna(subset=["_s"]).sort_values("_s", kind="stable")
-            for at, v in zip(new["_s"].astype("int64").tolist(), new["v"].tolist(), strict=True):
-                if at <= sink.last:
-                    close(at - 1)
-                    s[:] = _put(s, op, at, None if pd.isna(v) else float(v))
-            if new.empty and not state.exists:
+            steps, values = _numbers(batches)
+            for a in range(0, len(steps), CHUNK):  # Python objects of a part at a time
+                for at, v in zip(steps[a : a + CHUNK].tolist(), values[a : a + CHUNK].tolist(), strict=True):
+                    if at <= sink.last:
+                        close(at - 1)
+                        s[:] = _put(s, op, at, None if v != v else v)
+            if not len(steps) and not state.exists:
                 return
         if s[1] + every <= sink.last:
             state.update(tuple(s))
