@@ -28,7 +28,7 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that are near no earlier one: five-word shingles, similarity 0.8 or more."""
+    """Documents that are near no earlier one: candidates by SimHash and by bands of minimum hashes, similarity of five-word shingles 0.8 or more."""
     return near_dedup.keep_one_of_each(docs, words=5, similarity=0.8)
 
 

@@ -1,15 +1,17 @@
-"""Near duplicates at an exact similarity of word shingles, found by bands of minimum hashes.
+"""Near duplicates at an exact similarity of word shingles, found by SimHash and, where that does not reach, by bands of minimum hashes.
 
 A text is the set of its shingles of ``words`` words (lower case, cut at white space), as 64-bit hashes. Two texts are near
-when the Jaccard similarity of their whole sets is ``similarity`` or more. Candidates agree in one of ``BANDS`` bands of
-``ROWS`` minimum hashes: at similarity s a pair is missed with probability (1 - s**ROWS)**BANDS, 0.00003 at 0.8, and
-less above. Each candidate pair that is still whole is verified on the sets.
+when the Jaccard similarity of their whole sets is ``similarity`` or more. Candidates are of two kinds. The SimHash
+fingerprints of their sets differ in ``BITS`` or fewer bits: these are found by ball hashing (``simhash_dedup``), which
+loses no pair of them. Fingerprints of texts at 0.8 differ in some ten bits, which ball hashing cannot afford; so candidates are also
+texts that agree in one of ``BANDS`` bands of ``ROWS`` minimum hashes: at similarity s a pair is missed there with
+probability (1 - s**ROWS)**BANDS, 0.00003 at 0.8, and less above. Each candidate pair that is still whole is verified on the sets.
 
 Of two near texts the later goes (by the order of the table). What goes is compared no further, so that of all that stay no
 two candidates are near, and each text that went is linked to an earlier one that stays by a chain of verified pairs.
 
 Scale: texts of one slab are compared on the spot, so that a large group of copies leaves each slab as a few. Only the
-keys of the bands of what is left are shuffled, packed; then the sets of texts that share a key with another, once for each
+fingerprints and the keys of the bands of what is left are shuffled, packed; then the sets of texts that share a key with another, once for each
 such key; keys that the same texts share count as one. Of the texts that share a key only those are compared that share one of their rarest shingles too, and whose sizes
 allow the similarity: ten thousand texts round one boilerplate cost no comparison. Groups are as many as the data need; the texts of one key are in one task.
 
@@ -28,8 +30,9 @@ from pyspark.sql import functions as F
 from . import scan
 from .common import Scratch, groups_for, unused
 from .hashing import Prefix, mix, slabs
+from .simhash_dedup import majority, shared_keys
 
-BANDS, ROWS = 20, 4
+BANDS, ROWS, BITS = 20, 4, 4
 #: Bytes of text whose sets a group holds.
 GROUP_BYTES = 16 << 20
 _RNG = np.random.Generator(np.random.PCG64(20240801))
@@ -127,22 +130,24 @@ def _deal_keys(parts: int, words: int, similarity: float):
                 sets = [shingle_set(t, words) for t in texts[a:b]]
                 keys = np.array([band_keys(s) for s in sets])
                 gone = later_copies(keys.ravel(), np.repeat(np.arange(b - a), BANDS), sets, similarity)
-                rows = [(int(u) % parts, int(u), None) for u in uid[a:b][gone]]
+                rows = [(int(u) % parts, int(u), None, None) for u in uid[a:b][gone]]
+                rows += [(int(uid[n]) % parts, int(uid[n]), majority(sets[n - a]), None) for n in (a + np.flatnonzero(~gone)).tolist()]
                 t = np.empty(int((~gone).sum()) * BANDS, RECORD)
                 t["key"], t["uid"] = keys[~gone].ravel(), np.repeat(uid[a:b][~gone], BANDS)
                 part = (t["key"] % np.uint64(parts)).astype(np.int64)
                 order = np.argsort(part, kind="stable")
                 t, part = t[order], part[order]
                 cut = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
-                rows += [(int(part[x]), None, t[x:y].tobytes()) for x, y in zip(cut, np.r_[cut[1:], len(t)], strict=True)]
-                cols = list(zip(*rows, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int32(), pa.int64(), pa.binary()), strict=True)], ["part", "uid", "records"])
+                rows += [(int(part[x]), None, None, t[x:y].tobytes()) for x, y in zip(cut, np.r_[cut[1:], len(t)], strict=True)]
+                part, who, fp, records = zip(*rows, strict=True)
+                fp = pa.array(fp, pa.uint64()).view(pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(who, pa.int64()), fp, pa.array(records, pa.binary())], ["part", "uid", "fp", "records"])
 
     return run
 
 
 def _shared(table: pa.Table) -> pa.Table:
-    """(uid, key) of keys that more than one text has; a text that has gone has no key.
+    """(uid, key) of keys that more than one text has, and (uid, fp) of all texts that have not gone; a text that has gone has neither.
 
     The key is now a hash of who has it, so that bands with the same texts become one.
     """
@@ -151,9 +156,11 @@ def _shared(table: pa.Table) -> pa.Table:
     who = np.zeros(len(n), np.uint64)
     np.add.at(who, at, mix(t["uid"].astype(np.uint64) + np.uint64(1)))
     shared = n[at] > 1
-    uid = table.column("uid").drop_null().to_numpy()
-    key = np.r_[np.zeros(len(uid), np.int64), who[at][shared].view(np.int64)]
-    return pa.table({"uid": pa.array(np.r_[uid, t["uid"][shared]], pa.int64()), "key": pa.array(key, pa.int64(), mask=np.arange(len(key)) < len(uid))})
+    own = table.select(["uid", "fp"]).filter(table.column("uid").is_valid())
+    keys = pa.array(who[at][shared].view(np.int64))
+    n, k = own.num_rows, len(keys)
+    columns = {"uid": [*own.column("uid").chunks, pa.array(t["uid"][shared])], "key": [pa.nulls(n, pa.int64()), keys], "fp": [*own.column("fp").chunks, pa.nulls(k, pa.int64())]}
+    return pa.table({c: pa.chunked_array(v, pa.int64()).combine_chunks() for c, v in columns.items()})
 
 
 def _deal_sets(parts: int, words: int):
@@ -201,12 +208,13 @@ def near_copies(plain: DataFrame, words: int = 5, similarity: float = 0.8) -> Da
     # A set is about as long as its text; keys are less.
     size = plain.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     parts = groups_for(plain.sparkSession, size, GROUP_BYTES)
-    dealt = plain.mapInArrow(_deal_keys(parts, words, similarity), "part int, uid long, records binary")
-    shared = scratch.save(dealt.groupBy("part").applyInArrow(_shared, "uid long, key long"))
-    keyed = shared.filter("key IS NOT NULL").groupBy("uid").agg(F.collect_set("key").alias("keys"))
+    dealt = plain.mapInArrow(_deal_keys(parts, words, similarity), "part int, uid long, fp long, records binary")
+    shared = scratch.save(dealt.groupBy("part").applyInArrow(_shared, "uid long, key long, fp long"))
+    prints = shared_keys(shared.filter("fp IS NOT NULL").select("uid", "fp"), scratch, BITS)
+    keyed = shared.filter("key IS NOT NULL").select("uid", "key").unionByName(prints).groupBy("uid").agg(F.collect_set("key").alias("keys"))
     sets = plain.join(keyed, "uid").select("uid", "text", "keys").mapInArrow(_deal_sets(parts, words), "part int, records binary, uids binary, sizes binary, sets binary")
     lost = sets.groupBy("part").applyInArrow(_verify(similarity), "uid long")
-    return scratch.save(shared.filter("key IS NULL").select("uid").unionByName(lost).distinct())
+    return scratch.save(shared.filter("key IS NULL AND fp IS NULL").select("uid").unionByName(lost).distinct())
 
 
 def keep_one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8, text_col: str = "text") -> DataFrame:

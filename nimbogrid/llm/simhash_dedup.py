@@ -52,6 +52,11 @@ def fingerprint(text: str | None, words: int = 4) -> int:
         end = np.cumsum(size + 1) - 1
         hash64 = xxhash.xxh64_intdigest
         h = [hash64(line[a:b], 42) for a, b in zip((end - size)[: 1 - words].tolist(), end[words - 1 :].tolist(), strict=True)]
+    return majority(h)
+
+
+def majority(h) -> int:
+    """The bits that are set in more than half of the hashes."""
     ones = np.zeros(64, np.int64)
     for at in range(0, len(h), 65536):  # bounded memory for very long texts
         part = np.array(h[at : at + 65536], dtype="<u8")
@@ -225,6 +230,21 @@ def near_links(distinct: DataFrame, scratch: Scratch, limit: int = 4, max_per_ta
     return scratch.save(links.distinct())
 
 
+def shared_keys(prints: DataFrame, scratch: Scratch, limit: int = 4) -> DataFrame:
+    """(uid, key) from fingerprints (uid, fp): any two rows whose fingerprints differ in limit or fewer bits have a key in common.
+
+    Keys are the centres of the stars of ``near_links`` (two such fingerprints are in one star of the syndrome of a variant that they share) and the
+    fingerprints that more than one row has. Keys of the same rows count as one.
+    """
+    distinct = scratch.save(prints.groupBy("fp").agg(F.count(F.lit(1)).alias("n")))
+    links = near_links(distinct, scratch, limit)
+    centre = F.col("a").alias("key")
+    of = links.select(F.col("b").alias("fp"), centre).unionByName(links.select(F.col("a").alias("fp"), centre)).unionByName(distinct.filter("n > 1").select("fp", F.col("fp").alias("key")))
+    keyed = scratch.save(prints.join(of.distinct(), "fp").select("uid", "key"))
+    who = keyed.groupBy("key").agg(F.expr("bit_xor(xxhash64(uid))").alias("who"))
+    return scratch.save(keyed.join(who, "key").select("uid", F.col("who").alias("key")).distinct())
+
+
 def simhash_groups(docs: DataFrame, words: int = 4, limit: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, fingerprint (hex), component_id for each row of docs."""
     scratch = Scratch(docs.sparkSession)
